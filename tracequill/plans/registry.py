@@ -1,0 +1,6 @@
+"""All queries of the audit engine by name, with the equivalent SQL where there is one."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
