@@ -17,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -185,7 +186,7 @@ def loaded(path: str) -> PairIndexBPE:
 
 def slices(batch: pa.RecordBatch, most: int = 4_000_000, column: int = 1):
     """Slices of a batch whose texts hold about so many bytes together, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
     for i, s in enumerate(sizes.tolist()):
         if total and total + s > most:
