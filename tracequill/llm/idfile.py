@@ -2,10 +2,10 @@
 
 A file holds blocks of a fixed number of ids, then an index and a footer. Each block starts from the
 same fresh model. For each id the model has predictions of three orders: the id that followed the last
-two ids, the one that followed the last id, and the most usual one. The highest order with any
-confidence names a candidate; the orders' counters are mixed (integer logistic mixing, learnt weights) to the probability that
+two ids, the one that followed the last id, and an order-0 table. The higher order with any
+confidence names a candidate; both orders' counters are mixed (integer logistic mixing, learnt weights) to the probability that
 it is right, and a range coder codes that decision. A wrong candidate is followed by the id itself: its
-high part by an adaptive order-0 table, its low part evenly.
+high part is coded by the adaptive order-0 table, its low part, which is spread evenly, is stored as it is.
 
 Blocks are independent, so numpy works on many blocks in step, one per lane. All arithmetic is on
 integers: every machine decodes what another wrote.
@@ -31,205 +31,182 @@ from tracequill.llm import words
 from tracequill.llm.bpe import slices
 from tracequill.llm.common import new_folder, open_fs, ship, written
 
-MAGIC = b"TQIDS001"
-BLOCK, LANES = 4096, 1024
-ONE_BITS, TWO_BITS, REFRESH = 11, 12, 128
-_STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int64)
-
-
-def _squash_table() -> np.ndarray:
-    """Inverse of the stretch table, as integers, for -2047 to 2047."""
-    return np.clip(np.searchsorted(_STRETCH, np.arange(-2048, 2048)), 32, 4064).astype(np.int64)
-
-
-_SQUASH = _squash_table()
+MAGIC = b"TQIDS002"
+#: Ids in a block, and the most blocks that are worked on in step.
+BLOCK, LANES = 4096, 2048
+#: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
+ONE_BITS, TWO_BITS, REFRESH = 10, 11, 128
+_STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
+_SQUASH = np.clip(np.searchsorted(_STRETCH, np.arange(-2048, 2048)), 32, 4064).astype(np.int64)
+#: A slot's next confidence (0 to 7) after a wrong guess, then after a right one.
+_NEXT = np.array([[0, 0, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
 
 
 class Model:
-    """The state of all lanes; encoder and decoder drive it alike."""
+    """The state of all lanes; encoder and decoder drive it alike. Arrays of shape (2, lanes) hold order 1 and order 2."""
 
     def __init__(self, lanes: int, vocab: int):
         self.n = lanes
         self.low_bits = max(8, max(1, vocab - 1).bit_length() - 8)
         self.symbols = (max(1, vocab) - 1 >> self.low_bits) + 1
-        self.lane1 = np.arange(lanes) << ONE_BITS
-        self.lane2 = np.arange(lanes) << TWO_BITS
-        self.id1, self.sure1 = np.zeros(lanes << ONE_BITS, np.int32), np.zeros(lanes << ONE_BITS, np.int8)
-        self.id2, self.sure2 = np.zeros(lanes << TWO_BITS, np.int32), np.zeros(lanes << TWO_BITS, np.int8)
-        self.id0, self.sure0 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int8)
-        self.prob = [np.full(lanes * 16, 1 << 15, np.int32) for _ in range(3)]
-        self.weight = [np.full(lanes * 3, 1 << 15, np.int64) for _ in range(3)]
-        self.lane16, self.lane3 = np.arange(lanes) * 16, np.arange(lanes) * 3
-        self.count = np.zeros((lanes, self.symbols), np.int64)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.base = np.stack([np.arange(lanes) << ONE_BITS, (lanes << ONE_BITS) + (np.arange(lanes) << TWO_BITS)])
+        self.slots = np.zeros(lanes * ((1 << ONE_BITS) + (1 << TWO_BITS)), np.int32)  # id and confidence of each context
+        self.cells = (np.arange(2 * lanes) * 16).reshape(2, lanes)
+        self.prob = np.full(2 * lanes * 16, 1 << 15, np.int32)
+        self.weight = np.full((2, lanes), 1 << 15, np.int32)
+        self.count = np.zeros(lanes * self.symbols + 1, np.int32)
+        self.none = lanes * self.symbols
+        self.rows = np.arange(lanes) * self.symbols
         self.refresh()
 
+    @staticmethod
+    def contexts(last1: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the last id and of the last two."""
+        one = last1 * 40503
+        return (one & 0xFFFF) >> 16 - ONE_BITS, (one + last2 * 60493 & 0xFFFFF) >> 20 - TWO_BITS
+
     def refresh(self) -> None:
         """Frequencies of the high parts, 4096 together, each at least 1."""
-        total = self.count.sum(axis=1, keepdims=True)
-        freq = 1 + self.count * (4096 - self.symbols) // np.maximum(total, 1)
-        freq[np.arange(self.n), self.count.argmax(axis=1)] += 4096 - freq.sum(axis=1)
-        self.freq = freq
-        self.cum = np.cumsum(freq, axis=1) - freq
-
-    def guess(self) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates and the probability, of 4096, that each is right."""
-        self.at1 = self.lane1 + ((self.last1 * 40503 & 0xFFFF) >> 16 - ONE_BITS)
-        self.at2 = self.lane2 + (((self.last1 * 40503 + self.last2 * 60493) & 0xFFFFF) >> 20 - TWO_BITS)
-        self.seen = (self.id0, self.id1[self.at1], self.id2[self.at2])
-        self.sure = (self.sure0, self.sure1[self.at1], self.sure2[self.at2])
-        order = np.where(self.sure[2] > 0, 2, self.sure[1] > 0)
-        cand = np.where(order == 2, self.seen[2], np.where(order == 1, self.seen[1], self.seen[0]))
-        self.cell, self.stretch = [], []
-        self.row = self.lane3 + order
-        dot = 0
-        for k in range(3):
-            cell = self.lane16 + (self.sure[k] * 2 + (self.seen[k] == cand))
-            s = _STRETCH[self.prob[k][cell] >> 4]
-            dot = dot + self.weight[k][self.row] * s
-            self.cell.append(cell)
-            self.stretch.append(s)
-        self.p = _SQUASH[np.clip(dot >> 16, -2047, 2047) + 2048]
+        count = self.count[:-1].reshape(self.n, self.symbols)
+        total = count.sum(axis=1, keepdims=True)
+        freq = 1 + count * (4096 - self.symbols) // np.maximum(total, 1)
+        freq[np.arange(self.n), count.argmax(axis=1)] += 4096 - freq.sum(axis=1)
+        self.freq = freq.ravel()
+        # where a symbol's range begins and how wide it is, in one number; the last cell stands for "nothing to code"
+        self.span = np.append((np.cumsum(freq, axis=1) - freq).ravel() << 13 | self.freq, 4096)
+        np.minimum(np.maximum(self.weight, -(1 << 17), out=self.weight), 1 << 17, out=self.weight)  # sums stay within 32 bits until the next time
+
+    def guess(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates for the slots at, and the probability, of 4096, that each is right."""
+        self.at = at
+        slot = self.slots[at]
+        self.seen, self.sure = slot >> 3, slot & 7
+        cand = np.where(self.sure[1] > 0, self.seen[1], self.seen[0])
+        self.cell = self.cells + (self.sure << 1) + (self.seen == cand)
+        self.old = self.prob[self.cell]
+        self.stretch = _STRETCH[self.old >> 4]
+        dot = self.weight * self.stretch
+        dot = dot[0] + dot[1] >> 16
+        self.p = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2048]
         return cand, self.p
 
     def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
-        error = ((right.astype(np.int64) << 12) - self.p) * 6
+        error = (right.astype(np.int32) << 12) - self.p.astype(np.int32)
+        self.weight += self.stretch * error >> 12
         goal = right.astype(np.int32) * 65535
-        for k in range(3):
-            self.weight[k][self.row] += self.stretch[k] * error + 0x2000 >> 14
-            old = self.prob[k][self.cell[k]]
-            self.prob[k][self.cell[k]] = old + (goal - old >> 4)
-            same = self.seen[k] == ids
-            sure = np.where(same, np.minimum(self.sure[k] + 1, 7), self.sure[k] >> 1).astype(np.int8)
-            fresh = ~same & (sure == 0)
-            kept = np.where(fresh, ids, self.seen[k]).astype(np.int32)
-            sure[fresh] = 1
-            if k == 0:
-                self.id0, self.sure0 = kept, sure
-            elif k == 1:
-                self.id1[self.at1], self.sure1[self.at1] = kept, sure
-            else:
-                self.id2[self.at2], self.sure2[self.at2] = kept, sure
-        self.last2, self.last1 = self.last1, ids.astype(np.int64)
+        self.prob[self.cell] = self.old + (goal - self.old >> 4)
+        same = self.seen == ids
+        sure = _NEXT[(same << 3) + self.sure]
+        self.slots[self.at] = np.where(sure > 0, (self.seen << 3) + sure, (ids << 3) + 1)
 
 
 def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
-    """ids: one block per row. The bytes of each."""
+    """ids: one block per row. The bytes of each: the range coder's words, then the low parts of the ids that were not guessed."""
     lanes, steps = ids.shape
     m = Model(lanes, vocab)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 32, np.int64)
-    out, pos = np.zeros(lanes * (2 * steps + 4), np.int32), np.arange(lanes) * (2 * steps + 4)
+    room = steps * 3 // 2 + 8
+    out, pos = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
     first = pos.copy()
-
-    def shift(low, width, pos, which):
-        """Carries go to the word before; at most one word leaves each lane."""
-        over = low >> 32
-        if over.any():
-            out[pos[over > 0] - 1] += 1
-            low &= 0xFFFFFFFF
-        need = width < 1 << 16
-        out[pos] = low >> 16  # overwritten later where the lane keeps it
-        pos += need
-        low[:] = np.where(need, low << 16 & 0xFFFFFFFF, low)
-        width[:] = np.where(need, width << 16, width)
-
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    for t in range(steps):
-        now = columns[t]
-        cand, p = m.guess()
-        right = cand == now
-        bound = (width >> 12) * p
-        low += np.where(right, 0, bound)
-        width = np.where(right, bound, width - bound)
-        shift(low, width, pos, None)
-        miss = np.flatnonzero(~right)
-        if len(miss):
-            part = now[miss]
-            high = part >> m.low_bits
-            a, w, q = low[miss], width[miss], pos[miss]
-            r = w >> 12
-            a += r * m.cum[miss, high]
-            w = r * m.freq[miss, high]
-            shift(a, w, q, None)
-            r = w >> m.low_bits
-            a += r * (part & (1 << m.low_bits) - 1)
-            w = r
-            shift(a, w, q, None)
-            low[miss], width[miss], pos[miss] = a, w, q
-            m.count[miss, high] += 32
-        m.learn(now, right)
-        if t % REFRESH == REFRESH - 1:
-            m.refresh()
-    for _ in range(2):
-        over = low >> 32
-        out[pos[over > 0] - 1] += 1
-        low &= 0xFFFFFFFF
-        out[pos] = low >> 16
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    columns = np.zeros((steps + 2, lanes), np.int32)
+    columns[2:] = ids.T
+    missed = np.zeros((steps, lanes), bool)
+    for begin in range(0, steps, REFRESH):
+        end = min(steps, begin + REFRESH)
+        at = np.stack(m.contexts(columns[begin + 1 : end + 1].astype(np.int64), columns[begin:end].astype(np.int64)), axis=1) + m.base
+        high = m.rows + (columns[begin + 2 : end + 2] >> m.low_bits)
+        for t in range(begin, end):
+            now = columns[t + 2]
+            cand, p = m.guess(at[t - begin])
+            right = cand == now
+            bound = (width >> 12) * p
+            low += np.where(right, 0, bound)
+            width = np.where(right, bound, width - bound)
+            np.logical_not(right, out=missed[t])
+            h = np.where(right, m.none, high[t - begin])
+            span = m.span[h]
+            r = width >> 12
+            low += r * (span >> 13)
+            width = r * (span & 8191)
+            m.count[h] += 32
+            need = np.flatnonzero(width < 1 << 32)
+            while len(need):
+                x, q = low[need], pos[need]
+                out[q] = x >> 32  # bit 16 is a carry for the word before
+                pos[need] = q + 1
+                low[need] = (x & 0xFFFFFFFF) << 16
+                width[need] = w = width[need] << 16
+                need = need[w < 1 << 32]
+            m.learn(now, right)
+        m.refresh()
+    for _ in range(3):
+        out[pos] = low >> 32
         pos += 1
-        low = low << 16 & 0xFFFFFFFF
+        low = (low & 0xFFFFFFFF) << 16
+    parts = columns[2:] & (1 << m.low_bits) - 1
+    kind = "<u1" if m.low_bits == 8 else "<u4"
     done = []
     for i in range(lanes):
         x = out[first[i] : pos[i]].copy()
         while len(big := np.flatnonzero(x > 0xFFFF)):
             x[big] -= 1 << 16
-            x[big - 1] += 1
-        done.append(x.astype("<u2").tobytes())
+            np.add.at(x, big - 1, 1)
+        done.append(struct.pack("<I", len(x)) + x.astype("<u2").tobytes() + parts[missed[:, i], i].astype(kind).tobytes())
     return done
 
 
 def decode_blocks(blocks: list[bytes], steps: int, vocab: int) -> np.ndarray:
     lanes = len(blocks)
     m = Model(lanes, vocab)
-    sizes = np.array([len(b) // 2 for b in blocks])
-    pos = np.cumsum(sizes + 4) - sizes - 4
-    words_ = np.zeros(int((sizes + 4).sum()), np.int64)
-    for p, b in zip(pos.tolist(), blocks, strict=True):
-        words_[p : p + len(b) // 2] = np.frombuffer(b, "<u2")
-    code = words_[pos] << 16 | words_[pos + 1]
-    pos = pos + 2
-    width = np.full(lanes, 1 << 32, np.int64)
-    result = np.zeros((steps, lanes), np.int64)
-
-    def shift(code, width, pos):
-        need = width < 1 << 16
-        code[:] = np.where(need, code << 16 | words_[np.minimum(pos, len(words_) - 1)], code)
-        width[:] = np.where(need, width << 16, width)
-        pos += need
-
-    def lookup():
-        return np.repeat(np.tile(np.arange(m.symbols, dtype=np.int32), lanes), m.freq.ravel())
-
-    which = lookup()
+    kind = np.dtype("<u1" if m.low_bits == 8 else "<u4")
+    coded, parts, pos, at_part = [], [], [], []
+    n = k = 0
+    for b in blocks:
+        size = struct.unpack_from("<I", b)[0]
+        pos.append(n)
+        at_part.append(k)
+        coded.append(np.frombuffer(b, "<u2", size, 4))
+        parts.append(np.frombuffer(b, kind, offset=4 + 2 * size))
+        n += size
+        k += len(parts[-1])
+    coded = np.concatenate([*coded, np.zeros(4 + steps, np.uint16)]).astype(np.int64)
+    parts = np.concatenate([*parts, np.zeros(1, kind)]).astype(np.int32)
+    pos, at_part = np.array(pos), np.array(at_part)
+    code = coded[pos] << 32 | coded[pos + 1] << 16 | coded[pos + 2]
+    pos += 3
+    width = np.full(lanes, 1 << 48, np.int64)
+    result = np.zeros((steps + 2, lanes), np.int32)
+    lane = np.arange(lanes) << 12
+    names = np.tile(np.arange(m.symbols, dtype=np.int16), lanes)
     for t in range(steps):
-        cand, p = m.guess()
+        if t % REFRESH == 0:
+            if t:
+                m.refresh()
+            which = np.repeat(names, m.freq)  # the symbol of each of a lane's 4096 places
+        cand, p = m.guess(np.stack(m.contexts(result[t + 1].astype(np.int64), result[t].astype(np.int64))) + m.base)
         bound = (width >> 12) * p
         right = code < bound
         code -= np.where(right, 0, bound)
         width = np.where(right, bound, width - bound)
-        shift(code, width, pos)
-        now = cand.astype(np.int64)
-        miss = np.flatnonzero(~right)
-        if len(miss):
-            c, w, q = code[miss], width[miss], pos[miss]
-            r = w >> 12
-            high = which[miss * 4096 + np.minimum(c // r, 4095)]
-            c -= r * m.cum[miss, high]
-            w = r * m.freq[miss, high]
-            shift(c, w, q)
-            r = w >> m.low_bits
-            low = np.minimum(c // r, (1 << m.low_bits) - 1)
-            c -= r * low
-            w = r
-            shift(c, w, q)
-            code[miss], width[miss], pos[miss] = c, w, q
-            now[miss] = high.astype(np.int64) << m.low_bits | low
-            m.count[miss, high] += 32
-        result[t] = now
+        r = width >> 12
+        high = which[lane + np.minimum(code // r, 4095)]
+        h = np.where(right, m.none, m.rows + high)
+        span = m.span[h]
+        code -= r * (span >> 13)
+        width = r * (span & 8191)
+        m.count[h] += 32
+        now = np.where(right, cand, (high.astype(np.int32) << m.low_bits) + parts[at_part])
+        at_part += ~right
+        need = np.flatnonzero(width < 1 << 32)
+        while len(need):
+            q = pos[need]
+            code[need] = code[need] << 16 | coded[q]
+            pos[need] = q + 1
+            width[need] = w = width[need] << 16
+            need = need[w < 1 << 32]
+        result[t + 2] = now
         m.learn(now, right)
-        if t % REFRESH == REFRESH - 1:
-            m.refresh()
-            which = lookup()
-    return np.ascontiguousarray(result.T)
+    return np.ascontiguousarray(result[2:].T)
 
 
 class Writer:
