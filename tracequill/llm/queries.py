@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, warc
+from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, toxicity, warc
 from tracequill.llm.common import table
 
 QUERIES = {}
@@ -102,6 +102,13 @@ FROM d JOIN g ON d.text = g.text
 """
 
 
+@query
+def op6_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
