@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, toxicity, warc
+from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, toxicity, warc, wrappers
 from tracequill.llm.common import table
 
 QUERIES = {}
@@ -64,6 +64,11 @@ FROM e GROUP BY conv_id
 """
 
 
+@query
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_bundles(table(spark, sf_dir, "pages"))
