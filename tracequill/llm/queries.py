@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, toxicity, warc, wrappers
+from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, topk, toxicity, warc, wrappers
 from tracequill.llm.common import table
 
 QUERIES = {}
@@ -123,3 +123,23 @@ def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = idfile.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return idfile.read_files(manifest, with_ids=False)
+
+
+@query
+def op9_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors["vec_id"] % 50 == 0, k=5)
+
+
+SQL["op9_ball_tree_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
