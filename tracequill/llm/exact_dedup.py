@@ -1,7 +1,7 @@
 """Exact deduplication by content sort.
 
-Spark samples splitters and range-partitions the rows by their normalised bytes and then by id, so that a
-text with very many copies spreads over neighbouring partitions. Each partition is sorted
+Spark samples splitters and range-partitions the rows by their normalised bytes (the first 64, then a hash of
+all, so that splitters stay small) and then by id, so that a text with very many copies spreads over neighbouring partitions. Each partition is sorted
 (externally, by Spark); equal texts are then adjacent and each is compared in full with its neighbour. A run of equal
 texts at either end of a partition may go on in the next one: the texts of those runs, two for each
 partition, are compared again across partitions.
@@ -32,8 +32,9 @@ def groups(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column],
     sign = {"largest": -1, "smallest": 1}[keep]
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), (normalise(text) if normalise else text).cast("binary").alias("body"))
-    order = [F.col("body"), F.col("doc_id").desc_nulls_last() if sign < 0 else F.col("doc_id").asc_nulls_last()]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"head": F.substring("body", 1, 64), "mark": F.xxhash64("body")})  # the driver samples keys of bounded size, not whole texts
+    by_id = F.col("doc_id").desc_nulls_last() if sign < 0 else F.col("doc_id").asc_nulls_last()
+    rows = rows.repartitionByRange("head", "mark", by_id).sortWithinPartitions("head", "mark", "body", by_id).select("doc_id", "body")
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequill.llm import bpe, chat, exact_dedup, idfile, packing, topk, toxicity, warc, wrappers
+from tracequill.llm import bpe, chat, exact_dedup, idfile, jaccard, packing, topk, toxicity, warc, wrappers
 from tracequill.llm.common import table
 
 QUERIES = {}
@@ -143,3 +143,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 5
 """
+
+
+@query
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), n=4, percent=85)
