@@ -1,0 +1,108 @@
+"""Tamper evidence: hash links, digests, Merkle roots."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracequill.operators.metrics import scoped
+
+#: Envelope fields that a digest covers; security only where it is set.
+DIGESTED = ("event_id", "schema_version", "org_id", "session_id", "agent_id", "provider", "model", "interception_layer", "run_id", "parent_run_id", "event_type", "payload", "payload_hash", "pii_detected", "timestamp_ns", "sequence_number", "previous_hash")
+
+
+def _by_session():
+    return Window.partitionBy("session_id").orderBy("sequence_number")
+
+
+def links(events: DataFrame, org: str | None = None) -> DataFrame:
+    """Each event with the hash that its previous_hash must equal."""
+    expected = F.coalesce(F.lag("current_hash").over(_by_session()), F.concat(F.lit("GENESIS_"), "session_id"))
+    e = scoped(events, org).select("session_id", "sequence_number", "previous_hash", "current_hash")
+    return e.withColumn("expected", expected).select("session_id", "sequence_number", (F.col("previous_hash") == F.col("expected")).alias("link_ok"))
+
+
+def first_failures(checked: DataFrame) -> DataFrame:
+    """The first failure of each session; a digest fails before a link of the same event. checked: link_ok and, if there, digest_ok."""
+    ok = F.col("digest_ok") if "digest_ok" in checked.columns else F.lit(True)
+    kind = F.when(~ok, 0).when(~F.col("link_ok"), 1)
+    rows = checked.withColumn("kind", kind)
+    at = F.min_by(F.struct("sequence_number", "kind"), F.when(F.col("kind").isNotNull(), F.col("sequence_number") * 2 + F.col("kind")))
+    out = rows.groupBy("session_id").agg(F.count("*").alias("events"), F.count("kind").alias("failures"), at.alias("at"))
+    return out.select("session_id", "events", (F.col("failures") == 0).alias("valid"), F.when(F.col("failures") > 0, F.col("at.sequence_number")).alias("failed_at"), F.when(F.col("failures") > 0, F.when(F.col("at.kind") == 0, "digest").otherwise("link")).alias("failure"))
+
+
+def org_status(events: DataFrame, org: str | None = None) -> DataFrame:
+    """Sessions in all and those whose links hold, without regard to the first link."""
+    e = scoped(events, org).withColumn("before", F.lag("current_hash").over(_by_session()))
+    s = e.groupBy("org_id", "session_id").agg(F.bool_and(F.coalesce(F.col("before") == F.col("previous_hash"), F.lit(True))).alias("ok"))
+    return s.groupBy("org_id").agg(F.count("*").alias("sessions"), F.count_if("ok").alias("valid_sessions"))
+
+
+def canonical(row: dict) -> str:
+    """Key-sorted, compact, ASCII JSON of an envelope; payload and security are JSON texts."""
+    out = {k: row[k] for k in DIGESTED}
+    for k in ("payload", "security"):
+        if row.get(k) is not None:
+            out[k] = json.loads(row[k])
+    return json.dumps(out, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
+def digests(events: DataFrame) -> DataFrame:
+    """events with digest: SHA-256 over the canonical envelope. Sorted compact JSON has no built-in, so an Arrow UDF makes it."""
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        def one(r: dict) -> str:
+            r["pii_detected"] = [] if r["pii_detected"] is None else list(r["pii_detected"])
+            return hashlib.sha256(canonical(r).encode()).hexdigest()
+
+        return pd.Series([one(r) for r in rows.to_dict("records")], dtype="object")
+
+    return events.withColumn("digest", F.pandas_udf(run, "string")(F.struct(*DIGESTED, "security")))
+
+
+def signed(events: DataFrame) -> DataFrame:
+    """Rebuilds previous_hash and current_hash of each session in order: each digest needs the one before, so a session is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sequence_number").reset_index(drop=True)
+        before, previous, current = f"GENESIS_{pdf['session_id'].iloc[0]}", [], []
+        for r in pdf.to_dict("records"):
+            r["pii_detected"] = [] if r["pii_detected"] is None else list(r["pii_detected"])
+            r["previous_hash"] = before
+            previous.append(before)
+            before = hashlib.sha256(canonical(r).encode()).hexdigest()
+            current.append(before)
+        return pdf.assign(previous_hash=previous, current_hash=current)
+
+    return events.groupBy("session_id").applyInPandas(run, events.schema)
+
+
+def verified(events: DataFrame) -> DataFrame:
+    """Links and digests of each event."""
+    d = digests(events).withColumn("expected", F.coalesce(F.lag("current_hash").over(_by_session()), F.concat(F.lit("GENESIS_"), "session_id")))
+    return d.select("session_id", "sequence_number", (F.col("previous_hash") == F.col("expected")).alias("link_ok"), (F.col("digest") == F.col("current_hash")).alias("digest_ok"))
+
+
+def merkle_root(hashes: list[str]) -> str:
+    """Root over hex digests; the last is doubled where their number is odd."""
+    if not hashes:
+        return hashlib.sha256(b"empty").hexdigest()
+    level = list(hashes)
+    while len(level) > 1:
+        if len(level) % 2:
+            level.append(level[-1])
+        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
+    return level[0]
+
+
+def merkle_roots(events: DataFrame, every: int = 1000) -> DataFrame:
+    """Roots of each session by checkpoints of so many events: no group is larger than that."""
+    rows = events.select("session_id", F.floor(F.col("sequence_number") / every).alias("checkpoint"), "sequence_number", "current_hash")
+    lists = rows.groupBy("session_id", "checkpoint").agg(F.sort_array(F.collect_list(F.struct("sequence_number", "current_hash"))).alias("h"), F.count("*").alias("events_covered"))
+    root = F.pandas_udf(lambda s: s.map(lambda h: merkle_root(list(h))), "string")
+    return lists.select("session_id", "checkpoint", "events_covered", root(F.col("h.current_hash")).alias("merkle_root"))

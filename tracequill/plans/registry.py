@@ -2,5 +2,168 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracequill.functions import deep_scans, text_scans
+from tracequill.operators import behaviour, chain, export, graph, metrics, reports, rules
+from tracequill.plans import oracle
+from tracequill.plans.scan_oracle import SCAN_SQL
+from tracequill.sources import audit_log, ingest
+from tracequill.sources.audit_log import audit_events, table, tool_observations, typed, violations
+
+ORG = "org_0"
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **SCAN_SQL}
+
+
+def log_query(name: str):
+    """Registers a function of the audit log."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(audit_events(spark, sf_dir))
+
+        QUERIES[name] = run
+        return f
+
+    return put
+
+
+def table_query(name: str, source: str):
+    """Registers a function of one driver table."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(table(spark, sf_dir, source))
+
+        QUERIES[name] = run
+        return f
+
+    return put
+
+
+def _overview(e: DataFrame) -> DataFrame:
+    return metrics.overview(e, behaviour.anomalies(e), violations(e), ORG)
+
+
+def _nodes(e: DataFrame) -> DataFrame:
+    return graph.nodes(e, behaviour.anomalies(e), violations(e), ORG)
+
+
+def _agents(e: DataFrame) -> DataFrame:
+    return metrics.agents(e, behaviour.anomalies(e), ORG)
+
+
+def _audit(e: DataFrame) -> DataFrame:
+    return reports.audit_summary(e, behaviour.anomalies(e), violations(e), ORG)
+
+
+def _calls(e: DataFrame) -> DataFrame:
+    return typed(e).where("event_type = 'TOOL_CALL_START'").select("session_id", "sequence_number", F.when(F.col("tool_name") == "tool_1", "http_tool_1").otherwise(F.col("tool_name")).alias("tool_name"), F.col("p.tool_input").alias("argument"))
+
+
+def _counted(e: DataFrame) -> DataFrame:
+    c = metrics_columns = behaviour.running_counters(e).select("session_id", "sequence_number", F.col("tool_calls").alias("tool_call_count"), F.col("llm_calls").alias("llm_call_count"), F.expr("age_ns div 1000000").alias("session_duration_ms"))
+    return typed(e).join(metrics_columns, ["session_id", "sequence_number"]) if c is not None else e
+
+
+PERMISSIONS = (rules.Rule("deny-tool-2", "BLOCK", ("TOOL_CALL_START",), tools=("tool_2",)), rules.Rule("agent-1-allow-list", "ALERT", ("TOOL_CALL_START",), tools=("*",), except_tools=("tool_0",), agents=("agent_1",)))
+
+for _name, _f in {
+    "session_summary": lambda e: metrics.session_summary(e, ORG),
+    "list_sessions": lambda e: metrics.list_sessions(e, ORG, limit=50, offset=5),
+    "metrics_overview": _overview,
+    "metrics_agents": _agents,
+    "metrics_models": lambda e: metrics.models(e, ORG),
+    "violations_summary": lambda e: metrics.violations_summary(violations(e), ORG),
+    "violations_list": lambda e: metrics.violations_list(violations(e), ORG, action="BLOCK"),
+    "anomalies_list": lambda e: behaviour.anomalies(e).where("severity = 'high'"),
+    "anomaly_all": behaviour.anomalies,
+    "high_error_rate": behaviour.high_error_rate,
+    "tool_loop": behaviour.tool_loop,
+    "long_latency": behaviour.long_latency,
+    "sensitive_pii": behaviour.sensitive_pii,
+    "runaway": behaviour.runaway,
+    "model_switch": behaviour.model_switch,
+    "violation_stats_buckets": lambda e: metrics.violation_buckets(violations(e)),
+    "observed_tools": lambda e: metrics.observed_tools(e, violations(e), as_of_ns=oracle.AS_OF),
+    "observed_tools_corrected": lambda e: metrics.observed_tools(e, violations(e), as_of_ns=oracle.AS_OF, corrected=True),
+    "policy_model_counts": metrics.model_counts,
+    "policy_tool_p95": metrics.tool_p95,
+    "policy_suggestions": metrics.suggestions,
+    "topology_nodes": _nodes,
+    "topology_providers_models": graph.providers_models,
+    "topology_edges": graph.edges,
+    "topology_connected": lambda e: graph.connected(_nodes(e), graph.edges(e)),
+    "agent_risk": lambda e: graph.risk(_nodes(e)),
+    "agent_comparison": lambda e: metrics.agent_comparison(_agents(e), violations(e), ORG),
+    "posture_score": lambda e: metrics.posture(_overview(e)),
+    "chain_links": chain.links,
+    "chain_failures": lambda e: chain.first_failures(chain.links(e)),
+    "chain_status_org": chain.org_status,
+    "chain_digest": lambda e: chain.digests(e).select("event_id", "digest"),
+    "chain_signed_verified": lambda e: chain.first_failures(chain.verified(chain.signed(e.drop("k")))),
+    "merkle_root": chain.merkle_roots,
+    "last_hashes": lambda e: e.groupBy("session_id").agg(F.max_by("current_hash", "sequence_number").alias("last_hash"), F.max_by("event_id", F.when(metrics.is_("SYSTEM_ERROR"), F.col("sequence_number"))).alias("last_error")),
+    "baseline_running": behaviour.baselines,
+    "baseline_drift": behaviour.drift,
+    "rolling_injection": behaviour.rolling_injection,
+    "running_counters": behaviour.running_counters,
+    "budget_limits": lambda e: behaviour.budget_limits(e, tokens=5000, calls=10),
+    "markov_scores": behaviour.markov,
+    "session_features": metrics.session_features,
+    "isolation_forest": lambda e: behaviour.isolation_forest(metrics.session_features(e)),
+    "tool_baselines": lambda e: behaviour.tool_baselines(tool_observations(e)),
+    "baselines_summary": lambda e: behaviour.baselines_summary(behaviour.tool_baselines(tool_observations(e)), ORG),
+    "agent_tools": lambda e: behaviour.agent_tools(behaviour.tool_baselines(tool_observations(e)), ORG),
+    "tool_not_in_baseline": lambda e: behaviour.not_in_baseline(tool_observations(e), behaviour.tool_baselines(tool_observations(e))).select("event_id", "agent_id", "tool_name"),
+    "rate_windows": lambda e: behaviour.rate_windows(e, seconds=3600),
+    "event_rates": metrics.rates,
+    "histogram_quantiles": lambda e: metrics.histogram_quantiles(e, minutes=1440),
+    "active_sessions": lambda e: metrics.active_sessions(e, 1706486400000000000),
+    "alert_severity": lambda e: violations(e).select("event_id", "rule_name", rules.severity(F.col("rule_name"), F.col("action")).alias("severity"), rules.channels(rules.severity(F.col("rule_name"), F.col("action"))).alias("channels"), rules.dedup_key(F.col("rule_name"), F.col("session_id"), F.col("timestamp_ns")).alias("dedup_key")),
+    "alert_throttle": lambda e: behaviour.alert_throttle(violations(e)),
+    "trust_scores": lambda e: behaviour.trust_scores(e.where("k > 60").select(F.col("agent_id").alias("root_session_id"), F.col("timestamp_ns").alias("seq"), "session_id", F.concat(F.lit("sess_"), F.regexp_extract("agent_id", "[0-9]+", 0)).alias("parent_session_id"), F.when(F.col("k") > 98, "canary").when(F.col("k") > 80, "violation").otherwise("clean").alias("op"), F.when(F.col("k") > 95, "BLOCK").otherwise("ALERT").alias("action"), (F.col("k") / 100).alias("injection_score"))),
+    "taint_hits": lambda e: behaviour.taint_hits(typed(e).where("event_type = 'TOOL_CALL_END'").select("session_id", "sequence_number", F.col("p.tool_input").alias("value")), _calls(e)),
+    "toolset_mutation": lambda e: behaviour.toolset_changes(e.where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", F.when(F.col("k") % 2 == 1, F.array(F.lit("read_file"), F.lit("write_file"))).otherwise(F.array(F.lit("read_file"), F.lit("send_mail"))).alias("tools"))),
+    "policy_eval": lambda e: rules.evaluate(_counted(e)),
+    "tool_permissions": lambda e: rules.evaluate(typed(e), PERMISSIONS),
+    "compliance_eu": reports.compliance_eu,
+    "compliance_gdpr": reports.compliance_gdpr,
+    "compliance_hipaa": reports.compliance_hipaa,
+    "compliance_soc2": reports.compliance_soc2,
+    "audit_summary": _audit,
+    "audit_overall": lambda e: reports.audit_overall(_audit(e)),
+    "audit_report_controls": lambda e: reports.audit_controls(e.sparkSession, _audit(e)),
+    "forensic_timeline": reports.timeline,
+    "data_access_map": reports.data_access,
+    "risk_flags": reports.risk_flags,
+    "export_normalised": export.normalised,
+    "export_ndjson": lambda e: export.ndjson(export.normalised(e)),
+    "export_splunk": lambda e: export.splunk(export.normalised(e)),
+    "export_elastic": lambda e: export.elastic(export.normalised(e)),
+    "benchmark_confusion": lambda e: reports.confusion(typed(e).select(F.when(F.col("k") % 3 == 0, "attack").otherwise("clean").alias("expected"), (F.col("injection_score") >= 0.5).alias("detected"))),
+    "benchmark_percentiles": lambda e: reports.percentiles(typed(e).where("event_type = 'LLM_CALL_END'"), "latency_ms"),
+    "ingest_validation": lambda e: ingest.validated(e.withColumns({"run_id": F.when(F.col("k") % 11 != 0, F.col("run_id")), "payload": F.when((F.col("k") % 11 != 0) & (F.col("k") % 13 != 0), F.col("payload")), "event_type": F.when((F.col("event_type") == "SYSTEM_ERROR") & (F.col("k") % 5 == 0), "OTHER").otherwise(F.col("event_type"))}), ORG).select("event_id", F.array_join("missing", ",").alias("missing"), "reason"),
+    "ingest_dedup": lambda e: ingest.deduplicated(e.unionAll(e), e.where("k % 4 = 0")).select("event_id", "session_id"),
+    "idle_sessions": behaviour.idle_sessions,
+    "rce_scan": lambda e: typed(e).where("event_type = 'TOOL_CALL_START'").select("event_id", deep_scans.rce(F.to_json(F.struct(F.col("p.tool_input").alias("command")))).alias("r")).select("event_id", "r.*"),
+    "schema_check": lambda e: typed(e).where("event_type = 'TOOL_CALL_START'").select("event_id", F.array_join(deep_scans.schema_check(F.to_json(F.struct(F.col("p.http_status").alias("status"))), F.lit('{"type":"object","required":["status","path"],"properties":{"status":{"type":"integer","maximum":500}}}')), ";").alias("violations")),
+}.items():
+    log_query(_name)(_f)
+
+table_query("prompt_mutation", "conversations")(lambda c: behaviour.mutations(c.where("role = 'user' AND text IS NOT NULL").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("sequence_number"), "text"), "text"))
+table_query("spawn_depth", "orders")(lambda o: graph.spawn_depth(o.select(F.concat(F.lit("sess_"), F.col("o_orderkey").cast("string")).alias("session_id"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("sess_"), (F.col("o_orderkey") - 1).cast("string"))).alias("parent_session_id"))))
+table_query("structural_score", "conversations")(lambda c: c.where("text IS NOT NULL").select("conv_id", "turn", F.round(text_scans.structural(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score"), text_scans.label(text_scans.structural(F.col("text"))).alias("label")))
+table_query("tool_output_score", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", F.round(text_scans.tool_output(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score")))
+table_query("unicode_stego", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.steganography(F.col("text")).alias("severity")))
+table_query("output_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.output_severity(F.col("text")).alias("severity")))
+table_query("credential_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.CREDENTIALS), ",").alias("found")).where("found <> ''"))
+table_query("pii_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.PII), ",").alias("found"), F.sha2(text_scans.mask(F.col("text")), 256).alias("masked_sha256")).where("found <> ''"))
+table_query("memory_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.memory_score(F.col("text")).alias("score")))
+table_query("mcp_description", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.description_risk(F.col("text")).alias("risk")))
+table_query("mcp_names_lev1", "part")(lambda p: p.groupBy("p_brand").agg(F.array_sort(F.collect_set(F.col("p_type"))).alias("names")).select("p_brand", F.explode(text_scans.near_duplicate_names(F.col("names"))).alias("x")).select("p_brand", "x.a", "x.b"))
+table_query("sanitize_html", "pages")(lambda p: p.select("page_id", text_scans.sanitized(F.col("html")).alias("text"), text_scans.looks_like_html(F.col("html")).alias("is_html")))
+table_query("normalize_text", "documents")(lambda d: d.select("doc_id", deep_scans.normalize(F.col("text")).alias("n")).select("doc_id", "n.invisible_count", "n.score", "n.modified"))
+table_query("ssrf_scan", "pages")(lambda p: p.select("page_id", deep_scans.ssrf(F.col("url"), ("example.com",)).alias("s")).select("page_id", "s.*"))
