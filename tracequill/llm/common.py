@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
+_paths: dict[int, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{new_folder(spark, name)}/table"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made and nothing will read again."""
+    found = _paths.pop(id(df), None)
+    if found:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(found[1])
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

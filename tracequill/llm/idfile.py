@@ -33,7 +33,7 @@ from tracequill.llm.common import new_folder, open_fs, ship, written
 
 MAGIC = b"TQIDS002"
 #: Ids in a block, and the most blocks that are worked on in step.
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 2048, 2048
 #: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
 ONE_BITS, TWO_BITS, REFRESH = 10, 11, 128
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)

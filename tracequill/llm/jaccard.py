@@ -18,8 +18,8 @@ distance is a metric, and a link is a distance of at most tau = 1 - threshold.
    then, if areas are still large, into their regions. Regions that stay large after a second pivot are compared in pairs of blocks.
 5. Links form groups by repeated smallest neighbours, in tables in the shared folder.
 
-No candidate is dropped at any step. Which n-grams count as rare is settled by counts over all documents: every batch of a task reports the n-grams that
-it holds several times, and the most frequent ones (a bounded list) come last in the order. The order affects speed only.
+No candidate is dropped at any step. Which n-grams count as rare is settled by counts over all documents: those that occur once come first, the most
+frequent ones (a bounded list) last. The order affects speed only.
 
 Null, empty and blank texts have an empty set, are linked with nothing and form a group of their own. Texts with
 fewer words than n are one n-gram, the whole sequence. Repeated rows have equal sets and are linked unless these are empty. An
@@ -39,12 +39,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.llm.bpe import slices
-from tracequill.llm.common import ship, written
+from tracequill.llm.common import discard, ship, written
 
-#: n-grams known as frequent at most; how often a batch must hold one to report it.
+#: n-grams known as frequent at most, and how often one must occur to count as frequent.
 FREQUENT, REPORTED = 65_536, 4
 #: Classes and n-grams of an area that one task solves.
 AREA_CLASSES, AREA_GRAMS = 1000, 4_000_000
+#: Bits of the bitmaps that spare rows a shuffle (16 MB and 8 MB, whatever the input); an exact join follows each.
+GRAM_BITS, ID_BITS = 27, 26
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,29 +100,74 @@ def _per_batch(b: pa.RecordBatch, n: int, words: dict):
         yield s, [shingles(t, n, words) for t in s.column(1).to_pylist()]
 
 
-def frequent(docs: DataFrame, n: int, most: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The most frequent n-grams, the most frequent last; at most `most`, so the list has a proven bound."""
+def counted(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """What all documents say about n-grams: a bitmap of those that occur more than once, and the most frequent ones, the most frequent last.
 
-    def run(batches):
+    n-grams travel as their first 40 bits, sorted, by bucket of values, as differences in planes of bytes (some 3 bytes each). A bucket is
+    counted in one task; buckets grow in number with spark.sql.shuffle.partitions. Both results have a proven bound. They only rank n-grams, so values that
+    coincide cost time, never a link.
+    """
+    spark = docs.sparkSession
+    bits = max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+    def pack(batches):
         words = _Words()
         for b in batches:
             for _, sets in _per_batch(b, n, words):
-                if sets:
-                    grams, count = np.unique(np.concatenate(sets), return_counts=True)
-                    many = count >= REPORTED
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[many]), pa.array(count[many].astype(np.int64))], ["gram", "c"])
-
-    found = _texts(docs, id_col, text_col).mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "gram").limit(most)
-    return np.array([r[0] for r in found.select("gram").toLocalIterator()][::-1], np.int64)
-
-
-def described(docs: DataFrame, n: int, percent: int, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                v = np.sort(np.concatenate([*sets, np.zeros(0, np.int64)]).view(np.uint64) >> np.uint64(24))
+                if not len(v):
+                    continue
+                bucket = (v >> np.uint64(40 - bits)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+                d = np.diff(v, prepend=np.uint64(0))
+                d[cut] = v[cut]
+                planes = d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                blobs = [np.ascontiguousarray(x.T).tobytes() for x in np.split(planes, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def count(table: pa.Table) -> pa.Table:
+        values = []
+        for blob in table.column("blob"):
+            x = np.frombuffer(blob.as_buffer(), np.uint8).reshape(5, -1)
+            d = np.zeros((x.shape[1], 8), np.uint8)
+            d[:, :5] = x.T
+            values.append(np.cumsum(d.view("<u8").ravel()))
+        v, c = np.unique(np.concatenate(values), return_counts=True)
+        many = c > 1
+        v, c = v[many].astype(np.int64), c[many]
+        top = np.argsort(c, kind="stable")[::-1][:FREQUENT]
+        top = top[c[top] >= REPORTED]
+        at = np.unique(v >> 40 - GRAM_BITS)  # by leading bits: a bucket has its own stretch of the bitmap
+        part = at >> 15
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        maps = []
+        for x in np.split(at, cut[1:]) if len(at) else []:
+            m = np.zeros(32768, np.uint8)
+            m[x & 32767] = 1
+            maps.append(np.packbits(m, bitorder="little").tobytes())
+        n_maps, n_top = len(maps), len(top)
+        return pa.table({"part": pa.array([*part[cut].tolist(), *[None] * n_top], pa.int64()), "bits": pa.array([*maps, *[None] * n_top], pa.binary()), "gram": pa.array([*[None] * n_maps, *v[top].tolist()], pa.int64()), "c": pa.array([*[None] * n_maps, *c[top].tolist()], pa.int64())})
+
+    packed = _texts(docs, id_col, text_col).mapInArrow(pack, "bucket long, blob binary")
+    found = written(packed.groupBy("bucket").applyInArrow(count, "part long, bits binary, gram long, c long"), "jaccard-counts")
+    maps = found.where("part IS NOT NULL").groupBy("part").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+    bitmap = np.zeros((1 << GRAM_BITS) // 8, np.uint8)
+    for r in maps.toLocalIterator():  # 16 MB in all, whatever the input
+        bitmap[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    top = found.where("gram IS NOT NULL").orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram")
+    common = np.array([r[0] for r in top.toLocalIterator()][::-1], np.int64)
+    discard(found)
+    return bitmap, common
+
+
+def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, c (the class of its set), regions (the n-grams whose regions it lies in): one row per document."""
     by_gram = np.argsort(common)
-    sorted_common = common[by_gram]
+    held = docs.sparkSession.sparkContext.broadcast((bitmap, common[by_gram], by_gram))
 
     def run(batches):
         words = _Words()
+        bitmap, sorted_common, by_gram = held.value
         for b in batches:
             for s, sets in _per_batch(b, n, words):
                 a, z, firsts = [], [], []
@@ -129,16 +176,17 @@ def described(docs: DataFrame, n: int, percent: int, common: np.ndarray, id_col:
                     a.append(x)
                     z.append(y)
                     take = len(g) - need(len(g), percent) + 1 if len(g) else 0
-                    if len(sorted_common) and len(g):
-                        at = np.minimum(np.searchsorted(sorted_common, g), len(sorted_common) - 1)
-                        rank = np.where(sorted_common[at] == g, by_gram[at] + 1, 0)
-                        rare = np.flatnonzero(rank == 0)
-                        if len(rare) >= take:
-                            firsts.append(g[rare[:take]])
-                        else:
-                            firsts.append(g[np.lexsort((g, rank))[:take]])
-                    else:
-                        firsts.append(g[:take])
+                    short = (g.view(np.uint64) >> np.uint64(24)).astype(np.int64)
+                    shared = _in(bitmap, short >> 40 - GRAM_BITS)
+                    single = np.flatnonzero(~shared)
+                    if len(single) >= take:
+                        firsts.append(g[single[:take]])
+                        continue
+                    rank = shared.astype(np.int64)
+                    if len(sorted_common):
+                        at = np.minimum(np.searchsorted(sorted_common, short), len(sorted_common) - 1)
+                        rank = np.where(shared & (sorted_common[at] == short), by_gram[at] + 2, rank)
+                    firsts.append(g[np.lexsort((g, rank))[:take]])
                 off = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
                 c = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
@@ -161,14 +209,50 @@ def components(links: DataFrame, name: str) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = written(small, f"{name}-{step}")
+        last, edges = edges, written(small, f"{name}-{step}")
+        discard(last)
     nodes = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return nodes.unionAll(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _regions(members: DataFrame, percent: int) -> DataFrame:
-    """c, n, region (n-gram and size band) of every class that shares a region with another."""
-    rows = members.select("c", F.col("n_shingles").alias("n"), F.explode("regions").alias("gram"))
+def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of so many bits, as bytes, of the column `at`."""
+    parts = positions.groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits"))
+    out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
+    for r in parts.toLocalIterator():
+        b = np.frombuffer(r["bits"], np.uint8)
+        begin = (r["part"] - 1) * 4096
+        out[begin : begin + len(b)] = b
+    return out
+
+
+def _in(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _regions(classes: DataFrame, percent: int) -> DataFrame:
+    """c, n, region (n-gram and size band) of every class that shares a region with another.
+
+    Most n-grams occur in one class only. They are counted without their classes first; a bitmap of the others keeps nearly
+    all rows of single n-grams out of the shuffle by region.
+    """
+    mask = (1 << GRAM_BITS) - 1
+    grams = classes.select(F.explode("regions").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select(F.col("gram").bitwiseAND(F.lit(mask)).alias("at"))
+    held = classes.sparkSession.sparkContext.broadcast(_bitmap(shared, GRAM_BITS))
+
+    def thin(batches):
+        bitmap = held.value
+        for b in batches:
+            lists = b.column("regions")
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            keep = _in(bitmap, flat & mask)
+            count = np.concatenate([[0], np.cumsum(keep)])
+            off = count[off - off[0]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n_shingles"), pa.ListArray.from_arrays(pa.array(off), pa.array(flat[keep]))], ["c", "n_shingles", "regions"])
+
+    some = classes.select("c", "n_shingles", "regions").mapInArrow(thin, "c struct<a:long,b:long>, n_shingles long, regions array<long>")
+    rows = some.select("c", F.col("n_shingles").alias("n"), F.explode("regions").alias("gram"))
     by_size = Window.partitionBy("gram").orderBy("n", "c")
     gap = (F.lag("n").over(by_size).isNull() | (F.lag("n").over(by_size) * 100 < F.col("n") * percent)).cast("int")
     gone = F.lead("n").over(by_size).isNull() | (F.col("n") * 100 < F.lead("n").over(by_size) * percent)
@@ -300,27 +384,32 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     spark = docs.sparkSession
     ship(spark)
     tau = 1 - percent / 100
-    common = frequent(docs, n, id_col=id_col, text_col=text_col)
-    found = written(described(docs, n, percent, common, id_col, text_col), "jaccard-documents")
-    classes = found.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"))
+    bitmap, common = counted(docs, n, id_col, text_col)
+    whole_rows = written(described(docs, n, percent, bitmap, common, id_col, text_col), "jaccard-documents")
+    found = whole_rows.select("doc_id", "n_shingles", "c")
+    classes = whole_rows.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"))
+    classes = written(classes, "jaccard-classes")
     regions = written(_regions(classes, percent), "jaccard-regions")
     members = _areas(regions, "jaccard")
     keys = regions.groupBy("c").agg(F.collect_list(F.xxhash64("region")).alias("regions"))
-    one_each = found.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("first_id"))
-    wanted = written(members.join(keys, "c").join(one_each, "c"), "jaccard-areas")
+    wanted = written(members.join(keys, "c").join(classes.select("c", "first_id"), "c"), "jaccard-areas")
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    held = spark.sparkContext.broadcast(_bitmap(wanted.select(place(F.col("first_id")).alias("at")), ID_BITS))
 
     def sets(batches):
-        words = _Words()
+        words, bitmap = _Words(), held.value
         for b in batches:
+            b = b.filter(pa.array(_in(bitmap, b.column(2).to_numpy())))
             for s, grams in _per_batch(b, n, words):
                 sig = [signature(g) for g in grams]
                 off = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
                 c = pa.StructArray.from_arrays([pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64())], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([c, pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))], ["c", "grams"])
+                yield pa.RecordBatch.from_arrays([c, s.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))], ["c", "doc_id", "grams"])
 
-    needed = _texts(docs, id_col, text_col).join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    grams = needed.mapInArrow(sets, "c struct<a:long,b:long>, grams array<long>").dropDuplicates(["c"])
-    left = written(wanted.join(grams, "c").select("area", "c", "regions", "grams"), "jaccard-sets")
+    texts = _texts(docs, id_col, text_col).withColumn("at", place(F.col("doc_id")))
+    grams = texts.mapInArrow(sets, "c struct<a:long,b:long>, doc_id long, grams array<long>")
+    both = wanted.join(grams, (wanted["c"] == grams["c"]) & wanted["first_id"].eqNullSafe(grams["doc_id"])).drop(grams["c"])
+    left = written(both.dropDuplicates(["c"]).select("area", "c", "regions", "grams"), "jaccard-sets")
     links: list[DataFrame] = []
     turn = 0
     while True:
@@ -354,7 +443,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     for x in links[1:]:
         linked = linked.unionAll(x)
     root = components(linked, "jaccard-links").select(F.col("node").alias("c"), "root")
-    whole = found.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("first_id")).join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    whole = classes.select("c", "first_id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     smallest = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = whole.join(smallest, "root").select("c", "component_id")
     return found.join(named, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

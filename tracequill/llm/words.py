@@ -15,19 +15,30 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers.
-KEEP = 1_000_000
+KEEP = 1_400_000
 #: A piece that ends in an ASCII letter before ASCII marks: the two sides never share a token.
 MARKED = re.compile(rb"(.*[a-z])([^a-z0-9'\x80-\xff][^a-z0-9\x80-\xff]*)", re.S)
 #: Letters of Latin-1 only, or marks of ASCII only: one pre-token, hence one end-of-word id.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+")
 
 
+class _Known(dict):
+    """Ids by piece; notes the pieces that it lacks."""
+
+    def __init__(self):
+        self.missed: set[bytes] = set()
+
+    def __missing__(self, piece: bytes) -> None:
+        self.missed.add(piece)
+
+
 class WordCoder:
     def __init__(self, path: str, keep: int = KEEP):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.check(spec)
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.tok.no_padding()
         self.tok.no_truncation()
         mark = spec["model"]["end_of_word_suffix"]
@@ -37,7 +48,7 @@ class WordCoder:
         self.sep = spec["added_tokens"][0]["content"]
         self.sep_id = spec["added_tokens"][0]["id"]
         self.keep = keep
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
 
     @staticmethod
     def check(spec: dict) -> None:
@@ -62,7 +73,7 @@ class WordCoder:
 
     def _learn(self, pieces: set[bytes]) -> None:
         if len(self.known) + len(pieces) > self.keep:
-            self.known.clear()
+            self.known.clear()  # what this batch found before stays with it
         known, halves, plain, other = self.known, {}, set(), set()
         for p in pieces:
             m = MARKED.fullmatch(p)
@@ -71,6 +82,9 @@ class WordCoder:
             for w in m.groups() if m else (p,):
                 if w not in known:
                     (plain if PLAIN.fullmatch(w) else other).add(w)
+        for w in [w for w in plain if w.isascii() and w.isalpha()]:  # nothing to normalise: the library's model alone
+            known[w] = np.array([x.id for x in self.model.tokenize(w.decode())], "<u4").tobytes()
+            plain.remove(w)
         words = list(plain)
         if words:
             ids = self._library(b" ".join(words).decode())
@@ -89,19 +103,21 @@ class WordCoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [None if "<|" in t else t.encode().lower().split() for t in texts]
-        get = self.known.get
-        got = [None if c is None else list(map(get, c)) for c in cut]
-        new = {w for c, g in zip(cut, got, strict=True) if c is not None and None in g for w, y in zip(c, g, strict=True) if y is None}
-        if new:
-            self._learn(new)
+        known = self.known
+        known.missed.clear()
+        got = [None if c is None else list(map(known.__getitem__, c)) for c in cut]
+        if known.missed:
+            self._learn(known.missed)
         out = []
         for t, c, g in zip(texts, cut, got, strict=True):
             if c is None:
                 out.append(self._library(t).tobytes())
-            elif None in g:
-                out.append(b"".join([get(w) if y is None else y for w, y in zip(c, g, strict=True)]))
-            else:
-                out.append(b"".join(g))
+                continue
+            i = -1
+            for _ in range(g.count(None)):
+                i = g.index(None, i + 1)
+                g[i] = known[c[i]]
+            out.append(b"".join(g))
         return out
 
 
