@@ -31,11 +31,11 @@ from tracequill.llm import words
 from tracequill.llm.bpe import slices
 from tracequill.llm.common import new_folder, open_fs, ship, written
 
-MAGIC = b"TQIDS002"
+MAGIC = b"TQIDS003"
 #: Ids in a block, and the most blocks that are worked on in step.
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 2048, 4096
 #: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
-ONE_BITS, TWO_BITS, REFRESH = 10, 11, 128
+ONE_BITS, TWO_BITS, REFRESH = 9, 10, 128
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
 _SQUASH = np.clip(np.searchsorted(_STRETCH, np.arange(-2048, 2048)), 32, 4064).astype(np.int64)
 #: A slot's next confidence (0 to 7) after a wrong guess, then after a right one.
@@ -79,15 +79,15 @@ class Model:
     def guess(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Candidates for the slots at, and the probability, of 4096, that each is right."""
         self.at = at
-        slot = self.slots[at]
+        slot = self.slots.take(at)
         self.seen, self.sure = slot >> 3, slot & 7
         cand = np.where(self.sure[1] > 0, self.seen[1], self.seen[0])
         self.cell = self.cells + (self.sure << 1) + (self.seen == cand)
-        self.old = self.prob[self.cell]
-        self.stretch = _STRETCH[self.old >> 4]
+        self.old = self.prob.take(self.cell)
+        self.stretch = _STRETCH.take(self.old >> 4)
         dot = self.weight * self.stretch
         dot = dot[0] + dot[1] >> 16
-        self.p = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2048]
+        self.p = _SQUASH.take(dot + 2048, mode="clip")
         return cand, self.p
 
     def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
@@ -96,7 +96,7 @@ class Model:
         goal = right.astype(np.int32) * 65535
         self.prob[self.cell] = self.old + (goal - self.old >> 4)
         same = self.seen == ids
-        sure = _NEXT[(same << 3) + self.sure]
+        sure = _NEXT.take((same << 3) + self.sure)
         self.slots[self.at] = np.where(sure > 0, (self.seen << 3) + sure, (ids << 3) + 1)
 
 
@@ -124,7 +124,7 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
             width = np.where(right, bound, width - bound)
             np.logical_not(right, out=missed[t])
             h = np.where(right, m.none, high[t - begin])
-            span = m.span[h]
+            span = m.span.take(h)
             r = width >> 12
             low += r * (span >> 13)
             width = r * (span & 8191)
