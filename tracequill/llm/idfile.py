@@ -278,7 +278,10 @@ def read_file(source, lanes: int = LANES):
         for at, n, _, _ in blocks[i:j]:
             source.seek(at)
             data.append(source.read(n))
-        rows = decode_blocks(data, blocks[i][2], index["vocab"]).astype("<u4")
+        try:
+            rows = decode_blocks(data, blocks[i][2], index["vocab"]).astype("<u4")
+        except (IndexError, ValueError, struct.error) as x:  # what damaged bytes lead a decoder to
+            raise ValueError(f"damaged block among those from {blocks[i][0]}") from x
         for row, b in zip(rows, blocks[i:j], strict=True):
             if zlib.crc32(row.tobytes()) != b[3]:
                 raise ValueError(f"damaged block at {b[0]}")
