@@ -239,3 +239,10 @@ def test_registered_queries_have_the_contract_columns(spark, sf):
     for name, f in queries.QUERIES.items():
         if (k := name.split("_")[0]) in want:
             assert f(spark, sf).columns[: len(want[k])] == want[k]
+
+
+def test_scripts_hold_no_markup():
+    for script in ("for(i=0;i<n;i++){a[i]=1;}", "if(a<b){/* <!-- */}", "x='<!--'", "s=\"<p title='\""):
+        page = f"<script>{script}</script><article><p>whole text</p></article><SCRIPT>a<b</SCRIPT ><style>a<b</style>"
+        assert [t for name, _, t in wrappers.tokens(page) if not name] == ["whole text"]
+    assert [t for name, _, t in wrappers.tokens("a<script>never ends <p>b") if not name] == ["a"]
