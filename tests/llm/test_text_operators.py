@@ -246,3 +246,18 @@ def test_scripts_hold_no_markup():
         page = f"<script>{script}</script><article><p>whole text</p></article><SCRIPT>a<b</SCRIPT ><style>a<b</style>"
         assert [t for name, _, t in wrappers.tokens(page) if not name] == ["whole text"]
     assert [t for name, _, t in wrappers.tokens("a<script>never ends <p>b") if not name] == ["a"]
+
+
+def test_two_templates_on_a_host(spark):
+    """Pages without an article keep their text whatever the others of the host have; only what two pages share is template."""
+    plain = "<html><body><div>Site name</div><ul><li>one</li><li>two</li></ul><div><p>Story %d here</p></div>%s<div>All rights</div></body></html>"
+    rows = [(i, "http://w.example/", PAGE % (i, "x")) for i in range(4)] + [(i, "http://w.example/", plain % (i, "<blockquote>only here</blockquote>" if i == 6 else "")) for i in range(4, 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert text == {i: f"Title{i} & more One bold text. Two x x" for i in range(4)} | {i: f"Story {i} here" + " only here" * (i == 6) for i in range(4, 9)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://w.example/", "<div><p>the same page</p></div>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert [r["text"] for r in wrappers.extract(df).collect()] == ["the same page"] * 3
