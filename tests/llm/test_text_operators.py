@@ -261,3 +261,8 @@ def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://w.example/", "<div><p>the same page</p></div>") for i in range(3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert [r["text"] for r in wrappers.extract(df).collect()] == ["the same page"] * 3
+
+
+def test_ids_in_an_article_are_no_menus():
+    page = '<article><h2 id="search" class="header">Search</h2><section id="comments"><p>on trees</p></section><section class="comments">first!</section><div id="share">me</div></article><h2 class="banner">B</h2>'
+    assert [t for name, region, t in wrappers.tokens(page) if not name and region == "c"] == ["Search", "on trees"]
