@@ -151,3 +151,16 @@ def test_pipeline_against_brute_force(spark):
     packed = corpus_pipeline.pack(spark, spark.createDataFrame(near), folder).toPandas()
     assert set(packed.doc_id) == set(near.doc_id) and packed.groupby("doc_id").length.sum().eq(packed.groupby("doc_id").doc_tokens.first()).all()
     assert set(corpus_pipeline.run(spark, folder).toPandas().doc_id) == set(near.doc_id)
+
+
+def test_kept_rows_where_ids_are_repeated(spark):
+    """Rows are chosen, not ids: a repeated row stays once, and a dropped text doesn't return by an id that another text has."""
+    data = [(5, "p"), (7, "p"), (7, "p"), (5, "q"), (None, "q"), (None, "r"), (None, "r")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    left = [(r["doc_id"], r["text"]) for r in exact_dedup.deduplicated(df).collect()]
+    assert sorted(left, key=str) == sorted([(7, "p"), (5, "q"), (None, "r")], key=str)
+    words = {"p": "a b c d e f", "near": "a b c d e f g", "q": "one two three four five six", "r": "x y z x y z"}
+    data = [(1, "p"), (5, "p"), (5, "near"), (5, "q"), (5, "q"), (1, "r"), (None, "r"), (8, None), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, words.get(t, t)) for i, t in data], "doc_id long, text string").repartition(3)
+    left = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(df, 3, 80).collect()]
+    assert sorted(left, key=str) == sorted([(1, words["p"]), (5, words["q"]), (1, words["r"]), (8, None), (8, None), (9, "")], key=str)

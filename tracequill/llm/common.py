@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -63,6 +64,18 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def row_key(doc_id: Column, mark: Column) -> Column:
+    """An id, which may be null, with a hash of its row's text: never null, so that joins and windows share a shuffle."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), mark.cast("string"))
+
+
+def rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of docs with a kept key, all their columns. kept: _key (no key twice) and _once, whether one row of a key stays or all."""
+    rows = docs.withColumn("_key", key).join(kept, "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return rows.withColumn("_nth", nth).where("_nth = 1 OR NOT _once").drop("_key", "_once", "_nth")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that tasks can import it."""
     app = spark.sparkContext.applicationId

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequill.llm.common import ship, written
+from tracequill.llm.common import row_key, rows_of, ship, written
 
 _SCHEMA = "doc_id long, part int, run long, keep_id long, group_size long, nth long, text_sha256 string, edge_text binary"
 
@@ -30,8 +30,7 @@ def groups(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column],
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     ship(docs.sparkSession)
     sign = {"largest": -1, "smallest": 1}[keep]
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), (normalise(text) if normalise else text).cast("binary").alias("body"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _body(docs, text_col, normalise).alias("body"))
     rows = rows.withColumns({"head": F.substring("body", 1, 64), "mark": F.xxhash64("body")})  # the driver samples keys of bounded size, not whole texts
     by_id = F.col("doc_id").desc_nulls_last() if sign < 0 else F.col("doc_id").asc_nulls_last()
     rows = rows.repartitionByRange("head", "mark", by_id).sortWithinPartitions("head", "mark", "body", by_id).select("doc_id", "body")
@@ -90,7 +89,11 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    options = {"id_col": "doc_id", **options}
-    kept = groups(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[options["id_col"]].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, with all their columns: one for each text, also where its id is repeated or stands on other texts."""
+    kept = groups(docs, **options).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"), F.lit(True).alias("_once"))
+    return rows_of(docs, row_key(docs[options.get("id_col", "doc_id")].cast("long"), F.sha2(_body(docs, options.get("text_col", "text"), options.get("normalise")), 256)), kept)
+
+
+def _body(docs: DataFrame, text_col: str, normalise: Callable[[Column], Column] | None) -> Column:
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return (normalise(text) if normalise else text).cast("binary")

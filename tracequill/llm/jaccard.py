@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.llm.bpe import slices
-from tracequill.llm.common import discard, ship, written
+from tracequill.llm.common import discard, row_key, rows_of, ship, written
 
 #: n-grams known as frequent at most, and how often one must occur to count as frequent.
 FREQUENT, REPORTED = 65_536, 4
@@ -160,8 +160,8 @@ def counted(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "te
     return bitmap, common
 
 
-def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, c (the class of its set), regions (the n-grams whose regions it lies in): one row per document."""
+def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """doc_id, n_shingles, c (the class of its set), regions (the n-grams whose regions it lies in), if asked for mark (a hash of its text): one row per document."""
     by_gram = np.argsort(common)
     held = docs.sparkSession.sparkContext.broadcast((bitmap, common[by_gram], by_gram))
 
@@ -190,9 +190,11 @@ def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common:
                 off = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
                 c = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(g) for g in sets], pa.int64()), c, lists], ["doc_id", "n_shingles", "c", "regions"])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(g) for g in sets], pa.int64()), c, lists, *s.columns[2:]], ["doc_id", "n_shingles", "c", "regions", "mark"][: 4 + marked])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, c struct<a:long,b:long>, regions array<long>")
+    texts = _texts(docs, id_col, text_col)
+    texts = texts.withColumn("mark", F.xxhash64("text")) if marked else texts
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, c struct<a:long,b:long>, regions array<long>" + ", mark long" * marked)
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -381,12 +383,18 @@ def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = Tru
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links): one row per document."""
+    return _rooted(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _rooted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, marked: bool = False) -> DataFrame:
+    """The columns of groups() with root, the group itself (null without words), and if asked for mark, a hash of the text."""
     spark = docs.sparkSession
     ship(spark)
     tau = 1 - percent / 100
     bitmap, common = counted(docs, n, id_col, text_col)
-    whole_rows = written(described(docs, n, percent, bitmap, common, id_col, text_col), "jaccard-documents")
-    found = whole_rows.select("doc_id", "n_shingles", "c")
+    whole_rows = written(described(docs, n, percent, bitmap, common, id_col, text_col, marked), "jaccard-documents")
+    mark = ["mark"] * marked
+    found = whole_rows.select("doc_id", "n_shingles", "c", *mark)
     classes = whole_rows.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"))
     classes = written(classes, "jaccard-classes")
     regions = written(_regions(classes, percent), "jaccard-regions")
@@ -445,11 +453,14 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     root = components(linked, "jaccard-links").select(F.col("node").alias("c"), "root")
     whole = classes.select("c", "first_id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     smallest = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = whole.join(smallest, "root").select("c", "component_id")
-    return found.join(named, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = whole.join(smallest, "root").select("c", "component_id", "root")
+    return found.join(named, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *mark)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their group; documents without words stay."""
-    found = groups(docs, n, percent, id_col, text_col).where("component_id <=> doc_id").select(F.col("doc_id").alias("_first_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_first_id")), "left_semi")
+    """The rows of docs, with all their columns, that are the first of their group, one for each group; documents without words stay."""
+    found = _rooted(docs, n, percent, id_col, text_col, marked=True)
+    key = row_key(F.col("doc_id"), F.col("mark"))
+    first = found.where("n_shingles > 0 AND component_id <=> doc_id").groupBy("root").agg(F.min(key).alias("_key")).select("_key", F.lit(True).alias("_once"))
+    wordless = found.where("n_shingles = 0").select(key.alias("_key"), F.lit(False).alias("_once")).distinct()
+    return rows_of(docs, row_key(docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))), first.unionAll(wordless))
