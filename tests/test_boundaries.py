@@ -1,6 +1,7 @@
 """Boundary tables and properties of the audit operators."""
 
 import hashlib
+import random
 
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracequill.functions import deep_scans, text_scans
 from tracequill.operators import behaviour, chain, export, graph, rules
+from tracequill.plans import registry
 from tracequill.sources.audit_log import audit_events
 
 
@@ -137,3 +139,50 @@ def test_isolation_forest_ranks_an_outlier(spark):
     got = behaviour.isolation_forest(spark.createDataFrame(rows, "session_id string, a double, b double"), sample=128).toPandas()
     assert got.sort_values("raw_score").session_id.iloc[0] == "odd"
     assert isinstance(got, pd.DataFrame) and got.is_anomaly[got.session_id == "odd"].all()
+
+
+def folded(ops):
+    """Trust by the plain rules: ops of (seq, session, parent, op, action, score), in order."""
+    trust, fixed, parent = {}, {}, {}
+
+    def above(d):
+        while d in parent:
+            d = parent[d]
+            yield d
+
+    for _, s, p, op, action, score in sorted(ops, key=lambda x: (x[0], x[1], x[3], x[4] or "", -1 if x[5] is None else x[5])):
+        if s not in trust:
+            if p in trust:
+                parent[s] = p
+            trust[s], fixed[s] = trust.get(p, 1.0), 0.0
+        score, loss = score or 0.0, 0.0
+        if op == "violation" and action == "BLOCK":
+            step = min(0.05, 0.40 - fixed[s])
+            fixed[s] += step
+            loss = step + 0.30 * score
+        elif op != "clean":
+            loss = {"violation": 0.09 * score, "canary": 0.60}.get(op, 0.0)
+        else:
+            trust[s] = min(1.0, trust[s] + 0.005)
+        trust[s] = max(0.0, trust[s] - loss)
+        for d in [d for d in trust if loss > 0.01 and s in above(d)]:
+            trust[d] = max(0.0, trust[d] - (loss if op == "canary" else loss / 2))
+    return trust
+
+
+def test_trust_of_deep_trees_and_cycles(spark):
+    r = random.Random(3)
+    up = {i: r.choice([None, r.randrange(40), r.randrange(max(1, i)), i]) for i in range(40)} | {i: i - 1 for i in range(41, 60)}
+    kinds = [("clean", None, 0.0)] * 6 + [("violation", "BLOCK", 0.2), ("violation", "ALERT", 0.5), ("violation", "ALERT", None), ("canary", None, 0.0), ("register", None, 0.0)]
+    some = [*range(60), *(r.randrange(60) for _ in range(500))]
+    ops = [(n, f"s{i}", None if up.get(i) is None else f"s{up[i]}", *r.choice(kinds)) for n, i in enumerate(some)]
+    df = spark.createDataFrame(ops, "seq long, session_id string, parent_session_id string, op string, action string, injection_score double").repartition(3)
+    got = [tuple(x) for x in behaviour.trust_scores(df).collect()]
+    assert len(got) == 60 and dict(got) == pytest.approx(folded(ops), abs=2e-6)
+    assert behaviour.trust_scores(df.limit(0)).count() == 0
+
+
+def test_trust_over_the_whole_log(spark, sf):
+    e = registry.audit_events(spark, sf).select("timestamp_ns", "session_id", "agent_id", "k").collect()
+    ops = [(x["timestamp_ns"], x["session_id"], "sess_" + x["agent_id"].removeprefix("agent_"), "canary" if x["k"] > 98 else "violation" if x["k"] > 80 else "clean", "BLOCK" if x["k"] > 95 else "ALERT", x["k"] / 100) for x in e]
+    assert dict(registry.QUERIES["trust_scores"](spark, sf).collect()) == pytest.approx(folded(ops), abs=2e-6)

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,53 +205,90 @@ def alert_throttle(violations: DataFrame, cooldown_s: int = 600) -> DataFrame:
     return rows.groupBy("rule_name", "session_id").applyInPandas(run, rows.schema)
 
 
+def spawn_roots(operations: DataFrame) -> DataFrame:
+    """session_id, root_id: the top of each session's spawn tree, by pointer doubling with joins.
+
+    A session's parent is that of its first operation, and counts only if it was seen before, as in the fold of trust_scores; so there are no cycles.
+    """
+    first = operations.groupBy("session_id").agg(F.min(F.struct(*_TRUST_ORDER)).alias("f"))
+    seen = first.select("session_id", F.struct("f.seq", "session_id").alias("at"), F.col("f.parent_session_id").alias("up"))
+    before = seen.select(F.col("session_id").alias("up"), F.col("at").alias("up_at"))
+    up = seen.join(before, "up", "left").select("session_id", F.when(F.col("up_at") < F.col("at"), F.col("up")).otherwise(F.col("session_id")).alias("root_id"))
+    up = up.localCheckpoint()
+    while True:
+        higher = up.select(F.col("session_id").alias("root_id"), F.col("root_id").alias("next"))
+        moved = up.join(higher, "root_id").select("session_id", F.col("next").alias("root_id"), (F.col("next") != F.col("root_id")).alias("moved")).localCheckpoint()
+        if moved.where("moved").isEmpty():
+            return up
+        up = moved.select("session_id", "root_id")
+
+
+_TRUST_ORDER = ("seq", "session_id", "op", "action", "injection_score", "parent_session_id")
+
+
 def trust_scores(operations: DataFrame) -> DataFrame:
     """Trust at the end of each session of a spawn tree.
 
-    operations: root_session_id, seq, session_id, parent_session_id, op (register, violation, canary, clean), action, injection_score. A BLOCK costs 0.05 (0.40 in
+    operations: seq, session_id, parent_session_id, op (register, violation, canary, clean), action, injection_score. A BLOCK costs 0.05 (0.40 in
     all) and 0.30 times the score, an ALERT 0.09 times the score, a canary 0.60; descendants lose half of a loss over 0.01, or all of a canary's; a clean call gives
-    0.005 back. Losses depend on what was before, so a tree is folded in order.
+    0.005 back. Losses depend on what was before, so a tree is folded in order, batch by batch; only its sessions are held in memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
+        root: str | None = None
         trust: dict[str, float] = {}
         fixed: dict[str, float] = {}
-        parent: dict[str, str] = {}
+        children: dict[str, list[str]] = {}
 
         def lower(s: str, x: float) -> None:
             trust[s] = max(0.0, min(1.0, trust[s] - x))
 
-        def below(s: str) -> list[str]:
-            out = [c for c, p in parent.items() if p == s]
-            return out + [d for c in out for d in below(c)]
-
-        for r in pdf.sort_values("seq").to_dict("records"):
-            s = r["session_id"]
-            if s not in trust:
-                p = r["parent_session_id"]
-                trust[s], fixed[s] = trust.get(p, 1.0), 0.0
-                if p in trust and p != s:
-                    parent[s] = p
-            score = r["injection_score"] if r["injection_score"] == r["injection_score"] and r["injection_score"] is not None else 0.0
-            loss = 0.0
-            if r["op"] == "violation" and r["action"] == "BLOCK":
-                step = min(0.05, 0.40 - fixed[s])
-                fixed[s] += step
-                loss = step + 0.30 * score
-            elif r["op"] == "violation":
-                loss = 0.09 * score
-            elif r["op"] == "canary":
-                loss = 0.60
-            elif r["op"] == "clean":
-                trust[s] = min(1.0, trust[s] + 0.005)
-            if loss:
-                lower(s, loss)
-                if loss > 0.01:
-                    for d in below(s):
-                        lower(d, loss if r["op"] == "canary" else loss / 2)
-        return pd.DataFrame({"session_id": list(trust), "trust": [round(v, 6) for v in trust.values()]})
-
-    return operations.groupBy("root_session_id").applyInPandas(run, "session_id string, trust double")
+        def below(s: str):
+            todo = list(children.get(s, ()))
+            while todo:
+                d = todo.pop()
+                yield d
+                todo += children.get(d, ())
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(trust), pa.string()), pa.array([round(v, 6) for v in trust.values()], pa.float64())], ["session_id", "trust"])
+
+        for b in batches:
+            for now, s, p, op, action, score in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if now != root:
+                    if trust:
+                        yield ended()
+                    root = now
+                    trust.clear()
+                    fixed.clear()
+                    children.clear()
+                if s not in trust:
+                    if p in trust:
+                        children.setdefault(p, []).append(s)
+                    trust[s], fixed[s] = trust.get(p, 1.0), 0.0
+                score = score if score is not None and score == score else 0.0
+                loss = 0.0
+                if op == "violation" and action == "BLOCK":
+                    step = min(0.05, 0.40 - fixed[s])
+                    fixed[s] += step
+                    loss = step + 0.30 * score
+                elif op == "violation":
+                    loss = 0.09 * score
+                elif op == "canary":
+                    loss = 0.60
+                elif op == "clean":
+                    trust[s] = min(1.0, trust[s] + 0.005)
+                if loss:
+                    lower(s, loss)
+                    if loss > 0.01:
+                        for d in below(s):
+                            lower(d, loss if op == "canary" else loss / 2)
+        if trust:
+            yield ended()
+
+    rows = operations.select(*_TRUST_ORDER).join(spawn_roots(operations), "session_id", "left")
+    rows = rows.repartition("root_id").sortWithinPartitions("root_id", *_TRUST_ORDER)
+    return rows.select("root_id", "session_id", "parent_session_id", "op", "action", F.col("injection_score").cast("double")).mapInArrow(run, "session_id string, trust double")
 
 
 def tool_baselines(operations: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ for _name, _f in {
     "active_sessions": lambda e: metrics.active_sessions(e, 1706486400000000000),
     "alert_severity": lambda e: violations(e).select("event_id", "rule_name", rules.severity(F.col("rule_name"), F.col("action")).alias("severity"), rules.channels(rules.severity(F.col("rule_name"), F.col("action"))).alias("channels"), rules.dedup_key(F.col("rule_name"), F.col("session_id"), F.col("timestamp_ns")).alias("dedup_key")),
     "alert_throttle": lambda e: behaviour.alert_throttle(violations(e)),
-    "trust_scores": lambda e: behaviour.trust_scores(e.where("k > 60").select(F.col("agent_id").alias("root_session_id"), F.col("timestamp_ns").alias("seq"), "session_id", F.concat(F.lit("sess_"), F.regexp_extract("agent_id", "[0-9]+", 0)).alias("parent_session_id"), F.when(F.col("k") > 98, "canary").when(F.col("k") > 80, "violation").otherwise("clean").alias("op"), F.when(F.col("k") > 95, "BLOCK").otherwise("ALERT").alias("action"), (F.col("k") / 100).alias("injection_score"))),
+    "trust_scores": lambda e: behaviour.trust_scores(e.select(F.col("timestamp_ns").alias("seq"), "session_id", F.concat(F.lit("sess_"), F.regexp_extract("agent_id", "[0-9]+", 0)).alias("parent_session_id"), F.when(F.col("k") > 98, "canary").when(F.col("k") > 80, "violation").otherwise("clean").alias("op"), F.when(F.col("k") > 95, "BLOCK").otherwise("ALERT").alias("action"), (F.col("k") / 100).alias("injection_score"))),
     "taint_hits": lambda e: behaviour.taint_hits(typed(e).where("event_type = 'TOOL_CALL_END'").select("session_id", "sequence_number", F.col("p.tool_input").alias("value")), _calls(e)),
     "toolset_mutation": lambda e: behaviour.toolset_changes(e.where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", F.when(F.col("k") % 2 == 1, F.array(F.lit("read_file"), F.lit("write_file"))).otherwise(F.array(F.lit("read_file"), F.lit("send_mail"))).alias("tools"))),
     "policy_eval": lambda e: rules.evaluate(_counted(e)),
