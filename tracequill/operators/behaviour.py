@@ -214,10 +214,10 @@ def spawn_roots(operations: DataFrame) -> DataFrame:
     seen = first.select("session_id", F.struct("f.seq", "session_id").alias("at"), F.col("f.parent_session_id").alias("up"))
     before = seen.select(F.col("session_id").alias("up"), F.col("at").alias("up_at"))
     up = seen.join(before, "up", "left").select("session_id", F.when(F.col("up_at") < F.col("at"), F.col("up")).otherwise(F.col("session_id")).alias("root_id"))
-    up = up.localCheckpoint()
+    up = up.persist()
     while True:
         higher = up.select(F.col("session_id").alias("root_id"), F.col("root_id").alias("next"))
-        moved = up.join(higher, "root_id").select("session_id", F.col("next").alias("root_id"), (F.col("next") != F.col("root_id")).alias("moved")).localCheckpoint()
+        moved = up.join(higher, "root_id").select("session_id", F.col("next").alias("root_id"), (F.col("next") != F.col("root_id")).alias("moved")).persist()
         if moved.where("moved").isEmpty():
             return up
         up = moved.select("session_id", "root_id")
