@@ -1,41 +1,41 @@
 """Exact n-gram Jaccard self-join as a metric-space join, and the groups that its links form.
 
-A document is the set of its word n-grams (64-bit hashes). Equal sets are one class from the start. Jaccard
-distance is a metric, and a link is a distance of at most tau = 1 - threshold.
-
-1. Regions. Nearly all pairs of documents are at distance 1 from each other, so a few sampled documents would be
-   equally far from everything and could not part the space. The first pivots are therefore the n-grams themselves: a class
-   lies in the region of its rarest n-gram, and it is replicated as a boundary document to the regions
-   of as many next ones as a linked set can lack (n - ceil(threshold * n) of them). Two linked sets then share a region. Within a region,
-   sizes part the classes again: the distance to the empty side, 1 - smaller / larger, is at most tau for a link.
-2. Regions that share classes are joined to areas, and each class's set goes to its area once.
-3. Areas of bounded size are solved in one task: region by region, the first class is the pivot, distances to
-   it are exact, classes within tau are linked to it, and triangle-inequality windows of tau over the sorted
-   distances part the rest, recursively. Pairs that are connected already aren't compared again.
-4. Larger areas take a pivot class each, in Spark: the classes within tau of it (its core) are linked to it and leave. A class
-   outside the core can only reach core classes if its distance to the pivot is at most 2 tau, and only
-   those at a distance of at least its own less tau; these are compared in blocks of bounded size. What lies outside the core is divided into areas again,
-   then, if areas are still large, into their regions. Regions that stay large after a second pivot are compared in pairs of blocks.
+A document is the set of its word n-grams. Equal sets are one class from the start. Jaccard distance is a metric, and
+a link is a distance of at most tau = 1 - threshold.
+
+1. Pivots are classes. Nearly all pairs of documents are at distance 1 from each other, so pivots drawn at random would be
+   equally far from everything and every document would be a boundary document of every region. The pivots that can be near
+   a class are those that share one of its rarest n-grams: of the classes that have an n-gram among as many of their rarest ones as a linked set can
+   lack (n - ceil(threshold * n)) and one more, the first (by a hash) is its pivot.
+2. Regions. A class lies in the region of each pivot that its rarest n-grams lead to. Two linked sets share one of these n-grams, hence a
+   pivot, so all links lie within regions. Copies of one text mostly have the same pivots.
+3. A region of bounded size is joined in one task: distances to the pivot are exact, classes within tau are linked to it, and triangle-inequality
+   windows of tau over the sorted distances part the rest, recursively. Pairs that are connected already aren't compared again.
+4. A larger region is joined by Spark. The classes within tau of its pivot (its core) are linked to it. A class
+   outside the core can only reach core classes if its distance to the pivot is at most 2 tau (a boundary document), and only
+   those at a distance of at least its own less tau; these are compared in blocks of bounded size. What lies outside the core gets new pivots and
+   regions in the same way. After TURNS such turns, regions that are still large are compared in pairs of blocks.
 5. Links form groups by repeated smallest neighbours, in tables in the shared folder.
 
 No candidate is dropped at any step. Which n-grams count as rare is settled by counts over all documents: those that occur once come first, the most
-frequent ones (a bounded list) last. The order affects speed only.
+frequent ones (a bounded list) last. The order affects speed only. n-grams are compared as 64-bit hashes of their words, and equal sets
+by 128 bits of a hash, so results are exact up to collisions of these.
 
 Null, empty and blank texts have an empty set, are linked with nothing and form a group of their own. Texts with
-fewer words than n are one n-gram, the whole sequence. Repeated rows have equal sets and are linked unless these are empty. An
-empty table gives no rows. Columns other than the id and the text are not read.
+fewer words than n are one n-gram, the whole sequence. Repeated rows have equal sets and are linked unless these are empty. Null ids come
+after all others in a group's smallest. An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.llm.bpe import slices
@@ -43,8 +43,14 @@ from tracequill.llm.common import discard, row_key, rows_of, ship, written
 
 #: n-grams known as frequent at most, and how often one must occur to count as frequent.
 FREQUENT, REPORTED = 65_536, 4
-#: Classes and n-grams of an area that one task solves.
-AREA_CLASSES, AREA_GRAMS = 1000, 4_000_000
+#: Classes and n-grams of a region that one task joins; larger regions are joined by several.
+AREA_CLASSES, AREA_GRAMS = 512, 1_000_000
+#: How often what lies outside the cores of large regions gets new pivots.
+TURNS = 3
+#: Parts of a hot key in joins with one row per key.
+SALTS = 64
+#: The id of classes whose documents all have null ids.
+LAST = (1 << 63) - 1
 #: Bits of the bitmaps that spare rows a shuffle (16 MB and 8 MB, whatever the input); an exact join follows each.
 GRAM_BITS, ID_BITS = 27, 26
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -160,8 +166,9 @@ def counted(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "te
     return bitmap, common
 
 
-def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
-    """doc_id, n_shingles, c (the class of its set), regions (the n-grams whose regions it lies in), if asked for mark (a hash of its text): one row per document."""
+def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> tuple[DataFrame, Broadcast]:
+    """doc_id, n_shingles, c (the class of its set), rare (those of its rarest n-grams that occur more than once), if asked for mark (a hash of its text): one row per document. With them the broadcast that they need.
+    """
     by_gram = np.argsort(common)
     held = docs.sparkSession.sparkContext.broadcast((bitmap, common[by_gram], by_gram))
 
@@ -179,22 +186,24 @@ def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common:
                     short = (g.view(np.uint64) >> np.uint64(24)).astype(np.int64)
                     shared = _in(bitmap, short >> 40 - GRAM_BITS)
                     single = np.flatnonzero(~shared)
-                    if len(single) >= take:
-                        firsts.append(g[single[:take]])
+                    take -= len(single)  # no other document has these
+                    if take <= 0:
+                        firsts.append(g[:0])
                         continue
-                    rank = shared.astype(np.int64)
+                    left = np.flatnonzero(shared)
                     if len(sorted_common):
-                        at = np.minimum(np.searchsorted(sorted_common, short), len(sorted_common) - 1)
-                        rank = np.where(shared & (sorted_common[at] == short), by_gram[at] + 2, rank)
-                    firsts.append(g[np.lexsort((g, rank))[:take]])
+                        at = np.minimum(np.searchsorted(sorted_common, short[left]), len(sorted_common) - 1)
+                        rank = np.where(sorted_common[at] == short[left], by_gram[at] + 2, 1)
+                        left = left[np.argsort(rank, kind="stable")]
+                    firsts.append(g[left[:take]])
                 off = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
                 c = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(g) for g in sets], pa.int64()), c, lists, *s.columns[2:]], ["doc_id", "n_shingles", "c", "regions", "mark"][: 4 + marked])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(g) for g in sets], pa.int64()), c, lists, *s.columns[2:]], ["doc_id", "n_shingles", "c", "rare", "mark"][: 4 + marked])
 
     texts = _texts(docs, id_col, text_col)
     texts = texts.withColumn("mark", F.xxhash64("text")) if marked else texts
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, c struct<a:long,b:long>, regions array<long>" + ", mark long" * marked)
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, c struct<a:long,b:long>, rare array<long>" + ", mark long" * marked), held
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -232,44 +241,29 @@ def _in(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _regions(classes: DataFrame, percent: int) -> DataFrame:
-    """c, n, region (n-gram and size band) of every class that shares a region with another.
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _beside(rows: DataFrame, per_area: DataFrame) -> DataFrame:
+    """rows of areas, which may be hot, with the one row of their area in per_area."""
+    each = per_area.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", _salt("c")).join(each, ["area", "_salt"]).drop("_salt")
+
 
-    Most n-grams occur in one class only. They are counted without their classes first; a bitmap of the others keeps nearly
-    all rows of single n-grams out of the shuffle by region.
+def _regions(members: DataFrame) -> DataFrame:
+    """area (of a pivot, within the area before), c: each class in the regions of the pivots that its n-grams (keys) lead to.
+
+    The pivot of an n-gram is the first class by hash. n-grams are counted in salted parts, so a hot one is nowhere in one task.
     """
-    mask = (1 << GRAM_BITS) - 1
-    grams = classes.select(F.explode("regions").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select(F.col("gram").bitwiseAND(F.lit(mask)).alias("at"))
-    held = classes.sparkSession.sparkContext.broadcast(_bitmap(shared, GRAM_BITS))
+    rows = members.select("area", "c", F.explode("keys").alias("gram")).withColumn("salt", _salt("c"))
+    parts = rows.groupBy("area", "gram", "salt").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c")).alias("first"), F.count("*").alias("m"))
+    led = parts.groupBy("area", "gram").agg(F.min("first")["c"].alias("pivot"), F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
+    led = led.select("area", "gram", F.xxhash64("area", "pivot").alias("region"), F.explode("salts").alias("salt"))
+    return rows.join(led, ["area", "gram", "salt"]).select(F.col("region").alias("area"), "c").distinct()
 
-    def thin(batches):
-        bitmap = held.value
-        for b in batches:
-            lists = b.column("regions")
-            flat, off = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            keep = _in(bitmap, flat & mask)
-            count = np.concatenate([[0], np.cumsum(keep)])
-            off = count[off - off[0]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n_shingles"), pa.ListArray.from_arrays(pa.array(off), pa.array(flat[keep]))], ["c", "n_shingles", "regions"])
-
-    some = classes.select("c", "n_shingles", "regions").mapInArrow(thin, "c struct<a:long,b:long>, n_shingles long, regions array<long>")
-    rows = some.select("c", F.col("n_shingles").alias("n"), F.explode("regions").alias("gram"))
-    by_size = Window.partitionBy("gram").orderBy("n", "c")
-    gap = (F.lag("n").over(by_size).isNull() | (F.lag("n").over(by_size) * 100 < F.col("n") * percent)).cast("int")
-    gone = F.lead("n").over(by_size).isNull() | (F.col("n") * 100 < F.lead("n").over(by_size) * percent)
-    rows = rows.withColumns({"gap": gap, "last": gone}).where("NOT (gap = 1 AND last)")
-    return rows.withColumn("band", F.sum("gap").over(by_size)).select("c", "n", F.struct("gram", "band").alias("region"))
-
-
-def _areas(regions: DataFrame, name: str) -> DataFrame:
-    """c, area: classes that are connected through regions."""
-    first = regions.groupBy("region").agg(F.min("c").alias("v"))
-    links = regions.join(first, "region").select(F.col("c").alias("u"), "v").distinct()
-    return components(links, f"{name}-areas").select(F.col("node").alias("c"), F.col("root").alias("area"))
-
-
-def distance_to(a: Column, b: Column) -> Column:
+
+def _distance_to(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.struct(both.cast("long").alias("both"), (F.size(a) + F.size(b) - both).cast("long").alias("any"))
 
@@ -314,7 +308,7 @@ class _Area:
             if len(count) < 2:
                 continue
             most = max(count, key=count.get)
-            pivot = next(i for i in rest if self.find(i) != most)  # a class outside the largest group: pairs within it are settled
+            pivot = rest[0] if len(count) == len(rest) else next(i for i in rest if self.find(i) != most)  # pairs within the largest group are settled
             others = sorted((self.distance(pivot, i), i) for i in rest if i != pivot)
             window: list[int] = []
             for k, (d, i) in enumerate(others):
@@ -325,60 +319,67 @@ class _Area:
             todo.append(window)
 
 
-def _solve_area(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["a", "b"], kind="stable").reset_index(drop=True)
-    area = _Area([np.sort(np.asarray(g, np.int64)) for g in pdf["grams"]], percent)
-    regions: dict[tuple, list[int]] = defaultdict(list)
-    for i, keys in enumerate(pdf["keys"]):
-        for g in keys:
-            regions[int(g)].append(i)
-    done = set()
-    for members in sorted(regions.values(), key=len, reverse=True):
-        if len(members) > 1 and (k := tuple(members)) not in done:
-            done.add(k)
-            area.solve(members)
-    roots = [area.find(i) for i in range(len(pdf))]
-    return pd.DataFrame({"ua": pdf["a"], "ub": pdf["b"], "va": pdf["a"].to_numpy()[roots], "vb": pdf["b"].to_numpy()[roots]})
+#: A class as columns (its first id and its hash), and links as pairs of these.
+_CLASS = ["id", "a", "b"]
+_LINKS = "ui long, ua long, ub long, vi long, va long, vb long"
+
+
+def _pairs(pdf: pd.DataFrame, area: _Area) -> pd.DataFrame:
+    """Each class with the first of its group."""
+    roots = np.array([area.find(i) for i in range(len(pdf))], np.int64)
+    moved = np.flatnonzero(roots != np.arange(len(pdf)))
+    return pd.DataFrame({f"{side}{k[0]}": pdf[k].to_numpy()[at] for side, at in (("u", moved), ("v", roots[moved])) for k in _CLASS})
+
+
+def _sets_of(pdf: pd.DataFrame, percent: int) -> _Area:
+    return _Area([np.sort(np.asarray(g, np.int64)) for g in pdf["grams"]], percent)
+
+
+def _as_links(found: DataFrame) -> DataFrame:
+    return found.select(*[F.struct(*[F.col(f"{side}{k[0]}").alias(k) for k in _CLASS]).alias(side) for side in "uv"])
 
 
 def _links_of_areas(areas: DataFrame, percent: int) -> DataFrame:
-    flat = areas.select("area", F.col("c.a").alias("a"), F.col("c.b").alias("b"), "grams", F.col("regions").alias("keys"))
-    found = flat.groupBy("area").applyInPandas(lambda pdf: _solve_area(pdf, percent), "ua long, ub long, va long, vb long")
-    return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v")).where("u != v")
+    """Links of whole areas, each in one task: the pivot's distances, then windows, recursively."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", *_CLASS], kind="stable").reset_index(drop=True)  # the pivot first
+        area = _sets_of(pdf, percent)
+        area.solve(list(range(len(pdf))))
+        return _pairs(pdf, area)
+
+    flat = areas.select("area", F.xxhash64("c").alias("h"), "c.*", "grams")
+    return _as_links(flat.groupBy("area").applyInPandas(solve, _LINKS))
 
 
 def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = True) -> DataFrame:
     """Links between two sides of each area, in blocks of bounded size. is_core: the first side is linked already, and d is the distance to its pivot."""
     size = max(1, AREA_CLASSES // 2)
+    count = lambda df: df.groupBy("area").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    both = count(core).withColumnRenamed("n", "i").join(count(outer).withColumnRenamed("n", "j"), "area")
 
-    def numbered(df: DataFrame, side: int) -> DataFrame:
+    def numbered(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         # a block number by hash: even blocks of about `size`, without an order over the whole area
-        n = df.groupBy("area").agg(F.count("*").alias("_n"))
-        return df.join(n, "area").withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int")).withColumn("_block", F.pmod(F.xxhash64("c"), F.col("_blocks")).cast("int")).withColumn("side", F.lit(side))
-
-    a, b = numbered(core, 0), numbered(outer, 1)
-    count_a, count_b = a.groupBy("area").agg(F.max("_blocks").alias("_other")), b.groupBy("area").agg(F.max("_blocks").alias("_other"))
-    one = a.join(count_b, "area").withColumn("_pair", F.explode(F.sequence(F.lit(0), F.col("_other") - 1))).withColumn("key", F.struct("area", F.col("_block").alias("i"), F.col("_pair").alias("j")))
-    two = b.join(count_a, "area").withColumn("_pair", F.explode(F.sequence(F.lit(0), F.col("_other") - 1))).withColumn("key", F.struct("area", F.col("_pair").alias("i"), F.col("_block").alias("j")))
-    cols = ["key", "side", F.col("c.a").alias("a"), F.col("c.b").alias("b"), "grams", "d"]
+        rows = _beside(df, both).withColumn(own, F.pmod(F.xxhash64(F.lit(7), "c"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select(F.struct("area", "i", "j").alias("key"), F.lit(side).alias("side"), "c.*", "grams", "d")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
-        area = _Area([np.sort(np.asarray(g, np.int64)) for g in pdf["grams"]], percent)
-        inner = pdf.index[pdf["side"] == 0].tolist()
-        inner.sort(key=lambda i: pdf["d"][i])
-        near = np.array([pdf["d"][i] for i in inner])
-        for y in pdf.index[pdf["side"] == 1].tolist():
-            for i in inner[int(np.searchsorted(near, pdf["d"][y] - area.tau - 1e-9)) :] if is_core else inner:
+        area = _sets_of(pdf, percent)
+        d = pdf["d"].to_numpy()
+        inner = np.flatnonzero(pdf["side"] == 0)
+        inner = inner[np.argsort(d[inner], kind="stable")].tolist()
+        near = d[inner]
+        for y in np.flatnonzero(pdf["side"] == 1).tolist():
+            for i in inner[int(np.searchsorted(near, d[y] - area.tau - 1e-9)) :] if is_core else inner:
                 if area.find(y) != area.find(i):
                     area.distance(y, i)
                     if is_core and area.find(y) == area.find(i):
                         break  # the core is one group, so one link tells all
-        roots = [area.find(i) for i in range(len(pdf))]
-        return pd.DataFrame({"ua": pdf["a"], "ub": pdf["b"], "va": pdf["a"].to_numpy()[roots], "vb": pdf["b"].to_numpy()[roots]})
+        return _pairs(pdf, area)
 
-    found = one.select(*cols).unionAll(two.select(*cols)).groupBy("key").applyInPandas(compare, "ua long, ub long, va long, vb long")
-    return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v")).where("u != v")
+    rows = numbered(core, "i", "j", 0).unionAll(numbered(outer, "j", "i", 1))
+    return _as_links(rows.groupBy("key").applyInPandas(compare, _LINKS))
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,23 +387,11 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     return _rooted(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
-def _rooted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, marked: bool = False) -> DataFrame:
-    """The columns of groups() with root, the group itself (null without words), and if asked for mark, a hash of the text."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """wanted (c, with its first id) with grams, from the whole texts again; a bitmap of ids spares the other rows the shuffle."""
     spark = docs.sparkSession
-    ship(spark)
-    tau = 1 - percent / 100
-    bitmap, common = counted(docs, n, id_col, text_col)
-    whole_rows = written(described(docs, n, percent, bitmap, common, id_col, text_col, marked), "jaccard-documents")
-    mark = ["mark"] * marked
-    found = whole_rows.select("doc_id", "n_shingles", "c", *mark)
-    classes = whole_rows.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"))
-    classes = written(classes, "jaccard-classes")
-    regions = written(_regions(classes, percent), "jaccard-regions")
-    members = _areas(regions, "jaccard")
-    keys = regions.groupBy("c").agg(F.collect_list(F.xxhash64("region")).alias("regions"))
-    wanted = written(members.join(keys, "c").join(classes.select("c", "first_id"), "c"), "jaccard-areas")
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    held = spark.sparkContext.broadcast(_bitmap(wanted.select(place(F.col("first_id")).alias("at")), ID_BITS))
+    held = spark.sparkContext.broadcast(_bitmap(wanted.select(place(F.col("c.id")).alias("at")), ID_BITS))
 
     def sets(batches):
         words, bitmap = _Words(), held.value
@@ -411,50 +400,75 @@ def _rooted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, m
             for s, grams in _per_batch(b, n, words):
                 sig = [signature(g) for g in grams]
                 off = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-                c = pa.StructArray.from_arrays([pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64())], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([c, s.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))], ["c", "doc_id", "grams"])
-
-    texts = _texts(docs, id_col, text_col).withColumn("at", place(F.col("doc_id")))
-    grams = texts.mapInArrow(sets, "c struct<a:long,b:long>, doc_id long, grams array<long>")
-    both = wanted.join(grams, (wanted["c"] == grams["c"]) & wanted["first_id"].eqNullSafe(grams["doc_id"])).drop(grams["c"])
-    left = written(both.dropDuplicates(["c"]).select("area", "c", "regions", "grams"), "jaccard-sets")
-    links: list[DataFrame] = []
-    turn = 0
-    while True:
-        sizes = left.groupBy("area").agg(F.count("*").alias("classes"), F.sum(F.size("grams")).alias("total"), F.min(F.struct(F.xxhash64("c"), "c"))["c"].alias("pivot"))
-        big = sizes.where((F.col("classes") > AREA_CLASSES) | (F.col("total") > AREA_GRAMS) & (F.col("classes") > 2)).select("area", "pivot")
-        big = written(big, f"jaccard-big-{turn}")
-        links.append(_links_of_areas(left.join(big, "area", "left_anti"), percent))
+                c = pa.StructArray.from_arrays([s.column(0), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64())], _CLASS)
+                yield pa.RecordBatch.from_arrays([c, pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))], ["c", "grams"])
+
+    texts = _texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    grams = texts.withColumn("at", place(F.col("doc_id"))).mapInArrow(sets, "c struct<id:long,a:long,b:long>, grams array<long>")
+    found = written(wanted.join(grams, "c").dropDuplicates(["c"]), "jaccard-sets")
+    held.destroy()
+    return found
+
+
+def _links(sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of links (u, v) between the classes of sets (c, keys, grams)."""
+    tau = 1 - percent / 100
+    found: list[DataFrame] = []
+    regions = written(_regions(sets.withColumn("area", F.lit(0).cast("long"))), "jaccard-regions-0")
+    for turn in range(TURNS + 1):
+        rows = regions.join(sets, "c")
+        n = F.size("grams")
+        sizes = rows.groupBy("area").agg(F.count("*").alias("classes"), F.sum(n).alias("total"), F.min(F.struct(F.xxhash64("c").alias("h"), "c"))["c"].alias("pivot"))
+        big = written(sizes.where((F.col("classes") > AREA_CLASSES) | (F.col("total") > AREA_GRAMS) & (F.col("classes") > 2)).select("area", "pivot"), f"jaccard-big-{turn}")
+        each = big.select("area", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("big"))
+        marked = regions.withColumn("_salt", _salt("c")).join(each, ["area", "_salt"], "left").drop("_salt")
+        found.append(written(_links_of_areas(marked.where("big IS NULL").join(sets, "c"), percent), f"jaccard-links-{turn}"))
         if big.isEmpty():
             break
-        turn += 1
-        if turn == 2:  # region by region: a class's set goes to each of its regions
-            each = left.join(big, "area", "left_semi").withColumn("region", F.explode("regions"))
-            left = written(each.select(F.struct(F.col("region").alias("a"), F.lit(0).cast("long").alias("b")).alias("area"), "c", F.array("region").alias("regions"), "grams"), "jaccard-by-region")
-            continue
-        if turn == 4:
-            rest = left.join(big, "area", "left_semi").withColumn("d", F.lit(0.0))
-            links.append(_blocks(rest, rest, percent, is_core=False))
+        large = marked.where("big").drop("big").join(sets, "c")
+        if turn == TURNS:
+            rest = written(large.withColumn("d", F.lit(0.0)), "jaccard-rest")
+            found.append(written(_blocks(rest, rest, percent, is_core=False), "jaccard-rest-links"))
             break
-        pivots = big.join(left.select(F.col("c").alias("pivot"), F.col("grams").alias("p_grams")), "pivot")
-        near = left.join(pivots, "area").withColumn("o", distance_to(F.col("grams"), F.col("p_grams")))
+        pivots = big.join(sets.select(F.col("c").alias("pivot"), F.col("grams").alias("p_grams")), "pivot")
+        near = _beside(large, pivots).withColumn("o", _distance_to(F.col("grams"), F.col("p_grams")))
         near = near.withColumns({"d": 1 - F.col("o.both") / F.col("o.any"), "core": F.col("o.both") * 100 >= F.col("o.any") * percent}).drop("p_grams", "o")
         near = written(near, f"jaccard-near-{turn}")
         core, outer = near.where("core"), near.where("NOT core")
-        links.append(core.select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u != v"))
-        border = outer.where(F.col("d") <= 2 * tau + 1e-9)
-        links.append(_blocks(core, border, percent))
-        shared = outer.select("c", F.size("grams").alias("n"), F.explode("regions").alias("region"))
-        again = _areas(shared, f"jaccard-{turn}")
-        left = written(again.join(outer.drop("area"), "c").select("area", "c", "regions", "grams"), f"jaccard-left-{turn}")
-    linked = links[0]
-    for x in links[1:]:
+        found.append(core.select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u != v"))
+        found.append(written(_blocks(core, outer.where(F.col("d") <= 2 * tau + 1e-9), percent), f"jaccard-border-{turn}"))
+        regions = written(_regions(outer), f"jaccard-regions-{turn + 1}")
+    return found
+
+
+def _rooted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, marked: bool = False) -> DataFrame:
+    """The columns of groups() with root, the group itself (null without words), and if asked for mark, a hash of the text."""
+    ship(docs.sparkSession)
+    rows, held = described(docs, n, percent, *counted(docs, n, id_col, text_col), id_col, text_col, marked)
+    rows = written(rows, "jaccard-documents")
+    held.destroy()
+    rows = rows.withColumn("salt", _salt("doc_id"))
+    by_class = rows.where("n_shingles > 0").groupBy(F.col("c").alias("set"))
+    classes = by_class.agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("id"), F.first("rare").alias("keys"), F.collect_set("salt").alias("salts"))
+    classes = written(classes.select(F.struct("id", "set.a", "set.b").alias("c"), "keys", "salts"), "jaccard-classes")
+    sets = _sets(docs, _met(classes), n, id_col, text_col)
+    tables = _links(sets, percent)
+    linked = tables[0]
+    for x in tables[1:]:
         linked = linked.unionAll(x)
     root = components(linked, "jaccard-links").select(F.col("node").alias("c"), "root")
-    whole = classes.select("c", "first_id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    smallest = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = whole.join(smallest, "root").select("c", "component_id", "root")
-    return found.join(named, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *mark)
+    named = classes.join(root, "c", "left").select(F.struct("c.a", "c.b").alias("c"), F.coalesce("root", "c").alias("root"), F.explode("salts").alias("salt"))
+    smallest = F.when(F.col("root.id") != LAST, F.col("root.id")).otherwise(F.col("doc_id"))
+    return rows.join(named, ["c", "salt"], "left").select("doc_id", "n_shingles", F.coalesce(smallest, "doc_id").alias("component_id"), "root", *["mark"] * marked)
+
+
+def _met(classes: DataFrame) -> DataFrame:
+    """c, keys: the classes that share one of their rare n-grams with another class, and those n-grams alone."""
+    rows = classes.select("c", F.explode("keys").alias("gram"))
+    salted = rows.withColumn("salt", _salt("c"))
+    parts = salted.groupBy("gram", "salt").agg(F.count("*").alias("m"))
+    many = parts.groupBy("gram").agg(F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1").select("gram", F.explode("salts").alias("salt"))
+    return written(salted.join(many, ["gram", "salt"]).groupBy("c").agg(F.collect_list("gram").alias("keys")), "jaccard-met")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
