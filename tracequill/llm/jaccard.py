@@ -14,7 +14,7 @@ a link is a distance of at most tau = 1 - threshold.
 4. A larger region is joined by Spark. The classes within tau of its pivot (its core) are linked to it. A class
    outside the core can only reach core classes if its distance to the pivot is at most 2 tau (a boundary document), and only
    those at a distance of at least its own less tau; these are compared in blocks of bounded size. What lies outside the core gets new pivots and
-   regions in the same way. After TURNS such turns, regions that are still large are compared in pairs of blocks.
+   regions in the same way, but for n-grams whose classes are all known to be of one group. After TURNS such turns, regions that are still large are compared in pairs of blocks.
 5. Links form groups by repeated smallest neighbours, in tables in the shared folder.
 
 No candidate is dropped at any step. Which n-grams count as rare is settled by counts over all documents: those that occur once come first, the most
@@ -44,7 +44,7 @@ from tracequill.llm.common import discard, row_key, rows_of, ship, written
 #: n-grams known as frequent at most, and how often one must occur to count as frequent.
 FREQUENT, REPORTED = 65_536, 4
 #: Classes and n-grams of a region that one task joins; larger regions are joined by several.
-AREA_CLASSES, AREA_GRAMS = 512, 1_000_000
+AREA_CLASSES, AREA_GRAMS = 1024, 1_000_000
 #: How often what lies outside the cores of large regions gets new pivots.
 TURNS = 3
 #: Parts of a hot key in joins with one row per key.
@@ -252,15 +252,17 @@ def _beside(rows: DataFrame, per_area: DataFrame) -> DataFrame:
 
 
 def _regions(members: DataFrame) -> DataFrame:
-    """area (of a pivot, within the area before), c: each class in the regions of the pivots that its n-grams (keys) lead to.
+    """area (of a pivot, within the area before), c, label: each class in the regions of the pivots that its n-grams (keys) lead to.
 
-    The pivot of an n-gram is the first class by hash. n-grams are counted in salted parts, so a hot one is nowhere in one task.
+    The pivot of an n-gram is the first class by hash. A label names the group that a class is known to be of; n-grams whose classes all have one label are left out.
+    n-grams are counted in salted parts, so a hot one is nowhere in one task.
     """
-    rows = members.select("area", "c", F.explode("keys").alias("gram")).withColumn("salt", _salt("c"))
-    parts = rows.groupBy("area", "gram", "salt").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c")).alias("first"), F.count("*").alias("m"))
-    led = parts.groupBy("area", "gram").agg(F.min("first")["c"].alias("pivot"), F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
-    led = led.select("area", "gram", F.xxhash64("area", "pivot").alias("region"), F.explode("salts").alias("salt"))
-    return rows.join(led, ["area", "gram", "salt"]).select(F.col("region").alias("area"), "c").distinct()
+    rows = members.select("area", "c", "label", F.explode("keys").alias("gram")).withColumn("salt", _salt("c"))
+    counts = [F.sum("m").alias("m"), F.sum("known").alias("known"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
+    parts = rows.groupBy("area", "gram", "salt").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c")).alias("first"), F.count("*").alias("m"), F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"))
+    led = parts.groupBy("area", "gram").agg(*counts, F.collect_list("salt").alias("salts")).where("m > 1 AND NOT (known = m AND low = high)")
+    led = led.select("area", "gram", F.xxhash64("area", "first.c").alias("region"), F.explode("salts").alias("salt"))
+    return rows.join(led, ["area", "gram", "salt"]).select(F.col("region").alias("area"), "c", "label").distinct()
 
 
 def _distance_to(a: Column, b: Column) -> Column:
@@ -274,7 +276,6 @@ class _Area:
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sets, self.percent, self.tau = sets, percent, 1 - percent / 100
         self.parent = list(range(len(sets)))
-        self.known: dict[tuple[int, int], float] = {}
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -283,19 +284,26 @@ class _Area:
 
     def distance(self, i: int, j: int) -> float:
         """Exact; links i and j if it is at most tau."""
-        k = (i, j) if i < j else (j, i)
-        got = self.known.get(k)
-        if got is None:
-            a, b = self.sets[i], self.sets[j]
-            if len(a) > len(b):
-                a, b = b, a
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            union = len(a) + len(b) - both
-            got = self.known[k] = 1 - both / union
-            if 100 * both >= self.percent * union:
-                x, y = self.find(i), self.find(j)
-                self.parent[max(x, y)] = min(x, y)
-        return got
+        both, union = self.overlap(i, j)
+        if 100 * both >= self.percent * union:
+            x, y = self.find(i), self.find(j)
+            self.parent[max(x, y)] = min(x, y)
+        return 1 - both / union
+
+    def overlap(self, i: int, j: int) -> tuple[int, int]:
+        """Sizes of the intersection and of the union."""
+        a, b = self.sets[i], self.sets[j]
+        if len(a) > len(b):
+            a, b = b, a
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return both, len(a) + len(b) - both
+
+    def links(self, i: int, j: int) -> bool:
+        sizes = sorted((len(self.sets[i]), len(self.sets[j])))
+        if 100 * sizes[0] < self.percent * sizes[1]:
+            return False
+        both, union = self.overlap(i, j)
+        return 100 * both >= self.percent * union
 
     def solve(self, members: list[int]) -> None:
         """All links among the members, up to connection: a pivot, then the windows of the sorted distances to it."""
@@ -332,7 +340,12 @@ def _pairs(pdf: pd.DataFrame, area: _Area) -> pd.DataFrame:
 
 
 def _sets_of(pdf: pd.DataFrame, percent: int) -> _Area:
-    return _Area([np.sort(np.asarray(g, np.int64)) for g in pdf["grams"]], percent)
+    """The classes of a task; those of one label are of one group from the start."""
+    area = _Area([np.sort(np.asarray(g, np.int64)) for g in pdf["grams"]], percent)
+    for same in pdf.groupby("label").indices.values() if pdf["label"].notna().any() else ():
+        for i in same[1:].tolist():
+            area.parent[i] = int(same[0])
+    return area
 
 
 def _as_links(found: DataFrame) -> DataFrame:
@@ -348,20 +361,23 @@ def _links_of_areas(areas: DataFrame, percent: int) -> DataFrame:
         area.solve(list(range(len(pdf))))
         return _pairs(pdf, area)
 
-    flat = areas.select("area", F.xxhash64("c").alias("h"), "c.*", "grams")
+    flat = areas.select("area", "label", F.xxhash64("c").alias("h"), "c.*", "grams")
     return _as_links(flat.groupBy("area").applyInPandas(solve, _LINKS))
 
 
 def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = True) -> DataFrame:
-    """Links between two sides of each area, in blocks of bounded size. is_core: the first side is linked already, and d is the distance to its pivot."""
-    size = max(1, AREA_CLASSES // 2)
+    """Links between two sides of each area, in blocks of bounded size.
+
+    is_core: the first side is one group, d is the distance to its pivot, and each class of the other side that links to it gives one row, with that class as u.
+    """
+    size = max(1, AREA_CLASSES)
     count = lambda df: df.groupBy("area").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
     both = count(core).withColumnRenamed("n", "i").join(count(outer).withColumnRenamed("n", "j"), "area")
 
     def numbered(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         # a block number by hash: even blocks of about `size`, without an order over the whole area
         rows = _beside(df, both).withColumn(own, F.pmod(F.xxhash64(F.lit(7), "c"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return rows.select(F.struct("area", "i", "j").alias("key"), F.lit(side).alias("side"), "c.*", "grams", "d")
+        return rows.select(F.struct("area", "i", "j").alias("key"), F.lit(side).alias("side"), "label", "c.*", "grams", "d")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
@@ -370,12 +386,20 @@ def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = Tru
         inner = np.flatnonzero(pdf["side"] == 0)
         inner = inner[np.argsort(d[inner], kind="stable")].tolist()
         near = d[inner]
-        for y in np.flatnonzero(pdf["side"] == 1).tolist():
-            for i in inner[int(np.searchsorted(near, d[y] - area.tau - 1e-9)) :] if is_core else inner:
+        others = np.flatnonzero(pdf["side"] == 1).tolist()
+        if is_core:
+            reached = []
+            for y in others:
+                for i in inner[int(np.searchsorted(near, d[y] - area.tau - 1e-9)) :]:
+                    if area.links(y, i):
+                        reached.append((y, i))
+                        break  # the core is one group, so one link tells all
+            at = np.array(reached, np.int64).reshape(-1, 2).T
+            return pd.DataFrame({f"{side}{k[0]}": pdf[k].to_numpy()[x] for side, x in zip("uv", at, strict=True) for k in _CLASS})
+        for y in others:
+            for i in inner:
                 if area.find(y) != area.find(i):
                     area.distance(y, i)
-                    if is_core and area.find(y) == area.find(i):
-                        break  # the core is one group, so one link tells all
         return _pairs(pdf, area)
 
     rows = numbered(core, "i", "j", 0).unionAll(numbered(outer, "j", "i", 1))
@@ -414,7 +438,7 @@ def _links(sets: DataFrame, percent: int) -> list[DataFrame]:
     """Tables of links (u, v) between the classes of sets (c, keys, grams)."""
     tau = 1 - percent / 100
     found: list[DataFrame] = []
-    regions = written(_regions(sets.withColumn("area", F.lit(0).cast("long"))), "jaccard-regions-0")
+    regions = written(_regions(sets.withColumns({"area": F.lit(0).cast("long"), "label": F.lit(None).cast("long")})), "jaccard-regions-0")
     for turn in range(TURNS + 1):
         rows = regions.join(sets, "c")
         n = F.size("grams")
@@ -436,7 +460,12 @@ def _links(sets: DataFrame, percent: int) -> list[DataFrame]:
         near = written(near, f"jaccard-near-{turn}")
         core, outer = near.where("core"), near.where("NOT core")
         found.append(core.select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u != v"))
-        found.append(written(_blocks(core, outer.where(F.col("d") <= 2 * tau + 1e-9), percent), f"jaccard-border-{turn}"))
+        reached = written(_blocks(core, outer.where(F.col("d") <= 2 * tau + 1e-9), percent), f"jaccard-border-{turn}")
+        found.append(reached)
+        # what is known to be linked to a core is of that core's group; of several such groups any will do
+        told = reached.join(core.select(F.col("c").alias("v"), "area"), "v").select(F.col("u").alias("c"), "area")
+        told = told.unionAll(core.select("c", "area")).groupBy("c").agg(F.min("area").alias("told"))
+        outer = outer.join(told, "c", "left").withColumn("label", F.coalesce("label", "told"))
         regions = written(_regions(outer), f"jaccard-regions-{turn + 1}")
     return found
 
