@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,15 +36,29 @@ def random_texts(n, seed):
     return ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("coder", "path"), [(words.WordCoder, WORD), (bpe.PairIndexBPE, BYTE)])
-def test_coders_equal_the_library(coder, path):
+def by_words(coder, texts):
+    """Each text's ids as bytes, without the end id."""
+    ids, begin = coder.encode(pa.array(texts, pa.string()), 7)
+    assert len(begin) == len(texts) + 1 and (ids[begin[1:] - 1] == 7).all()
+    return [ids[i : j - 1].tobytes() for i, j in zip(begin.tolist(), begin[1:].tolist(), strict=False)]
+
+
+@pytest.mark.parametrize(("coder", "path", "encode"), [(words.WordCoder, WORD, by_words), (bpe.PairIndexBPE, BYTE, bpe.PairIndexBPE.encode_batch)])
+def test_coders_equal_the_library(coder, path, encode):
     texts = [t or "" for t in ODD] + random_texts(1500, 3)
     small = coder(path, keep=300)
     for _ in range(2):
-        got = [x for i in range(0, len(texts), 50) for x in small.encode_batch(texts[i : i + 50])]
+        got = [x for i in range(0, len(texts), 50) for x in encode(small, texts[i : i + 50])]
     assert [i for i, t in enumerate(texts) if got[i] != whole(path, t)] == []
 
 
+def test_words_of_slices_and_nulls():
+    coder = words.WordCoder(WORD)
+    texts = pa.array([None, "a b", "", "  x <|endoftext|> y ", None, "c"], pa.string())
+    for part in (texts, texts.slice(1, 4), texts.slice(5), texts.slice(0, 0)):
+        assert by_words(coder, part) == [whole(WORD, t or "") for t in part.to_pylist()]
+
+
 def test_bpe_round_trip(spark):
     tok = Tokenizer.from_file(BYTE)
     got = {r["doc_id"]: r for r in bpe.encode_documents(documents(spark), BYTE).collect()}

@@ -224,8 +224,9 @@ class Writer:
         self.sink.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, begin: np.ndarray) -> None:
+        """Documents whose ids lie one after another, each from its place in begin, which holds the end of the last too."""
+        self.docs += zip(doc_ids, np.diff(begin).tolist(), strict=True)
         self.held.append(ids)
         self.waiting += len(ids)
         if self.waiting >= self.block * self.lanes:
@@ -307,16 +308,14 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str |
         part = TaskContext.get().partitionId()
         fs, base = open_fs(folder)
         name, made, out, n = f"{base}/part-{part:06d}.ids", f"{base}/.writing-{uuid.uuid4().hex}", None, 0
-        end = np.array([end_id], "<u4").tobytes()
         sink = None
         for b in batches:
             for s in slices(b):
                 if out is None:
                     sink = fs.open_output_stream(made)
                     out = Writer(sink, len(coder.ends))
-                for doc, raw in zip(s.column(0).to_pylist(), coder.encode_batch([t or "" for t in s.column(1).to_pylist()]), strict=True):
-                    out.add(doc, np.frombuffer(raw + end, "<u4"))
-                    n += 1
+                out.add(s.column(0).to_pylist(), *coder.encode(s.column(1), end_id))
+                n += s.num_rows
         if out is not None:
             total = out.close()
             sink.close()

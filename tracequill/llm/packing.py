@@ -133,12 +133,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             size = 0
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for part in slices(b):
-                for doc, raw in zip(part.column(0).to_pylist(), coder.encode_batch([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    n = len(ids)
+                whole, begin = coder.encode(part.column(1), end_id)
+                for doc, i, j in zip(part.column(0).to_pylist(), begin.tolist(), begin[1:].tolist()):
+                    ids, n = whole[i:j], j - i
                     for at in range(0, n - window + 1, window):
                         put([(doc, at, n, ids[at : at + window])])
                     if n % window:

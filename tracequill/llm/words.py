@@ -1,21 +1,24 @@
 """Whole texts to ids with the tokenizers library, piece by piece.
 
-Texts are cut at ASCII white space, where the word-level vocabularies never join anything; the
-library encodes each new piece once and a worker remembers its ids, up to a bound. The result
+Texts are cut at ASCII white space, where the word-level vocabularies never join anything; Arrow finds the distinct
+pieces of a batch, the library encodes each new one once, and a worker remembers its ids, up to a bound and until its task ends. The result
 equals one call of the library on the whole text (tested against it). Vocabularies for which
 this would not hold are refused by check().
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers.
-KEEP = 1_400_000
+KEEP = 400_000
 #: A piece that ends in an ASCII letter before ASCII marks: the two sides never share a token.
 MARKED = re.compile(rb"(.*[a-z])([^a-z0-9'\x80-\xff][^a-z0-9\x80-\xff]*)", re.S)
 #: Letters of Latin-1 only, or marks of ASCII only: one pre-token, hence one end-of-word id.
@@ -73,7 +76,7 @@ class WordCoder:
 
     def _learn(self, pieces: set[bytes]) -> None:
         if len(self.known) + len(pieces) > self.keep:
-            self.known.clear()  # what this batch found before stays with it
+            self.known.clear()  # what these texts found before stays with them
         known, halves, plain, other = self.known, {}, set(), set()
         for p in pieces:
             m = MARKED.fullmatch(p)
@@ -100,25 +103,51 @@ class WordCoder:
         for p, (a, b) in halves.items():
             known[p] = known[a] + known[b]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [None if "<|" in t else t.encode().lower().split() for t in texts]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, one after another, and where each text's begin (with the end of the last)."""
+        ids, begin = self._encode(texts)
+        begin = begin + np.arange(len(begin))
+        out = np.full(begin[-1], end_id, "<u4")
+        own = np.ones(len(out), bool)
+        own[begin[1:] - 1] = False
+        out[own] = ids
+        return out, begin
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        added = pc.match_substring(texts, "<|")
+        whole = np.flatnonzero(added.to_numpy(zero_copy_only=False)).tolist()  # may hold an added token: encoded in one piece
+        plain = pc.if_else(added, "", texts) if whole else texts
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        coded = pieces.flatten().dictionary_encode()
+        ids, length = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        start = np.cumsum(length) - length
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        count = length[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        out = ids[np.repeat(start[which] - ends[:-1], count) + np.arange(ends[-1])] if len(which) else ids[:0]
+        offsets = pieces.offsets.to_numpy()
+        begin = ends[offsets - offsets[0]]
+        if not whole:
+            return out, begin
+        rows = [out[i:j] for i, j in itertools.pairwise(begin.tolist())]
+        for i in whole:
+            rows[i] = self._library(texts[i].as_py())
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+    def _ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after another, and how many each has."""
         known = self.known
         known.missed.clear()
-        got = [None if c is None else list(map(known.__getitem__, c)) for c in cut]
+        got = list(map(known.__getitem__, pieces))
         if known.missed:
             self._learn(known.missed)
-        out = []
-        for t, c, g in zip(texts, cut, got, strict=True):
-            if c is None:
-                out.append(self._library(t).tobytes())
-                continue
-            i = -1
-            for _ in range(g.count(None)):
-                i = g.index(None, i + 1)
-                g[i] = known[c[i]]
-            out.append(b"".join(g))
-        return out
+            got = [known[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
+        return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+
+    def forget(self) -> None:
+        """Frees what the worker remembers: workers outlive their tasks."""
+        self.known = _Known()
 
 
 _loaded: dict[str, WordCoder] = {}
