@@ -7,7 +7,7 @@ trees are fitted to one part of a bounded sample of labelled rows and its isoton
 
 Null texts count as empty; they get the score of a text without words. Repeated rows are scored alike. Labels other than 0
 and 1, and labels of unknown documents, are left out; several labels of one document count as toxic if any
-does. Without labels of both kinds every score is 0. An empty table gives no rows.
+does. Rows with a null id are scored, learn from no label and have a null held_out. Without labels of both kinds every score is 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,17 +95,24 @@ class Toxicity:
     prior: float = 0.0
     threshold: float = 0.7
 
-    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with score (0 to 1) and predicted (1 at the threshold or over); rows and columns stay (but for columns of these two names)."""
+    def _scored(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """_row (a struct of the columns of docs) and _score."""
         ship(docs.sparkSession)
+        whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
         if self.trees is None:
-            return docs.withColumns({"score": F.lit(self.prior), "predicted": F.lit(int(self.prior >= self.threshold))})
-        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), array_to_vector(feature_column(docs[text_col].cast("string"), self.learnt)).alias("_tox_features"))
+            return docs.select(whole, F.lit(self.prior).alias("_score"))
+        rows = docs.select(whole, array_to_vector(feature_column(docs[text_col].cast("string"), self.learnt)).alias("_tox_features"))
         rows = self.trees.transform(rows).select("_row", vector_to_array("probability")[1].alias("_tox_p"))
-        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_tox_score")))
-        rows = self.calibration.transform(rows).select("_row", score.alias("_score"))
+        return self.calibration.transform(rows).select("_row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_tox_score"))).alias("_score"))
+
+    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """docs with score (0 to 1) and predicted (1 at the threshold or over); rows and columns stay (but for columns of these two names)."""
         kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")]
-        return rows.select(*kept, F.col("_score").alias("score"), (F.col("_score") >= self.threshold).cast("int").alias("predicted"))
+        return self._scored(docs, text_col).select(*kept, F.col("_score").alias("score"), (F.col("_score") >= self.threshold).cast("int").alias("predicted"))
+
+    def accepted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of docs below the threshold, their columns unchanged whatever their names."""
+        return self._scored(docs, text_col).where(F.col("_score") < self.threshold).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 200, trees: int = 30, depth: int = 3, threshold: float = 0.7, seed: int = 7) -> Toxicity:
