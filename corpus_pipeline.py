@@ -17,8 +17,7 @@ from tracequill.llm.common import table, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted model rejects (score 0.7 or more) go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs).where("predicted = 0").select(*docs.columns)
+    return toxicity.fit(docs, table(spark, sf_dir, "labels")).accepted(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
