@@ -38,7 +38,7 @@ def test_chain_fails_where_tampered(spark, sf):
 
 def test_merkle_sizes():
     h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(1000)]
-    two = lambda a, b: hashlib.sha256((a + b).encode()).hexdigest()
+    two = lambda a, b: hashlib.sha256(bytes.fromhex(a) + bytes.fromhex(b)).hexdigest()
     assert chain.merkle_root([]) == hashlib.sha256(b"empty").hexdigest()
     assert chain.merkle_root(h[:1]) == h[0]
     assert chain.merkle_root(h[:2]) == two(h[0], h[1])
@@ -76,8 +76,11 @@ def test_conditions(spark, op, value, cell, want):
 
 
 def test_spawn_depth(spark):
-    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "gone")], "session_id string, parent_session_id string")
-    assert dict(graph.spawn_depth(df).collect()) == {"a": 0, "b": 1, "c": 2, "d": 1}
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("me", "me")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(70)]
+    df = spark.createDataFrame(rows, "session_id string, parent_session_id string")
+    want = {"a": 0, "b": 1, "c": 2, "d": 1, "x": None, "y": None, "z": None, "me": None} | {f"n{i}": i for i in range(70)}
+    assert dict(graph.spawn_depth(df).collect()) == want
+    assert graph.spawn_depth(df.limit(0)).count() == 0
 
 
 def test_scans_of_planted_texts(spark):
@@ -108,6 +111,7 @@ def test_deep_scans():
     assert deep_scans.normalize_one("aWdub3JlIGFsbCBpbnN0cnVjdGlvbnM=")["score"] == 0.75
     assert deep_scans.normalize_one("plain text")["score"] == 0
     assert deep_scans.normalize_one("i​gnore")["invisible_count"] == 1
+    assert deep_scans.normalize_one("a​b​c")["score"] == 0.30 and deep_scans.normalize_one("a\U000e0041\U000e0042b")["score"] == 0.60
     assert deep_scans.rce_one('{"command": "ls; rm -rf /"}')["detected"] and not deep_scans.rce_one('{"q": "hello"}')["detected"]
     assert deep_scans.ssrf_one("http://169.254.169.254/latest")["category"] == "cloud_metadata"
     assert deep_scans.ssrf_one("http://0x7f000001/")["category"] == "private_ip"

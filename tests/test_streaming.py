@@ -1,9 +1,11 @@
 """Streams give what batches give."""
 
+import hmac
+
 from pyspark.sql import functions as F
 
 from tracequill.operators import export
-from tracequill.sources.audit_log import ENVELOPE, audit_events
+from tracequill.sources.audit_log import ENVELOPE, VIOLATION, audit_events
 from tracequill.streaming import jobs
 
 
@@ -12,15 +14,32 @@ def test_ingest_is_checked_and_idempotent(spark, sf, tmp_path):
     n = events.count()
     events.select([f.name for f in ENVELOPE.fields]).write.json(str(tmp_path / "in"))
     events.limit(20).select([f.name for f in ENVELOPE.fields]).write.mode("append").json(str(tmp_path / "in"))
-    (tmp_path / "in" / "bad.json").write_text("no json\n")
-    q = jobs.ingest(jobs.events(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    stored = spark.read.parquet(str(tmp_path / "store"))
-    assert stored.count() == n == stored.select("event_id").distinct().count()
-    assert spark.read.json(str(tmp_path / "bad")).count() == 1
-    q = jobs.ingest(jobs.events(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == n
+    (tmp_path / "in" / "bad.json").write_text("no json\nno json\n{\"event_id\": 5\n")
+    run = lambda: jobs.ingest(jobs.events(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check")).awaitTermination(120)
+    run()
+    stored = lambda: spark.read.parquet(str(tmp_path / "store"))
+    assert stored().count() == n == stored().select("event_id").distinct().count()
+    bad = spark.read.json(str(tmp_path / "bad"))
+    assert bad.count() == 3 and sorted(r[0] for r in bad.select(jobs.RAW).collect()) == ["no json", "no json", '{"event_id": 5']
+    # an event that is years late is new all the same; one that the store holds is not, whatever its time
+    late = events.limit(1).withColumns({"event_id": F.lit("late"), "timestamp_ns": F.lit(1)}).unionByName(events.limit(1).withColumn("timestamp_ns", F.lit(2)))
+    late.select([f.name for f in ENVELOPE.fields]).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    assert stored().count() == n + 1 and stored().where("event_id = 'late'").count() == 1
+    run()
+    assert stored().count() == n + 1
+
+
+def test_alerts_are_prepared(spark, tmp_path):
+    rows = [("e1", "canary-leak", "ALERT", "r", "X", "s", "a", "o", 1), ("e2", "other", "LOG", "r", "X", "s", "a", "o", 1), ("e3", None, "BLOCK", "r", "X", "s", "a", "o", 1)]
+    spark.createDataFrame(rows, VIOLATION).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(VIOLATION).json(str(tmp_path / "in"))
+    jobs.alerts(stream, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "check"), "k").awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    out = {(r["event_id"], r["channel"]): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(out) == {("e1", c) for c in ("slack", "email", "pagerduty", "webhook")}
+    hook = out["e1", "webhook"]
+    assert hook["signature"] == hmac.new(b"k", hook["body"].encode(), "sha256").hexdigest()
 
 
 def test_windows_equal_batch(spark, sf, tmp_path):

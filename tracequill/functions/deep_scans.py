@@ -14,14 +14,19 @@ import unicodedata
 import urllib.parse
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that make a decoded text suspicious, invisible characters, loopholes for addresses.
-KEYWORDS = ("ignore", "disregard", "system", "instruction", "prompt", "password", "execute", "override", "reveal", "bypass")
-INVISIBLE = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]")
+#: Words that show what a decoded text is up to, invisible characters, and runs that may be encoded.
+KEYWORDS = ("ignore", "instructions", "forget", "disregard", "override", "jailbreak", "system", "prompt", "previous", "prior", "above", "unrestricted", "dan", "pretend", "roleplay", "bypass", "restrictions", "restrict", "guidelines", "safety")
+INVISIBLE = re.compile("[\u0000\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 TAG = re.compile("[\U000e0000-\U000e007f]")
-B64, HEX, SPACED = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"(?:0x)?[0-9a-fA-F]{16,}"), re.compile(r"(?:[0-9a-fA-F]{2}[ :]){7,}[0-9a-fA-F]{2}")
+BASE64_RUN, HEX_RUN, SPACED_RUN = r"(?:[A-Za-z0-9+/]{4}){5,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?", r"\b[0-9a-fA-F]{32,}\b", r"(?:[0-9a-fA-F]{2}\s){9,}[0-9a-fA-F]{2}"
+PERCENT_RUN = r"(?:%[0-9a-fA-F]{2}){3,}"
+B64, HEX, SPACED, PERCENT = (re.compile(p) for p in (BASE64_RUN, HEX_RUN, SPACED_RUN, PERCENT_RUN))
+_SAID = re.compile("|".join(KEYWORDS), re.I)
+_MARKS = regex.compile(r"\p{Mn}+")
 METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "100.100.100.200", "fd00:ec2::254")
 URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s\"'<>\\]+")
 CALLS = {"eval": 0.95, "exec": 0.95, "compile": 0.85, "__import__": 0.9, "os.system": 0.95, "os.popen": 0.9, "subprocess.run": 0.9, "subprocess.call": 0.9, "subprocess.Popen": 0.9, "shutil.rmtree": 0.85, "pickle.loads": 0.85, "open": 0.65}
@@ -30,67 +35,92 @@ SQL = ((r"(?i)\bdrop\s+(?:table|database)\b", 0.90), (r"(?i)\bunion\s+(?:all\s+)
 BOOST = {"code": 1.8, "script": 1.8, "command": 1.8, "cmd": 1.8, "query": 1.4, "sql": 1.4, "expression": 1.4}
 
 
+def _said(text: str) -> bool:
+    return _SAID.search(text) is not None
+
+
+def _unhexed(digits: str) -> str:
+    return bytes.fromhex(digits[: len(digits) // 2 * 2]).decode("utf-8", "ignore")
+
+
+def _decoded(text: str, pattern: re.Pattern, decode) -> tuple[str, bool, bool]:
+    """The text with its first run that hides a keyword decoded; whether there was one, and whether a run before it held a text over 12 characters."""
+    plain = False
+    for run in pattern.findall(text):
+        try:
+            found = decode(run)
+        except (ValueError, binascii.Error):
+            continue
+        if len(found) < 6:
+            continue
+        if _said(found):
+            return text.replace(run, f" {found} ", 1), True, plain
+        plain = plain or len(found) > 12
+    return text, False, plain
+
+
 def normalize_one(text: str | None) -> dict:
     """normalized, invisible_count, encodings and score; the score is the largest of the steps' scores."""
     out = text or ""
     scores, encodings = [0.0], []
-    gone = len(INVISIBLE.findall(out)) + len(TAG.findall(out))
-    if TAG.search(out):
-        scores.append(0.30)
-    elif gone:
-        scores.append(0.15)
-    out = TAG.sub("", INVISIBLE.sub("", out))
+    tags, invisible = len(TAG.findall(out)), len(INVISIBLE.findall(out))
+
+    def saw(name: str, score: float) -> None:
+        encodings.append(name)
+        scores.append(score)
+
+    if tags or invisible:
+        out = TAG.sub("", INVISIBLE.sub("", out))
+        scores.append(min(1.0, 0.15 * invisible))
+        if tags:
+            saw("unicode_tag_chars", min(1.0, 0.30 * tags))
     out = html.unescape(out)
-    if re.search(r"%[0-9a-fA-F]{2}", out):
-        decoded = urllib.parse.unquote(out, errors="ignore")
-        if decoded != out:
-            out = decoded
-            scores.append(0.30)
-            encodings.append("url")
-    folded = unicodedata.normalize("NFKC", out)
-    if folded != out:
-        scores.append(0.50)
-        encodings.append("nfkc")
-    marks = sum(unicodedata.category(c) == "Mn" for c in folded)
-    out = "".join(c for c in folded if unicodedata.category(c) != "Mn")
-    if marks >= 2:
-        scores.append(0.40)
-    has = lambda t: any(k in t.lower() for k in KEYWORDS)
-    for m in B64.findall(out):
-        try:
-            t = base64.b64decode(m + "=" * (-len(m) % 4), validate=True).decode()
-        except (ValueError, binascii.Error):
-            continue
-        if has(t) or len(t) > 12:
-            scores.append(0.75 if has(t) else 0.40)
-            encodings.append("base64")
-    for pattern, name, score in ((SPACED, "spaced_hex", 0.75), (HEX, "hex", 0.70)):
-        for m in pattern.findall(out):
-            try:
-                if has(bytes.fromhex(re.sub(r"^0x|[ :]", "", m)).decode()):
-                    scores.append(score)
-                    encodings.append(name)
-            except ValueError:
-                continue
-    clear = has(out)
-    if not clear and sum(k in codecs.decode(out.lower(), "rot13") for k in KEYWORDS) >= 2:
-        scores.append(0.80)
-        encodings.append("rot13")
-    if not clear and sum(k in out.lower()[::-1] for k in KEYWORDS) >= 2:
-        scores.append(0.75)
-        encodings.append("reversed")
-    if out and sum(not c.isalnum() and not c.isspace() for c in out) / len(out) > 0.5:
-        scores.append(0.25)
-    return {"normalized": out, "invisible_count": gone, "encodings": sorted(set(encodings)), "score": max(scores), "modified": out != (text or "")}
+    if PERCENT.search(out) and (plain := urllib.parse.unquote(out)) != out:
+        out = plain
+        saw("url_encoded", 0.30)
+    if (composed := unicodedata.normalize("NFKC", out)) != out:
+        out = composed
+        saw("fullwidth_unicode", 0.50)
+    if not out.isascii():
+        bare = _MARKS.sub("", unicodedata.normalize("NFD", out))
+        if len(out) - len(bare) >= 2:  # letters that carry their accent count none
+            saw("combining_diacritics", 0.40)
+        out = bare
+    out, hidden, plain = _decoded(out, B64, lambda r: base64.b64decode(r + "=" * (-len(r) % 4)).decode("utf-8", "ignore"))
+    if hidden or plain:
+        saw("base64", 0.75 if hidden else 0.40)
+    out, hidden, _ = _decoded(out, SPACED, lambda r: _unhexed(r.replace(" ", "").replace("\t", "")))
+    if hidden:
+        saw("hex_spaced", 0.75)
+    out, hidden, _ = _decoded(out, HEX, _unhexed)
+    if hidden:
+        saw("hex", 0.70)
+    for name, score, turn in (("rot13", 0.80, lambda t: codecs.encode(t, "rot13")), ("reversed", 0.75, lambda t: t[::-1])):
+        if not _said(out) and _said(turned := turn(out)):
+            out = f"{out} {turned}"
+            saw(name, score)
+    if len(out) > 40 and not encodings and out.count(" ") / len(out) < 0.04 and sum(map(str.isalnum, out)) / len(out) > 0.90:
+        saw("high_cpt_density", 0.25)
+    return {"normalized": out, "invisible_count": invisible, "encodings": list(dict.fromkeys(encodings)), "score": max(scores), "modified": out != (text or "")}
+
+
+_NORMALIZED = "normalized string, invisible_count long, encodings array<string>, score double, modified boolean"
 
 
 def normalize(text: Column) -> Column:
-    schema = "normalized string, invisible_count long, encodings array<string>, score double, modified boolean"
+    """A struct of normalized, invisible_count, encodings, score and modified. Built-in functions find the texts that no step would change; only the others go to Python."""
+    turned = "|".join([*(codecs.encode(k, "rot13") for k in KEYWORDS), *(k[::-1] for k in KEYWORDS)])
+    odd = F.regexp_like(text, F.lit(f"[^\\x01-\\x7F]|&|{PERCENT_RUN}|{BASE64_RUN}|{HEX_RUN}|{SPACED_RUN}"))
+    hidden = F.regexp_like(text, F.lit(f"(?i){turned}")) & ~F.regexp_like(text, F.lit(f"(?i){'|'.join(KEYWORDS)}"))
+    dense = (F.length(text) > 40) & (F.length(F.regexp_replace(text, "[^ ]", "")) / F.length(text) < 0.04)
+    asks = F.coalesce(odd | hidden | dense, F.lit(False))
 
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([normalize_one(t) for t in s], columns=["normalized", "invisible_count", "encodings", "score", "modified"])
+        names = ["normalized", "invisible_count", "encodings", "score", "modified"]
+        return pd.DataFrame([normalize_one(t) if t is not None else dict.fromkeys(names) for t in s], columns=names).astype({"invisible_count": "Int64", "modified": "object"})
 
-    return F.pandas_udf(run, schema)(text)
+    same = F.struct(F.coalesce(text, F.lit("")).alias("normalized"), F.lit(0).cast("long").alias("invisible_count"), F.array().cast("array<string>").alias("encodings"), F.lit(0.0).alias("score"), F.lit(False).alias("modified"))
+    return F.when(asks, F.pandas_udf(run, _NORMALIZED)(F.when(asks, text))).otherwise(same)
 
 
 def _dotted(node: ast.AST) -> str:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequill.functions.text_scans import credentials
 from tracequill.operators.metrics import cents, is_, scoped
 from tracequill.sources.audit_log import typed
 
@@ -17,8 +19,8 @@ from tracequill.sources.audit_log import typed
 SENSITIVE = ("US_SSN", "CREDIT_CARD", "IBAN_CODE", "MEDICAL_LICENSE")
 #: Prior transition counts.
 PRIORS = {
-    ("LLM_CALL_START", "LLM_CALL_END"): 80, ("LLM_CALL_START", "SYSTEM_ERROR"): 5, ("LLM_CALL_END", "TOOL_CALL_START"): 40, ("LLM_CALL_END", "LLM_CALL_START"): 20, ("LLM_CALL_END", "AGENT_FINISH"): 30,
-    ("TOOL_CALL_START", "TOOL_CALL_END"): 88, ("TOOL_CALL_END", "LLM_CALL_START"): 70, ("TOOL_CALL_END", "TOOL_CALL_START"): 15, ("SYSTEM_ERROR", "LLM_CALL_START"): 50, ("SYSTEM_ERROR", "AGENT_FINISH"): 20,
+    ("LLM_CALL_START", "LLM_CALL_END"): 70, ("LLM_CALL_END", "TOOL_CALL_START"): 40, ("LLM_CALL_END", "AGENT_FINISH"): 55, ("LLM_CALL_END", "LLM_CALL_START"): 15, ("TOOL_CALL_END", "LLM_CALL_START"): 90,
+    ("TOOL_CALL_START", "TOOL_CALL_END"): 85, ("LLM_CALL_START", "SYSTEM_ERROR"): 5, ("TOOL_CALL_START", "SYSTEM_ERROR"): 3, ("AGENT_FINISH", "LLM_CALL_START"): 5, ("CHECKPOINT", "LLM_CALL_START"): 8,
 }
 STATES = 8
 
@@ -32,48 +34,77 @@ def _flag(rule: str, severity: str, n, seq=None):
     return [F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), n.cast("long").alias("measure"), (seq if seq is not None else F.lit(None)).cast("long").alias("sequence_number")]
 
 
-def high_error_rate(events: DataFrame, least: int = 3) -> DataFrame:
-    e = events.where(is_("SYSTEM_ERROR")).groupBy("org_id", "agent_id", "session_id").agg(F.count("*").alias("n"), F.max("sequence_number").alias("last"))
-    return e.where(F.col("n") >= least).select("org_id", "agent_id", "session_id", *_flag("high_error_rate", "high", F.col("n"), F.col("last")))
+#: Thresholds of the session rules.
+ERRORS, LOOP, SLOW_MS, CALLS = 3, 5, 30_000, 20
+_KEYS = ["org_id", "agent_id", "session_id"]
+_FLAGS = [*_KEYS, "rule_id", "severity", "measure", "sequence_number"]
+
+
+def _event_flags(events: DataFrame) -> DataFrame:
+    """Flags of single events: slow calls, and sensitive data in the output of tools."""
+    hit = F.size(F.array_intersect("pii_detected", F.array(*[F.lit(x) for x in SENSITIVE])))
+    slow = F.get_json_object("payload", "$.latency_ms").try_cast("long")
+    found = F.when(is_("LLM_CALL_END") & (slow > SLOW_MS), F.struct(*_flag("long_latency", "medium", slow, F.col("sequence_number")))).when(is_("TOOL_CALL_END") & (hit > 0), F.struct(*_flag("sensitive_pii_in_output", "critical", hit, F.col("sequence_number"))))
+    return events.select(*_KEYS, found.alias("f")).where("f IS NOT NULL").select(*_KEYS, "f.*")
+
+
+def _session_flags(events: DataFrame) -> DataFrame:
+    """Flags of whole sessions with what they rest on, from one grouping: errors, loops of one tool, runaways, changes of the model."""
+    tool = F.when(is_("TOOL_CALL_START"), F.get_json_object("payload", "$.tool_name"))
+    call = is_("LLM_CALL_START")
+    new = call & (F.col("model") != "") & F.coalesce(F.last(F.when(call & (F.col("model") != ""), F.col("model")), ignorenulls=True).over(_by_session((Window.unboundedPreceding, -1))) != F.col("model"), F.lit(True))
+    rows = events.select(*_KEYS, "sequence_number", "event_type", "model", tool.alias("tool_name"), new.alias("new"))
+    # by tool first, so that one more grouping gives the counts of each tool without lists of all calls
+    per_tool = rows.groupBy(*_KEYS, "tool_name").agg(F.count("*").alias("n"), F.count_if(is_("SYSTEM_ERROR")).alias("errors"), F.max(F.when(is_("SYSTEM_ERROR"), F.col("sequence_number"))).alias("last_error"), F.count_if(is_("LLM_CALL_START")).alias("calls"), F.count_if(is_("AGENT_FINISH")).alias("ends"), F.collect_list(F.when(F.col("new"), F.struct("sequence_number", "model"))).alias("models"))
+    s = per_tool.groupBy(*_KEYS).agg(F.sum("errors").alias("errors"), F.max("last_error").alias("last_error"), F.sum("calls").alias("calls"), F.sum("ends").alias("ends"), F.array_sort(F.flatten(F.collect_list("models"))).alias("models"), F.collect_list(F.when(F.col("tool_name").isNotNull() & (F.col("n") > LOOP), F.struct("tool_name", "n"))).alias("loops"))
+    one = lambda cond, *flag, what=None: F.when(cond, F.struct(*_flag(*flag), (what if what is not None else F.lit(None).cast("string")).alias("what")))
+    names = F.array_join(F.transform("models", lambda x: x["model"]), ">")
+    found = F.array(
+        one(F.col("errors") >= ERRORS, "high_error_rate", "high", F.col("errors"), F.col("last_error")),
+        one((F.col("calls") >= CALLS) & (F.col("ends") == 0), "runaway_session", "high", F.col("calls")),
+        one(F.size("models") > 1, "model_switch", "medium", F.size("models"), what=names),
+    )
+    loops = F.transform("loops", lambda x: F.struct(*_flag("tool_loop", "medium", x["n"]), x["tool_name"].alias("what")))
+    return s.select(*_KEYS, F.explode(F.array_compact(F.concat(found, loops))).alias("f")).select(*_KEYS, "f.*")
+
+
+def _of_rule(flags: DataFrame, rule: str, what: str | None = None) -> DataFrame:
+    return flags.where(F.col("rule_id") == rule).select(*_FLAGS, *([F.col("what").alias(what)] if what else []))
+
 
+def high_error_rate(events: DataFrame) -> DataFrame:
+    return _of_rule(_session_flags(events), "high_error_rate")
 
-def tool_loop(events: DataFrame, over: int = 5) -> DataFrame:
-    e = typed(events.where(is_("TOOL_CALL_START"))).groupBy("org_id", "agent_id", "session_id", "tool_name").agg(F.count("*").alias("n"))
-    return e.where(F.col("n") > over).select("org_id", "agent_id", "session_id", *_flag("tool_loop", "medium", F.col("n")), "tool_name")
 
+def tool_loop(events: DataFrame) -> DataFrame:
+    return _of_rule(_session_flags(events), "tool_loop", "tool_name")
 
-def long_latency(events: DataFrame, over_ms: int = 30_000) -> DataFrame:
-    e = typed(events.where(is_("LLM_CALL_END"))).where(F.col("latency_ms") > over_ms)
-    return e.select("org_id", "agent_id", "session_id", *_flag("long_latency", "medium", F.col("latency_ms"), F.col("sequence_number")))
+
+def long_latency(events: DataFrame) -> DataFrame:
+    return _of_rule(_event_flags(events), "long_latency")
 
 
 def sensitive_pii(events: DataFrame) -> DataFrame:
-    hit = F.array_intersect("pii_detected", F.array(*[F.lit(x) for x in SENSITIVE]))
-    e = events.where(is_("TOOL_CALL_END")).withColumn("hit", hit).where(F.size("hit") > 0)
-    return e.select("org_id", "agent_id", "session_id", *_flag("sensitive_pii_in_output", "critical", F.size("hit"), F.col("sequence_number")))
+    return _of_rule(_event_flags(events), "sensitive_pii_in_output")
 
 
-def runaway(events: DataFrame, least: int = 20) -> DataFrame:
-    e = events.groupBy("org_id", "agent_id", "session_id").agg(F.count_if(is_("LLM_CALL_START")).alias("n"), F.count_if(is_("AGENT_FINISH")).alias("f"))
-    return e.where((F.col("n") >= least) & (F.col("f") == 0)).select("org_id", "agent_id", "session_id", *_flag("runaway_session", "high", F.col("n")))
+def runaway(events: DataFrame) -> DataFrame:
+    return _of_rule(_session_flags(events), "runaway_session")
 
 
 def model_switch(events: DataFrame) -> DataFrame:
     """Sessions whose calls change the model; runs of the same model count once."""
-    e = events.where(is_("LLM_CALL_START") & (F.col("model") != ""))
-    e = e.withColumn("new", F.coalesce(F.lag("model").over(_by_session()) != F.col("model"), F.lit(True))).where("new")
-    runs = e.groupBy("org_id", "agent_id", "session_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sequence_number", "model"))), lambda x: x["model"]), ">").alias("models"))
-    return runs.where("n > 1").select("org_id", "agent_id", "session_id", *_flag("model_switch", "medium", F.col("n")), "models")
+    return _of_rule(_session_flags(events), "model_switch", "models")
 
 
 def anomalies(events: DataFrame) -> DataFrame:
-    """All session rules as one table of flags."""
-    cols = ["org_id", "agent_id", "session_id", "rule_id", "severity", "measure", "sequence_number"]
-    parts = [f(events).select(*cols) for f in (high_error_rate, tool_loop, long_latency, sensitive_pii, runaway, model_switch)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    """All session rules as one table of flags: one pass over single events, one over sessions."""
+    return _event_flags(events).select(*_FLAGS).unionAll(_session_flags(events).select(*_FLAGS))
+
+
+def broken_chains(checked: DataFrame) -> DataFrame:
+    """The rule on chains: a critical flag for each session whose links fail. checked: the result of chain.first_failures."""
+    return checked.where("NOT valid").select("session_id", *_flag("chain_integrity_violation", "critical", F.lit(1), F.col("failed_at")))
 
 
 def baselines(events: DataFrame, org: str | None = None) -> DataFrame:
@@ -119,7 +150,10 @@ def budget_limits(events: DataFrame, tokens: int = 0, calls: int = 0) -> DataFra
 
 
 def markov(events: DataFrame, low: float = 0.05) -> DataFrame:
-    """Probability of each transition from the agent's counts before it and the priors, smoothed by 0.01 over eight states."""
+    """Probability of each transition from the agent's counts before it and the priors, smoothed by 0.01 over eight states.
+
+    Each agent starts with the priors, which alone are more than the five observations that its own matrix needs, so no other matrix is ever asked.
+    """
     steps = events.select("agent_id", "session_id", "sequence_number", "timestamp_ns", "event_type", F.lag("event_type").over(_by_session()).alias("before")).where("before IS NOT NULL")
     order = ["timestamp_ns", "session_id", "sequence_number"]
     row = Window.partitionBy("agent_id", "before").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -176,14 +210,34 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, s
     return rows.select("session_id", raw.alias("raw_score")).select("session_id", "raw_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 - F.col("raw_score"))).alias("anomaly_score"), (F.col("raw_score") < 0).alias("is_anomaly"))
 
 
-def taint_hits(outputs: DataFrame, calls: DataFrame, sink: str = r"(?i)(http|send|post|email|upload|webhook|curl|fetch)") -> DataFrame:
+#: Names of tools and of arguments that send data out.
+SINK_NAMES = r"(?i)http|request|fetch|curl|send|email|mail|webhook|upload|push|publish|notify|slack|teams|discord|sms|forward|relay|export"
+SINK_KEYS = ("url", "endpoint", "webhook", "webhook_url", "uri", "destination", "target", "to", "recipient", "address", "server", "api_url", "base_url", "callback", "callback_url")
+
+
+def is_sink(tool: Column, arguments: Column) -> Column:
+    """Whether a tool sends data out, by its name or by the top keys of its JSON arguments."""
+    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
+    return F.regexp_like(tool, F.lit(SINK_NAMES)) | F.arrays_overlap(keys, F.array(*[F.lit(k) for k in SINK_KEYS]))
+
+
+def tainted_values(prompts: DataFrame, outputs: DataFrame) -> DataFrame:
+    """session_id, sequence_number, value: credentials in a session's first system prompt and in the results of its tools. prompts, outputs: session_id, sequence_number, text."""
+    w = Window.partitionBy("session_id").orderBy("sequence_number")
+    first = prompts.withColumn("n", F.row_number().over(w)).where("n = 1").select("session_id", F.col("sequence_number") - 1, "text")
+    rows = first.unionAll(outputs.select("session_id", "sequence_number", "text")).toDF("session_id", "sequence_number", "text")
+    return rows.select("session_id", "sequence_number", F.explode(credentials(F.col("text"))).alias("c")).select("session_id", "sequence_number", "c.value", "c.label")
+
+
+def taint_hits(outputs: DataFrame, calls: DataFrame, sink: str = SINK_NAMES) -> DataFrame:
     """Tool arguments that hold a value tainted earlier in the session: BLOCK in a network sink, else ALERT.
 
     outputs: session_id, sequence_number, value. calls: session_id, sequence_number, tool_name, argument. The session is the join's key, containment its residue.
     """
     t = outputs.where(F.length("value") >= 8).groupBy("session_id", "value").agg(F.min("sequence_number").alias("t_seq"))
     hit = calls.join(t, "session_id").where((F.col("t_seq") < F.col("sequence_number")) & (F.instr("argument", F.col("value")) > 0))
-    return hit.select("session_id", "sequence_number", "tool_name", "value", F.when(F.col("tool_name").rlike(sink), "BLOCK").otherwise("ALERT").alias("action"))
+    out = F.col("sink") if "sink" in calls.columns else F.col("tool_name").rlike(sink)
+    return hit.select("session_id", "sequence_number", "tool_name", "value", F.when(out, "BLOCK").otherwise("ALERT").alias("action"))
 
 
 def alert_throttle(violations: DataFrame, cooldown_s: int = 600) -> DataFrame:
@@ -338,8 +392,6 @@ def fingerprint(tools_json: str | None) -> str | None:
     for t in json.loads(tools_json):
         d = t.get("function", t)
         found[d.get("name", "")] = d.get("parameters", d.get("input_schema", {}))
-    import hashlib
-
     return hashlib.sha256(json.dumps(found, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
 
@@ -355,3 +407,62 @@ def rate_windows(events: DataFrame, limit: int = 5, seconds: int = 60) -> DataFr
     us = F.expr("timestamp_ns div 1000")
     w = Window.partitionBy("agent_id").orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
     return events.select("event_id", "agent_id", F.count("*").over(w).alias("in_window")).withColumn("limited", F.col("in_window") > limit)
+
+
+#: Tiers of the limiter, in requests a minute.
+TIERS = {"read": 300, "ingest": 3000}
+
+
+def tier_windows(requests: DataFrame, seconds: int = 60) -> DataFrame:
+    """Requests of a caller and tier within the seconds up to each one, against the tier's limit. requests: request_id, caller, tier, timestamp_ns. All requests count, admitted or not."""
+    us = F.expr("timestamp_ns div 1000")
+    w = Window.partitionBy("caller", "tier").orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
+    limit = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in TIERS.items()])
+    return requests.select("request_id", "caller", "tier", F.count("*").over(w).alias("in_window")).withColumn("limited", F.col("in_window") > limit)
+
+
+def flagged_turns(verdicts: DataFrame) -> DataFrame:
+    """A turn is blocked if the verdict on the session's turn before it is malicious. verdicts: session_id, sequence_number, label."""
+    before = F.lag("label").over(_by_session())
+    return verdicts.select("session_id", "sequence_number", before.alias("before")).where("before = 'malicious'").select("session_id", "sequence_number", F.lit("ml-classifier-injection-block").alias("rule_name"), F.lit("BLOCK").alias("action"))
+
+
+def agent_registry(operations: DataFrame) -> DataFrame:
+    """The registry after its log of operations (register, update, delete): the last value of each field since the last registration, without agents deleted since.
+
+    operations: org_id, agent_id, op, name, purpose, tools, owner, timestamp_ns, event_id. A registration of an agent that is registered changes nothing, nor does an update of one that isn't.
+    """
+    w = Window.partitionBy("org_id", "agent_id").orderBy("timestamp_ns", "event_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    state = F.last(F.when(F.col("op") != "update", F.col("op")), ignorenulls=True).over(before)  # what was last begun or ended
+    rows = operations.withColumn("alive", F.coalesce(state == "register", F.lit(False)))
+    begins = (F.col("op") == "register") & ~F.col("alive")
+    rows = rows.withColumn("life", F.count_if(begins).over(w)).where(begins | (F.col("alive") & F.col("op").isin("update", "delete")))
+    at = F.struct("timestamp_ns", "event_id")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    lives = rows.groupBy("org_id", "agent_id", "life").agg(*map(latest, ("name", "purpose", "tools", "owner")), F.min("timestamp_ns").alias("registered_ns"), F.max("timestamp_ns").alias("updated_ns"), F.bool_or(F.col("op") == "delete").alias("deleted"))
+    return lives.where("NOT deleted").drop("life", "deleted")
+
+
+def resolved_sessions(requests: DataFrame) -> DataFrame:
+    """request_id, first_user_hash and the request that began its session, for requests that name no session.
+
+    requests: request_id, timestamp_ns, messages (structs of role and content). A request with earlier assistant turns goes on with the latest session begun, by a
+    request without such turns, by the same first user message; all others begin one.
+    """
+    first = F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(1))["content"]
+    again = F.exists("messages", lambda m: m["role"] == "assistant")
+    rows = requests.select("request_id", "timestamp_ns", F.substring(F.sha2(first, 256), 1, 16).alias("first_user_hash"), F.coalesce(again, F.lit(False)).alias("goes_on"))
+    w = Window.partitionBy("first_user_hash").orderBy("timestamp_ns", "request_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.count("*").over(w)
+    begins = ~F.col("goes_on") | (before == 0) | F.col("first_user_hash").isNull()
+    rows = rows.withColumn("begins", begins)
+    whole = Window.partitionBy("first_user_hash").orderBy("timestamp_ns", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("request_id", "first_user_hash", F.when(F.col("begins"), F.col("request_id")).otherwise(F.last(F.when(F.col("begins"), F.col("request_id")), ignorenulls=True).over(whole)).alias("session_of"))
+
+
+def tool_pairs(events: DataFrame, key: str = "tool_call_id") -> DataFrame:
+    """Starts and results of tool calls that share a session and a key, which is a column or else a payload field."""
+    k = F.col(key) if key in events.columns else F.get_json_object("payload", f"$.{key}")
+    side = lambda kind, name: events.where(is_(kind)).select("session_id", k.alias(key), F.col("sequence_number").alias(name))
+    return side("TOOL_CALL_START", "call_seq").join(side("TOOL_CALL_END", "result_seq"), ["session_id", key])

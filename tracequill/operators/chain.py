@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracequill.operators.metrics import scoped
 
-#: Envelope fields that a digest covers; security only where it is set.
+#: Envelope fields that a digest covers; security only where it is set.
 DIGESTED = ("event_id", "schema_version", "org_id", "session_id", "agent_id", "provider", "model", "interception_layer", "run_id", "parent_run_id", "event_type", "payload", "payload_hash", "pii_detected", "timestamp_ns", "sequence_number", "previous_hash")
 
 
@@ -89,15 +89,14 @@ def verified(events: DataFrame) -> DataFrame:
 
 
 def merkle_root(hashes: list[str]) -> str:
-    """Root over hex digests; the last is doubled where their number is odd."""
+    """Root over hex digests, joined as bytes; the last is doubled where their number is odd."""
     if not hashes:
         return hashlib.sha256(b"empty").hexdigest()
-    level = list(hashes)
+    level = [bytes.fromhex(h) for h in hashes]
     while len(level) > 1:
-        if len(level) % 2:
-            level.append(level[-1])
-        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
-    return level[0]
+        level += level[-1:] * (len(level) % 2)
+        level = [hashlib.sha256(a + b).digest() for a, b in zip(level[::2], level[1::2], strict=True)]
+    return level[0].hex()
 
 
 def merkle_roots(events: DataFrame, every: int = 1000) -> DataFrame:

@@ -25,9 +25,14 @@ def normalised(events: DataFrame, org: str | None = None, from_ns: int | None =
         e = e.where(F.col("timestamp_ns") <= to_ns)
     if kinds:
         e = e.where(F.col("event_type").isin(*kinds))
+    p = lambda n: F.col(f"p.{n}").alias(n)
+    security = lambda n: F.col(f"p.security.{n}")
+    no = lambda c: F.coalesce(c, F.lit(False))
     return typed(e).select(
-        "event_id", "org_id", "session_id", "agent_id", "provider", "model", "run_id", "event_type", "sequence_number", "timestamp_ns", iso_time(F.col("timestamp_ns")).alias("timestamp"), F.array_join("pii_detected", ",").alias("pii_detected"),
-        "latency_ms", "total_tokens", "tool_name", F.col("p.finish_reason").alias("finish_reason"), F.col("p.http_status").alias("http_status"), "injection_score", F.col("p.security.credential_detected").alias("credential_detected"), F.col("p.security.rce_detected").alias("rce_detected"),
+        "event_id", "schema_version", "org_id", "session_id", "agent_id", "run_id", "parent_run_id", "event_type", "provider", "model", "interception_layer", "timestamp_ns", iso_time(F.col("timestamp_ns")).alias("timestamp_iso"), "sequence_number", "previous_hash", "current_hash", F.array_join("pii_detected", ",").alias("pii_detected"),
+        *map(p, ("latency_ms", "total_tokens", "prompt_tokens", "completion_tokens", "finish_reason", "http_status", "tool_name", "tool_call_id", "error_message", "error_code", "total_llm_calls", "total_tool_calls", "session_duration_ms")),
+        security("injection_score").alias("security_injection_score"), security("injection_label").alias("security_injection_label"), *[no(security(f"{n}_detected")).alias(f"security_{n}_detected") for n in ("credential", "rce", "ssrf")],
+        no(security("crescendo.detected")).alias("security_crescendo_detected"), security("crescendo.drift_score").alias("security_crescendo_drift"), no(security("output.detected")).alias("security_output_detected"),
     )
 
 
@@ -35,23 +40,28 @@ def ndjson(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def _batched(rows: DataFrame, size: int, parts: int = 64) -> DataFrame:
-    """part and batch: batches of at most `size` rows within hash parts, so that no order over all rows is needed."""
+#: Rows that a hash part of an export holds on average.
+PART_ROWS = 100_000
+
+
+def _batched(rows: DataFrame, size: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """part and batch: batches of at most `size` rows within hash parts, whose number grows with the rows, so that no order over all rows is needed."""
+    parts = -(-max(1, rows.count()) // part_rows)  # one number
     part = F.pmod(F.xxhash64("event_id"), F.lit(parts)).cast("int")
     w = Window.partitionBy("part").orderBy("timestamp_ns", "event_id")
     return rows.withColumn("part", part).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
-def splunk(rows: DataFrame, index: str = "agents", size: int = 500, parts: int = 64) -> DataFrame:
+def splunk(rows: DataFrame, index: str = "agents", size: int = 500, part_rows: int = PART_ROWS) -> DataFrame:
     """Event-collector envelopes, joined by line in batches."""
     body = F.to_json(F.struct((F.col("timestamp_ns") / 1e9).alias("time"), F.lit("tracequill").alias("source"), F.lit("agent:audit").alias("sourcetype"), F.lit(index).alias("index"), F.struct(*rows.columns).alias("event")))
-    out = _batched(rows, size, parts).withColumn("line", body)
+    out = _batched(rows, size, part_rows).withColumn("line", body)
     return out.groupBy("part", "batch").agg(F.count("*").alias("events"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ns", "event_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
 
 
-def elastic(rows: DataFrame, index: str = "agents", size: int = 500, parts: int = 64) -> DataFrame:
+def elastic(rows: DataFrame, index: str = "agents", size: int = 500, part_rows: int = PART_ROWS) -> DataFrame:
     """Bulk bodies: an action line and a document line for each event, and a newline at the end."""
     action = F.to_json(F.struct(F.struct(F.lit(index).alias("_index"), F.col("event_id").alias("_id")).alias("index")))
     pair = F.concat(action, F.lit("\n"), F.to_json(F.struct(*rows.columns)), F.lit("\n"))
-    out = _batched(rows, size, parts).withColumn("line", pair)
+    out = _batched(rows, size, part_rows).withColumn("line", pair)
     return out.groupBy("part", "batch").agg(F.count("*").alias("events"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ns", "event_id", "line"))), lambda x: x["line"]), "").alias("body"))

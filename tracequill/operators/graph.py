@@ -55,18 +55,21 @@ def risk(nodes_: DataFrame) -> DataFrame:
     return r.withColumn("risk_level", risk_level(F.col("risk_score")))
 
 
-def spawn_depth(sessions: DataFrame, limit: int = 10) -> DataFrame:
+def spawn_depth(sessions: DataFrame) -> DataFrame:
     """Depth of each session in its spawn tree: roots 0, children of unknown parents 1, else the parent's plus one.
 
-    sessions: session_id, parent_session_id. Walks level by level with an equi join, as far as limit + 1.
+    sessions: session_id, parent_session_id. Pointer doubling: after k joins a session knows its ancestor 2^k levels up, so a chain of a million sessions takes twenty. Sessions
+    on a cycle, or below one, have no depth (null).
     """
-    s = sessions.select("session_id", "parent_session_id")
+    s = sessions.select("session_id", "parent_session_id").dropDuplicates(["session_id"])
     known = s.select(F.col("session_id").alias("parent_session_id"), F.lit(True).alias("known"))
-    start = s.join(known, "parent_session_id", "left")
-    depth = F.when(F.col("parent_session_id").isNull(), 0).when(F.col("known").isNull(), 1)
-    level = start.withColumn("depth", depth).where("depth IS NOT NULL").select("session_id", "depth")
-    out = level
-    for _ in range(limit + 1):
-        level = s.join(level.select(F.col("session_id").alias("parent_session_id"), "depth"), "parent_session_id").select("session_id", (F.col("depth") + 1).alias("depth"))
-        out = out.unionByName(level)
-    return out.groupBy("session_id").agg(F.min("depth").cast("long").alias("depth"))
+    # up: the ancestor reached so far, null at a top; depth: how far up that is, with the 1 of an unknown parent
+    reach = s.join(known, "parent_session_id", "left").select("session_id", F.when(F.col("known"), F.col("parent_session_id")).alias("up"), F.when(F.col("parent_session_id").isNull(), 0).otherwise(1).cast("long").alias("depth")).persist()
+    levels, n, open_ = 1, reach.count(), reach.where("up IS NOT NULL").count()
+    while open_ and levels <= n:  # what is open after n levels goes round in a cycle
+        above = reach.select(F.col("session_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        moved = reach.join(above, "up", "left").select("session_id", F.when(F.col("up").isNotNull(), F.col("next")).alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).persist()
+        open_, levels = moved.where("up IS NOT NULL").count(), levels * 2
+        reach.unpersist()
+        reach = moved
+    return reach.select("session_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.sources.audit_log import tokens, typed
@@ -192,3 +192,17 @@ def histogram_quantiles(events: DataFrame, q: float = 0.95, minutes: int = 5) ->
 def active_sessions(events: DataFrame, as_of_ns: int, ttl_hours: int = 4) -> DataFrame:
     last = events.groupBy("session_id").agg(F.max("timestamp_ns").alias("last"))
     return last.agg(F.count_if((F.col("last") <= as_of_ns) & (F.col("last") > as_of_ns - ttl_hours * 3600 * 10**9)).alias("active_sessions"))
+
+
+def events_page(events: DataFrame, org: str | None = None, limit: int = 1000, offset: int = 0, kind: str | None = None) -> DataFrame:
+    """A page of each session's events; a kind is picked within the page, after paging, so such a page may be short or empty."""
+    w = Window.partitionBy("session_id").orderBy("sequence_number")
+    page = scoped(events, org).select("session_id", "sequence_number", "event_type", F.row_number().over(w).alias("n")).where(F.col("n").between(offset + 1, offset + limit))
+    return scoped(page, event_type=kind).drop("n")
+
+
+def rule_hours(violations: DataFrame) -> DataFrame:
+    """Violations of each rule and action by hour."""
+    at = F.timestamp_micros(F.expr("timestamp_ns div 1000"))
+    w = violations.groupBy("rule_name", "action", F.window(at, "1 hour").alias("w")).agg(F.count("*").alias("increase"))
+    return w.select("rule_name", "action", F.unix_micros(F.col("w.start")).alias("hour_us"), "increase")

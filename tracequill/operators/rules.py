@@ -6,8 +6,9 @@ off. Rules are tried in order: ALLOW drops all verdicts and ends, BLOCK ends, ot
 
 from __future__ import annotations
 
+import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ class Rule:
     arguments: tuple[tuple[str, str, object], ...] = field(default=())
 
 
-#: The default rules, in order: loops, personal data, latency, provider errors, injection, credentials, execution.
+#: The default rules, in order: loops, personal data, latency, provider errors, injection, credentials, execution, network, budgets. Those that are off are found by operators of their own.
 DEFAULT = (
     Rule("tool-call-loop-protection", "BLOCK", ("TOOL_CALL_START",), (("tool_call_count", "gt", 50),)),
     Rule("runaway-llm-call-protection", "BLOCK", ("LLM_CALL_START",), (("llm_call_count", "gt", 100),)),
@@ -36,27 +37,66 @@ DEFAULT = (
     Rule("pii-in-llm-request", "ALERT", ("LLM_CALL_START",), (("pii_detected", "not_empty", None),)),
     Rule("sensitive-pii-types-critical", "ALERT", ("LLM_CALL_START", "TOOL_CALL_START", "TOOL_CALL_END"), (("pii_detected", "any_in", ["US_SSN", "CREDIT_CARD", "IBAN_CODE", "MEDICAL_LICENSE", "US_PASSPORT"]),)),
     Rule("high-latency-alert", "ALERT", ("LLM_CALL_END",), (("latency_ms", "gt", 30000),)),
-    Rule("provider-5xx-error", "ALERT", ("SYSTEM_ERROR",), (("payload.http_status", "gte", 500),)),
-    Rule("provider-auth-error", "ALERT", ("SYSTEM_ERROR",), (("payload.http_status", "in", [401, 403]),)),
+    Rule("provider-5xx-error", "ALERT", ("SYSTEM_ERROR",), (("http_status", "gte", 500),)),
+    Rule("provider-auth-error", "ALERT", ("SYSTEM_ERROR",), (("http_status", "in", [401, 403]),)),
     Rule("long-session-warning", "ALERT", ("LLM_CALL_START",), (("session_duration_ms", "gt", 3_600_000),)),
     Rule("prompt-injection-block", "BLOCK", ("LLM_CALL_START",), (("injection_score", "gte", 0.80),)),
     Rule("prompt-injection-alert", "ALERT", ("LLM_CALL_START",), (("injection_score", "gte", 0.50), ("injection_score", "lt", 0.80))),
-    Rule("credential-leak-alert", "ALERT", ("LLM_CALL_START",), (("security.credential_detected", "eq", True),)),
-    Rule("rce-in-tool-args", "BLOCK", ("TOOL_CALL_START",), (("security.rce_detected", "eq", True),)),
+    Rule("credential-leak-alert", "ALERT", ("LLM_CALL_START",), (("credential_detected", "eq", True),)),
+    Rule("rce-in-tool-args", "BLOCK", ("TOOL_CALL_START",), (("rce_detected", "eq", True),)),
+    Rule("ssrf-cloud-metadata-block", "BLOCK", ("TOOL_CALL_START",), (("ssrf_category", "eq", "cloud_metadata"),)),
+    Rule("ssrf-private-ip-alert", "ALERT", ("TOOL_CALL_START",), (("ssrf_detected", "eq", True), ("ssrf_category", "neq", "cloud_metadata"))),
     Rule("context-injection-block", "BLOCK", ("LLM_CALL_START",), (("injection_score", "gte", 0.60),)),
     Rule("context-injection-alert", "ALERT", ("LLM_CALL_START",), (("injection_score", "gte", 0.35),)),
+    Rule("token-budget-exceeded", "BLOCK", ("LLM_CALL_START",), enabled=False),
+    Rule("llm-call-budget-exceeded", "BLOCK", ("LLM_CALL_START",), enabled=False),
+    Rule("system-prompt-mutation", "BLOCK", ("LLM_CALL_START",), enabled=False),
+    Rule("spawn-depth-exceeded", "BLOCK", ("LLM_CALL_START",), enabled=False),
 )
 
+#: Bundled rules for tools and their arguments. All are off; turn copies on with switched_on().
+TOOL_RULES = (
+    Rule("block-direct-shell-execution", "BLOCK", ("TOOL_CALL_START",), tools=("execute_shell", "bash", "sh", "run_command", "system_exec", "terminal", "cmd"), enabled=False),
+    Rule("block-arbitrary-code-execution", "BLOCK", ("TOOL_CALL_START",), tools=("run_python", "run_code", "eval_code", "execute_code", "repl", "python_exec"), enabled=False),
+    Rule("block-database-mutations", "BLOCK", ("TOOL_CALL_START",), tools=("execute_sql", "run_query", "db_write", "db_delete", "db_exec"), enabled=False),
+    Rule("block-file-deletion", "BLOCK", ("TOOL_CALL_START",), tools=("delete_file", "remove_file", "unlink", "rm", "move_to_trash"), enabled=False),
+    Rule("restrict-data-agent-to-read-only", "BLOCK", ("TOOL_CALL_START",), tools=("*",), agents=("data-agent", "analytics-bot"), except_tools=("search_web", "read_file", "list_directory", "query_db_readonly", "get_schema"), enabled=False),
+    Rule("restrict-customer-agent", "BLOCK", ("TOOL_CALL_START",), tools=("*",), agents=("customer-support-agent",), except_tools=("search_knowledge_base", "get_ticket", "create_ticket", "send_email"), enabled=False),
+    Rule("block-path-traversal-in-file-ops", "BLOCK", ("TOOL_CALL_START",), tools=("read_file", "write_file", "list_directory", "open_file"), arguments=(("path", "matches_regex", r"\.\."),), enabled=False),
+    Rule("block-write-to-system-paths", "BLOCK", ("TOOL_CALL_START",), tools=("write_file", "create_file", "append_file"), arguments=(("path", "matches_regex", "^/(etc|bin|sbin|usr/bin|boot|dev|proc|sys)"),), enabled=False),
+    Rule("alert-on-external-url-in-tool", "ALERT", ("TOOL_CALL_START",), tools=("http_request", "web_fetch", "curl", "api_call"), arguments=(("url", "not_empty", None),), enabled=False),
+    Rule("alert-on-email-send", "ALERT", ("TOOL_CALL_START",), tools=("send_email", "send_message", "post_to_slack", "create_calendar_event"), enabled=False),
+    Rule("alert-on-payment-tool", "ALERT", ("TOOL_CALL_START",), tools=("charge_card", "process_payment", "create_invoice", "transfer_funds"), enabled=False),
+)
+
+
+def switched_on(rules: tuple[Rule, ...], *names: str) -> tuple[Rule, ...]:
+    """The rules with those of the names (all, if none is given) turned on."""
+    return tuple(replace(r, enabled=True) if not names or r.name in names else r for r in rules)
+
+
+#: Fields of conditions by name, where they are found and what they count as where they are missing.
+FIELDS = {
+    "event_type": ("column", None), "pii_detected": ("column", None), "provider": ("column", None), "model": ("column", None), "sequence_number": ("column", 0), "agent_id": ("column", None),
+    "tool_name": ("payload", None), "latency_ms": ("payload", None), "finish_reason": ("payload", None), "http_status": ("payload", None), "error_message": ("payload", ""),
+    "tool_call_count": ("column", 0), "llm_call_count": ("column", 0), "session_duration_ms": ("column", 0),
+    "injection_score": ("security", 0.0), "credential_detected": ("security", False), "rce_detected": ("security", False), "rce_confidence": ("security", 0.0), "ssrf_detected": ("security", False), "ssrf_category": ("security", "none"),
+}
+
 
 def resolve(name: str, columns: list[str]) -> Column:
-    """A field by name: a column, a payload field or a security field; unknown names are null."""
+    """A field by name: a column, a payload field or a security field, with the default of its name; unknown names are null."""
+    place, default = FIELDS.get(name, ("", None))
+    or_default = lambda c: c if default is None else F.coalesce(c, F.lit(default)) if isinstance(default, (int, float)) and not isinstance(default, bool) else F.coalesce(c, F.lit(str(default).lower() if isinstance(default, bool) else default).cast("string"))
+    security = lambda key: F.coalesce(F.get_json_object("security", "$." + key) if "security" in columns else F.lit(None).cast("string"), F.get_json_object("payload", "$.security." + key))
     if name in columns:
-        return F.col(name)
-    if name.startswith("payload."):
-        return F.get_json_object("payload", "$." + name[8:])
-    if name.startswith("security."):
-        return F.coalesce(F.get_json_object("security", "$." + name[9:]), F.get_json_object("payload", "$.security." + name[9:]))
-    return F.lit(None).cast("string")
+        return or_default(F.col(name).cast("string") if isinstance(default, bool) else F.col(name))
+    if name.startswith("payload.") or place == "payload":
+        return or_default(F.get_json_object("payload", "$." + name.removeprefix("payload.")))
+    if name.startswith("security.") or place == "security":
+        found = security(name.removeprefix("security."))
+        return or_default(found.try_cast("double") if isinstance(default, float) else found)
+    return F.lit(default) if isinstance(default, int) else F.lit(None).cast("string")
 
 
 def compare(c: Column, op: str, value: object, is_array: bool = False) -> Column:
@@ -141,13 +181,21 @@ def load(text: str) -> tuple[Rule, ...]:
 
 
 #: Rules by the severity of their alerts.
-CRITICAL = ("data-exfiltration-attempt", "rce-in-tool-args", "ssrf-cloud-metadata-block", "canary-leak", "tool-set-mutation")
-HIGH = ("prompt-injection-block", "context-injection-block", "system-prompt-mutation", "credential-leak-alert", "tool-output-injection-block", "mcp-tool-definition-block", "tool-not-in-baseline", "spawn-depth-exceeded", "sensitive-pii-types-critical")
-MEDIUM = ("prompt-injection-alert", "context-injection-alert", "data-flow-suspicious", "markov-anomalous-transition", "output-threat-detected", "ssrf-private-ip-alert", "isolation-forest-anomaly")
+CRITICAL = ("canary-leak", "canary-token-leak", "data-exfiltration-attempt", "system-prompt-mutation", "credential-in-llm-response")
+HIGH = ("spawn-depth-exceeded", "ml-injection-block", "tool-call-loop-protection", "pii-in-llm-request", "rag-poisoning-block", "unicode-stego-block", "rce-attempt", "ssrf-attempt", "data-flow-suspicious")
+MEDIUM = ("high-injection-score", "injection-score-alert", "rag-poisoning-alert", "goal-drift-alert", "intent-scope-violation", "consequence-high-risk", "context-injection-alert")
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
 def severity(rule: Column, action: Column) -> Column:
-    return F.when(rule.isin(*CRITICAL), "CRITICAL").when(rule.isin(*HIGH), "HIGH").when(rule.isin(*MEDIUM), "MEDIUM").when(action == "BLOCK", "HIGH").when(action == "ALERT", "MEDIUM").otherwise("LOW")
+    """Critical rules first, then what was blocked, then the other named rules; an action that is null counts as an alert."""
+    act = F.upper(F.coalesce(action, F.lit("ALERT")))
+    return F.when(rule.isin(*CRITICAL), "CRITICAL").when((act == "BLOCK") | rule.isin(*HIGH), "HIGH").when(rule.isin(*MEDIUM) | (act == "ALERT"), "MEDIUM").otherwise("LOW")
+
+
+def meets(level: Column, least: str = "MEDIUM") -> Column:
+    """Whether an alert of this severity is sent at all."""
+    return level.isin(*SEVERITIES[SEVERITIES.index(least) :])
 
 
 def channels(level: Column) -> Column:
@@ -159,3 +207,33 @@ def dedup_key(rule: Column, session: Column, ns: Column) -> Column:
     """One key per rule, session and hour."""
     hour = F.floor(ns / (3600 * 10**9)).cast("long").cast("string")
     return F.substring(F.sha2(F.concat_ws("|", rule, session, hour), 256), 1, 32)
+
+
+def signature(body: Column, secret: str) -> Column:
+    """HMAC-SHA-256 of a webhook's body, in hex: by its definition, over built-in hashes."""
+    key = secret.encode()
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
+    pad = lambda x: bytes(b ^ x for b in key.ljust(64, b"\0"))
+    inner = F.unhex(F.sha2(F.concat(F.lit(pad(0x36)), F.encode(body, "UTF-8")), 256))
+    return F.sha2(F.concat(F.lit(pad(0x5C)), inner), 256)
+
+
+def alert_bodies(alerts: DataFrame, secret: str | None = None, least: str = "MEDIUM") -> DataFrame:
+    """What would be sent for each violation: one row per channel with its body and, for webhooks, the signature. Nothing is sent.
+
+    alerts: event_id, rule_name, action, reason, session_id, agent_id, timestamp_ns.
+    """
+    level = severity(F.col("rule_name"), F.col("action"))
+    rows = alerts.withColumn("severity", level).where(meets(F.col("severity"), least)).withColumn("channel", F.explode(F.split(channels(F.col("severity")), ",")))
+    title = F.concat(F.lit("["), "severity", F.lit("] "), "rule_name", F.lit(" ("), "action", F.lit(")"))
+    fields = F.struct("rule_name", "action", "severity", "reason", "session_id", "agent_id", "timestamp_ns")
+    text = F.concat(title, F.lit(": "), F.coalesce("reason", F.lit("")), F.lit(" session="), "session_id", F.lit(" agent="), "agent_id")
+    body = (
+        F.when(F.col("channel") == "slack", F.to_json(F.struct(text.alias("text"))))
+        .when(F.col("channel") == "email", F.concat(F.lit("Subject: "), title, F.lit("\n\n"), text))
+        .when(F.col("channel") == "pagerduty", F.to_json(F.struct(F.lit("trigger").alias("event_action"), dedup_key(F.col("rule_name"), F.col("session_id"), F.col("timestamp_ns")).alias("dedup_key"), F.struct(title.alias("summary"), F.lower("severity").alias("severity"), fields.alias("custom_details")).alias("payload"))))
+        .otherwise(F.to_json(fields))
+    )
+    rows = rows.withColumn("body", body)
+    sign = F.when(F.col("channel") == "webhook", signature(F.col("body"), secret)) if secret else F.lit(None).cast("string")
+    return rows.select("event_id", "severity", "channel", "body", sign.alias("signature"))

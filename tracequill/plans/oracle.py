@@ -22,7 +22,7 @@ base AS (
     sha256('link|' || user_id || '|' || seq) AS current_hash
   FROM numbered
 ), log AS (SELECT * FROM log0), viol AS (
-  SELECT 'rule_' || (k % 6) AS rule_name, CASE WHEN k > 95 THEN 'BLOCK' ELSE 'ALERT' END AS action, event_type, session_id, agent_id, org_id, timestamp_ns, event_id,
+  SELECT ['prompt-injection-block', 'tool-call-loop-protection', 'output-threat-detected', 'credential-leak-alert', 'system-prompt-mutation', 'context-injection-alert', 'rce-in-tool-args', 'ssrf-private-ip-alert', 'canary-leak', 'pii-in-llm-request', 'markov-anomalous-transition', 'high-latency-alert'][k % 12 + 1] AS rule_name, CASE WHEN k > 95 THEN 'BLOCK' ELSE 'ALERT' END AS action, event_type, session_id, agent_id, org_id, timestamp_ns, event_id,
     CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false END AS is_false_positive
   FROM log WHERE k > 80
 )"""
@@ -75,16 +75,6 @@ _LINKS = """links AS (
   SELECT session_id, org_id, sequence_number, previous_hash = coalesce(lag(current_hash) OVER w, 'GENESIS_' || session_id) AS link_ok, coalesce(lag(current_hash) OVER w = previous_hash, true) AS loose_ok
   FROM log WINDOW w AS (PARTITION BY session_id ORDER BY sequence_number)
 )"""
-_AUDIT = """audit AS (
-  SELECT * FROM (SELECT count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE event_type = 'LLM_CALL_START') AS llm_calls, count(*) FILTER (WHERE event_type = 'TOOL_CALL_START') AS tool_calls, count(*) FILTER (WHERE event_type = 'SYSTEM_ERROR') AS errors, count(*) FILTER (WHERE len(pii_detected) > 0) AS pii_events FROM log WHERE org_id = 'org_0'),
-    (SELECT count(*) AS violations, count(*) FILTER (WHERE action = 'BLOCK') AS blocks,
-       count(*) FILTER (WHERE action = 'BLOCK' AND rule_name = 'rule_0') AS injection_blocks, count(*) FILTER (WHERE action = 'ALERT' AND rule_name = 'rule_0') AS injection_alerts,
-       count(*) FILTER (WHERE action = 'BLOCK' AND rule_name = 'rule_1') AS tool_blocks, count(*) FILTER (WHERE action = 'ALERT' AND rule_name = 'rule_1') AS tool_alerts,
-       count(*) FILTER (WHERE action = 'BLOCK' AND rule_name = 'rule_2') AS output_blocks, count(*) FILTER (WHERE action = 'ALERT' AND rule_name = 'rule_2') AS output_alerts
-     FROM viol WHERE org_id = 'org_0' AND (is_false_positive IS NULL OR NOT is_false_positive)),
-    (SELECT count(*) AS anomalies FROM anom WHERE org_id = 'org_0'),
-    (SELECT count(*) AS chain_sessions, count(*) FILTER (WHERE ok) AS chain_valid FROM (SELECT session_id, bool_and(loose_ok) AS ok FROM links WHERE org_id = 'org_0' GROUP BY session_id))
-)"""
 
 
 def _with(*parts: str) -> str:
@@ -139,7 +129,7 @@ SQL: dict[str, str] = {
     "budget_limits": _with(_COUNTERS) + "SELECT session_id, rule_name, min(sequence_number) AS sequence_number FROM (SELECT *, CASE WHEN tokens >= 5000 THEN 'token-budget-exceeded' WHEN llm_calls >= 10 THEN 'llm-call-budget-exceeded' END AS rule_name FROM counted) WHERE rule_name IS NOT NULL GROUP BY session_id, rule_name",
     "markov_scores": _with() + f""", s AS (
       SELECT agent_id, session_id, sequence_number, timestamp_ns, event_type, lag(event_type) OVER (PARTITION BY session_id ORDER BY sequence_number) AS before FROM log
-    ), pri(a, b, n) AS (VALUES ('LLM_CALL_START', 'LLM_CALL_END', 80), ('LLM_CALL_START', 'SYSTEM_ERROR', 5), ('LLM_CALL_END', 'TOOL_CALL_START', 40), ('LLM_CALL_END', 'LLM_CALL_START', 20), ('LLM_CALL_END', 'AGENT_FINISH', 30), ('TOOL_CALL_START', 'TOOL_CALL_END', 88), ('TOOL_CALL_END', 'LLM_CALL_START', 70), ('TOOL_CALL_END', 'TOOL_CALL_START', 15), ('SYSTEM_ERROR', 'LLM_CALL_START', 50), ('SYSTEM_ERROR', 'AGENT_FINISH', 20)
+    ), pri(a, b, n) AS (VALUES ('LLM_CALL_START', 'LLM_CALL_END', 70), ('LLM_CALL_END', 'TOOL_CALL_START', 40), ('LLM_CALL_END', 'AGENT_FINISH', 55), ('LLM_CALL_END', 'LLM_CALL_START', 15), ('TOOL_CALL_END', 'LLM_CALL_START', 90), ('TOOL_CALL_START', 'TOOL_CALL_END', 85), ('LLM_CALL_START', 'SYSTEM_ERROR', 5), ('TOOL_CALL_START', 'SYSTEM_ERROR', 3), ('AGENT_FINISH', 'LLM_CALL_START', 5), ('CHECKPOINT', 'LLM_CALL_START', 8)
     ), c AS (
       SELECT *, count(*) OVER (PARTITION BY agent_id, before, event_type ORDER BY timestamp_ns, session_id, sequence_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, count(*) OVER (PARTITION BY agent_id, before ORDER BY timestamp_ns, session_id, sequence_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS of_all
       FROM s WHERE before IS NOT NULL
@@ -157,7 +147,6 @@ SQL: dict[str, str] = {
     "histogram_quantiles": _with() + """, b AS (SELECT CAST(timestamp_ns // 86400000000000 * 86400000000 AS BIGINT) AS start_us, count(*) AS n, count(*) FILTER (WHERE latency_ms <= 50) AS b50, count(*) FILTER (WHERE latency_ms <= 100) AS b100, count(*) FILTER (WHERE latency_ms <= 250) AS b250, count(*) FILTER (WHERE latency_ms <= 500) AS b500, count(*) FILTER (WHERE latency_ms <= 1000) AS b1000, count(*) FILTER (WHERE latency_ms <= 2500) AS b2500, count(*) FILTER (WHERE latency_ms <= 5000) AS b5000, count(*) FILTER (WHERE latency_ms <= 10000) AS b10000 FROM log WHERE event_type = 'LLM_CALL_END' GROUP BY ALL), t AS (SELECT *, n * CAST(0.95 AS DOUBLE) AS g FROM b)
     SELECT start_us, n, CASE WHEN b50 >= g THEN 50.0 * g / nullif(b50, 0) WHEN b100 >= g THEN 50 + 50.0 * (g - b50) / nullif(b100 - b50, 0) WHEN b250 >= g THEN 100 + 150.0 * (g - b100) / nullif(b250 - b100, 0) WHEN b500 >= g THEN 250 + 250.0 * (g - b250) / nullif(b500 - b250, 0) WHEN b1000 >= g THEN 500 + 500.0 * (g - b500) / nullif(b1000 - b500, 0) WHEN b2500 >= g THEN 1000 + 1500.0 * (g - b1000) / nullif(b2500 - b1000, 0) WHEN b5000 >= g THEN 2500 + 2500.0 * (g - b2500) / nullif(b5000 - b2500, 0) WHEN b10000 >= g THEN 5000 + 5000.0 * (g - b5000) / nullif(b10000 - b5000, 0) ELSE 10000.0 END AS quantile_ms FROM t""",
     "active_sessions": _with() + "SELECT count(*) FILTER (WHERE l <= 1706486400000000000 AND l > 1706486400000000000 - 14400000000000) AS active_sessions FROM (SELECT session_id, max(timestamp_ns) AS l FROM log GROUP BY session_id)",
-    "alert_severity": _with() + "SELECT event_id, rule_name, CASE action WHEN 'BLOCK' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE action WHEN 'BLOCK' THEN 'slack,email,pagerduty' ELSE 'slack' END AS channels, substr(sha256(rule_name || '|' || session_id || '|' || (timestamp_ns // 3600000000000)), 1, 32) AS dedup_key FROM viol",
     "policy_eval": _with(_COUNTERS) + """, e AS (SELECT l.*, c.tool_calls AS tool_call_count, c.llm_calls AS llm_call_count, c.age_ns // 1000000 AS session_duration_ms FROM log l JOIN counted c USING (session_id, sequence_number)), v AS (
       SELECT session_id, sequence_number, 0 AS place, 'tool-call-loop-protection' AS rule_name, 'BLOCK' AS action FROM e WHERE event_type = 'TOOL_CALL_START' AND tool_call_count > 50
       UNION ALL SELECT session_id, sequence_number, 1, 'runaway-llm-call-protection', 'BLOCK' FROM e WHERE event_type = 'LLM_CALL_START' AND llm_call_count > 100
@@ -172,27 +161,14 @@ SQL: dict[str, str] = {
       UNION ALL SELECT session_id, sequence_number, 10, 'prompt-injection-alert', 'ALERT' FROM e WHERE event_type = 'LLM_CALL_START' AND injection_score >= 0.5 AND injection_score < 0.8
       UNION ALL SELECT session_id, sequence_number, 11, 'credential-leak-alert', 'ALERT' FROM e WHERE event_type = 'LLM_CALL_START' AND credential_detected
       UNION ALL SELECT session_id, sequence_number, 12, 'rce-in-tool-args', 'BLOCK' FROM e WHERE event_type = 'TOOL_CALL_START' AND rce_detected
-      UNION ALL SELECT session_id, sequence_number, 13, 'context-injection-block', 'BLOCK' FROM e WHERE event_type = 'LLM_CALL_START' AND injection_score >= 0.6
-      UNION ALL SELECT session_id, sequence_number, 14, 'context-injection-alert', 'ALERT' FROM e WHERE event_type = 'LLM_CALL_START' AND injection_score >= 0.35
+      UNION ALL SELECT session_id, sequence_number, 15, 'context-injection-block', 'BLOCK' FROM e WHERE event_type = 'LLM_CALL_START' AND injection_score >= 0.6
+      UNION ALL SELECT session_id, sequence_number, 16, 'context-injection-alert', 'ALERT' FROM e WHERE event_type = 'LLM_CALL_START' AND injection_score >= 0.35
     ), c AS (SELECT *, min(place) FILTER (WHERE action = 'BLOCK') OVER (PARTITION BY session_id, sequence_number) AS stop FROM v)
     SELECT session_id, sequence_number, rule_name, action, CAST(place AS BIGINT) AS place FROM c WHERE stop IS NULL OR place <= stop""",
     "tool_permissions": _with() + "SELECT session_id, sequence_number, 'deny-tool-2' AS rule_name, 'BLOCK' AS action, CAST(0 AS BIGINT) AS place FROM log WHERE event_type = 'TOOL_CALL_START' AND tool_name = 'tool_2' UNION ALL SELECT session_id, sequence_number, 'agent-1-allow-list', 'ALERT', CAST(1 AS BIGINT) FROM log WHERE event_type = 'TOOL_CALL_START' AND agent_id = 'agent_1' AND tool_name NOT IN ('tool_0', 'tool_2')",
-    "compliance_eu": _with() + "SELECT session_id, min(timestamp_ns) AS from_ns, max(timestamp_ns) AS to_ns, coalesce(string_agg(DISTINCT tool_name, ',' ORDER BY tool_name) FILTER (WHERE event_type = 'TOOL_CALL_START'), '') AS tools, count(*) FILTER (WHERE event_type = 'LLM_CALL_START') AS inputs, count(*) FILTER (WHERE event_type = 'LLM_CALL_END') AS outputs, coalesce(string_agg(DISTINCT pii_detected[1], ',' ORDER BY pii_detected[1]), '') AS pii_types, coalesce(string_agg(DISTINCT model, ',' ORDER BY model) FILTER (WHERE model <> ''), '') AS models FROM log GROUP BY session_id",
-    "compliance_gdpr": _with() + "SELECT session_id, coalesce(string_agg(DISTINCT pii_detected[1], ',' ORDER BY pii_detected[1]), '') AS pii_types, count(*) FILTER (WHERE len(pii_detected) > 0) AS pii_events, coalesce(bool_and(has_payload_hash) FILTER (WHERE len(pii_detected) > 0), true) AS hashes_kept, count(*) FILTER (WHERE event_type = 'LLM_CALL_END') AS decisions FROM log GROUP BY session_id",
-    "compliance_hipaa": _with() + "SELECT session_id, agent_id, count(*) FILTER (WHERE list_contains(pii_detected, 'US_SSN')) AS phi_events, bool_or(list_contains(pii_detected, 'US_SSN')) AS phi_seen, count(*) FILTER (WHERE event_type = 'TOOL_CALL_START') AS tool_accesses FROM log GROUP BY session_id, agent_id",
     "compliance_soc2": _with(_LINKS) + f"SELECT session_id, events, errors, tokens, {_CENTS.format('errors / greatest(events, 1) * 100')} AS error_rate_pct, ok AS chain_valid, ok AND errors = 0 AS compliant FROM (SELECT session_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'SYSTEM_ERROR') AS errors, CAST(coalesce(sum(nested_tokens), 0) AS BIGINT) AS tokens FROM log GROUP BY session_id) JOIN (SELECT session_id, bool_and(link_ok) AS ok FROM links GROUP BY session_id) USING (session_id)",
-    "audit_summary": _with(*_A, _LINKS, _AUDIT) + "SELECT * FROM audit",
-    "audit_overall": _with(*_A, _LINKS, _AUDIT) + "SELECT sessions, chain_sessions, chain_valid, blocks, pii_events, CASE WHEN sessions = 0 OR chain_valid < chain_sessions THEN 'fail' WHEN blocks > 0 OR pii_events > 0 THEN 'partial' ELSE 'pass' END AS status FROM audit",
-    "audit_report_controls": _with(*_A, _LINKS, _AUDIT) + """, controls(framework, control, evidence) AS (VALUES ('owasp_asi_2026', 'ASI-1', 'injection'), ('owasp_asi_2026', 'ASI-2', 'tool_abuse'), ('owasp_asi_2026', 'ASI-3', 'output_safety'), ('owasp_asi_2026', 'ASI-4', 'pii'), ('eu_ai_act', 'Art.9', 'injection'), ('eu_ai_act', 'Art.12', 'record_keeping'), ('eu_ai_act', 'Art.13', 'transparency'), ('eu_ai_act', 'Art.15', 'robustness'), ('hipaa', '(a)(2)(i)', 'identity'), ('hipaa', '(b)', 'record_keeping'), ('hipaa', '(c)(1)', 'chain_integrity'), ('hipaa', '(e)(1)', 'pii'), ('soc2', 'CC6.1', 'injection'), ('soc2', 'CC6.7', 'pii'), ('soc2', 'CC7.2', 'anomalies'), ('soc2', 'CC7.3', 'violations'), ('gdpr', 'Art.5(1)(f)', 'chain_integrity'), ('gdpr', 'Art.25', 'pii'), ('gdpr', 'Art.30', 'record_keeping'), ('gdpr', 'Art.32', 'injection'))
-    SELECT framework, control, evidence, CASE evidence WHEN 'injection' THEN CASE WHEN llm_calls = 0 THEN 'fail' WHEN injection_blocks > 0 THEN 'pass' WHEN injection_alerts > 0 THEN 'partial' ELSE 'pass' END WHEN 'tool_abuse' THEN CASE WHEN tool_blocks > 0 THEN 'pass' WHEN tool_alerts > 0 THEN 'partial' ELSE 'pass' END WHEN 'output_safety' THEN CASE WHEN output_blocks > 0 THEN 'pass' WHEN output_alerts > 0 THEN 'partial' ELSE 'pass' END
-      WHEN 'pii' THEN CASE WHEN pii_events > 0 THEN 'partial' ELSE 'pass' END WHEN 'record_keeping' THEN CASE WHEN sessions = 0 THEN 'fail' ELSE 'pass' END WHEN 'identity' THEN CASE WHEN sessions = 0 THEN 'fail' ELSE 'pass' END WHEN 'transparency' THEN CASE WHEN llm_calls = 0 THEN 'fail' ELSE 'pass' END WHEN 'robustness' THEN CASE WHEN anomalies > 0 AND blocks = 0 THEN 'partial' ELSE 'pass' END
-      WHEN 'chain_integrity' THEN CASE WHEN sessions = 0 OR chain_valid < chain_sessions THEN 'fail' ELSE 'pass' END ELSE 'pass' END AS status FROM controls, audit""",
-    "forensic_timeline": _with() + "SELECT session_id, sequence_number, CASE event_type WHEN 'LLM_CALL_START' THEN 'LLM request' WHEN 'LLM_CALL_END' THEN 'LLM response' WHEN 'TOOL_CALL_START' THEN 'Tool call' WHEN 'TOOL_CALL_END' THEN 'Tool result' WHEN 'AGENT_FINISH' THEN 'Agent finished' WHEN 'SYSTEM_ERROR' THEN 'Error' ELSE 'Event' END AS label, CASE WHEN event_type = 'SYSTEM_ERROR' THEN 'error' WHEN event_type IN ('LLM_CALL_START', 'TOOL_CALL_END') AND len(pii_detected) > 0 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN event_type IN ('TOOL_CALL_START', 'TOOL_CALL_END') THEN 'tool ' || tool_name WHEN event_type = 'LLM_CALL_END' THEN 'latency ' || latency_ms || ' ms' ELSE model END AS summary FROM log",
     "data_access_map": _with() + "SELECT session_id, tool_name, call_count, first_ns, last_ns, sample_input, row_number() OVER (PARTITION BY session_id ORDER BY q) AS place FROM (SELECT session_id, tool_name, count(*) AS call_count, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns, arg_min(tool_input, sequence_number) AS sample_input, min(sequence_number) AS q FROM log WHERE event_type = 'TOOL_CALL_START' GROUP BY session_id, tool_name)",
-    "risk_flags": _with() + "SELECT session_id, sequence_number, flag, row_number() OVER (PARTITION BY session_id ORDER BY CASE flag WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, sequence_number) AS place FROM (SELECT session_id, sequence_number, CASE WHEN injection_score >= 0.8 THEN 'critical' WHEN event_type = 'SYSTEM_ERROR' THEN 'high' WHEN event_type IN ('LLM_CALL_START', 'TOOL_CALL_END') AND len(pii_detected) > 0 THEN 'medium' END AS flag FROM log) WHERE flag IS NOT NULL",
-    "export_normalised": _with() + "SELECT event_id, org_id, session_id, agent_id, provider, model, run_id, event_type, sequence_number, timestamp_ns, CASE WHEN timestamp_ns % 1000000000 = 0 THEN strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%dT%H:%M:%S+00:00') ELSE strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%dT%H:%M:%S.%f+00:00') END AS timestamp, coalesce(pii_detected[1], '') AS pii_detected, latency_ms, total_tokens, tool_name, finish_reason, http_status, injection_score, credential_detected, rce_detected FROM log",
     "benchmark_confusion": _with() + f", c AS (SELECT k % 3 = 0 AS bad, injection_score >= 0.5 AS hit FROM log), n AS (SELECT count(*) FILTER (WHERE bad AND hit) AS tp, count(*) FILTER (WHERE NOT bad AND hit) AS fp, count(*) FILTER (WHERE bad AND NOT hit) AS fn, count(*) FILTER (WHERE NOT bad AND NOT hit) AS tn FROM c) SELECT *, {_SIX.format('tp / (tp + fn)')} AS tpr, {_SIX.format('fp / (fp + tn)')} AS fpr, {_SIX.format('tp / (tp + fp)')} AS precision, {_SIX.format('2 * tp / (2 * tp + fp + fn)')} AS f1, {_SIX.format('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy FROM n",
-    "benchmark_percentiles": _with() + "SELECT quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99, count(*) AS n, CAST(quantile_disc(latency_ms, 0.95) AS DOUBLE) AS p95_rank FROM log WHERE event_type = 'LLM_CALL_END'",
     "ingest_validation": _with() + "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'run_id,payload' WHEN k % 13 = 0 THEN 'payload' ELSE '' END AS missing, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 'missing_fields' WHEN event_type = 'SYSTEM_ERROR' AND k % 5 = 0 THEN 'unknown_event_type' WHEN org_id <> 'org_0' THEN 'wrong_org' END AS reason FROM log",
     "ingest_dedup": _with() + "SELECT DISTINCT event_id, session_id FROM log WHERE k % 4 <> 0",
     "idle_sessions": _with() + "SELECT session_id, CAST(min(us) AS BIGINT) AS start_us, count(*) AS events FROM (SELECT session_id, us, sum(new) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT session_id, timestamp_ns // 1000 AS us, CASE WHEN timestamp_ns // 1000 - lag(timestamp_ns // 1000) OVER (PARTITION BY session_id ORDER BY timestamp_ns) < 14400000000 THEN 0 ELSE 1 END AS new FROM log)) GROUP BY session_id, g",

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracequill.functions import deep_scans, text_scans
+from tracequill.functions import deep_scans, message_scan, text_scans
 from tracequill.operators import behaviour, chain, export, graph, metrics, reports, rules
-from tracequill.plans import oracle
+from tracequill.plans import oracle, report_oracle
 from tracequill.plans.scan_oracle import SCAN_SQL
-from tracequill.sources import audit_log, ingest
+from tracequill.sources import audit_log, ingest, providers
 from tracequill.sources.audit_log import audit_events, table, tool_observations, typed, violations
 
 ORG = "org_0"
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {**oracle.SQL, **SCAN_SQL}
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **report_oracle.SQL, **SCAN_SQL}
 
 
 def log_query(name: str):
@@ -64,8 +64,35 @@ def _calls(e: DataFrame) -> DataFrame:
 
 
 def _counted(e: DataFrame) -> DataFrame:
-    c = metrics_columns = behaviour.running_counters(e).select("session_id", "sequence_number", F.col("tool_calls").alias("tool_call_count"), F.col("llm_calls").alias("llm_call_count"), F.expr("age_ns div 1000000").alias("session_duration_ms"))
-    return typed(e).join(metrics_columns, ["session_id", "sequence_number"]) if c is not None else e
+    """The log with what a session's rules count, as windows of the same order: no join."""
+    w = behaviour._by_session((Window.unboundedPreceding, 0))
+    so_far = lambda kind: F.sum(metrics.is_(kind).cast("long")).over(w)
+    return typed(e).withColumns({"tool_call_count": so_far("TOOL_CALL_START"), "llm_call_count": so_far("LLM_CALL_START"), "session_duration_ms": ((F.col("timestamp_ns") - F.min("timestamp_ns").over(w)) / 1_000_000).cast("long")})
+
+
+def _threats(e: DataFrame) -> DataFrame:
+    level = rules.severity(F.col("rule_name"), F.col("action"))
+    return violations(e).select("event_id", "rule_name", level.alias("severity"), rules.channels(level).alias("channels"), rules.meets(level, "HIGH").alias("at_least_high"), rules.dedup_key(F.col("rule_name"), F.col("session_id"), F.col("timestamp_ns")).alias("dedup_key"))
+
+
+def _cases(e: DataFrame) -> DataFrame:
+    """Labelled cases of the scanner benchmark, made from the log."""
+    k, s = F.col("k"), F.col("injection_score")
+    kind = F.when(k % 4 == 0, "paraphrase_attack").when(k % 4 == 1, "override").otherwise("delimiter")
+    return typed(e).select(F.when(k % 3 == 0, "attack").otherwise("clean").alias("expected"), kind.alias("category"), (s >= 0.5).alias("detected"), (s >= 0.8).alias("blocked"), F.create_map(F.lit("structural"), s, F.lit("normalizer"), s / 8).alias("layers"), "latency_ms", F.col("p.tool_input").alias("text"))
+
+
+def _replay(e: DataFrame) -> DataFrame:
+    r = reports.replay(e, behaviour.anomalies(e))
+    count = lambda c, n: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(n)
+    return r.select("session_id", "org_id", "agent_id", "provider", "model", "started_at_ns", "ended_at_ns", "total_events", "llm_call_count", "tool_call_count", "error_count", "pii_exposure_count", count("timeline", "timeline_entries"), "chain_valid", "failed_at", count("data_access_map", "tools_used"), count("risk_flags", "flags"), count("anomalies", "anomalies"))
+
+
+def _registry_log(e: DataFrame) -> DataFrame:
+    k = F.col("k")
+    op = F.when(k % 5 == 0, "register").when(k % 11 == 1, "delete").otherwise("update")
+    none = F.lit(None).cast("string")
+    return typed(e).select("org_id", F.concat("tool_name", F.lit("_"), "agent_id").alias("agent_id"), op.alias("op"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("p"), k.cast("string"))).alias("purpose"), none.alias("tools"), none.alias("owner"), "timestamp_ns", "event_id")
 
 
 PERMISSIONS = (rules.Rule("deny-tool-2", "BLOCK", ("TOOL_CALL_START",), tools=("tool_2",)), rules.Rule("agent-1-allow-list", "ALERT", ("TOOL_CALL_START",), tools=("*",), except_tools=("tool_0",), agents=("agent_1",)))
@@ -122,7 +149,24 @@ for _name, _f in {
     "event_rates": metrics.rates,
     "histogram_quantiles": lambda e: metrics.histogram_quantiles(e, minutes=1440),
     "active_sessions": lambda e: metrics.active_sessions(e, 1706486400000000000),
-    "alert_severity": lambda e: violations(e).select("event_id", "rule_name", rules.severity(F.col("rule_name"), F.col("action")).alias("severity"), rules.channels(rules.severity(F.col("rule_name"), F.col("action"))).alias("channels"), rules.dedup_key(F.col("rule_name"), F.col("session_id"), F.col("timestamp_ns")).alias("dedup_key")),
+    "alert_severity": _threats,
+    "alert_bodies": lambda e: rules.alert_bodies(violations(e), "secret", "HIGH").groupBy("severity", "channel").agg(F.count("*").alias("n")),
+    "violations_ingest": lambda e: ingest.violations_in(violations(e).where("org_id = 'org_1'"), "org_9").select("event_id", "rule_name", "action", "session_id", "agent_id", "org_id", "is_false_positive"),
+    "ingest_counters": lambda e: ingest.counters(ingest.validated(e.unionAll(e).withColumn("run_id", F.when(F.col("k") % 7 != 0, F.col("run_id")))), e.where("k % 4 = 0")),
+    "session_events_page": lambda e: metrics.events_page(e, limit=10, offset=2, kind="LLM_CALL_START"),
+    "ml_flagged_turns": lambda e: behaviour.flagged_turns(typed(e).where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", text_scans.label(F.col("injection_score")).alias("label"))),
+    "rate_tiers": lambda e: behaviour.tier_windows(e.select(F.col("event_id").alias("request_id"), F.col("agent_id").alias("caller"), F.when(F.col("k") % 2 == 0, "read").otherwise("ingest").alias("tier"), "timestamp_ns"), 86_400),
+    "agent_registry": lambda e: behaviour.agent_registry(_registry_log(e)).select("org_id", "agent_id", "name", "purpose", "registered_ns", "updated_ns"),
+    "chain_anomalies": lambda e: behaviour.broken_chains(chain.first_failures(chain.links(e))),
+    "audit_violations": lambda e: reports.violation_counts(violations(e), ORG),
+    "top_violations": lambda e: reports.top_violations(violations(e), ORG),
+    "rule_hours": lambda e: metrics.rule_hours(violations(e)),
+    "replay_totals": _replay,
+    "benchmark_categories": lambda e: reports.category_rates(_cases(e)),
+    "benchmark_layers": lambda e: reports.layer_coverage(_cases(e)),
+    "benchmark_report": lambda e: reports.benchmark_report(_cases(e), ("data/3",)),
+    "tool_pairs": lambda e: behaviour.tool_pairs(e, "run_id"),
+    "report_slices": lambda e: e.groupBy("session_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("sequence_number", "event_type"))), 1, 5), lambda x: x["event_type"]), ",").alias("first_five")),
     "alert_throttle": lambda e: behaviour.alert_throttle(violations(e)),
     "trust_scores": lambda e: behaviour.trust_scores(e.select(F.col("timestamp_ns").alias("seq"), "session_id", F.concat(F.lit("sess_"), F.regexp_extract("agent_id", "[0-9]+", 0)).alias("parent_session_id"), F.when(F.col("k") > 98, "canary").when(F.col("k") > 80, "violation").otherwise("clean").alias("op"), F.when(F.col("k") > 95, "BLOCK").otherwise("ALERT").alias("action"), (F.col("k") / 100).alias("injection_score"))),
     "taint_hits": lambda e: behaviour.taint_hits(typed(e).where("event_type = 'TOOL_CALL_END'").select("session_id", "sequence_number", F.col("p.tool_input").alias("value")), _calls(e)),
@@ -136,7 +180,7 @@ for _name, _f in {
     "audit_summary": _audit,
     "audit_overall": lambda e: reports.audit_overall(_audit(e)),
     "audit_report_controls": lambda e: reports.audit_controls(e.sparkSession, _audit(e)),
-    "forensic_timeline": reports.timeline,
+    "forensic_timeline": lambda e: reports.timeline(e).drop("details"),
     "data_access_map": reports.data_access,
     "risk_flags": reports.risk_flags,
     "export_normalised": export.normalised,
@@ -155,15 +199,90 @@ for _name, _f in {
 
 table_query("prompt_mutation", "conversations")(lambda c: behaviour.mutations(c.where("role = 'user' AND text IS NOT NULL").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("sequence_number"), "text"), "text"))
 table_query("spawn_depth", "orders")(lambda o: graph.spawn_depth(o.select(F.concat(F.lit("sess_"), F.col("o_orderkey").cast("string")).alias("session_id"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("sess_"), (F.col("o_orderkey") - 1).cast("string"))).alias("parent_session_id"))))
-table_query("structural_score", "conversations")(lambda c: c.where("text IS NOT NULL").select("conv_id", "turn", F.round(text_scans.structural(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score"), text_scans.label(text_scans.structural(F.col("text"))).alias("label")))
-table_query("tool_output_score", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", F.round(text_scans.tool_output(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score")))
-table_query("unicode_stego", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.steganography(F.col("text")).alias("severity")))
-table_query("output_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.output_severity(F.col("text")).alias("severity")))
-table_query("credential_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.CREDENTIALS), ",").alias("found")).where("found <> ''"))
-table_query("pii_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.PII), ",").alias("found"), F.sha2(text_scans.mask(F.col("text")), 256).alias("masked_sha256")).where("found <> ''"))
-table_query("memory_scan", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.memory_score(F.col("text")).alias("score")))
-table_query("mcp_description", "documents")(lambda d: d.where("text IS NOT NULL").select("doc_id", text_scans.description_risk(F.col("text")).alias("risk")))
+table_query("structural_score", "conversations")(lambda c: c.withColumn("text", F.coalesce("text", F.lit(""))).select("conv_id", "turn", F.round(text_scans.structural(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score"), text_scans.label(text_scans.structural(F.col("text"))).alias("label")))
+table_query("tool_output_score", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.round(text_scans.tool_output(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score")))
+table_query("unicode_stego", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.steganography(F.col("text")).alias("severity")))
+table_query("output_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.output_severity(F.col("text")).alias("severity")))
+table_query("credential_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.CREDENTIALS), ",").alias("found")).where("found <> ''"))
+table_query("pii_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.PII), ",").alias("found"), F.sha2(text_scans.mask(F.col("text")), 256).alias("masked_sha256")).where("found <> ''"))
+table_query("memory_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.memory_score(F.col("text")).alias("score")))
+table_query("mcp_description", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.description_risk(F.col("text")).alias("risk")))
 table_query("mcp_names_lev1", "part")(lambda p: p.groupBy("p_brand").agg(F.array_sort(F.collect_set(F.col("p_type"))).alias("names")).select("p_brand", F.explode(text_scans.near_duplicate_names(F.col("names"))).alias("x")).select("p_brand", "x.a", "x.b"))
 table_query("sanitize_html", "pages")(lambda p: p.select("page_id", text_scans.sanitized(F.col("html")).alias("text"), text_scans.looks_like_html(F.col("html")).alias("is_html")))
+table_query("tool_output_scan", "documents")(lambda d: d.select("doc_id", text_scans.tool_output_scan(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", F.round(F.col("s.score").cast("decimal(18,9)"), 6).cast("double").alias("score"), "s.label", "s.detected", "s.stego_severity"))
+table_query("credential_values", "documents")(lambda d: d.select("doc_id", F.explode(text_scans.credentials(F.coalesce("text", F.lit("")))).alias("c")).select("doc_id", "c.value", "c.label"))
+table_query("memory_guard", "documents")(lambda d: d.groupBy(text_scans.memory_verdict(text_scans.memory_score(F.coalesce("text", F.lit("")))).alias("verdict")).agg(F.count("*").alias("n")))
+table_query("spotlighted_pages", "pages")(lambda p: p.select("page_id", F.sha2(text_scans.spotlighted(text_scans.sanitized(F.coalesce("html", F.lit(""))), F.col("url"), F.lit("d1")), 256).alias("wrapped_sha256")))
 table_query("normalize_text", "documents")(lambda d: d.select("doc_id", deep_scans.normalize(F.col("text")).alias("n")).select("doc_id", "n.invisible_count", "n.score", "n.modified"))
 table_query("ssrf_scan", "pages")(lambda p: p.select("page_id", deep_scans.ssrf(F.col("url"), ("example.com",)).alias("s")).select("page_id", "s.*"))
+
+
+def _talks(c: DataFrame) -> DataFrame:
+    """Conversations as lists of messages, in order."""
+    m = c.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    return m.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+def _bodies(c: DataFrame) -> DataFrame:
+    """Requests to three providers, in their own shapes, made from conversations without system turns."""
+    t = _talks(c.where("role IN ('user', 'assistant')"))
+    n = F.col("conv_id")
+    tool = lambda field: F.struct(F.lit("lookup").alias("name"), F.lit("looks up").alias("description"), F.struct(F.lit("object").alias("type")).alias(field))
+    wrapped = F.array(F.struct(F.lit("function").alias("type"), tool("parameters").alias("function")))
+    most = (F.lit(256) + n % 7).cast("long")
+    a = F.to_json(F.struct(F.lit("m-openai").alias("model"), "messages", wrapped.alias("tools"), most.alias("max_tokens")))
+    b = F.to_json(F.struct(F.lit("m-anthropic").alias("model"), "messages", F.array(tool("input_schema")).alias("tools"), most.alias("max_tokens")))
+    o = F.to_json(F.struct(F.lit("m-ollama").alias("model"), "messages", F.array(tool("parameters")).alias("tools"), F.struct(most.alias("num_predict")).alias("options")))
+    return t.select("conv_id", F.when(n % 3 == 0, "openai").when(n % 3 == 1, "anthropic").otherwise("ollama").alias("provider"), F.when(n % 3 == 0, a).when(n % 3 == 1, b).otherwise(o).alias("body"))
+
+
+def _requests(c: DataFrame) -> DataFrame:
+    r = providers.requests(_bodies(c))
+    part = lambda f: F.transform("messages", lambda m: m[f])
+    return r.select("conv_id", "model", F.size("messages").cast("long").alias("n_messages"), F.array_join(part("role"), ",").alias("roles"), F.sha2(F.array_join(part("content"), "\n"), 256).alias("said_sha256"), F.array_join(F.transform("tools", lambda t: t["name"]), ",").alias("tools"), "max_tokens")
+
+
+def _answers(c: DataFrame) -> DataFrame:
+    """Answers of four providers, in their own shapes, made from assistant turns."""
+    n, t, said = F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    used = lambda a, b, total=None: F.struct((t + 1).alias(a), (t + 1).alias(b), *([(2 * t + 2).alias(total)] if total else []))
+    call = F.struct(F.lit("c1").alias("id"), F.struct(F.lit("lookup").alias("name"), F.lit('{"q":1}').alias("arguments")).alias("function"))
+    two = F.struct(F.lit(2).alias("q"))
+    a = F.struct(F.array(F.struct(F.lit("stop").alias("finish_reason"), F.struct(said.alias("content"), F.array(call).alias("tool_calls")).alias("message"))).alias("choices"), used("prompt_tokens", "completion_tokens", "total_tokens").alias("usage"))
+    b = F.struct(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<q:int>").alias("input")), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("lookup").alias("name"), two.alias("input"))).alias("content"), F.lit("tool_use").alias("stop_reason"), used("input_tokens", "output_tokens").alias("usage"))
+    parts = F.array(F.struct(said.alias("text"), F.lit(None).cast("struct<name:string,args:struct<q:int>>").alias("functionCall")), F.struct(F.lit(None).cast("string").alias("text"), F.struct(F.lit("lookup").alias("name"), two.alias("args")).alias("functionCall")))
+    g = F.struct(F.array(F.struct(F.lit("MAX_TOKENS").alias("finishReason"), F.struct(parts.alias("parts")).alias("content"))).alias("candidates"), used("promptTokenCount", "candidatesTokenCount", "totalTokenCount").alias("usageMetadata"))
+    o = F.struct(F.struct(said.alias("content")).alias("message"), F.lit(True).alias("done"), (t + 1).alias("prompt_eval_count"), (t + 1).alias("eval_count"))
+    who = F.when(n % 4 == 0, "openai").when(n % 4 == 1, "anthropic").when(n % 4 == 2, "google").otherwise("ollama")
+    return c.where("role = 'assistant'").select("conv_id", "turn", who.alias("provider"), F.when(n % 4 == 0, F.to_json(a)).when(n % 4 == 1, F.to_json(b)).when(n % 4 == 2, F.to_json(g)).otherwise(F.to_json(o)).alias("body"))
+
+
+def _responses(c: DataFrame) -> DataFrame:
+    r = providers.responses(_answers(c))
+    calls = F.array_join(F.transform("tool_calls", lambda x: F.concat(x["name"], F.lit(":"), x["arguments"])), ",")
+    return r.select("conv_id", "turn", F.sha2("response_text", 256).alias("said_sha256"), "finish_reason", calls.alias("calls"), F.col("token_usage.prompt_tokens").alias("prompt_tokens"), F.col("token_usage.total_tokens").alias("total_tokens"))
+
+
+def _streams(c: DataFrame) -> DataFrame:
+    """Assistant turns cut into chunks of a stream and put together again."""
+    rows = c.where("role = 'assistant' AND length(text) > 0").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", "(?<=[a-m])"), lambda x: x != "")).alias("place", "piece"))
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices")))
+    chunks = rows.select("conv_id", "turn", F.lit("openai").alias("provider"), "place", delta.alias("data"))
+    last = rows.groupBy("conv_id", "turn").agg((F.max("place") + 1).alias("place")).select("conv_id", "turn", F.lit("openai").alias("provider"), F.explode(F.array(F.struct("place", F.lit('{"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"total_tokens":5}}').alias("data")), F.struct((F.col("place") + 1).alias("place"), F.lit("[DONE]").alias("data")))).alias("x")).select("conv_id", "turn", "provider", "x.place", "x.data")
+    return providers.streamed(chunks.unionByName(last), ("conv_id", "turn")).select("conv_id", "turn", F.sha2("response_text", 256).alias("said_sha256"), "finish_reason", F.col("token_usage.total_tokens").alias("total_tokens"))
+
+
+def _start_events(c: DataFrame) -> DataFrame:
+    fields = {"org_id": F.lit("o"), "session_id": F.concat(F.lit("conv_"), F.col("conv_id").cast("string")), "agent_id": F.lit("a"), "run_id": F.lit("r"), "parent_run_id": F.lit(None).cast("string"), "sequence_number": F.lit(0).cast("long"), "timestamp_ns": F.lit(0).cast("long")}
+    e = providers.call_starts(providers.requests(_bodies(c)).withColumns(fields))
+    m = F.from_json(F.get_json_object("payload", "$.messages"), "array<struct<content:string>>")
+    return e.select("session_id", "event_id", "event_type", F.size(m).cast("long").alias("n_messages"), F.sha2(F.array_join(F.transform(m, lambda x: x["content"]), "\n"), 256).alias("said_sha256"))
+
+
+table_query("last_user_message", "conversations")(lambda c: _talks(c).select("conv_id", reports.last_user(F.col("messages")).alias("said")))
+table_query("session_resolution", "conversations")(lambda c: behaviour.resolved_sessions(_talks(c).select(F.col("conv_id").alias("request_id"), F.col("conv_id").alias("timestamp_ns"), "messages")))
+table_query("provider_requests", "conversations")(_requests)
+table_query("provider_responses", "conversations")(_responses)
+table_query("provider_stream", "conversations")(_streams)
+table_query("call_start_events", "conversations")(_start_events)
+table_query("message_scan", "conversations")(lambda c: message_scan.scanned(_talks(c).withColumnRenamed("conv_id", "request_id")).select("request_id", F.round("injection_score", 6).alias("injection_score"), "injection_label", F.round("structural_score", 6).alias("structural_score"), "encoding_score", "segments_scanned", "credential_count"))

@@ -1,4 +1,4 @@
-"""SQL of the text scanners, written from the same lists of fixed values."""
+"""SQL of the text scanners. Lists of fixed values are the scanners' own; how they count is stated here anew."""
 
 from __future__ import annotations
 
@@ -9,51 +9,62 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _re(p: str) -> str:
-    """A pattern for an engine that writes code points without braces of four digits or more alike."""
-    return _q(p)
-
-
 def _contained(words, column: str = "lower(text)") -> str:
     return "(" + " + ".join(f"CAST(contains({column}, {_q(w)}) AS INTEGER)" for w in words) + ")"
 
 
-def _worst(pairs, column: str = "lower(text)") -> str:
-    return "greatest(0.0, " + ", ".join(f"CASE WHEN regexp_matches({column}, {_re(p)}) THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for p, w in pairs) + ")"
+def _count(pattern: str, column: str = "text") -> str:
+    return f"(length({column}) - length(regexp_replace({column}, {_q(pattern)}, '', 'g')))"
+
+
+def _any(patterns, column: str = "text") -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, {_q(p)})" for p in patterns) + ")"
 
 
 def _found(patterns: dict[str, str]) -> str:
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {_re(patterns[k])}) THEN '{k}' END" for k in sorted(patterns)) + ")"
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {_q(patterns[k])}) THEN '{k}' END" for k in sorted(patterns)) + ")"
 
 
-_SIX = "CAST(round(CAST({} AS DECIMAL(18,9)), 6) AS DOUBLE)"
-_INVISIBLE = f"least(1.0, (length(text) - length(regexp_replace(text, {_re(t.ZERO_WIDTH)}, '', 'g'))) / greatest(CAST(length(text) * CAST(0.005 AS DOUBLE) AS DOUBLE), 1.0))"
-_STRUCT = f"""s0 AS (SELECT conv_id, turn, {_INVISIBLE} AS i, least(1.0, {_contained(t.DELIMITERS)} / 2.0) AS m, least(1.0, {_contained(t.OVERRIDES)} * 10.0 / greatest(len(string_split(trim(lower(text), ' '), ' ')), 1)) AS o, least(1.0, {_contained(t.PHRASES)} * 0.85) AS p FROM conversations WHERE text IS NOT NULL),
-s1 AS (SELECT conv_id, turn, CAST(i * 0.15 + m * 0.55 + o * 0.35 AS DOUBLE) AS k, CAST(p AS DOUBLE) AS p FROM s0), s2 AS (SELECT conv_id, turn, greatest(0.0, least(1.0, k + p - k * p)) AS s FROM s1)"""
-_HITS = _worst([(p, w) for p, w in t.TOOL_OUTPUT if w >= 0.65], "low")
-_WEAK = " + ".join(f"CASE WHEN regexp_matches(low, {_re(p)}) THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for p, w in t.TOOL_OUTPUT if w < 0.65)
-_ANY = lambda ps: "regexp_matches(lower(text), " + _re("|".join(f"(?:{p})" for p in ps)) + ")"
-_COUNT = lambda p: f"(length(text) - length(regexp_replace(text, {_re(p)}, '', 'g')))"
+def _signs(column: str) -> str:
+    strong = ", ".join(f"CASE WHEN contains({column}, {_q(p)}) THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for p, w, _ in t.TOOL_OUTPUT if w >= 0.65)
+    weak = " + ".join(f"CASE WHEN contains({column}, {_q(p)}) THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for p, w, _ in t.TOOL_OUTPUT if w < 0.65)
+    return f"greatest(0.0, {strong}, least(0.78, ({weak}) * 0.6))"
 
 
 def _masked() -> str:
     out = "text"
     for name, p in t.PII.items():
-        out = f"regexp_replace({out}, {_re(p)}, '<{name}>', 'g')"
+        out = f"regexp_replace({out}, {_q(p)}, '<{name}>', 'g')"
     return out
 
 
+_SIX = "CAST(round(CAST({} AS DECIMAL(18,9)), 6) AS DOUBLE)"
+_DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+_STRUCT = f"""s0 AS (SELECT conv_id, turn, least(1.0, {_count(chr(92) + "p{Cf}")} / greatest(CAST(length(text) * CAST(0.005 AS DOUBLE) AS DOUBLE), 1.0)) AS i, least(1.0, {_contained([x.upper() for x in t.DELIMITERS], "upper(text)")} / 2.0) AS m, least(1.0, {_count(t.OVERRIDE_CHARACTERS)} * 10.0) AS o, least(1.0, {_contained(t.PHRASES)} * 0.85) AS p FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
+s1 AS (SELECT conv_id, turn, CAST(i * 0.15 + m * 0.55 + o * 0.35 AS DOUBLE) AS k, CAST(p AS DOUBLE) AS p FROM s0), s2 AS (SELECT conv_id, turn, greatest(0.0, least(1.0, k + p - k * p)) AS s FROM s1)"""
+_STEGO = f"CASE WHEN {_count(t.TAGS)} > 0 THEN 'critical' WHEN {_count(t.BIDI)} > 0 OR {_count(t.ZERO_WIDTH)} > CASE WHEN regexp_matches(text, {_q(t.SHAPED_SCRIPTS)}) THEN 8 ELSE 3 END THEN 'high' WHEN {_count(t.SELECTORS)} > 5 THEN 'low' WHEN regexp_matches(left(text, 2000), {_q(t.HTML_TAG)}) AND regexp_matches(text, {_q(t.HIDING)}) THEN 'high' ELSE 'none' END"
+_CLEAN = f"regexp_replace(text, {_q('|'.join((t.ZERO_WIDTH, t.BIDI, t.TAGS, t.SELECTORS)))}, '', 'g')"
+_RISK = "greatest(0.0, " + ", ".join(f"CASE WHEN contains(lower(text), {_q(p)}) THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for p, w in t.DESCRIPTION_SIGNS) + ")"
 _N = _contained(t.PHRASES)
 _PHRASE = f"CASE WHEN {_N} > 0 THEN least(0.8, {_N} * 0.1 + 0.3) ELSE 0.0 END"
+_RUN = "list_bool_or(list_transform(regexp_extract_all(text, {}), lambda r: coalesce(regexp_matches(try(decode({})), {}), false)))"
+_B64 = _RUN.format(_q(t.MEMORY_BASE64), "from_base64(r || repeat('=', (4 - length(r) % 4) % 4))", _q(t.MEMORY_DECODED))
+_HEX = _RUN.format(_q(t.MEMORY_HEX), "CASE WHEN length(regexp_replace(r, '^[0x]+', '')) % 2 = 0 THEN unhex(regexp_replace(r, '^[0x]+', '')) END", _q(t.MEMORY_DECODED))
+_MEMORY = f"CAST(round(CAST(least(1.0, CASE WHEN regexp_matches(text, {_q(t.MEMORY_DELIMITERS)}) THEN greatest({_PHRASE}, 0.5) ELSE {_PHRASE} END + CASE WHEN coalesce({_B64}, false) THEN 0.4 ELSE 0.0 END + CASE WHEN coalesce({_HEX}, false) THEN 0.4 ELSE 0.0 END) AS DECIMAL(9,6)), 3) AS DOUBLE)"
+_CREDENTIALS = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, {_q(p)}, {g})) AS value, '{name}' AS label FROM d" for p, name, g in t.TAINTS)
 
 SCAN_SQL: dict[str, str] = {
     "structural_score": f"WITH {_STRUCT} SELECT conv_id, turn, {_SIX.format('s')} AS score, CASE WHEN s >= 0.8 THEN 'malicious' WHEN s >= 0.5 THEN 'suspicious' ELSE 'safe' END AS label FROM s2",
-    "tool_output_score": f"WITH d AS (SELECT doc_id, lower(left(text, 8192)) AS low FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_SIX.format(f'greatest({_HITS}, least(0.78, ({_WEAK}) * 0.6))')} AS score FROM d",
-    "unicode_stego": f"SELECT doc_id, CASE WHEN {_COUNT(t.TAGS)} > 0 THEN 'critical' WHEN {_COUNT(t.BIDI)} > 0 OR {_COUNT(t.ZERO_WIDTH)} > 3 OR regexp_matches(lower(text), '(display\\s*:\\s*none|visibility\\s*:\\s*hidden|font-size\\s*:\\s*0)') THEN 'high' WHEN {_COUNT(t.SELECTORS)} > 5 THEN 'low' ELSE 'none' END AS severity FROM documents WHERE text IS NOT NULL",
-    "output_scan": f"SELECT doc_id, CASE WHEN {_found(t.CREDENTIALS)} <> '' THEN 'critical' WHEN {_ANY(t.ECHOES)} AND {_ANY(t.RELAYS)} THEN 'high' WHEN {_ANY(t.ECHOES)} OR {_ANY(t.RELAYS)} THEN 'medium' ELSE 'none' END AS severity FROM documents WHERE text IS NOT NULL",
-    "credential_scan": f"SELECT * FROM (SELECT doc_id, {_found(t.CREDENTIALS)} AS found FROM documents WHERE text IS NOT NULL) WHERE found <> ''",
-    "pii_scan": f"SELECT * FROM (SELECT doc_id, {_found(t.PII)} AS found, sha256({_masked()}) AS masked_sha256 FROM documents WHERE text IS NOT NULL) WHERE found <> ''",
-    "memory_scan": f"SELECT doc_id, CAST(round(CAST(least(1.0, CASE WHEN {_contained(t.DELIMITERS)} > 0 THEN greatest({_PHRASE}, 0.5) ELSE {_PHRASE} END + CASE WHEN regexp_matches(text, '[A-Za-z0-9+/]{{40,}}={{0,2}}') THEN 0.4 ELSE 0.0 END + CASE WHEN regexp_matches(text, '(?:[0-9a-fA-F]{{2}}[ :]){{12,}}') THEN 0.4 ELSE 0.0 END) AS DECIMAL(9,6)), 3) AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL",
-    "mcp_description": f"SELECT doc_id, {_worst(t.DESCRIPTION_SIGNS)} AS risk FROM documents WHERE text IS NOT NULL",
-    "mcp_names_lev1": "WITH n AS (SELECT DISTINCT p_brand, p_type AS x FROM part) SELECT a.p_brand, a.x AS a, b.x AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x AND length(a.x) >= 6 AND length(b.x) >= 6 AND levenshtein(a.x, b.x) = 1 AND a.x || 's' <> b.x AND b.x || 's' <> a.x",
+    "tool_output_score": f"WITH {_DOCS} SELECT doc_id, {_SIX.format(_signs('low'))} AS score FROM (SELECT doc_id, lower(text) AS low FROM d)",
+    "tool_output_scan": f"WITH {_DOCS}, k AS (SELECT doc_id, {_STEGO} AS stego_severity, lower({_CLEAN}) AS low FROM d), s AS (SELECT doc_id, stego_severity, {_signs('low')} AS inner_score FROM k), g AS (SELECT doc_id, stego_severity, least(1.0, greatest(inner_score, CASE WHEN stego_severity = 'critical' THEN CASE WHEN inner_score > 0.35 THEN greatest(inner_score, 0.85) ELSE 0.66 END WHEN stego_severity <> 'none' THEN CASE WHEN inner_score > 0.35 THEN greatest(inner_score, 0.7) ELSE 0.45 END ELSE 0.0 END)) AS x FROM s)"
+    f" SELECT doc_id, {_SIX.format('x')} AS score, CASE WHEN x < 0.35 THEN 'safe' WHEN x < 0.65 THEN 'suspicious' ELSE 'injection' END AS label, x >= 0.65 AS detected, stego_severity FROM g",
+    "unicode_stego": f"WITH {_DOCS} SELECT doc_id, {_STEGO} AS severity FROM d",
+    "output_scan": f"WITH {_DOCS}, f AS (SELECT doc_id, {_any(t.CREDENTIALS.values())} AS c, {_contained(t.ECHOES, 'text')} > 0 AS e, {_any(t.RELAYS.values())} AS r FROM d) SELECT doc_id, CASE WHEN c THEN 'critical' WHEN e AND r THEN 'high' WHEN e OR r THEN 'medium' ELSE 'none' END AS severity FROM f",
+    "credential_scan": f"WITH {_DOCS} SELECT * FROM (SELECT doc_id, {_found(t.CREDENTIALS)} AS found FROM d) WHERE found <> ''",
+    "credential_values": f"WITH {_DOCS} SELECT * FROM ({_CREDENTIALS}) WHERE length(value) >= 8",
+    "pii_scan": f"WITH {_DOCS} SELECT * FROM (SELECT doc_id, {_found(t.PII)} AS found, sha256({_masked()}) AS masked_sha256 FROM d) WHERE found <> ''",
+    "memory_scan": f"WITH {_DOCS} SELECT doc_id, {_MEMORY} AS score FROM d",
+    "memory_guard": f"WITH {_DOCS}, m AS (SELECT {_MEMORY} AS s FROM d) SELECT CASE WHEN s >= 0.7 THEN 'BLOCK' WHEN s >= 0.4 THEN 'ALERT' ELSE 'PASS' END AS verdict, count(*) AS n FROM m GROUP BY ALL",
+    "mcp_description": f"WITH {_DOCS} SELECT doc_id, {_RISK} AS risk FROM d",
+    "mcp_names_lev1": "WITH n AS (SELECT DISTINCT p_brand, p_type AS x FROM part) SELECT a.p_brand, a.x AS a, b.x AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x AND length(a.x) >= 6 AND length(b.x) >= 6 AND levenshtein(lower(a.x), lower(b.x)) = 1 AND lower(a.x) || 's' <> lower(b.x) AND lower(b.x) || 's' <> lower(a.x)",
 }

@@ -19,8 +19,19 @@ PAYLOAD = T.StructType(
         T.StructField("tool_input", T.StringType()),
         T.StructField("http_status", T.LongType()),
         T.StructField("finish_reason", T.StringType()),
+        T.StructField("prompt_tokens", T.LongType()),
+        T.StructField("completion_tokens", T.LongType()),
+        T.StructField("tool_call_id", T.StringType()),
+        T.StructField("error_message", T.StringType()),
+        T.StructField("error_code", T.StringType()),
+        T.StructField("total_llm_calls", T.LongType()),
+        T.StructField("total_tool_calls", T.LongType()),
+        T.StructField("session_duration_ms", T.DoubleType()),
         T.StructField("token_usage", T.StructType([T.StructField("total", T.LongType())])),
-        T.StructField("security", T.StructType([T.StructField("injection_score", T.DoubleType()), T.StructField("credential_detected", T.BooleanType()), T.StructField("rce_detected", T.BooleanType())])),
+        T.StructField("security", T.StructType([
+            T.StructField("injection_score", T.DoubleType()), T.StructField("injection_label", T.StringType()), *(T.StructField(n, T.BooleanType()) for n in ("credential_detected", "rce_detected", "ssrf_detected")),
+            T.StructField("crescendo", T.StructType([T.StructField("detected", T.BooleanType()), T.StructField("drift_score", T.DoubleType())])), T.StructField("output", T.StructType([T.StructField("detected", T.BooleanType())])),
+        ])),
     ]
 )
 #: The event envelope; payload and security stay JSON text.
@@ -35,12 +46,18 @@ ENVELOPE = T.StructType(
         T.StructField("current_hash", T.StringType()),
     ]
 )
-#: Event types that ingest accepts, and those of the extended set.
+#: Event types that ingest accepts, those of the extended set, and fields that every event has.
 EVENT_TYPES = ("LLM_CALL_START", "LLM_CALL_END", "TOOL_CALL_START", "TOOL_CALL_END", "AGENT_FINISH", "SYSTEM_ERROR", "CHECKPOINT", "AGENT_THOUGHT")
 EXTENDED_TYPES = (*EVENT_TYPES, "MEMORY_WRITE_BLOCKED", "MEMORY_WRITE_SCANNED")
 REQUIRED = ("event_id", "schema_version", "org_id", "session_id", "agent_id", "provider", "model", "interception_layer", "run_id", "event_type", "payload", "timestamp_ns", "sequence_number", "previous_hash")
 
 
+#: A policy violation as it is sent.
+VIOLATION = T.StructType([*(T.StructField(n, T.StringType()) for n in ("event_id", "rule_name", "action", "reason", "event_type", "session_id", "agent_id", "org_id")), T.StructField("timestamp_ns", T.LongType())])
+#: Rule names of the violations made from the driver's events.
+RULE_NAMES = ("prompt-injection-block", "tool-call-loop-protection", "output-threat-detected", "credential-leak-alert", "system-prompt-mutation", "context-injection-alert", "rce-in-tool-args", "ssrf-private-ip-alert", "canary-leak", "pii-in-llm-request", "markov-anomalous-transition", "high-latency-alert")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -104,7 +121,7 @@ def violations(events: DataFrame) -> DataFrame:
     """Policy violations: events whose number is over 80."""
     k = F.col("k")
     return events.where(k > 80).select(
-        _text("rule_", (k % 6).cast("string")).alias("rule_name"), F.when(k > 95, "BLOCK").otherwise("ALERT").alias("action"), F.lit("threshold").alias("reason"), "event_type", "session_id", "agent_id", "org_id", "timestamp_ns", "event_id",
+        F.element_at(F.array(*[F.lit(n) for n in RULE_NAMES]), k % 12 + 1).alias("rule_name"), F.when(k > 95, "BLOCK").otherwise("ALERT").alias("action"), F.lit("threshold").alias("reason"), "event_type", "session_id", "agent_id", "org_id", "timestamp_ns", "event_id",
         F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("is_false_positive"),
     )
 

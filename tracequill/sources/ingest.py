@@ -23,6 +23,11 @@ def deduplicated(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["event_id"]).join(store.select("event_id"), "event_id", "left_anti")
 
 
+def violations_in(batch: DataFrame, org: str) -> DataFrame:
+    """Violations as they are stored: rows without a rule, a session or an agent are left out, and the tenant is the caller's, whatever they say."""
+    return batch.where("rule_name IS NOT NULL AND session_id IS NOT NULL AND agent_id IS NOT NULL").withColumns({"org_id": F.lit(org), "action": F.upper(F.coalesce("action", F.lit("ALERT"))), "is_false_positive": F.lit(None).cast("boolean")})
+
+
 def counters(checked: DataFrame, store: DataFrame) -> DataFrame:
     """accepted, skipped (duplicates), errors of a batch."""
     good = checked.where("reason IS NULL")

@@ -1,32 +1,64 @@
-"""Structured Streaming: ingest with checks and idempotence, windows, and call pairing."""
+"""Structured Streaming: ingest with checks and idempotence, alerts, windows, and call pairing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tracequill.sources.audit_log import ENVELOPE
+from tracequill.operators.rules import alert_bodies
+from tracequill.sources.audit_log import ENVELOPE, VIOLATION
 from tracequill.sources.ingest import validated
 
+#: The column that holds a line that isn't a JSON object of the schema.
+RAW = "_malformed"
+
 
 def events(spark: SparkSession, folder: str, schema: StructType = ENVELOPE, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of JSON event files; lines that aren't JSON arrive as rows of nulls and fail the checks."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    """A stream of JSON event files; a line that isn't JSON arrives as nulls with the line itself in RAW, and fails the checks."""
+    whole = StructType([*schema.fields, StructField(RAW, StringType())])
+    return spark.readStream.schema(whole).option("maxFilesPerTrigger", files_per_trigger).option("columnNameOfCorruptRecord", RAW).json(folder)
+
+
+def _stored(spark: SparkSession, store: str, schema: StructType, number: int) -> DataFrame:
+    """Ids in the store from other batches; empty where nothing was stored yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema).select("event_id")
+    found = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(store)
+    return found.where(F.col("batch") != str(number)).select("event_id")
 
 
-def ingest(stream: DataFrame, store: str, quarantine: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Appends good events, one of each id, to the store and the rest to the quarantine. The checkpoint stands for the consumer group."""
+def ingest(stream: DataFrame, store: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+    """Appends good events to the store, one of each id whenever it comes, and every bad line to the quarantine.
+
+    An event is new if the store lacks its id, however late it is or however often it was sent; ids are compared with the store at each batch. The checkpoint stands for the consumer group.
+    """
+    schema = StructType([f for f in stream.schema.fields if f.name != RAW])
 
     def put(batch: DataFrame, number: int) -> None:
         # the batch number is part of the path and the write replaces it, so a batch that is run again changes nothing
-        batch.where("reason IS NULL").drop("missing", "reason", "event_time").write.mode("overwrite").parquet(f"{store}/batch={number}")
-        batch.where("reason IS NOT NULL").drop("event_time").write.mode("overwrite").json(f"{quarantine}/batch={number}")
+        checked = validated(batch).persist()
+        good = checked.where("reason IS NULL").select(*schema.names).dropDuplicates(["event_id"])
+        good = good.join(_stored(batch.sparkSession, store, schema, number), "event_id", "left_anti").select(*schema.names)
+        good.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        checked.where("reason IS NOT NULL").write.mode("overwrite").json(f"{quarantine}/batch={number}")
+        checked.unpersist()
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def alerts(stream: DataFrame, store: str, outbox: str, checkpoint: str, secret: str | None = None, least: str = "MEDIUM") -> StreamingQuery:
+    """Appends violations to the store and the bodies of their alerts, by channel, to the outbox; nothing is sent. stream: VIOLATION rows."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.where("rule_name IS NOT NULL AND session_id IS NOT NULL").persist()
+        rows.select(*VIOLATION.names).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        alert_bodies(rows, secret, least).write.mode("overwrite").parquet(f"{outbox}/batch={number}")
+        rows.unpersist()
 
-    checked = validated(stream).withColumn("event_time", F.coalesce(F.timestamp_micros(F.expr("timestamp_ns div 1000")), F.current_timestamp()))
-    unique = checked.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["event_id"])
-    return unique.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
