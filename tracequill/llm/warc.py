@@ -12,7 +12,6 @@ Rows with a null id get record ids of their own and never win. An empty table gi
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import uuid
 
@@ -27,6 +26,8 @@ from tracequill.llm.common import new_folder, open_fs, ship, written
 
 #: Bytes of records in a frame, before compression.
 FRAME = 1 << 20
+#: Parts of the rows of one payload.
+SALTS = 64
 #: Fixed values of the seekable format: the skippable frame's magic number and the seek table's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame_at long, frame_bytes long, at long, record_bytes long"
@@ -107,10 +108,11 @@ def seek_table(source) -> list[tuple[int, int, int]]:
 def with_winners(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, body (binary), refers_to: the page whose payload this one repeats, or null."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("body"))
-    rows = rows.withColumn("body_key", F.sha2("body", 256))
+    # a payload may have very many copies: its winner goes to each part of its rows, and no part is one task's whole load
+    rows = rows.withColumns({"body_key": F.sha2("body", 256), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
     long_enough = F.octet_length("body") >= least_bytes
-    first = rows.where(long_enough).groupBy("body_key").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").select("body_key", "winner")
-    return rows.join(first, "body_key", "left").select("page_id", "url", "body", F.when(~F.col("winner").eqNullSafe(F.col("page_id")), F.col("winner")).alias("refers_to"))
+    first = rows.where(long_enough).groupBy("body_key").agg(F.max("page_id").alias("winner"), F.count("*").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    return rows.join(first.select("body_key", "winner", F.explode("salts").alias("salt")), ["body_key", "salt"], "left").select("page_id", "url", "body", F.when(~F.col("winner").eqNullSafe(F.col("page_id")), F.col("winner")).alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000, seen: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -142,37 +144,73 @@ def write_bundles(pages: DataFrame, folder: str | None = None, least_bytes: int
     return written(with_winners(pages, least_bytes).mapInArrow(run, INDEX), "warc-index")
 
 
+_ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+
+
+def _row(record: bytes, where: str) -> tuple:
+    """What one record says, in the order of _ROWS; a response's payload must have its digest."""
+    fields, payload = parse_record(record)
+    revisit = fields["WARC-Type"] == "revisit"
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError(f"damaged record in {where}")
+    number = lambda k: int(fields[k]) if fields.get(k) else None
+    return number("X-Page-Id"), fields["WARC-Target-URI"], number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page-Id"), None if revisit else payload
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], [f.split()[0] for f in _ROWS.split(", ")])
+
+
+def _frame(bundle: str, at: int, size: int) -> bytes:
+    fs, name = open_fs(bundle)
+    with fs.open_input_file(name) as f:
+        f.seek(at)
+        return zstandard.ZstdDecompressor().decompress(f.read(size))
+
+
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record again, frame by frame: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+    """Every record of the indexed bundles again, frame by frame as their seek tables say: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
 
-    def run(batches):
+    def frames(batches):
         for b in batches:
-            for bundle, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for bundle in b.column(0).to_pylist():
                 fs, name = open_fs(bundle)
                 with fs.open_input_file(name) as f:
-                    f.seek(at)
-                    raw = zstandard.ZstdDecompressor().decompress(f.read(size))
-                rows, source = [], io.BytesIO(raw)
-                while source.tell() < len(raw):
-                    begin = source.tell()
+                    at, size, _ = zip(*seek_table(f), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([bundle] * len(at)), pa.array(at, pa.int64()), pa.array(size, pa.int64())], ["bundle", "frame_at", "frame_bytes"])
+
+    def run(batches):
+        for b in batches:
+            for bundle, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                raw, rows, begin = _frame(bundle, at, size), [], 0
+                while begin < len(raw):
                     head_end = raw.index(b"\r\n\r\n", begin)
-                    length = int(raw[begin:head_end].rsplit(b"Content-Length: ", 1)[1])
-                    source.seek(head_end + 8 + length)
-                    fields, payload = parse_record(raw[begin : source.tell()])
-                    revisit = fields["WARC-Type"] == "revisit"
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"damaged record in {bundle} at {at}")
-                    number = lambda k: int(fields[k]) if fields.get(k) else None
-                    rows.append((number("X-Page-Id"), fields["WARC-Target-URI"], number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page-Id"), None if revisit else payload))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frames = index.select("bundle", "frame_at", "frame_bytes").repartition(parts, "bundle", "frame_at").distinct()  # the count is given, so that frames aren't gathered in few tasks
-    return frames.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+                    end = head_end + 8 + int(raw[begin:head_end].rsplit(b"Content-Length: ", 1)[1])
+                    rows.append(_row(raw[begin:end], f"{bundle} at {at}"))
+                    begin = end
+                yield _batch(rows)
+
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the count is given, so that frames aren't gathered in few tasks
+    found = index.select("bundle").distinct().repartition(parts, "bundle").mapInArrow(frames, "bundle string, frame_at long, frame_bytes long")
+    return found.repartition(parts, "bundle", "frame_at").mapInArrow(run, _ROWS)
+
+
+def read_records(index: DataFrame) -> DataFrame:
+    """The records of the index rows alone: each frame is decompressed once, and only the bytes at the records' offsets are parsed."""
+
+    def run(batches):
+        for b in batches:
+            for bundle, at, size, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = _frame(bundle, at, size)
+                yield _batch([_row(raw[p["at"] : p["at"] + p["record_bytes"]], f"{bundle} at {at}") for p in places])
+
+    # a frame holds some FRAME bytes of records, so its list of places is bounded
+    frames = index.groupBy("bundle", "frame_at", "frame_bytes").agg(F.collect_list(F.struct("at", "record_bytes")).alias("places"))
+    return frames.mapInArrow(run, _ROWS)
 
 
 def read_record(index: DataFrame, page_id: int) -> DataFrame:
-    """One page's records: only their frames are read."""
-    return read_bundles(index.where(F.col("page_id") == page_id)).where(F.col("page_id") == page_id)
+    """One page's records: of all bundles only their frames are read, and of these only the records."""
+    return read_records(index.where(F.col("page_id") == page_id))
