@@ -1,6 +1,7 @@
 """Operators on single rows: chat, HTML, WARC, packing, BPE, token files, toxicity."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -97,6 +98,27 @@ def test_packing(spark, pool):
     assert packing.pack(documents(spark).limit(0), WORD).count() == 0
 
 
+def test_windows_come_from_the_program():
+    """Most windows have no cut, whatever the lengths; a window is cut only where no multiset fills it, and then by its slack."""
+    r = random.Random(8)
+    for lengths in ([r.randint(1, 255) for _ in range(3000)], [100] * 500, [200, 200, 200, 57]):
+        pool = packing.Pool(256)
+        for i, n in enumerate(lengths):
+            pool.add((i, 0, n, np.full(n, i, "<u4")))
+        exact = list(pool.exact())
+        assert all(sum(len(p[3]) for p in w) == 256 for w in exact)
+        left = sum(s * len(x) for s, x in pool.held.items())
+        rest = list(pool.rest())
+        sizes = [sum(len(p[3]) for p in w) for w in rest]
+        assert sizes == [256] * (left // 256) + [1 << b for b in range(8, -1, -1) if left % 256 >> b & 1] and not pool.held and pool.n == 0
+        pieces = sorted((p[0], p[1], len(p[3])) for w in exact + rest for p in w)
+        for i, n in enumerate(lengths):
+            own = [p for p in pieces if p[0] == i]
+            assert own[0][1] == 0 and sum(p[2] for p in own) == n and all(a[1] + a[2] == b[1] for a, b in itertools.pairwise(own))
+        cuts = len(pieces) - len(lengths)
+        assert cuts <= len(rest) and (len(exact) > 0.8 * (len(exact) + len(rest)) or len(set(lengths)) < 3)
+
+
 def test_subset_sums_against_brute_force():
     r = random.Random(5)
     for _ in range(200):

@@ -4,8 +4,9 @@ Each document is tokenized whole, ended with an end id and cut into full windows
 is one piece. A task keeps a pool of such pieces, counted by length. To fill a window it takes the
 longest piece and asks a bitset subset-sum program for the multiset of other lengths whose sum comes
 closest to the room left; layers of the bitset give the counts back. A multiset with no slack is used as often as the
-pool allows. Windows with slack wait for more pieces; at the end of a partition the rest is cut to
-full windows and then to powers of two, so no sequence is padded.
+pool allows. Windows with slack wait for more pieces. When a pool is full of such pieces, or at the end of a partition, the program's closest multisets
+are taken all the same, and their slack is filled with the head of one more piece, whose tail stays in the pool; what is less than a window at the very end
+is cut to powers of two, so no sequence is padded.
 
 Null or empty texts give the end id alone. Repeated rows and ties are packed like any others; an
 empty table gives no rows. Sequence ids are unique across partitions and depend on the partition's rows only, so a
@@ -85,24 +86,31 @@ class Pool:
         self.held.update(waiting)
 
     def rest(self):
-        """All that is left: the best windows, filled up with a cut, then powers of two."""
-        todo = [p for s in sorted(self.held, reverse=True) for p in self.held[s]]
-        self.held.clear()
-        self.n = 0
-        total = sum(len(p[3]) for p in todo)
-        sizes = [self.window] * (total // self.window)
-        sizes += [1 << b for b in range(self.window.bit_length(), -1, -1) if total % self.window >> b & 1]
-        todo.reverse()
-        for room in sizes:
-            out = []
+        """All that is left: for the longest piece the multiset of least slack, and a cut for that slack; in the end, powers of two."""
+        total = sum(size * len(x) for size, x in self.held.items())
+        while total >= self.window:
+            window = [self._take(max(self.held))]
+            room = self.window - len(window[0][3])
+            best, used = closest({s: len(x) for s, x in self.held.items()}, room)
+            window += [self._take(s) for s in sorted(used, reverse=True) for _ in range(used[s])]
+            if best < room:  # each piece that is left is longer than the slack, or the program would have taken it
+                window.append(self._head(room - best))
+            total -= self.window
+            yield window
+        while self.held:
+            room, part = 1 << total.bit_length() - 1, []
+            total -= room
             while room:
-                doc, start, n, ids = todo.pop()
-                if len(ids) > room:
-                    todo.append((doc, start + room, n, ids[room:]))
-                    ids = ids[:room]
-                out.append((doc, start, n, ids))
-                room -= len(ids)
-            yield out
+                size = max(self.held)
+                part.append(self._take(size) if size <= room else self._head(room))
+                room -= len(part[-1][3])
+            yield part
+
+    def _head(self, size: int) -> tuple:
+        """The first ids of the longest piece; the others stay in the pool."""
+        doc, start, n, ids = self._take(max(self.held))
+        self.add((doc, start + size, n, ids[size:]))
+        return doc, start, n, ids[:size]
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +142,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, words.SLICE):
                 whole, begin = coder.encode(part.column(1), end_id)
                 for doc, i, j in zip(part.column(0).to_pylist(), begin.tolist(), begin[1:].tolist()):
                     ids, n = whole[i:j], j - i
