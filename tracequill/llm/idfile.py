@@ -31,11 +31,14 @@ from tracequill.llm import words
 from tracequill.llm.bpe import slices
 from tracequill.llm.common import new_folder, open_fs, ship, written
 
-MAGIC = b"TQIDS003"
+MAGIC = b"TQIDS004"
 #: Ids in a block, and the most blocks that are worked on in step.
 BLOCK, LANES = 2048, 4096
 #: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
-ONE_BITS, TWO_BITS, REFRESH = 9, 10, 128
+ONE_BITS, TWO_BITS, REFRESH = 9, 10, 256
+#: Bits of the range coder's words; a range has two of them.
+WORD = 24
+LOW = (1 << WORD) - 1
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
 _SQUASH = np.clip(np.searchsorted(_STRETCH, np.arange(-2048, 2048)), 32, 4064).astype(np.int64)
 #: A slot's next confidence (0 to 7) after a wrong guess, then after a right one.
@@ -65,8 +68,10 @@ class Model:
         one = last1 * 40503
         return (one & 0xFFFF) >> 16 - ONE_BITS, (one + last2 * 60493 & 0xFFFFF) >> 20 - TWO_BITS
 
-    def refresh(self) -> None:
-        """Frequencies of the high parts, 4096 together, each at least 1."""
+    def refresh(self, seen: np.ndarray | None = None) -> None:
+        """Frequencies of the high parts, 4096 together, each at least 1. seen: the cells that were coded since the last time."""
+        if seen is not None:
+            self.count += (np.bincount(seen.ravel(), minlength=len(self.count)) << 5).astype(np.int32)
         count = self.count[:-1].reshape(self.n, self.symbols)
         total = count.sum(axis=1, keepdims=True)
         freq = 1 + count * (4096 - self.symbols) // np.maximum(total, 1)
@@ -104,10 +109,10 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
     """ids: one block per row. The bytes of each: the range coder's words, then the low parts of the ids that were not guessed."""
     lanes, steps = ids.shape
     m = Model(lanes, vocab)
-    room = steps * 3 // 2 + 8
+    room = steps + 8  # a step takes 19 bits at most
     out, pos = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
     first = pos.copy()
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 2 * WORD, np.int64)
     columns = np.zeros((steps + 2, lanes), np.int32)
     columns[2:] = ids.T
     missed = np.zeros((steps, lanes), bool)
@@ -115,6 +120,7 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
         end = min(steps, begin + REFRESH)
         at = np.stack(m.contexts(columns[begin + 1 : end + 1].astype(np.int64), columns[begin:end].astype(np.int64)), axis=1) + m.base
         high = m.rows + (columns[begin + 2 : end + 2] >> m.low_bits)
+        coded = np.empty((end - begin, lanes), np.int64)
         for t in range(begin, end):
             now = columns[t + 2]
             cand, p = m.guess(at[t - begin])
@@ -123,35 +129,32 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
             low += np.where(right, 0, bound)
             width = np.where(right, bound, width - bound)
             np.logical_not(right, out=missed[t])
-            h = np.where(right, m.none, high[t - begin])
+            h = coded[t - begin] = np.where(right, m.none, high[t - begin])
             span = m.span.take(h)
             r = width >> 12
             low += r * (span >> 13)
             width = r * (span & 8191)
-            m.count[h] += 32
-            need = np.flatnonzero(width < 1 << 32)
-            while len(need):
-                x, q = low[need], pos[need]
-                out[q] = x >> 32  # bit 16 is a carry for the word before
-                pos[need] = q + 1
-                low[need] = (x & 0xFFFFFFFF) << 16
-                width[need] = w = width[need] << 16
-                need = need[w < 1 << 32]
+            need = np.flatnonzero(width <= LOW)
+            x, q = low.take(need), pos.take(need)
+            out[q] = x >> WORD  # the bit above the word is a carry for the one before
+            pos[need] = q + 1
+            low[need] = (x & LOW) << WORD
+            width[need] = width.take(need) << WORD
             m.learn(now, right)
-        m.refresh()
-    for _ in range(3):
-        out[pos] = low >> 32
+        m.refresh(coded)
+    for _ in range(2):
+        out[pos] = low >> WORD
         pos += 1
-        low = (low & 0xFFFFFFFF) << 16
+        low = (low & LOW) << WORD
     parts = columns[2:] & (1 << m.low_bits) - 1
     kind = "<u1" if m.low_bits == 8 else "<u4"
     done = []
     for i in range(lanes):
         x = out[first[i] : pos[i]].copy()
-        while len(big := np.flatnonzero(x > 0xFFFF)):
-            x[big] -= 1 << 16
+        while len(big := np.flatnonzero(x > LOW)):
+            x[big] -= 1 << WORD
             np.add.at(x, big - 1, 1)
-        done.append(struct.pack("<I", len(x)) + x.astype("<u2").tobytes() + parts[missed[:, i], i].astype(kind).tobytes())
+        done.append(struct.pack("<I", len(x)) + x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : WORD // 8].tobytes() + parts[missed[:, i], i].astype(kind).tobytes())
     return done
 
 
@@ -165,23 +168,25 @@ def decode_blocks(blocks: list[bytes], steps: int, vocab: int) -> np.ndarray:
         size = struct.unpack_from("<I", b)[0]
         pos.append(n)
         at_part.append(k)
-        coded.append(np.frombuffer(b, "<u2", size, 4))
-        parts.append(np.frombuffer(b, kind, offset=4 + 2 * size))
+        coded.append(np.frombuffer(b, np.uint8, size * WORD // 8, 4).reshape(-1, WORD // 8))
+        parts.append(np.frombuffer(b, kind, offset=4 + size * WORD // 8))
         n += size
         k += len(parts[-1])
-    coded = np.concatenate([*coded, np.zeros(4 + steps, np.uint16)]).astype(np.int64)
+    coded = np.concatenate([*coded, np.zeros((4 + steps, WORD // 8), np.uint8)])
+    coded = coded[:, 0] | coded[:, 1].astype(np.int64) << 8 | coded[:, 2].astype(np.int64) << 16
     parts = np.concatenate([*parts, np.zeros(1, kind)]).astype(np.int32)
     pos, at_part = np.array(pos), np.array(at_part)
-    code = coded[pos] << 32 | coded[pos + 1] << 16 | coded[pos + 2]
-    pos += 3
-    width = np.full(lanes, 1 << 48, np.int64)
+    code = coded[pos] << WORD | coded[pos + 1]
+    pos += 2
+    width = np.full(lanes, 1 << 2 * WORD, np.int64)
     result = np.zeros((steps + 2, lanes), np.int32)
     lane = np.arange(lanes) << 12
-    names = np.tile(np.arange(m.symbols, dtype=np.int16), lanes)
+    names = np.tile(np.arange(m.symbols, dtype=np.uint8 if m.symbols <= 256 else np.int16), lanes)
+    seen = np.empty((REFRESH, lanes), np.int64)
     for t in range(steps):
         if t % REFRESH == 0:
             if t:
-                m.refresh()
+                m.refresh(seen)
             which = np.repeat(names, m.freq)  # the symbol of each of a lane's 4096 places
         cand, p = m.guess(np.stack(m.contexts(result[t + 1].astype(np.int64), result[t].astype(np.int64))) + m.base)
         bound = (width >> 12) * p
@@ -189,21 +194,18 @@ def decode_blocks(blocks: list[bytes], steps: int, vocab: int) -> np.ndarray:
         code -= np.where(right, 0, bound)
         width = np.where(right, bound, width - bound)
         r = width >> 12
-        high = which[lane + np.minimum(code // r, 4095)]
-        h = np.where(right, m.none, m.rows + high)
-        span = m.span[h]
+        high = which.take(lane + np.minimum(code // r, 4095))
+        h = seen[t % REFRESH] = np.where(right, m.none, m.rows + high)
+        span = m.span.take(h)
         code -= r * (span >> 13)
         width = r * (span & 8191)
-        m.count[h] += 32
         now = np.where(right, cand, (high.astype(np.int32) << m.low_bits) + parts[at_part])
         at_part += ~right
-        need = np.flatnonzero(width < 1 << 32)
-        while len(need):
-            q = pos[need]
-            code[need] = code[need] << 16 | coded[q]
-            pos[need] = q + 1
-            width[need] = w = width[need] << 16
-            need = need[w < 1 << 32]
+        need = np.flatnonzero(width <= LOW)
+        q = pos.take(need)
+        code[need] = code.take(need) << WORD | coded.take(q)
+        pos[need] = q + 1
+        width[need] = width.take(need) << WORD
         result[t + 2] = now
         m.learn(now, right)
     return np.ascontiguousarray(result[2:].T)
@@ -310,7 +312,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str |
         name, made, out, n = f"{base}/part-{part:06d}.ids", f"{base}/.writing-{uuid.uuid4().hex}", None, 0
         sink = None
         for b in batches:
-            for s in slices(b):
+            for s in slices(b, words.SLICE):
                 if out is None:
                     sink = fs.open_output_stream(made)
                     out = Writer(sink, len(coder.ends))

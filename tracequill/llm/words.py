@@ -17,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers.
-KEEP = 400_000
+from tracequill.llm.bpe import byte_letters
+
+#: Pieces in each of the two generations that a worker remembers, and bytes of texts that are encoded together.
+KEEP, SLICE = 250_000, 16_000_000
 #: A piece that ends in an ASCII letter before ASCII marks: the two sides never share a token.
 MARKED = re.compile(rb"(.*[a-z])([^a-z0-9'\x80-\xff][^a-z0-9\x80-\xff]*)", re.S)
 #: Letters of Latin-1 only, or marks of ASCII only: one pre-token, hence one end-of-word id.
@@ -26,13 +28,19 @@ PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-
 
 
 class _Known(dict):
-    """Ids by piece; notes the pieces that it lacks."""
+    """Ids by piece, with those of an older generation; takes over what it finds there, and notes the pieces that both lack."""
 
-    def __init__(self):
+    def __init__(self, old: dict[bytes, bytes]):
+        self.old = old
         self.missed: set[bytes] = set()
 
-    def __missing__(self, piece: bytes) -> None:
-        self.missed.add(piece)
+    def __missing__(self, piece: bytes) -> bytes | None:
+        got = self.old.get(piece)
+        if got is None:
+            self.missed.add(piece)
+        else:
+            self[piece] = got
+        return got
 
 
 class WordCoder:
@@ -51,7 +59,8 @@ class WordCoder:
         self.sep = spec["added_tokens"][0]["content"]
         self.sep_id = spec["added_tokens"][0]["id"]
         self.keep = keep
-        self.known = _Known()
+        self.letters = {i: c for i, c in enumerate(byte_letters()) if c != chr(i)}
+        self.known = _Known({})
 
     @staticmethod
     def check(spec: dict) -> None:
@@ -75,24 +84,18 @@ class WordCoder:
         return True
 
     def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) + len(pieces) > self.keep:
-            self.known.clear()  # what these texts found before stays with them
         known, halves, plain, other = self.known, {}, set(), set()
         for p in pieces:
             m = MARKED.fullmatch(p)
             if m:
                 halves[p] = m.groups()
             for w in m.groups() if m else (p,):
-                if w not in known:
+                if w not in known and w not in known.old:
                     (plain if PLAIN.fullmatch(w) else other).add(w)
-        for w in [w for w in plain if w.isascii() and w.isalpha()]:  # nothing to normalise: the library's model alone
-            known[w] = np.array([x.id for x in self.model.tokenize(w.decode())], "<u4").tobytes()
-            plain.remove(w)
         words = list(plain)
-        if words:
-            ids = self._library(b" ".join(words).decode())
-            if not self._put(words, ids, np.flatnonzero(self.ends[ids]) + 1):
-                other.update(words)
+        if words:  # one pre-token each once in lower case, so the library's model alone
+            tokens = [self.model.tokenize(w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.letters)) for w in words]
+            self._put(words, np.array([x.id for t in tokens for x in t], "<u4"), np.cumsum(list(map(len, tokens))))
         words = list(other)
         if words:
             ids = self._library("".join(w.decode() + self.sep for w in words))
@@ -121,11 +124,16 @@ class WordCoder:
         pieces = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         coded = pieces.flatten().dictionary_encode()
         ids, length = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
-        start = np.cumsum(length) - length
+        start = np.cumsum(length, dtype=np.int32) - length
         which = coded.indices.to_numpy(zero_copy_only=False)
-        count = length[which]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        out = ids[np.repeat(start[which] - ends[:-1], count) + np.arange(ends[-1])] if len(which) else ids[:0]
+        count = length.take(which)
+        ends = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(count, out=ends[1:])
+        if ends[-1] >= 1 << 31:
+            raise ValueError("too many ids at once")
+        at = np.repeat(start.take(which) - ends[:-1].astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        out = ids.take(at)
         offsets = pieces.offsets.to_numpy()
         begin = ends[offsets - offsets[0]]
         if not whole:
@@ -143,11 +151,9 @@ class WordCoder:
         if known.missed:
             self._learn(known.missed)
             got = [known[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
-        return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
-
-    def forget(self) -> None:
-        """Frees what the worker remembers: workers outlive their tasks."""
-        self.known = _Known()
+        if len(known) > self.keep:
+            self.known = _Known(dict(known))
+        return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int32, len(got)) // 4
 
 
 _loaded: dict[str, WordCoder] = {}
