@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
-_paths: dict[int, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tracequill-")
@@ -51,16 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{new_folder(spark, name)}/table"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    out._written_to = path
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Deletes a table that written() made and nothing will read again."""
-    found = _paths.pop(id(df), None)
-    if found:
+    path = getattr(df, "_written_to", None)
+    if path:
         jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(found[1])
+        where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
