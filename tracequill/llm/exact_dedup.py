@@ -1,14 +1,13 @@
 """Exact deduplication by content sort.
 
-Spark samples splitters and range-partitions the rows by their normalised bytes (the first 64, then a hash of
+Spark samples splitters and range-partitions the rows by their normalised bytes (the first HEAD, then a hash of
 all, so that splitters stay small) and then by id, so that a text with very many copies spreads over neighbouring partitions. Each partition is sorted
 (externally, by Spark); equal texts are then adjacent and each is compared in full with its neighbour. A run of equal
 texts at either end of a partition may go on in the next one: the texts of those runs, two for each
 partition, are compared again across partitions.
 
-Null texts count as empty ones, and empty texts are equal to each other. Of equal rows the one with the
-largest (or, by choice, smallest) id stays; where that id itself is repeated, all its rows carry kept = true only if `first_of_ties`
-is false; by default one of them stays. Rows with a null id sort first. An empty table gives no rows. Columns other than the id and the text are not read.
+Null texts count as empty ones, and empty texts are equal to each other. Of equal texts the row with the
+largest (or, by choice, smallest) id stays; where that id itself is repeated, one of its rows is kept. A row with a null id stays only where no other row has its text. An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tracequill.llm.common import row_key, rows_of, ship, written
 
+#: Leading bytes of a text that splitters hold.
+HEAD = 24
 _SCHEMA = "doc_id long, part int, run long, keep_id long, group_size long, nth long, text_sha256 string, edge_text binary"
 
 
@@ -31,7 +32,7 @@ def groups(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column],
     ship(docs.sparkSession)
     sign = {"largest": -1, "smallest": 1}[keep]
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _body(docs, text_col, normalise).alias("body"))
-    rows = rows.withColumns({"head": F.substring("body", 1, 64), "mark": F.xxhash64("body")})  # the driver samples keys of bounded size, not whole texts
+    rows = rows.withColumns({"head": F.substring("body", 1, HEAD), "mark": F.xxhash64("body")})  # the driver samples keys of bounded size, not whole texts
     by_id = F.col("doc_id").desc_nulls_last() if sign < 0 else F.col("doc_id").asc_nulls_last()
     rows = rows.repartitionByRange("head", "mark", by_id).sortWithinPartitions("head", "mark", "body", by_id).select("doc_id", "body")
 
@@ -73,7 +74,7 @@ def groups(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column],
     best = F.max("keep_id") if sign < 0 else F.min("keep_id")
     whole = edges.groupBy("edge_text").agg(best.alias("w_keep"), F.sum("group_size").alias("w_size"), F.min(F.struct("part", "run")).alias("w_first"))
     across = edges.join(whole, "edge_text").select("part", "run", "w_keep", "w_size", (F.struct("part", "run") == F.col("w_first")).alias("w_is_first"))
-    out = found.drop("edge_text").join(F.broadcast(across), ["part", "run"], "left")
+    out = found.drop("edge_text").join(F.broadcast(across), ["part", "run"], "left")  # two rows of numbers a partition at most
     keep_id, first = F.coalesce("w_keep", "keep_id"), F.coalesce("w_is_first", F.lit(True))
     return out.select(
         "doc_id",

@@ -102,7 +102,7 @@ def op5_exact_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op5_exact_content_sort"] = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
+SELECT d.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id DESC NULLS LAST) = 1 AS kept, sha256(d.text) AS text_sha256
 FROM d JOIN g ON d.text = g.text
 """
 
