@@ -247,6 +247,24 @@ def test_wrapper_without_article(spark):
     page = "<html><body><div>Site name</div><div><p>Story %d here</p></div><div>All rights</div></body></html>"
     df = spark.createDataFrame([(i, "http://w.example/", page % i) for i in range(6)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()} == {i: f"Story {i} here" for i in range(6)}
+    # without the host's wrapper nothing tells the template from the story
+    none = spark.createDataFrame([], "host string, wrapper string, pages long")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(df, none).collect()} == {i: f"Site name Story {i} here All rights" for i in range(6)}
+
+
+def test_wrappers_of_generated_sites(spark):
+    """Pages of a host without an article, against what is known of how they were made: template texts go, others stay."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for host in range(4):
+        head, foot = [f"<div>head{host}{i}</div>" for i in range(r.randint(1, 3))], [f"<h3>foot{host}{i}</h3>" for i in range(r.randint(0, 2))]
+        for page in range(5):
+            key = host * 10 + page
+            body = [f"<p>text{key} {i}</p>" for i in range(r.randint(1, 4))]
+            rows.append((key, f"http://h{host}.example/{page}", "".join(["<html><body>", *head, *body, *foot, "</body></html>"])))
+            want[key] = " ".join(f"text{key} {i}" for i in range(len(body)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()} == want
 
 
 def test_alignment_covers_pages():
@@ -271,8 +289,37 @@ def test_toxicity_learns_and_stays_in_bounds(spark, sf):
     assert toxicity.fit(docs, labels.limit(0)).score(documents(spark)).select("score").distinct().collect()[0][0] == 0.0
 
 
+def plain_features(text, learnt):
+    """The features again, word by word."""
+    text = text or ""
+    low = "".join(" " if 32 < ord(c) < 127 and not c.isalnum() else c for c in text.lower()).split()
+    hits = [i for i, w in enumerate(low) if w in toxicity.SEED.split()]
+    second = [i for i, w in enumerate(low) if w in toxicity.SECOND.split()]
+    n, size = max(1, len(low)), max(1, len(text.encode()))
+    return {
+        "lexicon_density": len(hits) / n, "lexicon_kinds": len({low[i] for i in hits}), "learnt_density": sum(w.encode() in learnt for w in low) / n, "learnt_most": max([learnt[w.encode()] for w in low if w.encode() in learnt], default=0.0),
+        "near_second": sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hits) / max(1, len(hits)), "second_density": len(second) / n, "capitals": sum("A" <= c <= "Z" for c in text) / size,
+        "marks": sum(32 < ord(c) < 127 and not c.isalnum() for c in text) / size, "exclaims": text.count("!") / n, "log_words": np.log1p(len(low)),
+    }
+
+
+@pytest.mark.parametrize("text", ["", None, "You IDIOT!! go away", "a fool and his money far far far far far away from you", "Tu es idiote, crétin", "fine words only", "id1ot you m0r0n $tupid", "STOP shouting, you trash!", "émeu ÉTÉ"])
+def test_toxicity_features(text):
+    learnt = {b"away": 1.5, b"words": 2.0}
+    got = dict(zip(toxicity.NAMES, toxicity.features(text, learnt), strict=True))
+    for name, value in plain_features(text, learnt).items():
+        assert got[name] == pytest.approx(value), name
+    assert got["learnt_weight"] >= got["learnt_most"]
+
+
+def test_obfuscation_is_seen_through():
+    at = {n: i for i, n in enumerate(toxicity.NAMES)}
+    assert toxicity.features("you id1ot", {})[at["mixed_hits"]] == 0.5 and toxicity.features("you idiot", {})[at["mixed_hits"]] == 0 and toxicity.features("m0r0n x", {})[at["mixed"]] == 0.5
+
+
 def test_registered_queries_have_the_contract_columns(spark, sf):
-    want = {"op1": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "op2": ["page_id", "url", "text", "n_chars"], "op3": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op4": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "op7": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]}
+    want = {"op1": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "op2": ["page_id", "url", "text", "n_chars"], "op3": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op4": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "op5": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op6": ["doc_id", "held_out", "score", "predicted"], "op7": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op8": ["doc_id", "start", "n_tokens", "ids_crc32"], "op9": ["query_id", "rank", "vec_id", "score"], "op10": ["doc_id", "n_shingles", "component_id"]}
+    assert {k.split("_")[0] for k in queries.QUERIES} == set(want)
     for name, f in queries.QUERIES.items():
         if (k := name.split("_")[0]) in want:
             assert f(spark, sf).columns[: len(want[k])] == want[k]
