@@ -114,18 +114,24 @@ def test_triangle_windows_alone():
     assert [area.find(i) for i in range(60)] == [find(i) for i in range(60)]
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 4)
     r = random.Random(1)
     vectors = [[r.uniform(-2, 2) for _ in range(6)] for _ in range(300)] + [[1.0] * 6] * 150 + [None, [1.0, None], [float("nan")], [float("inf")], [], [0.5]]
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     fine = {i: [int(np.floor(256 * x)) for x in v] for i, v in enumerate(vectors) if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     got = {}
-    for q, rank, v, s in topk.top_k(df, F.col("vec_id") % 50 == 0, k=7, shard_rows=40, group_rows=4).collect():
+    for q, rank, v, s in topk.top_k(df, F.col("vec_id") % 50 == 0, k=7, shard=40 * 6).collect():
         got.setdefault(q, []).append((rank, v, s))
     for q in [i for i in fine if i % 50 == 0]:
         want = sorted(((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q))[:7]  # zip ends with the shorter one, as zeros would
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert len(got) == len([i for i in fine if i % 50 == 0])
+    for first in (1, 1000):  # shards asked first matter to speed alone
+        again = topk.top_k(df, F.col("vec_id") % 50 == 0, k=7, shard=40 * 6, first=first).collect()
+        assert sorted((q, rank, v, s) for q, rank, v, s in again) == sorted((q, *x) for q, xs in got.items() for x in xs)
+    twice = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [3.0]), (2, [3.0]), (0, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, F.col("vec_id") == 1, k=5).orderBy("rank").collect()] == [(1, 1, 2, 256 * 768), (1, 2, 2, 256 * 768), (1, 3, 0, 65536)]
     few = topk.top_k(df.limit(3), F.col("vec_id") == 0, k=5).collect()
     assert len(few) == 2
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
