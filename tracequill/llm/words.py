@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from tracequill.llm.bpe import byte_letters
 
 #: Pieces in each of the two generations that a worker remembers, and bytes of texts that are encoded together.
-KEEP, SLICE = 250_000, 16_000_000
+KEEP, SLICE = 450_000, 12_000_000
 #: A piece that ends in an ASCII letter before ASCII marks: the two sides never share a token.
 MARKED = re.compile(rb"(.*[a-z])([^a-z0-9'\x80-\xff][^a-z0-9\x80-\xff]*)", re.S)
 #: Letters of Latin-1 only, or marks of ASCII only: one pre-token, hence one end-of-word id.
@@ -49,7 +50,8 @@ class WordCoder:
             spec = json.load(f)
         self.check(spec)
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
+        self.alone = Tokenizer(self.tok.model)
+        self.alone.pre_tokenizer = CharDelimiterSplit(" ")
         self.tok.no_padding()
         self.tok.no_truncation()
         mark = spec["model"]["end_of_word_suffix"]
@@ -94,8 +96,10 @@ class WordCoder:
                     (plain if PLAIN.fullmatch(w) else other).add(w)
         words = list(plain)
         if words:  # one pre-token each once in lower case, so the library's model alone
-            tokens = [self.model.tokenize(w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.letters)) for w in words]
-            self._put(words, np.array([x.id for t in tokens for x in t], "<u4"), np.cumsum(list(map(len, tokens))))
+            mapped = [w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.letters) for w in words]
+            ids = np.array(self.alone.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, "<u4")
+            if not self._put(words, ids, np.flatnonzero(self.ends[ids]) + 1):
+                other.update(words)
         words = list(other)
         if words:
             ids = self._library("".join(w.decode() + self.sep for w in words))
