@@ -11,7 +11,7 @@ import json
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -237,3 +237,19 @@ def alert_bodies(alerts: DataFrame, secret: str | None = None, least: str = "MED
     rows = rows.withColumn("body", body)
     sign = F.when(F.col("channel") == "webhook", signature(F.col("body"), secret)) if secret else F.lit(None).cast("string")
     return rows.select("event_id", "severity", "channel", "body", sign.alias("signature"))
+
+
+#: Rules that code fires, in the order in which a request meets them. The rules of a policy come after them.
+ORDER = (
+    "spawn-depth-exceeded", "ml-classifier-injection-block", "tool-output-injection-block", "tool-output-injection-alert", "tool-output-ml-injection-block", "system-prompt-mutation", "tool-set-mutation", "mcp-tool-definition-block", "mcp-tool-definition-alert",
+    "context-injection-block", "context-injection-alert", "token-budget-exceeded", "llm-call-budget-exceeded", "markov-anomalous-transition", "ml-classifier-injection-alert", "output-threat-detected", "data-exfiltration-attempt", "data-flow-suspicious", "tool-not-in-baseline", "isolation-forest-anomaly",
+)
+
+
+def in_order(verdicts: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Verdicts of several operators (session_id, sequence_number, rule_name, action) as one request meets them: place by the order, others last, none after the first block of an event."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("rule_name"))
+    rows = verdicts.select("session_id", "sequence_number", "rule_name", "action", F.when(place > 0, place).otherwise(len(order) + 1).cast("long").alias("place"))
+    w = Window.partitionBy("session_id", "sequence_number")
+    first = F.min(F.when(F.col("action") == "BLOCK", F.struct("place", "rule_name"))).over(w)
+    return rows.withColumn("_stop", first).where("_stop IS NULL OR struct(place, rule_name) <= _stop").drop("_stop")

@@ -82,6 +82,21 @@ def _cases(e: DataFrame) -> DataFrame:
     return typed(e).select(F.when(k % 3 == 0, "attack").otherwise("clean").alias("expected"), kind.alias("category"), (s >= 0.5).alias("detected"), (s >= 0.8).alias("blocked"), F.create_map(F.lit("structural"), s, F.lit("normalizer"), s / 8).alias("layers"), "latency_ms", F.col("p.tool_input").alias("text"))
 
 
+def _tool_list():
+    """Definitions of tools as JSON, in both shapes and in two orders."""
+    one = F.lit('{"type":"function","function":{"name":"read_file","description":"d","parameters":{"type":"object"}}}')
+    two = F.lit('{"name":"write_file","input_schema":{"b":1,"a":2}}')
+    return F.concat(F.lit("["), F.when(F.col("k") % 3 == 0, F.concat(one, F.lit(","), two)).when(F.col("k") % 3 == 1, F.concat(two, F.lit(","), one)).otherwise(one), F.lit("]"))
+
+
+def _code_verdicts(e: DataFrame) -> DataFrame:
+    """What three operators say of each call, one below the other."""
+    flagged = behaviour.flagged_turns(typed(e).where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", text_scans.label(F.col("injection_score")).alias("label")))
+    rolling = behaviour.rolling_injection(e).where("verdict <> 'PASS'").select("session_id", "sequence_number", F.concat(F.lit("context-injection-"), F.lower("verdict")).alias("rule_name"), F.col("verdict").alias("action"))
+    rare = behaviour.markov(e).where("anomalous").select("session_id", "sequence_number", F.lit("markov-anomalous-transition").alias("rule_name"), F.lit("ALERT").alias("action"))
+    return flagged.unionByName(rolling).unionByName(rare)
+
+
 def _replay(e: DataFrame) -> DataFrame:
     r = reports.replay(e, behaviour.anomalies(e))
     count = lambda c, n: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(n)
@@ -184,6 +199,9 @@ for _name, _f in {
     "data_access_map": reports.data_access,
     "risk_flags": reports.risk_flags,
     "export_normalised": export.normalised,
+    "export_period": lambda e: export.normalised(e, ORG, from_ns=oracle.AS_OF - 20 * 86_400 * 10**9, to_ns=oracle.AS_OF, kinds=("LLM_CALL_END", "SYSTEM_ERROR")).select("event_id", "timestamp_ns"),
+    "code_rules": lambda e: rules.in_order(_code_verdicts(e)),
+    "tool_fingerprints": lambda e: e.where("event_type = 'LLM_CALL_START'").select("event_id", F.pandas_udf(lambda s: s.map(behaviour.fingerprint), "string")(_tool_list()).alias("fingerprint")),
     "export_ndjson": lambda e: export.ndjson(export.normalised(e)),
     "export_splunk": lambda e: export.splunk(export.normalised(e)),
     "export_elastic": lambda e: export.elastic(export.normalised(e)),

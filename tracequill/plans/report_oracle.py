@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracequill.plans.oracle import _A, _LINKS, _SIX, LOG, _with
+from tracequill.plans.oracle import SQL as ORACLE
 
 _KINDS = {"injection": "injection|prompt|crescendo|delimiter", "tool": "tool|rce|ssrf|schema", "output": "output|canary|relay", "credential": "credential|pii|secret|token"}
 _HITS = ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE action = '{a}' AND regexp_matches(rule_name, '{p}')), 0) AS BIGINT) AS {k}_{a.lower()}s" for k, p in _KINDS.items() for a in ("BLOCK", "ALERT"))
@@ -78,6 +79,13 @@ SQL: dict[str, str] = {
     + f"""SELECT event_id, schema_version, org_id, session_id, agent_id, run_id, parent_run_id, event_type, provider, model, 'proxy' AS interception_layer, timestamp_ns, {_ISO} AS timestamp_iso, sequence_number, previous_hash, current_hash, coalesce(pii_detected[1], '') AS pii_detected, latency_ms, total_tokens, {_NONE["BIGINT"]} AS prompt_tokens, {_NONE["BIGINT"]} AS completion_tokens,
       finish_reason, http_status, tool_name, {_NONE["VARCHAR"]} AS tool_call_id, {_NONE["VARCHAR"]} AS error_message, {_NONE["VARCHAR"]} AS error_code, {_NONE["BIGINT"]} AS total_llm_calls, {_NONE["BIGINT"]} AS total_tool_calls, {_NONE["DOUBLE"]} AS session_duration_ms, injection_score AS security_injection_score, {_NONE["VARCHAR"]} AS security_injection_label,
       credential_detected AS security_credential_detected, rce_detected AS security_rce_detected, false AS security_ssrf_detected, false AS security_crescendo_detected, {_NONE["DOUBLE"]} AS security_crescendo_drift, false AS security_output_detected FROM log""",
+    "export_period": _with() + "SELECT event_id, timestamp_ns FROM log WHERE org_id = 'org_0' AND event_type IN ('LLM_CALL_END', 'SYSTEM_ERROR') AND timestamp_ns BETWEEN 1706745600000000000 - 20 * 86400000000000 AND 1706745600000000000",
+    "code_rules": "WITH mk AS (" + ORACLE["markov_scores"] + "), ro AS (" + ORACLE["rolling_injection"] + "), fl AS (" + _with() + """SELECT session_id, sequence_number, lag(injection_score) OVER (PARTITION BY session_id ORDER BY sequence_number) AS b FROM log WHERE event_type = 'LLM_CALL_START'), v AS (
+      SELECT session_id, sequence_number, 2 AS place, 'ml-classifier-injection-block' AS rule_name, 'BLOCK' AS action FROM fl WHERE b >= 0.8
+      UNION ALL SELECT session_id, sequence_number, CASE verdict WHEN 'BLOCK' THEN 10 ELSE 11 END, 'context-injection-' || lower(verdict), verdict FROM ro WHERE verdict <> 'PASS'
+      UNION ALL SELECT session_id, sequence_number, 14, 'markov-anomalous-transition', 'ALERT' FROM mk WHERE anomalous
+    ) SELECT session_id, sequence_number, rule_name, action, CAST(place AS BIGINT) AS place FROM (SELECT *, min(place) FILTER (WHERE action = 'BLOCK') OVER (PARTITION BY session_id, sequence_number) AS stop FROM v) WHERE stop IS NULL OR place <= stop""",
+    "tool_fingerprints": _with() + """SELECT event_id, substr(sha256(CASE WHEN k % 3 = 2 THEN '{"read_file":{"type":"object"}}' ELSE '{"read_file":{"type":"object"},"write_file":{"a":2,"b":1}}' END), 1, 16) AS fingerprint FROM log WHERE event_type = 'LLM_CALL_START'""",
     "benchmark_percentiles": _with() + "SELECT quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99, count(*) AS n, list_sort(list(latency_ms))[least(CAST(floor(CAST(0.95 AS DOUBLE) * count(*)) AS BIGINT), count(*) - 1) + 1] AS p95_rank FROM log WHERE event_type = 'LLM_CALL_END'",
     "benchmark_categories": _with(_CASES) + f"SELECT category, count(*) AS total, count(*) FILTER (WHERE detected) AS detected_cases, count(*) FILTER (WHERE blocked) AS blocked_cases, {_FOUR.format('count(*) FILTER (WHERE detected) / count(*)')} AS detection_rate, {_FOUR.format('count(*) FILTER (WHERE blocked) / count(*)')} AS block_rate FROM cases WHERE expected = 'attack' GROUP BY category",
     "benchmark_layers": _with(_CASES) + f"SELECT layer, {_FOUR.format('count(*) FILTER (WHERE x > 0.1) / count(*)')} AS coverage FROM (SELECT 'structural' AS layer, s AS x FROM cases WHERE expected = 'attack' AND detected UNION ALL SELECT 'normalizer', s / 8 FROM cases WHERE expected = 'attack' AND detected) GROUP BY layer",
