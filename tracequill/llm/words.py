@@ -21,7 +21,7 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 from tracequill.llm.bpe import byte_letters
 
 #: Pieces in each of the two generations that a worker remembers, and bytes of texts that are encoded together.
-KEEP, SLICE = 450_000, 12_000_000
+KEEP, SLICE = 250_000, 4_000_000
 #: A piece that ends in an ASCII letter before ASCII marks: the two sides never share a token.
 MARKED = re.compile(rb"(.*[a-z])([^a-z0-9'\x80-\xff][^a-z0-9\x80-\xff]*)", re.S)
 #: Letters of Latin-1 only, or marks of ASCII only: one pre-token, hence one end-of-word id.
@@ -163,7 +163,9 @@ class WordCoder:
 _loaded: dict[str, WordCoder] = {}
 
 
-def loaded(path: str) -> WordCoder:
+def loaded(path: str, keep: int = KEEP) -> WordCoder:
+    """This worker's coder of a vocabulary, which remembers so many pieces from now on."""
     if path not in _loaded:
         _loaded[path] = WordCoder(path)
+    _loaded[path].keep = keep
     return _loaded[path]
