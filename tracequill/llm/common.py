@@ -9,8 +9,13 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -77,6 +82,42 @@ def rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     return rows.withColumn("_nth", nth).where("_nth = 1 OR NOT _once").drop("_key", "_once", "_nth")
 
 
+def positions(df: DataFrame, order: list[Column], group: str | None = None, name: str = "positions") -> DataFrame:
+    """df, written, with _pos: each row's place from 0 in the given order, within its group where a column of groups (strings without nulls) is named.
+
+    Rows are range-partitioned by group and order, so a large group spreads over partitions, and so do rows that the order leaves equal, by the partition that
+    they came from. Each partition numbers its own rows. A group goes on from one partition to the next at most once a partition: these few offsets are broadcast.
+    """
+    ship(df.sparkSession)
+    keys = [F.col("_group"), *order, F.col("_tie")]
+    rows = df.withColumns({"_group": F.col(group) if group else F.lit(""), "_tie": F.spark_partition_id()})
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+
+    def run(batches):
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            size = b.num_rows
+            if not size:
+                continue
+            g = b.column(b.num_columns - 1)
+            new = np.ones(size, bool)
+            new[1:] = pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = g[0].as_py() != last
+            at = np.arange(size)
+            begins = np.maximum.accumulate(np.where(new, at, -n))  # rows of a group that began in an earlier batch count on from n
+            local = at - begins
+            last, n = g[size - 1].as_py(), int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(size, part, np.int32)), pa.array(local)], [*b.schema.names, "_part", "_local"])
+
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), StructField("_local", LongType())])
+    rows = written(rows.mapInArrow(run, schema), name)
+    so_far = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("_group", "_part").agg(F.count("*").alias("_n"))
+    went_on = runs.select("_group", "_part", F.sum("_n").over(so_far).alias("_before")).where("_before > 0")
+    placed = rows.join(F.broadcast(went_on), ["_group", "_part"], "left")
+    return placed.withColumn("_pos", F.col("_local") + F.coalesce("_before", F.lit(0))).drop("_group", "_part", "_local", "_before")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that tasks can import it."""
     app = spark.sparkContext.applicationId
