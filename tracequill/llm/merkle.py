@@ -107,7 +107,7 @@ def _paths(levels: list[DataFrame], fanout: int, above: DataFrame, extra: list[s
         mine = own.join(up, ["_group_key", "_up"]).select("_group_key", "_idx", F.concat(F.array("preimage"), "_above").alias("path"), *extra)
         # a group whose tree is lower has no node here: what it hangs from goes on
         lower = path.where("_idx = 0 AND size(path) = 0").join(level.where("_idx = 0").select("_group_key"), "_group_key", "left_anti")
-        path = mine.unionByName(lower)
+        path = written(mine.unionByName(lower), "merkle-paths")  # each level is read twice by the next
     return path
 
 
