@@ -90,6 +90,7 @@ def positions(df: DataFrame, order: list[Column], group: str | None = None, name
     """
     ship(df.sparkSession)
     keys = [F.col("_group"), *order, F.col("_tie")]
+    df = written(df, f"{name}-rows")  # sampling the ranges would compute it twice
     rows = df.withColumns({"_group": F.col(group) if group else F.lit(""), "_tie": F.spark_partition_id()})
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
 
