@@ -120,16 +120,16 @@ class Languages:
         kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
         # lettered texts alone go on as texts: the rest need no parsing
         said = F.when(F.regexp_like(docs[text_col].cast("string"), F.lit(r"\p{L}")), docs[text_col].cast("string"))
-        rows = docs.select(*[docs[c] for c in kept], said.alias("_said"))
+        rows = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in kept]).alias("row"), said.alias("said"))
 
         def run(batches):
             model = loaded(samples)
             for b in batches:
-                names, scores = model.best(b.column(b.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*b.schema.names[:-1], "lang_pred", "score"])
+                names, scores = model.best(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-        schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-        return rows.mapInArrow(run, schema)
+        schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+        return rows.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
 
 
 class Parsers:
