@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -119,6 +122,24 @@ def positions(df: DataFrame, order: list[Column], group: str | None = None, name
     return placed.withColumn("_pos", F.col("_local") + F.coalesce("_before", F.lit(0))).drop("_group", "_part", "_local", "_before")
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers live on after their tasks, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A task's function over batches that releases its worker's memory at the end."""
+
+    def task(batches):
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that tasks can import it."""
     app = spark.sparkContext.applicationId

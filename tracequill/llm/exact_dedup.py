@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequill.llm.common import row_key, rows_of, ship, written
+from tracequill.llm.common import row_key, rows_of, ship, tidy, written
 
 #: Leading bytes of a text that splitters hold.
 HEAD = 24
@@ -69,7 +69,7 @@ def groups(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column],
             held.append(close(True))
             yield _joined(held)
 
-    found = written(rows.mapInArrow(run, _SCHEMA), "content-sort")
+    found = written(rows.mapInArrow(tidy(run), _SCHEMA), "content-sort")
     edges = found.where(F.col("edge_text").isNotNull()).select("part", "run", "edge_text", "keep_id", "group_size")  # two rows a partition at most
     best = F.max("keep_id") if sign < 0 else F.min("keep_id")
     whole = edges.groupBy("edge_text").agg(best.alias("w_keep"), F.sum("group_size").alias("w_size"), F.min(F.struct("part", "run")).alias("w_first"))

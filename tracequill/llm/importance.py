@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequill.llm.common import positions, ship, written
+from tracequill.llm.common import positions, ship, tidy, written
 
 #: Bytes of text whose words share a dictionary.
 BLOCK = 4_000_000
@@ -129,7 +129,7 @@ def bucket_counts(texts: DataFrame, n: int = 2, count: int = 10_000) -> DataFram
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["bucket", "n"])
 
-    return texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, n: int = 2, count: int = 10_000) -> list[int]:
@@ -163,7 +163,7 @@ def weighed(docs: DataFrame, gain: list[int], n: int = 2, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (words, features, weight))], ["doc_id", "n_words", "n_features", "weight"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, n_features long, weight long")
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:

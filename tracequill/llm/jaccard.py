@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.llm.bpe import slices
-from tracequill.llm.common import discard, row_key, rows_of, ship, written
+from tracequill.llm.common import discard, row_key, rows_of, ship, tidy, written
 
 #: n-grams known as frequent at most, and how often one must occur to count as frequent.
 FREQUENT, REPORTED = 65_536, 4
@@ -154,7 +154,7 @@ def counted(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "te
         n_maps, n_top = len(maps), len(top)
         return pa.table({"part": pa.array([*part[cut].tolist(), *[None] * n_top], pa.int64()), "bits": pa.array([*maps, *[None] * n_top], pa.binary()), "gram": pa.array([*[None] * n_maps, *v[top].tolist()], pa.int64()), "c": pa.array([*[None] * n_maps, *c[top].tolist()], pa.int64())})
 
-    packed = _texts(docs, id_col, text_col).mapInArrow(pack, "bucket long, blob binary")
+    packed = _texts(docs, id_col, text_col).mapInArrow(tidy(pack), "bucket long, blob binary")
     found = written(packed.groupBy("bucket").applyInArrow(count, "part long, bits binary, gram long, c long"), "jaccard-counts")
     maps = found.where("part IS NOT NULL").groupBy("part").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
     bitmap = np.zeros((1 << GRAM_BITS) // 8, np.uint8)
@@ -203,7 +203,7 @@ def described(docs: DataFrame, n: int, percent: int, bitmap: np.ndarray, common:
 
     texts = _texts(docs, id_col, text_col)
     texts = texts.withColumn("mark", F.xxhash64("text")) if marked else texts
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, c struct<a:long,b:long>, rare array<long>" + ", mark long" * marked), held
+    return texts.mapInArrow(tidy(run), "doc_id long, n_shingles long, c struct<a:long,b:long>, rare array<long>" + ", mark long" * marked), held
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -428,7 +428,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([c, pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))], ["c", "grams"])
 
     texts = _texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    grams = texts.withColumn("at", place(F.col("doc_id"))).mapInArrow(sets, "c struct<id:long,a:long,b:long>, grams array<long>")
+    grams = texts.withColumn("at", place(F.col("doc_id"))).mapInArrow(tidy(sets), "c struct<id:long,a:long,b:long>, grams array<long>")
     found = written(wanted.join(grams, "c").dropDuplicates(["c"]), "jaccard-sets")
     held.destroy()
     return found

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from tracequill.llm import words
 from tracequill.llm.bpe import slices
-from tracequill.llm.common import ship
+from tracequill.llm.common import ship, tidy
 
 #: Pieces in a task's pool before windows without slack are taken from it.
 POOL = 4096
@@ -164,5 +164,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             put(x)
         if rows:
             yield out()
+        coder.forget()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequill.llm.common import ship, written
+from tracequill.llm.common import release, ship, written
 
 #: Insults in four languages, and forms of the second person.
 SEED = "idiot idiots moron morons stupid loser losers trash scum clown worthless pathetic disgusting dumb fool imbecile jerk bastard idiote crétin débile connard ordure minable abruti dummkopf trottel arschloch abschaum blödmann versager estúpido imbécil basura escoria payaso inútil patético asqueroso"
@@ -77,7 +77,9 @@ def features(text: str | None, learnt: dict[bytes, float]) -> list[float]:
 
 def feature_column(text: Column, learnt: dict[bytes, float]) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t, learnt) for t in texts])
+        out = pd.Series([features(t, learnt) for t in texts])
+        release()
+        return out
 
     return F.pandas_udf(run, "array<double>")(text)
 

@@ -72,6 +72,10 @@ class WordCoder:
         if any(re.search(r"\s", t["content"]) or not t["content"].startswith("<|") for t in spec["added_tokens"]):
             raise ValueError("added tokens must be free of white space and begin with <|")
 
+    def forget(self) -> None:
+        """Drops the remembered pieces."""
+        self.known = _Known({})
+
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
