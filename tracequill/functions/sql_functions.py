@@ -15,7 +15,7 @@ def _quoted(text: str) -> str:
 
 
 def _contained(text: str, words) -> str:
-    return f"aggregate(array({', '.join(map(_quoted, words))}), 0, (n, w) -> n + CAST(contains({text}, w) AS INT))"
+    return f"transform(array({text}), x -> aggregate(array({', '.join(map(_quoted, words))}), 0, (n, w) -> n + CAST(contains(x, w) AS INT)))[0]"
 
 
 def _count(pattern: str) -> str:

@@ -43,16 +43,16 @@ _FLAGS = [*_KEYS, "rule_id", "severity", "measure", "sequence_number"]
 def _event_flags(events: DataFrame) -> DataFrame:
     """Flags of single events: slow calls, and sensitive data in the output of tools."""
     hit = F.size(F.array_intersect("pii_detected", F.array(*[F.lit(x) for x in SENSITIVE])))
-    slow = F.get_json_object("payload", "$.latency_ms").try_cast("long")
-    found = F.when(is_("LLM_CALL_END") & (slow > SLOW_MS), F.struct(*_flag("long_latency", "medium", slow, F.col("sequence_number")))).when(is_("TOOL_CALL_END") & (hit > 0), F.struct(*_flag("sensitive_pii_in_output", "critical", hit, F.col("sequence_number"))))
+    slow = F.get_json_object("payload", "$.latency_ms").try_cast("double")
+    found = F.when(is_("LLM_CALL_END") & (slow > SLOW_MS), F.struct(*_flag("LONG_LATENCY", "low", slow, F.col("sequence_number")))).when(is_("TOOL_CALL_END") & (hit > 0), F.struct(*_flag("SENSITIVE_PII_IN_TOOL_OUTPUT", "high", hit, F.col("sequence_number"))))
     return events.select(*_KEYS, found.alias("f")).where("f IS NOT NULL").select(*_KEYS, "f.*")
 
 
 def _session_flags(events: DataFrame) -> DataFrame:
     """Flags of whole sessions with what they rest on, from one grouping: errors, loops of one tool, runaways, changes of the model."""
-    tool = F.when(is_("TOOL_CALL_START"), F.get_json_object("payload", "$.tool_name"))
-    call = is_("LLM_CALL_START")
-    new = call & (F.col("model") != "") & F.coalesce(F.last(F.when(call & (F.col("model") != ""), F.col("model")), ignorenulls=True).over(_by_session((Window.unboundedPreceding, -1))) != F.col("model"), F.lit(True))
+    tool = F.when(is_("TOOL_CALL_START"), F.coalesce(F.get_json_object("payload", "$.tool_name"), F.lit("unknown")))
+    named = F.coalesce(F.col("model") != "", F.lit(False))  # the models of all events count, whatever their type
+    new = named & F.coalesce(F.last(F.when(named, F.col("model")), ignorenulls=True).over(_by_session((Window.unboundedPreceding, -1))) != F.col("model"), F.lit(True))
     rows = events.select(*_KEYS, "sequence_number", "event_type", "model", tool.alias("tool_name"), new.alias("new"))
     # by tool first, so that one more grouping gives the counts of each tool without lists of all calls
     per_tool = rows.groupBy(*_KEYS, "tool_name").agg(F.count("*").alias("n"), F.count_if(is_("SYSTEM_ERROR")).alias("errors"), F.max(F.when(is_("SYSTEM_ERROR"), F.col("sequence_number"))).alias("last_error"), F.count_if(is_("LLM_CALL_START")).alias("calls"), F.count_if(is_("AGENT_FINISH")).alias("ends"), F.collect_list(F.when(F.col("new"), F.struct("sequence_number", "model"))).alias("models"))
@@ -60,11 +60,11 @@ def _session_flags(events: DataFrame) -> DataFrame:
     one = lambda cond, *flag, what=None: F.when(cond, F.struct(*_flag(*flag), (what if what is not None else F.lit(None).cast("string")).alias("what")))
     names = F.array_join(F.transform("models", lambda x: x["model"]), ">")
     found = F.array(
-        one(F.col("errors") >= ERRORS, "high_error_rate", "high", F.col("errors"), F.col("last_error")),
-        one((F.col("calls") >= CALLS) & (F.col("ends") == 0), "runaway_session", "high", F.col("calls")),
-        one(F.size("models") > 1, "model_switch", "medium", F.size("models"), what=names),
+        one(F.col("errors") >= ERRORS, "HIGH_ERROR_RATE", "high", F.col("errors"), F.col("last_error")),
+        one((F.col("calls") >= CALLS) & (F.col("ends") == 0), "RUNAWAY_AGENT", "high", F.col("calls")),
+        one(F.size("models") > 1, "MODEL_SWITCH", "low", F.size("models"), what=names),
     )
-    loops = F.transform("loops", lambda x: F.struct(*_flag("tool_loop", "medium", x["n"]), x["tool_name"].alias("what")))
+    loops = F.transform("loops", lambda x: F.struct(*_flag("TOOL_CALL_LOOP", "medium", x["n"]), x["tool_name"].alias("what")))
     return s.select(*_KEYS, F.explode(F.array_compact(F.concat(found, loops))).alias("f")).select(*_KEYS, "f.*")
 
 
@@ -73,28 +73,28 @@ def _of_rule(flags: DataFrame, rule: str, what: str | None = None) -> DataFrame:
 
 
 def high_error_rate(events: DataFrame) -> DataFrame:
-    return _of_rule(_session_flags(events), "high_error_rate")
+    return _of_rule(_session_flags(events), "HIGH_ERROR_RATE")
 
 
 def tool_loop(events: DataFrame) -> DataFrame:
-    return _of_rule(_session_flags(events), "tool_loop", "tool_name")
+    return _of_rule(_session_flags(events), "TOOL_CALL_LOOP", "tool_name")
 
 
 def long_latency(events: DataFrame) -> DataFrame:
-    return _of_rule(_event_flags(events), "long_latency")
+    return _of_rule(_event_flags(events), "LONG_LATENCY")
 
 
 def sensitive_pii(events: DataFrame) -> DataFrame:
-    return _of_rule(_event_flags(events), "sensitive_pii_in_output")
+    return _of_rule(_event_flags(events), "SENSITIVE_PII_IN_TOOL_OUTPUT")
 
 
 def runaway(events: DataFrame) -> DataFrame:
-    return _of_rule(_session_flags(events), "runaway_session")
+    return _of_rule(_session_flags(events), "RUNAWAY_AGENT")
 
 
 def model_switch(events: DataFrame) -> DataFrame:
-    """Sessions whose calls change the model; runs of the same model count once."""
-    return _of_rule(_session_flags(events), "model_switch", "models")
+    """Sessions whose events change the model; runs of the same model count once."""
+    return _of_rule(_session_flags(events), "MODEL_SWITCH", "models")
 
 
 def anomalies(events: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def anomalies(events: DataFrame) -> DataFrame:
 
 def broken_chains(checked: DataFrame) -> DataFrame:
     """The rule on chains: a critical flag for each session whose links fail. checked: the result of chain.first_failures."""
-    return checked.where("NOT valid").select("session_id", *_flag("chain_integrity_violation", "critical", F.lit(1), F.col("failed_at")))
+    return checked.where("NOT valid").select("session_id", *_flag("CHAIN_INTEGRITY", "critical", F.lit(1), F.col("failed_at")))
 
 
 def baselines(events: DataFrame, org: str | None = None) -> DataFrame:
@@ -211,7 +211,8 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, s
 
 
 #: Names of tools and of arguments that send data out.
-SINK_NAMES = r"(?i)http|request|fetch|curl|send|email|mail|webhook|upload|push|publish|notify|slack|teams|discord|sms|forward|relay|export"
+SINK_WORDS = ("curl", "discord", "email", "export", "fetch", "forward", "http", "mail", "notify", "publish", "push", "relay", "request", "send", "slack", "sms", "teams", "upload", "webhook")
+SINK_NAMES = f"(?i){'|'.join(SINK_WORDS)}"
 SINK_KEYS = ("url", "endpoint", "webhook", "webhook_url", "uri", "destination", "target", "to", "recipient", "address", "server", "api_url", "base_url", "callback", "callback_url")
 
 

@@ -11,12 +11,12 @@ base AS (
   SELECT 'ev_' || event_id AS event_id, '1.0' AS schema_version, 'org_' || (user_id % 2) AS org_id, 'sess_' || user_id AS session_id, 'agent_' || (user_id % 12) AS agent_id,
     CASE WHEN k % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider,
     CASE k % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN '' ELSE 'model_' || (k % 5) END AS model,
-    'run_' || user_id || '_' || (seq // 2) AS run_id, 'run_' || (user_id + 1) || '_' || (seq // 2) AS parent_run_id,
+    'run_' || user_id || '_' || (seq // 2) AS run_id, 'run_' || (user_id + 2) || '_' || (seq // 2) AS parent_run_id,
     CASE kind WHEN 'view' THEN 'LLM_CALL_START' WHEN 'click' THEN 'LLM_CALL_END' WHEN 'signup' THEN 'TOOL_CALL_START' WHEN 'error' THEN 'SYSTEM_ERROR' ELSE CASE WHEN k % 10 = 0 THEN 'AGENT_FINISH' ELSE 'TOOL_CALL_END' END END AS event_type,
     CAST(round(value * 100) AS BIGINT) AS latency_ms, CAST(k * 10 AS BIGINT) AS total_tokens, CAST(k * 7 AS BIGINT) AS nested_tokens, 'tool_' || (k % 3) AS tool_name, 'path=/data/' || k AS tool_input,
     CAST(CASE k % 7 WHEN 0 THEN 503 WHEN 1 THEN 401 ELSE 200 END AS BIGINT) AS http_status, CASE WHEN k % 2 = 0 THEN 'stop' ELSE 'length' END AS finish_reason,
     CAST('0.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS injection_score, k % 29 = 0 AS credential_detected, k % 31 = 0 AS rce_detected, k % 13 <> 0 AS has_payload_hash,
-    CASE WHEN k % 10 = 0 THEN ['US_SSN'] WHEN k % 10 = 1 THEN ['EMAIL_ADDRESS'] ELSE [] END AS pii_detected,
+    CASE WHEN k % 10 = 0 THEN ['US_SSN'] WHEN k % 10 = 1 THEN ['EMAIL_ADDRESS'] WHEN k % 10 = 3 THEN ['CREDIT_CARD', 'US_SSN'] ELSE [] END AS pii_detected,
     us * 1000 AS timestamp_ns, seq AS sequence_number, k,
     CASE WHEN k = 97 THEN 'tampered' WHEN seq = 0 THEN 'GENESIS_sess_' || user_id ELSE sha256('link|' || user_id || '|' || (seq - 1)) END AS previous_hash,
     sha256('link|' || user_id || '|' || seq) AS current_hash
@@ -33,14 +33,14 @@ _MEASURES = f"""count(*) FILTER (WHERE event_type = 'LLM_CALL_START') AS llm_cal
   count(*) FILTER (WHERE event_type = 'SYSTEM_ERROR') AS errors, CAST(coalesce(sum(total_tokens) FILTER (WHERE event_type = 'LLM_CALL_END'), 0) AS BIGINT) AS total_tokens,
   {_LAT} AS avg_latency_ms, count(*) FILTER (WHERE len(pii_detected) > 0) AS pii_events"""
 _FLAGS = """anom AS (
-  SELECT org_id, agent_id, session_id, 'high_error_rate' AS rule_id, 'high' AS severity, count(*) AS measure, max(sequence_number) AS sequence_number FROM log WHERE event_type = 'SYSTEM_ERROR' GROUP BY ALL HAVING count(*) >= 3
-  UNION ALL SELECT org_id, agent_id, session_id, 'tool_loop', 'medium', n, NULL FROM (SELECT org_id, agent_id, session_id, tool_name, count(*) AS n FROM log WHERE event_type = 'TOOL_CALL_START' GROUP BY ALL) WHERE n > 5
-  UNION ALL SELECT org_id, agent_id, session_id, 'long_latency', 'medium', latency_ms, sequence_number FROM log WHERE event_type = 'LLM_CALL_END' AND latency_ms > 30000
-  UNION ALL SELECT org_id, agent_id, session_id, 'sensitive_pii_in_output', 'critical', 1, sequence_number FROM log WHERE event_type = 'TOOL_CALL_END' AND list_contains(pii_detected, 'US_SSN')
-  UNION ALL SELECT org_id, agent_id, session_id, 'runaway_session', 'high', n, NULL FROM (SELECT org_id, agent_id, session_id, count(*) FILTER (WHERE event_type = 'LLM_CALL_START') AS n, count(*) FILTER (WHERE event_type = 'AGENT_FINISH') AS f FROM log GROUP BY ALL) WHERE n >= 20 AND f = 0
-  UNION ALL SELECT org_id, agent_id, session_id, 'model_switch', 'medium', n, NULL FROM switched WHERE n > 1
+  SELECT org_id, agent_id, session_id, 'HIGH_ERROR_RATE' AS rule_id, 'high' AS severity, count(*) AS measure, max(sequence_number) AS sequence_number FROM log WHERE event_type = 'SYSTEM_ERROR' GROUP BY ALL HAVING count(*) >= 3
+  UNION ALL SELECT org_id, agent_id, session_id, 'TOOL_CALL_LOOP', 'medium', n, NULL FROM (SELECT org_id, agent_id, session_id, tool_name, count(*) AS n FROM log WHERE event_type = 'TOOL_CALL_START' GROUP BY ALL) WHERE n > 5
+  UNION ALL SELECT org_id, agent_id, session_id, 'LONG_LATENCY', 'low', latency_ms, sequence_number FROM log WHERE event_type = 'LLM_CALL_END' AND latency_ms > 30000
+  UNION ALL SELECT org_id, agent_id, session_id, 'SENSITIVE_PII_IN_TOOL_OUTPUT', 'high', len(list_intersect(pii_detected, ['US_SSN', 'CREDIT_CARD', 'IBAN_CODE', 'MEDICAL_LICENSE'])), sequence_number FROM log WHERE event_type = 'TOOL_CALL_END' AND list_has_any(pii_detected, ['US_SSN', 'CREDIT_CARD', 'IBAN_CODE', 'MEDICAL_LICENSE'])
+  UNION ALL SELECT org_id, agent_id, session_id, 'RUNAWAY_AGENT', 'high', n, NULL FROM (SELECT org_id, agent_id, session_id, count(*) FILTER (WHERE event_type = 'LLM_CALL_START') AS n, count(*) FILTER (WHERE event_type = 'AGENT_FINISH') AS f FROM log GROUP BY ALL) WHERE n >= 20 AND f = 0
+  UNION ALL SELECT org_id, agent_id, session_id, 'MODEL_SWITCH', 'low', n, NULL FROM switched WHERE n > 1
 )"""
-_SWITCHED = """calls AS (SELECT *, lag(model) OVER (PARTITION BY session_id ORDER BY sequence_number) AS before FROM log WHERE event_type = 'LLM_CALL_START' AND model <> ''),
+_SWITCHED = """calls AS (SELECT *, lag(model) OVER (PARTITION BY session_id ORDER BY sequence_number) AS before FROM log WHERE model <> ''),
 switched AS (SELECT org_id, agent_id, session_id, count(*) AS n, string_agg(model, '>' ORDER BY sequence_number) AS models FROM calls WHERE before IS NULL OR before <> model GROUP BY ALL)"""
 _AGENTS = f"""ag AS (
   SELECT agent_id, count(DISTINCT session_id) AS sessions, {_MEASURES}, coalesce(max(injection_score), 0.0) AS max_injection, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns FROM log WHERE org_id = 'org_0' GROUP BY agent_id
@@ -100,12 +100,12 @@ SQL: dict[str, str] = {
     "violations_list": _with() + "SELECT event_id, rule_name, action, session_id, agent_id, timestamp_ns FROM viol WHERE org_id = 'org_0' AND action = 'BLOCK' ORDER BY timestamp_ns DESC, event_id LIMIT 100",
     "anomalies_list": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE severity = 'high'",
     "anomaly_all": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom",
-    "high_error_rate": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'high_error_rate'",
-    "long_latency": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'long_latency'",
-    "sensitive_pii": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'sensitive_pii_in_output'",
-    "runaway": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'runaway_session'",
-    "tool_loop": _with() + "SELECT org_id, agent_id, session_id, 'tool_loop' AS rule_id, 'medium' AS severity, n AS measure, CAST(NULL AS BIGINT) AS sequence_number, tool_name FROM (SELECT org_id, agent_id, session_id, tool_name, count(*) AS n FROM log WHERE event_type = 'TOOL_CALL_START' GROUP BY ALL) WHERE n > 5",
-    "model_switch": _with(_SWITCHED) + "SELECT org_id, agent_id, session_id, 'model_switch' AS rule_id, 'medium' AS severity, n AS measure, CAST(NULL AS BIGINT) AS sequence_number, models FROM switched WHERE n > 1",
+    "high_error_rate": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'HIGH_ERROR_RATE'",
+    "long_latency": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'LONG_LATENCY'",
+    "sensitive_pii": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'SENSITIVE_PII_IN_TOOL_OUTPUT'",
+    "runaway": _with(*_A) + f"SELECT {_FLAG_COLS} FROM anom WHERE rule_id = 'RUNAWAY_AGENT'",
+    "tool_loop": _with() + "SELECT org_id, agent_id, session_id, 'TOOL_CALL_LOOP' AS rule_id, 'medium' AS severity, n AS measure, CAST(NULL AS BIGINT) AS sequence_number, tool_name FROM (SELECT org_id, agent_id, session_id, tool_name, count(*) AS n FROM log WHERE event_type = 'TOOL_CALL_START' GROUP BY ALL) WHERE n > 5",
+    "model_switch": _with(_SWITCHED) + "SELECT org_id, agent_id, session_id, 'MODEL_SWITCH' AS rule_id, 'low' AS severity, n AS measure, CAST(NULL AS BIGINT) AS sequence_number, models FROM switched WHERE n > 1",
     "violation_stats_buckets": _with() + "SELECT CAST(timestamp_ns // 86400000000000 * 86400000000 AS BIGINT) AS bucket_us, action, count(*) AS count FROM viol GROUP BY ALL",
     "observed_tools": _with() + f"SELECT c.agent_id, c.tool_name, count(*) AS call_count, count(v.rule_name) AS violation_count FROM log c LEFT JOIN viol v ON v.agent_id = c.agent_id AND v.session_id = c.session_id AND v.org_id = c.org_id WHERE c.event_type = 'TOOL_CALL_START' AND c.timestamp_ns > {AS_OF} - 30 * 86400000000000 GROUP BY c.agent_id, c.tool_name",
     "observed_tools_corrected": _with() + f"SELECT agent_id, tool_name, CAST(sum(c) AS BIGINT) AS call_count, CAST(sum(coalesce(v, 0)) AS BIGINT) AS violation_count FROM (SELECT org_id, agent_id, session_id, tool_name, count(*) AS c FROM log WHERE event_type = 'TOOL_CALL_START' AND timestamp_ns > {AS_OF} - 30 * 86400000000000 GROUP BY ALL) LEFT JOIN (SELECT org_id, agent_id, session_id, count(*) AS v FROM viol GROUP BY ALL) USING (org_id, agent_id, session_id) GROUP BY agent_id, tool_name",

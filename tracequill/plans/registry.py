@@ -110,6 +110,19 @@ def _registry_log(e: DataFrame) -> DataFrame:
     return typed(e).select("org_id", F.concat("tool_name", F.lit("_"), "agent_id").alias("agent_id"), op.alias("op"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("p"), k.cast("string"))).alias("purpose"), none.alias("tools"), none.alias("owner"), "timestamp_ns", "event_id")
 
 
+def _planted(d: DataFrame) -> DataFrame:
+    """Texts, some with credentials made from their ids: whole ones, and ones that are a letter short."""
+    n = F.col("doc_id")
+    digits = F.upper(F.sha2(n.cast("string"), 256))
+    key = F.when(n % 11 == 0, F.concat(F.lit(" AKIA"), F.substring(digits, 1, 16))).when(n % 11 == 1, F.concat(F.lit(" ghp_"), F.substring(digits, 1, 36))).when(n % 11 == 2, F.concat(F.lit(" AKIA"), F.substring(digits, 1, 15))).when(n % 11 == 3, F.concat(F.lit(" Bearer "), F.substring(digits, 1, 44))).when(n % 11 == 4, F.concat(F.lit(" password: "), F.substring(digits, 1, 9)))
+    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.coalesce(key, F.lit(""))).alias("text"))
+
+
+def _tool_names(p: DataFrame) -> DataFrame:
+    """Names of tools by brand: types, and of some sizes with their last letter lost or doubled."""
+    return p.select("p_brand", F.explode(F.array_compact(F.array("p_type", F.when(F.col("p_size") % 5 == 0, F.expr("left(p_type, length(p_type) - 1)")), F.when(F.col("p_size") % 7 == 0, F.concat("p_type", F.lit("s")))))).alias("name"))
+
+
 PERMISSIONS = (rules.Rule("deny-tool-2", "BLOCK", ("TOOL_CALL_START",), tools=("tool_2",)), rules.Rule("agent-1-allow-list", "ALERT", ("TOOL_CALL_START",), tools=("*",), except_tools=("tool_0",), agents=("agent_1",)))
 
 for _name, _f in {
@@ -221,14 +234,14 @@ table_query("structural_score", "conversations")(lambda c: c.withColumn("text",
 table_query("tool_output_score", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.round(text_scans.tool_output(F.col("text")).cast("decimal(18,9)"), 6).cast("double").alias("score")))
 table_query("unicode_stego", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.steganography(F.col("text")).alias("severity")))
 table_query("output_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.output_severity(F.col("text")).alias("severity")))
-table_query("credential_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.CREDENTIALS), ",").alias("found")).where("found <> ''"))
+table_query("credential_scan", "documents")(lambda d: _planted(d).select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.CREDENTIALS), ",").alias("found")).where("found <> ''"))
 table_query("pii_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.array_join(text_scans.matched(F.col("text"), text_scans.PII), ",").alias("found"), F.sha2(text_scans.mask(F.col("text")), 256).alias("masked_sha256")).where("found <> ''"))
 table_query("memory_scan", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.memory_score(F.col("text")).alias("score")))
 table_query("mcp_description", "documents")(lambda d: d.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", text_scans.description_risk(F.col("text")).alias("risk")))
-table_query("mcp_names_lev1", "part")(lambda p: p.groupBy("p_brand").agg(F.array_sort(F.collect_set(F.col("p_type"))).alias("names")).select("p_brand", F.explode(text_scans.near_duplicate_names(F.col("names"))).alias("x")).select("p_brand", "x.a", "x.b"))
+table_query("mcp_names_lev1", "part")(lambda p: _tool_names(p).groupBy("p_brand").agg(F.array_sort(F.collect_set("name")).alias("names")).select("p_brand", F.explode(text_scans.near_duplicate_names(F.col("names"))).alias("x")).select("p_brand", "x.a", "x.b"))
 table_query("sanitize_html", "pages")(lambda p: p.select("page_id", text_scans.sanitized(F.col("html")).alias("text"), text_scans.looks_like_html(F.col("html")).alias("is_html")))
 table_query("tool_output_scan", "documents")(lambda d: d.select("doc_id", text_scans.tool_output_scan(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", F.round(F.col("s.score").cast("decimal(18,9)"), 6).cast("double").alias("score"), "s.label", "s.detected", "s.stego_severity"))
-table_query("credential_values", "documents")(lambda d: d.select("doc_id", F.explode(text_scans.credentials(F.coalesce("text", F.lit("")))).alias("c")).select("doc_id", "c.value", "c.label"))
+table_query("credential_values", "documents")(lambda d: _planted(d).select("doc_id", F.explode(text_scans.credentials(F.col("text"))).alias("c")).select("doc_id", "c.value", "c.label"))
 table_query("memory_guard", "documents")(lambda d: d.groupBy(text_scans.memory_verdict(text_scans.memory_score(F.coalesce("text", F.lit("")))).alias("verdict")).agg(F.count("*").alias("n")))
 table_query("spotlighted_pages", "pages")(lambda p: p.select("page_id", F.sha2(text_scans.spotlighted(text_scans.sanitized(F.coalesce("html", F.lit(""))), F.col("url"), F.lit("d1")), 256).alias("wrapped_sha256")))
 table_query("normalize_text", "documents")(lambda d: d.select("doc_id", deep_scans.normalize(F.col("text")).alias("n")).select("doc_id", "n.invisible_count", "n.score", "n.modified"))

@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
       ), t AS (SELECT session_id, checkpoint, 0 AS lvl, pos, n, h FROM r
         UNION ALL SELECT a.session_id, a.checkpoint, a.lvl + 1, a.pos // 2, (a.n + 1) // 2, sha256(unhex(a.h) || unhex(coalesce(b.h, a.h))) FROM t a LEFT JOIN t b ON a.session_id = b.session_id AND a.checkpoint = b.checkpoint AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0 AND a.n > 1
       ) SELECT session_id, checkpoint, events_covered, h AS merkle_root FROM t JOIN (SELECT session_id, checkpoint, max(n) AS events_covered FROM r GROUP BY ALL) USING (session_id, checkpoint) WHERE t.n = 1""",
-    "chain_anomalies": _with(_LINKS) + "SELECT session_id, 'chain_integrity_violation' AS rule_id, 'critical' AS severity, CAST(1 AS BIGINT) AS measure, min(sequence_number) FILTER (WHERE NOT link_ok) AS sequence_number FROM links GROUP BY session_id HAVING NOT bool_and(link_ok)",
+    "chain_anomalies": _with(_LINKS) + "SELECT session_id, 'CHAIN_INTEGRITY' AS rule_id, 'critical' AS severity, CAST(1 AS BIGINT) AS measure, min(sequence_number) FILTER (WHERE NOT link_ok) AS sequence_number FROM links GROUP BY session_id HAVING NOT bool_and(link_ok)",
     "violations_ingest": _with() + "SELECT event_id, rule_name, action, session_id, agent_id, 'org_9' AS org_id, CAST(NULL AS BOOLEAN) AS is_false_positive FROM viol WHERE org_id = 'org_1'",
     "ingest_counters": _with() + "SELECT count(*) FILTER (WHERE k % 7 <> 0 AND k % 4 <> 0) AS accepted, count(*) FILTER (WHERE k % 7 <> 0) * 2 - count(*) FILTER (WHERE k % 7 <> 0 AND k % 4 <> 0) AS skipped, 2 * count(*) FILTER (WHERE k % 7 = 0) AS errors FROM log",
     "session_events_page": _with() + "SELECT session_id, sequence_number, event_type FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_number) AS n FROM log) WHERE n > 2 AND n <= 12 AND event_type = 'LLM_CALL_START'",

@@ -38,19 +38,46 @@ def _masked() -> str:
     return out
 
 
+#: Phrases by rule, as SQL: lists of beginnings and ends, and what stands between.
+_RULES = """
+(['ignore','disregard','forget','override','bypass','do not follow'], ['previous instructions','prior instructions','earlier instructions','above instructions','preceding instructions','all previous','all prior','all preceding','all earlier','any previous','all instructions','all my instructions','all restrictions','all safety','all rules','all guidelines','all filters','your guidelines','your instructions','your training','your rules','your safety','your system','your constraints','your restrictions','your programming','your ethical','the rules','the guidelines','the instructions','the above','everything above','everything before','my instructions','previous guidelines'], ' '),
+(['disable','turn off','remove','bypass','deactivate'], ['safety filters','all safety','all filters','content filters','your filters','your safety','your restrictions','all restrictions','moderation','guardrails'], ' '),
+(['you are now','pretend to be','pretend you are','roleplay as','simulate being'], ['unrestricted','an unrestricted','unfiltered','an unfiltered','dan','jailbroken','an ai without','free of','evil'], ' '),
+(['reveal','print','show me','repeat','output','display','tell me','leak'], ['your system prompt','your instructions','your hidden prompt','your initial prompt','the system prompt'], ' '),
+(['you have no','pretend you have no','act as if you have no','without any','imagine you have no'], ['restrictions','rules','limits','guidelines','filters'], ' '),
+(['ignore','ignorez','oublie','oubliez'], ['les instructions','toutes les instructions','tes instructions','les règles'], ' '),
+(['ignora','olvida','omite'], ['las instrucciones','todas las instrucciones','tus instrucciones','las reglas'], ' '),
+(['ignoriere','vergiss','missachte'], ['alle anweisungen','deine anweisungen','die vorherigen anweisungen','alle regeln'], ' '),
+(['ignora','dimentica'], ['le istruzioni','tutte le istruzioni','le regole'], ' '),
+(['ignore','esqueça'], ['as instruções','as instrucoes','todas as instruções','as regras'], ' '),
+(['negeer','vergeet'], ['alle instructies','vorige instructies','je regels'], ' '),
+(['zignoruj','zapomnij'], ['poprzednie instrukcje','wszystkie instrukcje'], ' '),
+(['önceki talimatları','tüm talimatları'], ['yok say','unut'], ' '),
+(['игнорируй','забудь'], ['все инструкции','предыдущие инструкции','свои правила'], ' '),
+(['تجاهل','انس'], ['جميع التعليمات','التعليمات السابقة'], ' '),
+(['忽略','忘记','无视'], ['之前的指令','所有指令','以上内容'], ''),
+(['以前の指示','すべての指示','上記の指示'], ['を無視','を忘れて'], ''),
+(['이전 지시','모든 지시'], ['무시','잊어'], '를 '),
+([''], ['without safety filters','unrestricted mode','do anything now','enable dan mode','developer mode','jailbreak mode','sudo mode','god mode','no longer bound by','from now on you are','from now on you must','new system prompt','new primary directive','admin override','system override','what is your system prompt','send all data to','exfiltrate','your new task is','your new instructions are','hidden from the user'], '')
+"""
+_PHRASES = f"ph AS (SELECT list(DISTINCT a || gap || b) AS ps FROM (SELECT a, gap, unnest(bs) AS b FROM (SELECT unnest(begins) AS a, bs, gap FROM (VALUES {_RULES}) AS r(begins, bs, gap))))"
+_HITS = "list_sum(list_transform(ps, lambda p: CAST(contains(low, p) AS INTEGER)))"
+
 _SIX = "CAST(round(CAST({} AS DECIMAL(18,9)), 6) AS DOUBLE)"
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
-_STRUCT = f"""s0 AS (SELECT conv_id, turn, least(1.0, {_count(chr(92) + "p{Cf}")} / greatest(CAST(length(text) * CAST(0.005 AS DOUBLE) AS DOUBLE), 1.0)) AS i, least(1.0, {_contained([x.upper() for x in t.DELIMITERS], "upper(text)")} / 2.0) AS m, least(1.0, {_count(t.OVERRIDE_CHARACTERS)} * 10.0) AS o, least(1.0, {_contained(t.PHRASES)} * 0.85) AS p FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
+_PLANTED = "d AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 11 WHEN 0 THEN ' AKIA' || left(x, 16) WHEN 1 THEN ' ghp_' || left(x, 36) WHEN 2 THEN ' AKIA' || left(x, 15) WHEN 3 THEN ' Bearer ' || left(x, 44) WHEN 4 THEN ' password: ' || left(x, 9) ELSE '' END AS text FROM (SELECT doc_id, text, upper(sha256(CAST(doc_id AS VARCHAR))) AS x FROM documents))"
+_STRUCT = f"""{_PHRASES}, s0 AS (SELECT conv_id, turn, least(1.0, {_count(chr(92) + "p{Cf}")} / greatest(CAST(length(text) * CAST(0.005 AS DOUBLE) AS DOUBLE), 1.0)) AS i, least(1.0, {_contained([x.upper() for x in t.DELIMITERS], "upper(text)")} / 2.0) AS m, least(1.0, {_count(t.OVERRIDE_CHARACTERS)} * 10.0) AS o, least(1.0, {_HITS} * 0.85) AS p FROM (SELECT conv_id, turn, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM conversations), ph),
 s1 AS (SELECT conv_id, turn, CAST(i * 0.15 + m * 0.55 + o * 0.35 AS DOUBLE) AS k, CAST(p AS DOUBLE) AS p FROM s0), s2 AS (SELECT conv_id, turn, greatest(0.0, least(1.0, k + p - k * p)) AS s FROM s1)"""
 _STEGO = f"CASE WHEN {_count(t.TAGS)} > 0 THEN 'critical' WHEN {_count(t.BIDI)} > 0 OR {_count(t.ZERO_WIDTH)} > CASE WHEN regexp_matches(text, {_q(t.SHAPED_SCRIPTS)}) THEN 8 ELSE 3 END THEN 'high' WHEN {_count(t.SELECTORS)} > 5 THEN 'low' WHEN regexp_matches(left(text, 2000), {_q(t.HTML_TAG)}) AND regexp_matches(text, {_q(t.HIDING)}) THEN 'high' ELSE 'none' END"
 _CLEAN = f"regexp_replace(text, {_q('|'.join((t.ZERO_WIDTH, t.BIDI, t.TAGS, t.SELECTORS)))}, '', 'g')"
 _RISK = "greatest(0.0, " + ", ".join(f"CASE WHEN contains(lower(text), {_q(p)}) THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for p, w in t.DESCRIPTION_SIGNS) + ")"
-_N = _contained(t.PHRASES)
-_PHRASE = f"CASE WHEN {_N} > 0 THEN least(0.8, {_N} * 0.1 + 0.3) ELSE 0.0 END"
+_PHRASE = "CASE WHEN n > 0 THEN least(0.8, n * 0.1 + 0.3) ELSE 0.0 END"
+_MARKED = _contained(("<|system|>", "<|user|>", "<|assistant|>", "<|im_start|>", "<|im_end|>", "[inst]", "[/inst]", "<<sys>>", "<</sys>>", "[system]", "<s>", "</s>"), "low")
 _RUN = "list_bool_or(list_transform(regexp_extract_all(text, {}), lambda r: coalesce(regexp_matches(try(decode({})), {}), false)))"
 _B64 = _RUN.format(_q(t.MEMORY_BASE64), "from_base64(r || repeat('=', (4 - length(r) % 4) % 4))", _q(t.MEMORY_DECODED))
 _HEX = _RUN.format(_q(t.MEMORY_HEX), "CASE WHEN length(regexp_replace(r, '^[0x]+', '')) % 2 = 0 THEN unhex(regexp_replace(r, '^[0x]+', '')) END", _q(t.MEMORY_DECODED))
-_MEMORY = f"CAST(round(CAST(least(1.0, CASE WHEN regexp_matches(text, {_q(t.MEMORY_DELIMITERS)}) THEN greatest({_PHRASE}, 0.5) ELSE {_PHRASE} END + CASE WHEN coalesce({_B64}, false) THEN 0.4 ELSE 0.0 END + CASE WHEN coalesce({_HEX}, false) THEN 0.4 ELSE 0.0 END) AS DECIMAL(9,6)), 3) AS DOUBLE)"
+_MEMORY = f"CAST(round(CAST(least(1.0, CASE WHEN {_MARKED} > 0 OR regexp_matches(text, {_q(t.MEMORY_HEADS)}) THEN greatest({_PHRASE}, 0.5) ELSE {_PHRASE} END + CASE WHEN coalesce({_B64}, false) THEN 0.4 ELSE 0.0 END + CASE WHEN coalesce({_HEX}, false) THEN 0.4 ELSE 0.0 END) AS DECIMAL(9,6)), 3) AS DOUBLE)"
+_MEMORY_ROWS = f"{_PHRASES}, d0 AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents), d AS (SELECT *, {_HITS} AS n FROM d0, ph)"
 _CREDENTIALS = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, {_q(p)}, {g})) AS value, '{name}' AS label FROM d" for p, name, g in t.TAINTS)
 
 SCAN_SQL: dict[str, str] = {
@@ -60,11 +87,11 @@ SCAN_SQL: dict[str, str] = {
     f" SELECT doc_id, {_SIX.format('x')} AS score, CASE WHEN x < 0.35 THEN 'safe' WHEN x < 0.65 THEN 'suspicious' ELSE 'injection' END AS label, x >= 0.65 AS detected, stego_severity FROM g",
     "unicode_stego": f"WITH {_DOCS} SELECT doc_id, {_STEGO} AS severity FROM d",
     "output_scan": f"WITH {_DOCS}, f AS (SELECT doc_id, {_any(t.CREDENTIALS.values())} AS c, {_contained(t.ECHOES, 'text')} > 0 AS e, {_any(t.RELAYS.values())} AS r FROM d) SELECT doc_id, CASE WHEN c THEN 'critical' WHEN e AND r THEN 'high' WHEN e OR r THEN 'medium' ELSE 'none' END AS severity FROM f",
-    "credential_scan": f"WITH {_DOCS} SELECT * FROM (SELECT doc_id, {_found(t.CREDENTIALS)} AS found FROM d) WHERE found <> ''",
-    "credential_values": f"WITH {_DOCS} SELECT * FROM ({_CREDENTIALS}) WHERE length(value) >= 8",
+    "credential_scan": f"WITH {_PLANTED} SELECT * FROM (SELECT doc_id, {_found(t.CREDENTIALS)} AS found FROM d) WHERE found <> ''",
+    "credential_values": f"WITH {_PLANTED} SELECT * FROM ({_CREDENTIALS}) WHERE length(value) >= 8",
     "pii_scan": f"WITH {_DOCS} SELECT * FROM (SELECT doc_id, {_found(t.PII)} AS found, sha256({_masked()}) AS masked_sha256 FROM d) WHERE found <> ''",
-    "memory_scan": f"WITH {_DOCS} SELECT doc_id, {_MEMORY} AS score FROM d",
-    "memory_guard": f"WITH {_DOCS}, m AS (SELECT {_MEMORY} AS s FROM d) SELECT CASE WHEN s >= 0.7 THEN 'BLOCK' WHEN s >= 0.4 THEN 'ALERT' ELSE 'PASS' END AS verdict, count(*) AS n FROM m GROUP BY ALL",
+    "memory_scan": f"WITH {_MEMORY_ROWS} SELECT doc_id, {_MEMORY} AS score FROM d",
+    "memory_guard": f"WITH {_MEMORY_ROWS}, m AS (SELECT {_MEMORY} AS s FROM d) SELECT CASE WHEN s >= 0.7 THEN 'BLOCK' WHEN s >= 0.4 THEN 'ALERT' ELSE 'PASS' END AS verdict, count(*) AS n FROM m GROUP BY ALL",
     "mcp_description": f"WITH {_DOCS} SELECT doc_id, {_RISK} AS risk FROM d",
-    "mcp_names_lev1": "WITH n AS (SELECT DISTINCT p_brand, p_type AS x FROM part) SELECT a.p_brand, a.x AS a, b.x AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x AND length(a.x) >= 6 AND length(b.x) >= 6 AND levenshtein(lower(a.x), lower(b.x)) = 1 AND lower(a.x) || 's' <> lower(b.x) AND lower(b.x) || 's' <> lower(a.x)",
+    "mcp_names_lev1": "WITH n AS (SELECT DISTINCT p_brand, x FROM (SELECT p_brand, p_type AS x FROM part UNION ALL SELECT p_brand, left(p_type, length(p_type) - 1) FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_brand, p_type || 's' FROM part WHERE p_size % 7 = 0)) SELECT a.p_brand, a.x AS a, b.x AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x AND length(a.x) >= 6 AND length(b.x) >= 6 AND levenshtein(lower(a.x), lower(b.x)) = 1 AND lower(a.x) || 's' <> lower(b.x) AND lower(b.x) || 's' <> lower(a.x)",
 }
