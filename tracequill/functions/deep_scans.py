@@ -7,13 +7,13 @@ import base64
 import binascii
 import codecs
 import html
-import ipaddress
 import json
 import re
 import unicodedata
 import urllib.parse
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,18 +25,17 @@ TAG = re.compile("[\U000e0000-\U000e007f]")
 BASE64_RUN, HEX_RUN, SPACED_RUN = r"(?:[A-Za-z0-9+/]{4}){5,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?", r"\b[0-9a-fA-F]{32,}\b", r"(?:[0-9a-fA-F]{2}\s){9,}[0-9a-fA-F]{2}"
 PERCENT_RUN = r"(?:%[0-9a-fA-F]{2}){3,}"
 B64, HEX, SPACED, PERCENT = (re.compile(p) for p in (BASE64_RUN, HEX_RUN, SPACED_RUN, PERCENT_RUN))
-_SAID = re.compile("|".join(KEYWORDS), re.I)
+ROT13, REVERSED = (tuple(codecs.encode(k, "rot13") for k in KEYWORDS), tuple(k[::-1] for k in KEYWORDS))
 _MARKS = regex.compile(r"\p{Mn}+")
-METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "100.100.100.200", "fd00:ec2::254")
-URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s\"'<>\\]+")
 CALLS = {"eval": 0.95, "exec": 0.95, "compile": 0.85, "__import__": 0.9, "os.system": 0.95, "os.popen": 0.9, "subprocess.run": 0.9, "subprocess.call": 0.9, "subprocess.Popen": 0.9, "shutil.rmtree": 0.85, "pickle.loads": 0.85, "open": 0.65}
 SHELL = ((r"(?:;|\||&&)\s*(?:rm|curl|wget|nc|bash|sh)\b", 0.88), (r"\$\([^)]*\)|`[^`]*`", 0.72), (r"rm\s+-rf?\s+", 0.88), (r"\b(?:chmod|chown|sudo)\s", 0.55), (r"/dev/tcp/", 0.88), (r">\s*/etc/", 0.80))
 SQL = ((r"(?i)\bdrop\s+(?:table|database)\b", 0.90), (r"(?i)\bunion\s+(?:all\s+)?select\b", 0.80), (r"(?i)'\s*or\s+'?1'?\s*=\s*'?1", 0.80), (r"(?i)\bdelete\s+from\b(?!.*\bwhere\b)", 0.75), (r"(?i)\bxp_cmdshell\b", 0.90), (r"--\s*$", 0.55))
 BOOST = {"code": 1.8, "script": 1.8, "command": 1.8, "cmd": 1.8, "query": 1.4, "sql": 1.4, "expression": 1.4}
 
 
-def _said(text: str) -> bool:
-    return _SAID.search(text) is not None
+def _said(text: str, words: tuple[str, ...] = KEYWORDS) -> bool:
+    low = text.lower()
+    return any(w in low for w in words)
 
 
 def _unhexed(digits: str) -> str:
@@ -95,9 +94,10 @@ def normalize_one(text: str | None) -> dict:
     out, hidden, _ = _decoded(out, HEX, _unhexed)
     if hidden:
         saw("hex", 0.70)
-    for name, score, turn in (("rot13", 0.80, lambda t: codecs.encode(t, "rot13")), ("reversed", 0.75, lambda t: t[::-1])):
-        if not _said(out) and _said(turned := turn(out)):
-            out = f"{out} {turned}"
+    # a text whose turned form says a word holds the turned word
+    for name, score, words, turn in (("rot13", 0.80, ROT13, lambda t: codecs.encode(t, "rot13")), ("reversed", 0.75, REVERSED, lambda t: t[::-1])):
+        if _said(out, words) and not _said(out):
+            out = f"{out} {turn(out)}"
             saw(name, score)
     if len(out) > 40 and not encodings and out.count(" ") / len(out) < 0.04 and sum(map(str.isalnum, out)) / len(out) > 0.90:
         saw("high_cpt_density", 0.25)
@@ -108,19 +108,15 @@ _NORMALIZED = "normalized string, invisible_count long, encodings array<string>,
 
 
 def normalize(text: Column) -> Column:
-    """A struct of normalized, invisible_count, encodings, score and modified. Built-in functions find the texts that no step would change; only the others go to Python."""
-    turned = "|".join([*(codecs.encode(k, "rot13") for k in KEYWORDS), *(k[::-1] for k in KEYWORDS)])
-    odd = F.regexp_like(text, F.lit(f"[^\\x01-\\x7F]|&|{PERCENT_RUN}|{BASE64_RUN}|{HEX_RUN}|{SPACED_RUN}"))
-    hidden = F.regexp_like(text, F.lit(f"(?i){turned}")) & ~F.regexp_like(text, F.lit(f"(?i){'|'.join(KEYWORDS)}"))
-    dense = (F.length(text) > 40) & (F.length(F.regexp_replace(text, "[^ ]", "")) / F.length(text) < 0.04)
-    asks = F.coalesce(odd | hidden | dense, F.lit(False))
+    """A struct of normalized, invisible_count, encodings, score and modified; that of an empty text for null."""
+    names = ["normalized", "invisible_count", "encodings", "score", "modified"]
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        names = ["normalized", "invisible_count", "encodings", "score", "modified"]
-        return pd.DataFrame([normalize_one(t) if t is not None else dict.fromkeys(names) for t in s], columns=names).astype({"invisible_count": "Int64", "modified": "object"})
+    def run(texts: pa.Array) -> pa.Array:
+        found = [normalize_one(t) for t in texts.to_pylist()]
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array([f[n] for f in found], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    same = F.struct(F.coalesce(text, F.lit("")).alias("normalized"), F.lit(0).cast("long").alias("invisible_count"), F.array().cast("array<string>").alias("encodings"), F.lit(0.0).alias("score"), F.lit(False).alias("modified"))
-    return F.when(asks, F.pandas_udf(run, _NORMALIZED)(F.when(asks, text))).otherwise(same)
+    return F.arrow_udf(run, _NORMALIZED)(text)
 
 
 def _dotted(node: ast.AST) -> str:
@@ -183,50 +179,6 @@ def flatten(arguments: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def address(host: str):
-    """The address that a host stands for, odd forms (one number, hex, octal parts) included."""
-    try:
-        return ipaddress.ip_address(host.strip("[]"))
-    except ValueError:
-        pass
-    parts = host.split(".")
-    try:
-        numbers = [int(p, 16) if p.lower().startswith("0x") else int(p, 8) if p.startswith("0") and len(p) > 1 else int(p) for p in parts]
-        if len(numbers) > 4 or not all(numbers[i] < 256 for i in range(len(numbers) - 1)):
-            return None
-        value = sum(n << 8 * (3 - i) for i, n in enumerate(numbers[:-1])) + numbers[-1]
-        return ipaddress.ip_address(value) if value < 1 << 32 else None
-    except ValueError:
-        return None
-
-
-def ssrf_one(text: str | None, allowed: tuple[str, ...] = ()) -> dict:
-    """The worst category of the URLs in a text: cloud metadata, then not in the allow-list, then private addresses. Names aren't resolved."""
-    rank = {"cloud_metadata": (3, 1.0), "not_allowed": (2, 0.70), "private_ip": (1, 0.95)}
-    best, at = "", ""
-    for u in URL.findall(text or ""):
-        try:
-            host = (urllib.parse.urlsplit(u).hostname or "").lower()
-        except ValueError:
-            continue
-        ip = address(host)
-        if host in METADATA_HOSTS or ip is not None and str(ip) in METADATA_HOSTS:
-            kind = "cloud_metadata"
-        elif allowed and not any(host == a or host.endswith("." + a) for a in allowed):
-            kind = "not_allowed"
-        elif host == "localhost" or ip is not None and (ip.is_private or ip.is_loopback or ip.is_link_local):
-            kind = "private_ip"
-        else:
-            continue
-        if not best or rank[kind] > rank[best]:
-            best, at = kind, u
-    return {"detected": bool(best), "category": best, "confidence": rank[best][1] if best else 0.0, "url": at}
-
-
-def ssrf(text: Column, allowed: tuple[str, ...] = ()) -> Column:
-    return F.pandas_udf(lambda s: pd.DataFrame([ssrf_one(t, allowed) for t in s], columns=["detected", "category", "confidence", "url"]), "detected boolean, category string, confidence double, url string")(text)
-
-
 def schema_violations(arguments: str | None, schema: str | None, at: str = "") -> list[str]:
     """Ways in which JSON arguments break a JSON schema: required, type, enum, length, range, items and additional properties."""
     try:

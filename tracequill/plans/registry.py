@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracequill.functions import deep_scans, message_scan, text_scans
+from tracequill.functions import addresses, deep_scans, message_scan, text_scans
 from tracequill.operators import behaviour, chain, export, graph, metrics, reports, rules
 from tracequill.plans import oracle, report_oracle
 from tracequill.plans.scan_oracle import SCAN_SQL
@@ -245,7 +245,23 @@ table_query("credential_values", "documents")(lambda d: _planted(d).select("doc_
 table_query("memory_guard", "documents")(lambda d: d.groupBy(text_scans.memory_verdict(text_scans.memory_score(F.coalesce("text", F.lit("")))).alias("verdict")).agg(F.count("*").alias("n")))
 table_query("spotlighted_pages", "pages")(lambda p: p.select("page_id", F.sha2(text_scans.spotlighted(text_scans.sanitized(F.coalesce("html", F.lit(""))), F.col("url"), F.lit("d1")), 256).alias("wrapped_sha256")))
 table_query("normalize_text", "documents")(lambda d: d.select("doc_id", deep_scans.normalize(F.col("text")).alias("n")).select("doc_id", "n.invisible_count", "n.score", "n.modified"))
-table_query("ssrf_scan", "pages")(lambda p: p.select("page_id", deep_scans.ssrf(F.col("url"), ("example.com",)).alias("s")).select("page_id", "s.*"))
+table_query("ssrf_scan", "pages")(lambda p: p.select("page_id", addresses.ssrf(F.col("url"), ("example.com", "site1.example")).alias("s")).select("page_id", "s.*"))
+
+
+def _odd_links(p: DataFrame) -> DataFrame:
+    """Texts with a link to an address in one of five forms: at the borders of networks for even pages, else anywhere."""
+    edges = [n + d for a, b in addresses.ranges(tuple(x for x in addresses.NETWORKS if ":" not in x)) for n, d in ((int(a, 16), -1), (int(a, 16), 0), (int(b, 16), 0), (int(b, 16), 1)) if 0 <= n + d < 1 << 32]
+    i = F.col("page_id")
+    n = F.when(i % 2 == 0, F.element_at(F.array(*[F.lit(x).cast("long") for x in edges]), (F.floor(i / 2) % len(edges) + 1).cast("int"))).otherwise((i * 2654435761) % 4294967296)
+    byte = lambda k: F.shiftrightunsigned("n", k).bitwiseAND(255).cast("string")
+    quad = F.concat_ws(".", byte(24), byte(16), byte(8), byte(0))
+    eight = F.lower(F.lpad(F.hex("n"), 8, "0"))
+    form = i % 5
+    link = F.when((form == 1) & (F.col("n") >= 10_000_000), F.col("n").cast("string")).when(form == 2, F.concat(F.lit("0x"), F.lower(F.hex("n")))).when(form == 3, F.concat(F.lit("[64:ff9b::"), F.substring(eight, 1, 4), F.lit(":"), F.substring(eight, 5, 4), F.lit("]"))).otherwise(quad)
+    return p.withColumn("n", n).select("page_id", F.concat(F.lit("go to http://user@"), link, F.lit(":8080/a?b=c and https://example.com/")).alias("text"))
+
+
+table_query("ssrf_addresses", "pages")(lambda p: _odd_links(p).select("page_id", addresses.ssrf(F.col("text")).alias("s")).select("page_id", "s.detected", "s.category", "s.urls_scanned"))
 
 
 def _talks(c: DataFrame) -> DataFrame:

@@ -94,4 +94,12 @@ SCAN_SQL: dict[str, str] = {
     "memory_guard": f"WITH {_MEMORY_ROWS}, m AS (SELECT {_MEMORY} AS s FROM d) SELECT CASE WHEN s >= 0.7 THEN 'BLOCK' WHEN s >= 0.4 THEN 'ALERT' ELSE 'PASS' END AS verdict, count(*) AS n FROM m GROUP BY ALL",
     "mcp_description": f"WITH {_DOCS} SELECT doc_id, {_RISK} AS risk FROM d",
     "mcp_names_lev1": "WITH n AS (SELECT DISTINCT p_brand, x FROM (SELECT p_brand, p_type AS x FROM part UNION ALL SELECT p_brand, left(p_type, length(p_type) - 1) FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_brand, p_type || 's' FROM part WHERE p_size % 7 = 0)) SELECT a.p_brand, a.x AS a, b.x AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x AND length(a.x) >= 6 AND length(b.x) >= 6 AND levenshtein(lower(a.x), lower(b.x)) = 1 AND lower(a.x) || 's' <> lower(b.x) AND lower(b.x) || 's' <> lower(a.x)",
+    "ssrf_scan": "WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS h FROM pages), s AS (SELECT page_id, url, h = '' OR h IN ('example.com', 'site1.example') OR ends_with(h, '.example.com') OR ends_with(h, '.site1.example') AS ok FROM h) SELECT page_id, NOT ok AS detected, CASE WHEN ok THEN 'none' ELSE 'not_in_allowlist' END AS category, CASE WHEN ok THEN 0.0 ELSE CAST(0.7 AS DOUBLE) END AS confidence, CASE WHEN ok THEN '' ELSE url END AS url, 1 AS urls_scanned FROM s",
+    # networks as first address and number of leading bits; an address is a number, whatever form the text gives it
+    "ssrf_addresses": """WITH nets AS (SELECT i, CAST(a AS BIGINT) * 16777216 + b * 65536 + c * 256 AS lo, CAST(power(2, 32 - bits) AS BIGINT) AS size, d FROM (VALUES (0, 0, 0, 0, 8, 0), (1, 10, 0, 0, 8, 0), (2, 100, 64, 0, 10, 0), (3, 127, 0, 0, 8, 0), (4, 169, 254, 0, 16, 0), (5, 172, 16, 0, 12, 0), (6, 192, 0, 0, 24, 0), (7, 192, 0, 2, 24, 0), (8, 192, 168, 0, 16, 0), (9, 198, 18, 0, 15, 0), (10, 198, 51, 100, 24, 0), (11, 203, 0, 113, 24, 0), (12, 240, 0, 0, 4, 0), (13, 255, 255, 255, 32, 255)) AS v(i, a, b, c, bits, d)),
+      borders AS (SELECT i, k, CASE k WHEN 0 THEN lo + d - 1 WHEN 1 THEN lo + d WHEN 2 THEN lo + d + size - 1 ELSE lo + d + size END AS n FROM nets, range(4) AS r(k)),
+      edges AS (SELECT list(n ORDER BY i, k) AS es FROM borders WHERE n >= 0 AND n < 4294967296),
+      p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN es[(page_id // 2) % len(es) + 1] ELSE (page_id * 2654435761) % 4294967296 END AS n FROM pages, edges),
+      s AS (SELECT page_id, CASE WHEN page_id % 5 NOT IN (2, 3) AND NOT (page_id % 5 = 1 AND n >= 10000000) AND n IN (CAST(169 AS BIGINT) * 16777216 + 254 * 65536 + 169 * 256 + 254, CAST(169 AS BIGINT) * 16777216 + 254 * 65536 + 170 * 256 + 2) THEN 'cloud_metadata' WHEN page_id % 5 = 3 OR EXISTS (SELECT 1 FROM nets WHERE n >= lo + d AND n < lo + d + size) THEN 'private_ip' ELSE 'none' END AS category FROM p)
+      SELECT page_id, category <> 'none' AS detected, category, 2 AS urls_scanned FROM s""",
 }
