@@ -219,8 +219,3 @@ def schema_violations(arguments: str | None, schema: str | None, at: str = "") -
 
 def schema_check(arguments: Column, schema: Column) -> Column:
     return F.pandas_udf(lambda a, s: pd.Series([schema_violations(x, y) for x, y in zip(a, s, strict=True)]), "array<string>")(arguments, schema)
-
-
-def luhn(digits: str) -> bool:
-    d = [int(c) for c in digits if c.isdigit()][::-1]
-    return len(d) >= 13 and sum(x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate(d)) % 10 == 0

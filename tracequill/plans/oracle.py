@@ -177,4 +177,8 @@ SQL: dict[str, str] = {
     "toolset_mutation": _with() + ", t AS (SELECT session_id, sequence_number, k % 2 AS a, first_value(k % 2) OVER (PARTITION BY session_id ORDER BY sequence_number) AS f FROM log WHERE event_type = 'LLM_CALL_START') SELECT session_id, sequence_number, CASE WHEN a = 1 THEN 'write_file' ELSE 'send_mail' END AS added, CASE WHEN a = 1 THEN 'send_mail' ELSE 'write_file' END AS removed FROM t WHERE a <> f",
     "spawn_depth": "WITH RECURSIVE s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent FROM orders), d AS (SELECT id, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s) UNION ALL SELECT s.id, depth + 1 FROM s JOIN d ON s.parent = d.id) SELECT 'sess_' || id AS session_id, CAST(min(depth) AS BIGINT) AS depth FROM d GROUP BY id",
     "taint_hits": _with() + "SELECT c.session_id, c.sequence_number, c.tool_name, t.value, CASE WHEN c.tool_name = 'http_tool_1' THEN 'BLOCK' ELSE 'ALERT' END AS action FROM (SELECT session_id, tool_input AS value, min(sequence_number) AS q FROM log WHERE event_type = 'TOOL_CALL_END' GROUP BY ALL) t JOIN (SELECT session_id, sequence_number, CASE WHEN tool_name = 'tool_1' THEN 'http_tool_1' ELSE tool_name END AS tool_name, tool_input AS argument FROM log WHERE event_type = 'TOOL_CALL_START') c ON c.session_id = t.session_id AND q < c.sequence_number AND contains(argument, t.value) WHERE length(t.value) >= 8",
+    "masked_payloads": _with() + """, p AS (SELECT event_id, k, CASE WHEN k % 2 = 0 THEN '1' ELSE '2' END AS c, CASE WHEN k % 3 = 0 THEN '2' ELSE '3' END AS a FROM log)
+      SELECT event_id, '{"note":"mail <EMAIL_ADDRESS> or ' || k || '","deep":{"items":[{"paid":"card ' || CASE c WHEN '1' THEN '<CREDIT_CARD>' ELSE '4111 1111 1111 1112' END || ' of é","n":' || k || '},{"paid":"none","n":' || (k + 1) || '}],"to":"' || CASE a WHEN '2' THEN '<IBAN_CODE>' ELSE 'GB82WEST12345698765433' END || '"},"ok":true}' AS masked,
+        concat_ws(',', CASE c WHEN '1' THEN 'CREDIT_CARD' END, 'EMAIL_ADDRESS', CASE a WHEN '2' THEN 'IBAN_CODE' END) AS types,
+        sha256('{"deep":{"items":[{"n":' || k || ',"paid":"card 4111 1111 1111 111' || c || ' of \\u00e9"},{"n":' || (k + 1) || ',"paid":"none"}],"to":"GB82WEST1234569876543' || a || '"},"note":"mail user' || k || '@example.org or ' || k || '","ok":true}') AS original_sha256 FROM p""",
 }

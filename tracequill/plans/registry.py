@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracequill.functions import addresses, deep_scans, message_scan, text_scans
+from tracequill.functions import addresses, deep_scans, masking, message_scan, text_scans
 from tracequill.operators import behaviour, chain, export, graph, metrics, reports, rules
 from tracequill.plans import oracle, report_oracle
 from tracequill.plans.scan_oracle import SCAN_SQL
@@ -264,6 +264,20 @@ def _odd_links(p: DataFrame) -> DataFrame:
 table_query("ssrf_addresses", "pages")(lambda p: _odd_links(p).select("page_id", addresses.ssrf(F.col("text")).alias("s")).select("page_id", "s.detected", "s.category", "s.urls_scanned"))
 
 
+def _nested(e: DataFrame) -> DataFrame:
+    """Events whose payloads hold personal data at several depths: right and wrong card and account numbers, mail addresses, text that only looks alike."""
+    k = F.col("k")
+    card = F.when(k % 2 == 0, "4111 1111 1111 1111").otherwise("4111 1111 1111 1112")
+    account = F.when(k % 3 == 0, "GB82WEST12345698765432").otherwise("GB82WEST12345698765433")
+    deep = F.struct(F.array(F.struct(F.concat(F.lit("card "), card, F.lit(" of é")).alias("paid"), k.alias("n")), F.struct(F.lit("none").alias("paid"), (k + 1).alias("n"))).alias("items"), account.alias("to"))
+    body = F.struct(F.concat(F.lit("mail user"), k.cast("string"), F.lit("@example.org or "), k.cast("string")).alias("note"), deep.alias("deep"), F.lit(True).alias("ok"))
+    return e.select("event_id", F.to_json(body).alias("payload"))
+
+
+log_query("masked_payloads")(lambda e: _nested(e).select("event_id", masking.masked(F.col("payload")).alias("m")).select("event_id", "m.masked", F.array_join("m.types", ",").alias("types"), "m.original_sha256"))
+table_query("masked_documents", "documents")(lambda d: d.select("doc_id", masking.masked(F.to_json(F.struct(F.array("text").alias("parts"), "source"), {"ignoreNullFields": "false"})).alias("m")).select("doc_id", F.array_join("m.types", ",").alias("types"), "m.original_sha256", F.sha2("m.masked", 256).alias("masked_sha256")))
+
+
 def _talks(c: DataFrame) -> DataFrame:
     """Conversations as lists of messages, in order."""
     m = c.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
