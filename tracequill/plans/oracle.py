@@ -16,7 +16,7 @@ base AS (
     CAST(round(value * 100) AS BIGINT) AS latency_ms, CAST(k * 10 AS BIGINT) AS total_tokens, CAST(k * 7 AS BIGINT) AS nested_tokens, 'tool_' || (k % 3) AS tool_name, 'path=/data/' || k AS tool_input,
     CAST(CASE k % 7 WHEN 0 THEN 503 WHEN 1 THEN 401 ELSE 200 END AS BIGINT) AS http_status, CASE WHEN k % 2 = 0 THEN 'stop' ELSE 'length' END AS finish_reason,
     CAST('0.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS injection_score, k % 29 = 0 AS credential_detected, k % 31 = 0 AS rce_detected, k % 13 <> 0 AS has_payload_hash,
-    CASE WHEN k % 10 = 0 THEN ['US_SSN'] WHEN k % 10 = 1 THEN ['EMAIL_ADDRESS'] WHEN k % 10 = 3 THEN ['CREDIT_CARD', 'US_SSN'] ELSE [] END AS pii_detected,
+    CASE WHEN k % 10 = 0 THEN ['US_SSN'] WHEN k % 10 = 1 THEN ['EMAIL_ADDRESS'] WHEN k % 10 = 3 THEN ['US_SSN'] ELSE [] END AS pii_detected,
     us * 1000 AS timestamp_ns, seq AS sequence_number, k,
     CASE WHEN k = 97 THEN 'tampered' WHEN seq = 0 THEN 'GENESIS_sess_' || user_id ELSE sha256('link|' || user_id || '|' || (seq - 1)) END AS previous_hash,
     sha256('link|' || user_id || '|' || seq) AS current_hash
