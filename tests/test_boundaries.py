@@ -112,7 +112,6 @@ def test_deep_scans():
     assert deep_scans.normalize_one("plain text")["score"] == 0
     assert deep_scans.normalize_one("i​gnore")["invisible_count"] == 1
     assert deep_scans.normalize_one("a​b​c")["score"] == 0.30 and deep_scans.normalize_one("a\U000e0041\U000e0042b")["score"] == 0.60
-    assert deep_scans.rce_one('{"command": "ls; rm -rf /"}')["detected"] and not deep_scans.rce_one('{"q": "hello"}')["detected"]
     assert deep_scans.schema_violations('{"a": 7}', '{"type":"object","required":["b"],"properties":{"a":{"type":"integer","maximum":5}}}') == ["$.b: missing", "$.a: range"]
     assert dict(deep_scans.flatten('{"a": {"b": ["x", {"c": "y"}]}}')) == {"a.b[0]": "x", "a.b[1].c": "y"}
 

@@ -1,8 +1,7 @@
-"""Scanners that need Unicode tables, a Python parser or address arithmetic: Arrow UDFs over whole batches."""
+"""Scanners that need Unicode tables, and checks of arguments against a schema: Arrow UDFs over whole batches."""
 
 from __future__ import annotations
 
-import ast
 import base64
 import binascii
 import codecs
@@ -27,10 +26,6 @@ PERCENT_RUN = r"(?:%[0-9a-fA-F]{2}){3,}"
 B64, HEX, SPACED, PERCENT = (re.compile(p) for p in (BASE64_RUN, HEX_RUN, SPACED_RUN, PERCENT_RUN))
 ROT13, REVERSED = (tuple(codecs.encode(k, "rot13") for k in KEYWORDS), tuple(k[::-1] for k in KEYWORDS))
 _MARKS = regex.compile(r"\p{Mn}+")
-CALLS = {"eval": 0.95, "exec": 0.95, "compile": 0.85, "__import__": 0.9, "os.system": 0.95, "os.popen": 0.9, "subprocess.run": 0.9, "subprocess.call": 0.9, "subprocess.Popen": 0.9, "shutil.rmtree": 0.85, "pickle.loads": 0.85, "open": 0.65}
-SHELL = ((r"(?:;|\||&&)\s*(?:rm|curl|wget|nc|bash|sh)\b", 0.88), (r"\$\([^)]*\)|`[^`]*`", 0.72), (r"rm\s+-rf?\s+", 0.88), (r"\b(?:chmod|chown|sudo)\s", 0.55), (r"/dev/tcp/", 0.88), (r">\s*/etc/", 0.80))
-SQL = ((r"(?i)\bdrop\s+(?:table|database)\b", 0.90), (r"(?i)\bunion\s+(?:all\s+)?select\b", 0.80), (r"(?i)'\s*or\s+'?1'?\s*=\s*'?1", 0.80), (r"(?i)\bdelete\s+from\b(?!.*\bwhere\b)", 0.75), (r"(?i)\bxp_cmdshell\b", 0.90), (r"--\s*$", 0.55))
-BOOST = {"code": 1.8, "script": 1.8, "command": 1.8, "cmd": 1.8, "query": 1.4, "sql": 1.4, "expression": 1.4}
 
 
 def _said(text: str, words: tuple[str, ...] = KEYWORDS) -> bool:
@@ -119,44 +114,6 @@ def normalize(text: Column) -> Column:
     return F.arrow_udf(run, _NORMALIZED)(text)
 
 
-def _dotted(node: ast.AST) -> str:
-    if isinstance(node, ast.Attribute):
-        return f"{_dotted(node.value)}.{node.attr}"
-    return node.id if isinstance(node, ast.Name) else ""
-
-
-def code_score(value: str) -> tuple[float, str]:
-    """The score and language of one argument."""
-    best, kind = 0.0, ""
-    try:
-        calls = [_dotted(n.func) for n in ast.walk(ast.parse(value)) if isinstance(n, ast.Call)]
-        found = [CALLS[c] for c in calls if c in CALLS]
-        if found:
-            best, kind = max(found) + min(0.05, 0.01 * len(found)), "python"
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        pass
-    for name, table in (("shell", SHELL), ("sql", SQL)):
-        s = max((w for p, w in table if re.search(p, value)), default=0.0)
-        if s > best:
-            best, kind = s, name
-    return best, kind
-
-
-def rce_one(arguments: str | None, safe_tool: bool = False) -> dict:
-    """score, language and argument of the worst argument of a JSON object; names of code arguments raise it, tools known as safe lower it."""
-    worst = {"score": 0.0, "language": "", "argument": ""}
-    for path, value in flatten(arguments):
-        s, kind = code_score(value)
-        s = min(1.0, s * BOOST.get(path.split(".")[-1].split("[")[0].lower(), 1.0)) * (0.5 if safe_tool else 1.0)
-        if s > worst["score"]:
-            worst = {"score": s, "language": kind, "argument": path}
-    return worst | {"detected": worst["score"] >= 0.70}
-
-
-def rce(arguments: Column) -> Column:
-    return F.pandas_udf(lambda s: pd.DataFrame([rce_one(a) for a in s], columns=["score", "language", "argument", "detected"]), "score double, language string, argument string, detected boolean")(arguments)
-
-
 def flatten(arguments: str | None) -> list[tuple[str, str]]:
     """Dotted paths and values of all strings in a JSON text."""
     try:
