@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions.text_scans import credentials
+from tracequill.operators import running
 from tracequill.operators.metrics import cents, is_, scoped
 from tracequill.sources.audit_log import typed
 
@@ -155,15 +156,15 @@ def markov(events: DataFrame, low: float = 0.05) -> DataFrame:
     Each agent starts with the priors, which alone are more than the five observations that its own matrix needs, so no other matrix is ever asked.
     """
     steps = events.select("agent_id", "session_id", "sequence_number", "timestamp_ns", "event_type", F.lag("event_type").over(_by_session()).alias("before")).where("before IS NOT NULL")
-    order = ["timestamp_ns", "session_id", "sequence_number"]
-    row = Window.partitionBy("agent_id", "before").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cell = Window.partitionBy("agent_id", "before", "event_type").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    order, one = ["timestamp_ns", "session_id", "sequence_number"], F.lit(1)
+    steps = running.running_sums(steps, ["agent_id", "before"], F.col("timestamp_ns"), order, {"of_row": one})
+    steps = running.running_sums(steps, ["agent_id", "before", "event_type"], F.col("timestamp_ns"), order, {"of_cell": one})
     prior, total = F.lit(0), F.lit(0)
     for (a, b), n in PRIORS.items():
         prior = F.when((F.col("before") == a) & (F.col("event_type") == b), n).otherwise(prior)
     for a in dict.fromkeys(a for a, _ in PRIORS):
         total = F.when(F.col("before") == a, sum(n for (x, _), n in PRIORS.items() if x == a)).otherwise(total)
-    seen, of = F.count("*").over(cell) + prior, F.count("*").over(row) + total
+    seen, of = F.col("of_cell") + prior, F.col("of_row") + total
     p = F.when(of == 0, 1.0 / STATES).otherwise((seen + 0.01) / (of + 0.01 * STATES))
     out = steps.select("session_id", "sequence_number", "before", "event_type", F.round(p.cast("decimal(18,9)"), 6).cast("double").alias("probability"))
     return out.withColumn("anomalous", F.col("probability") < low)
@@ -405,9 +406,8 @@ def idle_sessions(events: DataFrame, hours: int = 4) -> DataFrame:
 
 def rate_windows(events: DataFrame, limit: int = 5, seconds: int = 60) -> DataFrame:
     """Requests of a caller within the seconds up to each one; all requests count, admitted or not."""
-    us = F.expr("timestamp_ns div 1000")
-    w = Window.partitionBy("agent_id").orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    return events.select("event_id", "agent_id", F.count("*").over(w).alias("in_window")).withColumn("limited", F.col("in_window") > limit)
+    rows = events.select("event_id", "agent_id", F.expr("timestamp_ns div 1000").alias("us"))
+    return running.sliding_counts(rows, ["agent_id"], F.col("us"), seconds, "in_window").drop("us").withColumn("limited", F.col("in_window") > limit)
 
 
 #: Tiers of the limiter, in requests a minute.
@@ -416,10 +416,9 @@ TIERS = {"read": 300, "ingest": 3000}
 
 def tier_windows(requests: DataFrame, seconds: int = 60) -> DataFrame:
     """Requests of a caller and tier within the seconds up to each one, against the tier's limit. requests: request_id, caller, tier, timestamp_ns. All requests count, admitted or not."""
-    us = F.expr("timestamp_ns div 1000")
-    w = Window.partitionBy("caller", "tier").orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
     limit = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in TIERS.items()])
-    return requests.select("request_id", "caller", "tier", F.count("*").over(w).alias("in_window")).withColumn("limited", F.col("in_window") > limit)
+    rows = requests.select("request_id", "caller", "tier", F.expr("timestamp_ns div 1000").alias("us"))
+    return running.sliding_counts(rows, ["caller", "tier"], F.col("us"), seconds, "in_window").drop("us").withColumn("limited", F.col("in_window") > limit)
 
 
 def flagged_turns(verdicts: DataFrame) -> DataFrame:
@@ -454,12 +453,11 @@ def resolved_sessions(requests: DataFrame) -> DataFrame:
     first = F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(1))["content"]
     again = F.exists("messages", lambda m: m["role"] == "assistant")
     rows = requests.select("request_id", "timestamp_ns", F.substring(F.sha2(first, 256), 1, 16).alias("first_user_hash"), F.coalesce(again, F.lit(False)).alias("goes_on"))
-    w = Window.partitionBy("first_user_hash").orderBy("timestamp_ns", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.count("*").over(w)
-    begins = ~F.col("goes_on") | (before == 0) | F.col("first_user_hash").isNull()
-    rows = rows.withColumn("begins", begins)
-    whole = Window.partitionBy("first_user_hash").orderBy("timestamp_ns", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("request_id", "first_user_hash", F.when(F.col("begins"), F.col("request_id")).otherwise(F.last(F.when(F.col("begins"), F.col("request_id")), ignorenulls=True).over(whole)).alias("session_of"))
+    at, order = F.col("timestamp_ns"), ["timestamp_ns", "request_id"]
+    rows = running.running_sums(rows, ["first_user_hash"], at, order, {"before": F.lit(1)})
+    rows = rows.withColumn("begun", F.when(~F.col("goes_on") | (F.col("before") == 0) | F.col("first_user_hash").isNull(), F.col("request_id")))
+    rows = running.last_before(rows, ["first_user_hash"], at, order, F.col("begun"), "latest")
+    return rows.select("request_id", "first_user_hash", F.coalesce("begun", "latest").alias("session_of"))
 
 
 def tool_pairs(events: DataFrame, key: str = "tool_call_id") -> DataFrame:
