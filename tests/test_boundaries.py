@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracequill.functions import deep_scans, text_scans
-from tracequill.operators import behaviour, chain, export, graph, rules
+from tracequill.operators import behaviour, chain, export, folds, graph, rules
 from tracequill.plans import registry
 from tracequill.sources.audit_log import audit_events
 
@@ -49,7 +49,7 @@ def test_merkle_sizes():
 def test_throttle_against_a_loop(spark):
     times = [0, 100, 599, 600, 700, 1199, 1200, 5000]
     df = spark.createDataFrame([("r", "s", f"e{i}", t * 10**9, "ALERT") for i, t in enumerate(times)], "rule_name string, session_id string, event_id string, timestamp_ns long, action string")
-    assert sorted(r[0] // 10**9 for r in behaviour.alert_throttle(df).select("timestamp_ns").collect()) == [0, 600, 1200, 5000]
+    assert sorted(r[0] // 10**9 for r in folds.alert_throttle(df).select("timestamp_ns").collect()) == [0, 600, 1200, 5000]
 
 
 def test_trust_of_a_tree(spark):

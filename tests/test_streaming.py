@@ -30,6 +30,25 @@ def test_ingest_is_checked_and_idempotent(spark, sf, tmp_path):
     assert stored().count() == n + 1
 
 
+def test_a_batch_reads_only_its_buckets(spark, sf, tmp_path):
+    schema = ENVELOPE
+    events = audit_events(spark, sf).drop("k").select([f.name for f in ENVELOPE.fields])
+    run = lambda: jobs.ingest(jobs.events(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check"), buckets=16).awaitTermination(120)
+    events.write.json(str(tmp_path / "in"))
+    run()
+    one = events.limit(1).withColumns({"bucket": jobs._bucket(buckets=16)})
+    bucket = one.first()["bucket"]
+    ids = jobs.stored(spark, str(tmp_path / "store"), schema, 1, [bucket])
+    assert {r[0].split("bucket=")[1].split("/")[0] for r in ids.select("_metadata.file_path").distinct().collect()} == {str(bucket)}
+    assert 0 < ids.count() < spark.read.parquet(str(tmp_path / "store")).count() / 4
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1]
+    n = spark.read.parquet(str(tmp_path / "store")).count()
+    one.drop("bucket").unionByName(events.limit(1).withColumn("event_id", F.lit("new"))).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    assert spark.read.parquet(str(tmp_path / "store")).count() == n + 1
+
+
 def test_alerts_are_prepared(spark, tmp_path):
     rows = [("e1", "canary-leak", "ALERT", "r", "X", "s", "a", "o", 1), ("e2", "other", "LOG", "r", "X", "s", "a", "o", 1), ("e3", None, "BLOCK", "r", "X", "s", "a", "o", 1)]
     spark.createDataFrame(rows, VIOLATION).write.json(str(tmp_path / "in"))

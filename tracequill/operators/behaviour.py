@@ -242,25 +242,6 @@ def taint_hits(outputs: DataFrame, calls: DataFrame, sink: str = SINK_NAMES) ->
     return hit.select("session_id", "sequence_number", "tool_name", "value", F.when(out, "BLOCK").otherwise("ALERT").alias("action"))
 
 
-def alert_throttle(violations: DataFrame, cooldown_s: int = 600) -> DataFrame:
-    """Alerts of a (rule, session) that are sent: the first, then each at least the cooldown after the last one sent.
-
-    Which is last sent depends on all before, so a key is folded in order: only the times are kept, a state of one number.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_ns", "event_id"])
-        sent, last = [], None
-        for t in pdf["timestamp_ns"]:
-            ok = last is None or t - last >= cooldown_s * 10**9
-            last = t if ok else last
-            sent.append(ok)
-        return pdf[sent]
-
-    rows = violations.select("rule_name", "session_id", "event_id", "timestamp_ns", "action")
-    return rows.groupBy("rule_name", "session_id").applyInPandas(run, rows.schema)
-
-
 def spawn_roots(operations: DataFrame) -> DataFrame:
     """session_id, root_id: the top of each session's spawn tree, by pointer doubling with joins.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import addresses, code_scan, deep_scans, masking, message_scan, text_scans
-from tracequill.operators import behaviour, chain, export, graph, metrics, reports, rules
+from tracequill.operators import behaviour, chain, export, folds, graph, metrics, reports, rules
 from tracequill.plans import code_oracle, oracle, report_oracle
 from tracequill.plans.scan_oracle import SCAN_SQL
 from tracequill.sources import audit_log, ingest, providers
@@ -200,6 +200,7 @@ for _name, _f in {
     "ingest_counters": lambda e: ingest.counters(ingest.validated(e.unionAll(e).withColumn("run_id", F.when(F.col("k") % 7 != 0, F.col("run_id")))), e.where("k % 4 = 0")),
     "session_events_page": lambda e: metrics.events_page(e, limit=10, offset=2, kind="LLM_CALL_START"),
     "ml_flagged_turns": lambda e: behaviour.flagged_turns(typed(e).where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", text_scans.label(F.col("injection_score")).alias("label"))),
+    "rate_admissions": lambda e: folds.admissions(e.select(F.col("event_id").alias("request_id"), F.col("agent_id").alias("caller"), F.when(F.col("k") % 2 == 0, "read").otherwise("ingest").alias("tier"), "timestamp_ns"), ["caller", "tier"], {"read": 3, "ingest": 5}, 7200),
     "rate_tiers": lambda e: behaviour.tier_windows(e.select(F.col("event_id").alias("request_id"), F.col("agent_id").alias("caller"), F.when(F.col("k") % 2 == 0, "read").otherwise("ingest").alias("tier"), "timestamp_ns"), 86_400),
     "agent_registry": lambda e: behaviour.agent_registry(_registry_log(e)).select("org_id", "agent_id", "name", "purpose", "registered_ns", "updated_ns"),
     "chain_anomalies": lambda e: behaviour.broken_chains(chain.first_failures(chain.links(e))),
@@ -212,7 +213,7 @@ for _name, _f in {
     "benchmark_report": lambda e: reports.benchmark_report(_cases(e), ("data/3",)),
     "tool_pairs": lambda e: behaviour.tool_pairs(e, "run_id"),
     "report_slices": lambda e: e.groupBy("session_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("sequence_number", "event_type"))), 1, 5), lambda x: x["event_type"]), ",").alias("first_five")),
-    "alert_throttle": lambda e: behaviour.alert_throttle(violations(e)),
+    "alert_throttle": lambda e: folds.alert_throttle(violations(e)),
     "trust_scores": lambda e: behaviour.trust_scores(e.select(F.col("timestamp_ns").alias("seq"), "session_id", F.concat(F.lit("sess_"), F.regexp_extract("agent_id", "[0-9]+", 0)).alias("parent_session_id"), F.when(F.col("k") > 98, "canary").when(F.col("k") > 80, "violation").otherwise("clean").alias("op"), F.when(F.col("k") > 95, "BLOCK").otherwise("ALERT").alias("action"), (F.col("k") / 100).alias("injection_score"))),
     "taint_hits": lambda e: behaviour.taint_hits(typed(e).where("event_type = 'TOOL_CALL_END'").select("session_id", "sequence_number", F.col("p.tool_input").alias("value")), _calls(e)),
     "toolset_mutation": lambda e: behaviour.toolset_changes(e.where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", F.when(F.col("k") % 2 == 1, F.array(F.lit("read_file"), F.lit("write_file"))).otherwise(F.array(F.lit("read_file"), F.lit("send_mail"))).alias("tools"))),
