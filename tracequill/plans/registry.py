@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import addresses, code_scan, deep_scans, masking, message_scan, text_scans
-from tracequill.operators import behaviour, chain, export, folds, graph, metrics, reports, rules
+from tracequill.operators import behaviour, chain, export, folds, graph, metrics, outliers, reports, rules
 from tracequill.plans import code_oracle, oracle, report_oracle
 from tracequill.plans.scan_oracle import SCAN_SQL
 from tracequill.sources import audit_log, ingest, providers
@@ -135,6 +135,11 @@ def _code_calls(e: DataFrame) -> DataFrame:
     return calls.select("event_id", pick(CODE_TOOLS, F.expr("n div 3")).alias("tool_name"), F.to_json(F.map_from_arrays(F.array(pick(CODE_NAMES, F.expr("n div 2")), F.lit("path")), F.array(said, F.col("p.tool_input")))).alias("arguments"))
 
 
+def _ended_sessions(e: DataFrame) -> DataFrame:
+    ends = e.groupBy("session_id").agg(F.max("timestamp_ns").alias("ended_ns"))
+    return metrics.session_features(e).join(ends, "session_id")
+
+
 def _tool_names(p: DataFrame) -> DataFrame:
     """Names of tools by brand: types, and of some sizes with their last letter lost or doubled."""
     return p.select("p_brand", F.explode(F.array_compact(F.array("p_type", F.when(F.col("p_size") % 5 == 0, F.expr("left(p_type, length(p_type) - 1)")), F.when(F.col("p_size") % 7 == 0, F.concat("p_type", F.lit("s")))))).alias("name"))
@@ -186,6 +191,7 @@ for _name, _f in {
     "markov_scores": behaviour.markov,
     "session_features": metrics.session_features,
     "isolation_forest": lambda e: behaviour.isolation_forest(metrics.session_features(e)),
+    "isolation_refits": lambda e: outliers.refitted(_ended_sessions(e)),
     "tool_baselines": lambda e: behaviour.tool_baselines(tool_observations(e)),
     "baselines_summary": lambda e: behaviour.baselines_summary(behaviour.tool_baselines(tool_observations(e)), ORG),
     "agent_tools": lambda e: behaviour.agent_tools(behaviour.tool_baselines(tool_observations(e)), ORG),
