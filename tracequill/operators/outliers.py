@@ -77,5 +77,7 @@ def refitted(features: DataFrame, keys: list[str] | None = None, refit: int = RE
         raw = new - (np.percentile(known, 100 * CONTAMINATION) if len(known) else -0.5)
         return out.assign(fitted_on=len(fit), raw_score=raw, anomaly_score=np.clip(0.5 - raw, 0, 1), is_anomaly=raw < 0)
 
+    # a fit costs far more than its few bytes tell: a stated number of partitions is not merged
+    both = both.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_version")
     typed_keys = "".join(f"`{k}` {features.schema[k].dataType.simpleString()}, " for k in keys)
     return both.groupBy(*keys, "_version").applyInPandas(run, f"{typed_keys}session_id string, samples_seen long, fitted_on long, raw_score double, anomaly_score double, is_anomaly boolean")
