@@ -151,8 +151,8 @@ def _holds(rule: Rule, df: DataFrame) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def evaluate(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT, keep: tuple[str, ...] = ("session_id", "sequence_number")) -> DataFrame:
-    """One row per verdict: the kept columns, rule_name, action and place. All rules are columns of one projection."""
+def _hits(df: DataFrame, rules: tuple[Rule, ...]) -> list[Column]:
+    """For each rule that is on and can be compiled, its verdict where it holds."""
     verdicts = []
     for r in rules:
         if not r.enabled:
@@ -161,6 +161,27 @@ def evaluate(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT, keep: tuple[str,
             verdicts.append(F.when(_holds(r, df), F.struct(F.lit(len(verdicts)).alias("place"), F.lit(r.name).alias("rule_name"), F.lit(r.action).alias("action"))))
         except (ValueError, KeyError):
             continue  # a rule that can't be compiled
+    return verdicts
+
+
+def verdict_list(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> Column:
+    """What evaluate() says of a row as one column of its own: an array of rule_name and action, in order, empty where no rule holds."""
+    none = F.array().cast("array<struct<rule_name:string,action:string>>")
+    verdicts = _hits(df, rules)
+    if not verdicts:
+        return none
+
+    def cut(v: Column) -> Column:
+        end = F.array_position(F.transform(v, lambda x: x["action"].isin("ALLOW", "BLOCK")), True).cast("int")
+        kept = F.when(end > 0, F.slice(v, 1, end)).otherwise(v)
+        return F.when(F.exists(kept, lambda x: x["action"] == "ALLOW"), none).otherwise(F.transform(kept, lambda x: F.struct(x["rule_name"], x["action"])))
+
+    return F.transform(F.array(F.array_compact(F.array(*verdicts))), cut)[0]
+
+
+def evaluate(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT, keep: tuple[str, ...] = ("session_id", "sequence_number")) -> DataFrame:
+    """One row per verdict: the kept columns, rule_name, action and place. All rules are columns of one projection."""
+    verdicts = _hits(df, rules)
     if not verdicts:
         return df.select(*keep, F.lit("").alias("rule_name"), F.lit("").alias("action"), F.lit(0).alias("place")).limit(0)
     hits = F.array_compact(F.array(*verdicts))

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import addresses, code_scan, deep_scans, masking, message_scan, text_scans
-from tracequill.operators import behaviour, chain, export, folds, graph, metrics, outliers, reports, rules
-from tracequill.plans import code_oracle, oracle, report_oracle
+from tracequill.operators import behaviour, chain, export, folds, graph, interception, metrics, outliers, reports, rules
+from tracequill.plans import code_oracle, oracle, report_oracle, stage_oracle
 from tracequill.plans.scan_oracle import SCAN_SQL
 from tracequill.sources import audit_log, ingest, providers
 from tracequill.sources.audit_log import audit_events, table, tool_observations, typed, violations
 
 ORG = "org_0"
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {**oracle.SQL, **report_oracle.SQL, **SCAN_SQL, **code_oracle.SQL}
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **report_oracle.SQL, **SCAN_SQL, **code_oracle.SQL, **stage_oracle.SQL}
 
 
 def log_query(name: str):
@@ -97,6 +97,26 @@ def _code_verdicts(e: DataFrame) -> DataFrame:
     return flagged.unionByName(rolling).unionByName(rare)
 
 
+#: Bounds of the staged log, so that budgets are met within its sessions.
+STAGED = interception.Limits(tokens=6000, calls=15)
+STAGED_POLICY = tuple(r for r in rules.DEFAULT if r.name in ("credential-leak-alert", "rce-in-tool-args"))
+
+
+def _signals(e: DataFrame) -> DataFrame:
+    """The log with what scanners and joins would say of each event, by its number; the policy's verdicts are compiled rules."""
+    k = F.col("k")
+    user = F.substring("session_id", 6, 100).cast("long")
+    hundredths = lambda n: (k * n % 100) / 100
+    rows = typed(e)
+    return rows.select(
+        "session_id", "sequence_number", "agent_id", "event_type", "timestamp_ns", "injection_score", F.col("total_tokens").alias("tokens"), F.when(user % 13 == 0, 11).otherwise(user % 3).alias("spawn_depth"),
+        F.when(hundredths(37) >= 0.88, "malicious").when(hundredths(37) >= 0.7, "suspicious").otherwise("benign").alias("ml_label"),
+        F.when(k % 3 != 0, F.when(k % 41 == 7, "p2").otherwise("p1")).alias("prompt_hash"), F.when(k % 4 != 0, F.when(k % 43 == 5, "t2").otherwise("t1")).alias("tools_hash"),
+        F.when(k % 37 == 3, "high").when(k % 19 == 2, "medium").alias("definitions"), hundredths(7).alias("output_score"), hundredths(11).alias("output_ml_score"), (k % 11 == 4).alias("output_threat"),
+        F.when(k % 23 == 1, "BLOCK").when(k % 23 == 2, "ALERT").alias("taint"), (k % 9 != 0).alias("approved"), rules.verdict_list(rows, STAGED_POLICY).alias("policy"),
+    )
+
+
 def _replay(e: DataFrame) -> DataFrame:
     r = reports.replay(e, behaviour.anomalies(e))
     count = lambda c, n: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(n)
@@ -238,6 +258,8 @@ for _name, _f in {
     "export_normalised": export.normalised,
     "export_period": lambda e: export.normalised(e, ORG, from_ns=oracle.AS_OF - 20 * 86_400 * 10**9, to_ns=oracle.AS_OF, kinds=("LLM_CALL_END", "SYSTEM_ERROR")).select("event_id", "timestamp_ns"),
     "code_rules": lambda e: rules.in_order(_code_verdicts(e)),
+    "interception_stages": lambda e: interception.verdicts(_signals(e), STAGED, forests=False),
+    "interception_all": lambda e: interception.verdicts(_signals(e), STAGED),
     "tool_fingerprints": lambda e: e.where("event_type = 'LLM_CALL_START'").select("event_id", F.pandas_udf(lambda s: s.map(behaviour.fingerprint), "string")(_tool_list()).alias("fingerprint")),
     "export_ndjson": lambda e: export.ndjson(export.normalised(e)),
     "export_splunk": lambda e: export.splunk(export.normalised(e)),
