@@ -55,6 +55,15 @@ def risk(nodes_: DataFrame) -> DataFrame:
     return r.withColumn("risk_level", risk_level(F.col("risk_score")))
 
 
+def topology(events: DataFrame, anomalies: DataFrame, violations: DataFrame, org: str | None = None, isolated: bool = True, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The assembled graph as nodes and edges: agents with their measures, risk, providers and models, all or only those at some edge, and the edges of at least so many calls."""
+    links, of = edges(events, org, least), nodes(events, anomalies, violations, org)
+    if not isolated:
+        of = connected(of, links)
+    score = risk_score(F.col("violation_count"), F.col("anomaly_count"), F.col("max_injection"))
+    return of.withColumn("risk_score", score).withColumn("risk_level", risk_level(F.col("risk_score"))).join(providers_models(events, org), "agent_id", "left"), links
+
+
 def spawn_depth(sessions: DataFrame) -> DataFrame:
     """Depth of each session in its spawn tree: roots 0, children of unknown parents 1, else the parent's plus one.
 

@@ -124,6 +124,13 @@ def observed_tools(events: DataFrame, violations: DataFrame, org: str | None = N
     return calls.join(v, by, "left").groupBy("agent_id", "tool_name").agg(F.count("*").alias("call_count"), F.count("v_rule").alias("violation_count"))
 
 
+def most_observed_tools(events: DataFrame, violations: DataFrame, org: str | None = None, as_of_ns: int = 0, days: int = 30, top: int = 500) -> DataFrame:
+    """The most called tools of agents, named ones only, with when each was seen last: a list of `top`."""
+    calls = events.where(F.get_json_object("payload", "$.tool_name").isNotNull())
+    last = typed(scoped(calls, org).where(is_("TOOL_CALL_START"))).groupBy("agent_id", "tool_name").agg(F.max("timestamp_ns").alias("last_seen_ns"))
+    return observed_tools(calls, violations, org, as_of_ns, days, corrected=True).join(last, ["agent_id", "tool_name"]).orderBy(F.desc("call_count"), "agent_id", "tool_name").limit(top)
+
+
 def model_counts(events: DataFrame, org: str | None = None, top: int = 20) -> DataFrame:
     return scoped(events, org).where(is_("LLM_CALL_START") & valid_model()).groupBy("model").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "model").limit(top)
 
@@ -142,6 +149,32 @@ def suggestions(events: DataFrame, org: str | None = None) -> DataFrame:
     return cap.unionByName(names.select(F.lit("suggested-model-allow-list").alias("rule_name"), "value", F.lit(False).alias("enabled")))
 
 
+def suggestion_report(events: DataFrame, org: str | None = None, as_of_ns: int = 0, days: int = 30, enough: int = 10) -> DataFrame:
+    """Suggested rules with the evidence for them, ready to load (JSON), over a trailing window, and on each row how many events it held and whether they are too few.
+
+    id and what goes with it are null on the one row of a window that suggests nothing.
+    """
+    e = scoped(events, org).where(F.col("timestamp_ns") > as_of_ns - days * 86_400 * 10**9)
+    total = e.agg(F.count("*").alias("total_events"), F.lit(days).cast("long").alias("window_days"), (F.count("*") < enough).alias("insufficient_data"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rule = lambda name, kind, fld, op, value, reason, on: F.to_json(F.struct(F.lit(name).alias("name"), F.array(F.lit(kind)).alias("event_types"), F.array(F.struct(F.lit(fld).alias("field"), F.lit(op).alias("op"), value.alias("value"))).alias("conditions"), F.lit("BLOCK").alias("action"), reason.alias("reason"), F.lit(on).alias("enabled")))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("less"), "model")))
+    m = model_counts(e).agg(listed.alias("m")).where(F.size("m") > 0)
+    names, rest = F.col("m.model"), F.size("m") - 3
+    top = F.array_join(F.transform(F.slice("m", 1, 3), lambda x: text(x["model"], " (", -x["less"], " calls)")), ", ")
+    models = m.select(
+        F.lit("model-allowlist").alias("id"), text("Detected: ", top, F.when(rest > 0, text(" +", rest, " more")).otherwise("")).alias("evidence"),
+        rule("unapproved-model-block", "LLM_CALL_START", "model", "not_in", names, text("Model outside those in use: ", F.array_join(names, ", ")), False).alias("rule"), F.lit(False).alias("enabled"),
+    )
+    p95 = F.floor("p95").cast("long")
+    cap = F.greatest(p95 * 2, p95 + 10)
+    tools = tool_p95(e).where("sessions >= 5").select(
+        F.lit("tool-rate-cap").alias("id"), text("p95 = ", p95, " tool calls/session across ", F.col("sessions"), " sessions. Suggested cap: ", cap, ".").alias("evidence"),
+        rule("tool-call-loop-protection", "TOOL_CALL_START", "tool_call_count", "gt", cap, text("More than ", cap, " tool calls, by a p95 of ", p95), True).alias("rule"), F.lit(True).alias("enabled"),
+    )
+    return total.join(models.unionByName(tools), F.lit(True), "left")  # one row, and two at most
+
+
 def session_features(events: DataFrame, org: str | None = None) -> DataFrame:
     """The five measures of a session that the outlier model reads."""
     e = typed(scoped(events, org)).groupBy("session_id").agg(

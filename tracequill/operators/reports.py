@@ -108,6 +108,19 @@ def period(first_day: str | None = None, last_day: str | None = None, now_ns: in
     return day(first_day) if first_day else day("2020-01-01") if session else end - 30 * 86_400 * 10**9, end
 
 
+def detected_between(anomalies: DataFrame, events: DataFrame, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
+    """The anomalies found within a period, with detected_ns: the time of their event, or, for those of a whole session, of its last one. Without both bounds, all of them."""
+    last = events.groupBy("session_id").agg(F.max("timestamp_ns").alias("_last"))
+    of = events.select("session_id", "sequence_number", F.col("timestamp_ns").alias("_at")).dropDuplicates(["session_id", "sequence_number"])
+    rows = anomalies.join(of, ["session_id", "sequence_number"], "left").join(last, "session_id", "left").withColumn("detected_ns", F.coalesce("_at", "_last")).select(*anomalies.columns, "detected_ns")
+    return rows.where(F.col("detected_ns").between(from_ns, to_ns)) if from_ns is not None and to_ns is not None else rows
+
+
+def audit_period(events: DataFrame, anomalies: DataFrame, violations: DataFrame, org: str | None, from_ns: int, to_ns: int) -> DataFrame:
+    """audit_summary() of a period, its anomalies those detected in it."""
+    return audit_summary(events, detected_between(anomalies, events, from_ns, to_ns), violations, org, from_ns, to_ns)
+
+
 def audit_summary(events: DataFrame, anomalies: DataFrame, violations: DataFrame, org: str | None = None, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
     """The one row of measures that the controls are judged by. A rule with blocks and alerts counts in both."""
     e = _between(scoped(events, org), from_ns, to_ns).agg(

@@ -116,6 +116,12 @@ SQL: dict[str, str] = {
     "topology_providers_models": _with() + "SELECT agent_id, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, coalesce(string_agg(DISTINCT model, ',' ORDER BY model) FILTER (WHERE model NOT IN ('', 'unknown')), '') AS models FROM log GROUP BY agent_id",
     "topology_edges": _with(_EDGES) + "SELECT * FROM edges",
     "topology_connected": _with(*_A, _AGENTS, _EDGES) + "SELECT * FROM nodes WHERE agent_id IN (SELECT source FROM edges UNION SELECT target FROM edges)",
+    "topology_graph": _with(*_A, _AGENTS, _EDGES) + ", r AS (SELECT agent_id, CAST(round(CAST(greatest(0.0, least(1.0, least(0.4, violation_count * CAST(0.05 AS DOUBLE)) + least(0.3, anomaly_count * CAST(0.1 AS DOUBLE)) + CASE WHEN max_injection > 0.4 THEN (max_injection - 0.4) / 0.6 * 0.3 ELSE 0.0 END)) AS DECIMAL(18,9)), 3) AS DOUBLE) AS risk_score FROM nodes), pm AS (SELECT agent_id, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, coalesce(string_agg(DISTINCT model, ',' ORDER BY model) FILTER (WHERE model NOT IN ('', 'unknown')), '') AS models FROM log WHERE org_id = 'org_0' GROUP BY agent_id) SELECT nodes.*, risk_score, CASE WHEN risk_score >= 0.7 THEN 'critical' WHEN risk_score >= 0.4 THEN 'high' WHEN risk_score >= 0.2 THEN 'medium' ELSE 'low' END AS risk_level, providers, models FROM nodes JOIN r USING (agent_id) LEFT JOIN pm USING (agent_id) WHERE agent_id IN (SELECT source FROM edges WHERE source IN (SELECT agent_id FROM ag) UNION SELECT target FROM edges)",
+    "observed_tools_top": _with() + f"SELECT agent_id, tool_name, sum(c) AS call_count, CAST(sum(coalesce(v, 0)) AS BIGINT) AS violation_count, max(seen) AS last_seen_ns FROM (SELECT org_id, agent_id, session_id, tool_name, count(*) AS c FROM log WHERE org_id = 'org_0' AND event_type = 'TOOL_CALL_START' AND timestamp_ns > {AS_OF} - 30 * 86400000000000 GROUP BY ALL) LEFT JOIN (SELECT org_id, agent_id, session_id, count(*) AS v FROM viol GROUP BY ALL) USING (org_id, agent_id, session_id) JOIN (SELECT agent_id, tool_name, max(timestamp_ns) AS seen FROM log WHERE org_id = 'org_0' AND event_type = 'TOOL_CALL_START' GROUP BY ALL) USING (agent_id, tool_name) GROUP BY agent_id, tool_name ORDER BY call_count DESC, agent_id, tool_name LIMIT 500",
+    "suggestion_report": _with() + f""", e AS (SELECT * FROM log WHERE org_id = 'org_0' AND timestamp_ns > {AS_OF} - 30 * 86400000000000), m AS (SELECT model, count(*) AS calls, row_number() OVER (ORDER BY count(*) DESC, model) AS r FROM e WHERE event_type = 'LLM_CALL_START' AND model NOT IN ('', 'unknown') GROUP BY model), c AS (SELECT CAST(floor(quantile_cont(n, 0.95)) AS BIGINT) AS p, count(*) AS s FROM (SELECT session_id, count(*) AS n FROM e WHERE event_type = 'TOOL_CALL_START' GROUP BY session_id)), g AS (
+      SELECT 'model-allowlist' AS id, 'Detected: ' || string_agg(model || ' (' || calls || ' calls)', ', ' ORDER BY r) FILTER (WHERE r <= 3) || CASE WHEN count(*) > 3 THEN ' +' || (count(*) - 3) || ' more' ELSE '' END AS evidence, '{{"name":"unapproved-model-block","event_types":["LLM_CALL_START"],"conditions":[{{"field":"model","op":"not_in","value":[' || string_agg('"' || model || '"', ',' ORDER BY r) || ']}}],"action":"BLOCK","reason":"Model outside those in use: ' || string_agg(model, ', ' ORDER BY r) || '","enabled":false}}' AS rule, false AS enabled FROM m WHERE r <= 20 HAVING count(*) > 0
+      UNION ALL SELECT 'tool-rate-cap', 'p95 = ' || p || ' tool calls/session across ' || s || ' sessions. Suggested cap: ' || greatest(2 * p, p + 10) || '.', '{{"name":"tool-call-loop-protection","event_types":["TOOL_CALL_START"],"conditions":[{{"field":"tool_call_count","op":"gt","value":' || greatest(2 * p, p + 10) || '}}],"action":"BLOCK","reason":"More than ' || greatest(2 * p, p + 10) || ' tool calls, by a p95 of ' || p || '","enabled":true}}', true FROM c WHERE s >= 5
+    ) SELECT t.*, g.* FROM (SELECT count(*) AS total_events, CAST(30 AS BIGINT) AS window_days, count(*) < 10 AS insufficient_data FROM e) t LEFT JOIN g ON true""",
     "agent_risk": _with(*_A, _AGENTS) + ", r AS (SELECT agent_id, CAST(round(CAST(greatest(0.0, least(1.0, least(0.4, violation_count * CAST(0.05 AS DOUBLE)) + least(0.3, anomaly_count * CAST(0.1 AS DOUBLE)) + CASE WHEN max_injection > 0.4 THEN (max_injection - 0.4) / 0.6 * 0.3 ELSE 0.0 END)) AS DECIMAL(18,9)), 3) AS DOUBLE) AS risk_score FROM nodes) SELECT *, CASE WHEN risk_score >= 0.7 THEN 'critical' WHEN risk_score >= 0.4 THEN 'high' WHEN risk_score >= 0.2 THEN 'medium' ELSE 'low' END AS risk_level FROM r",
     "agent_comparison": _with(*_A, _AGENTS) + "SELECT agent_id, sessions, llm_calls, tool_calls, errors, coalesce(b, 0) AS blocks, coalesce(a, 0) AS alerts FROM agents LEFT JOIN (SELECT agent_id, count(*) FILTER (WHERE action = 'BLOCK') AS b, count(*) FILTER (WHERE action = 'ALERT') AS a FROM viol WHERE org_id = 'org_0' GROUP BY agent_id) USING (agent_id)",
     "posture_score": _with(*_A, _OVERVIEW) + "SELECT CAST(greatest(0, 100 - least(30, blocks * 5) - least(15, greatest(0, floor((violations - 10) / 5.0))) - least(20, pii_events * 3) - CASE WHEN agents = 0 THEN 15 ELSE 0 END) AS BIGINT) AS posture_score FROM ov",

@@ -189,6 +189,9 @@ for _name, _f in {
     "policy_model_counts": metrics.model_counts,
     "policy_tool_p95": metrics.tool_p95,
     "policy_suggestions": metrics.suggestions,
+    "suggestion_report": lambda e: metrics.suggestion_report(e, ORG, oracle.AS_OF),
+    "observed_tools_top": lambda e: metrics.most_observed_tools(e, violations(e), ORG, oracle.AS_OF),
+    "topology_graph": lambda e: graph.topology(e, behaviour.anomalies(e), violations(e), ORG, isolated=False)[0],
     "topology_nodes": _nodes,
     "topology_providers_models": graph.providers_models,
     "topology_edges": graph.edges,
@@ -250,6 +253,7 @@ for _name, _f in {
     "compliance_hipaa": reports.compliance_hipaa,
     "compliance_soc2": reports.compliance_soc2,
     "audit_summary": _audit,
+    "audit_period": lambda e: reports.audit_period(e, behaviour.anomalies(e), violations(e), ORG, oracle.AS_OF - 20 * 86_400 * 10**9, oracle.AS_OF - 5 * 86_400 * 10**9),
     "audit_overall": lambda e: reports.audit_overall(_audit(e)),
     "audit_report_controls": lambda e: reports.audit_controls(e.sparkSession, _audit(e)),
     "forensic_timeline": lambda e: reports.timeline(e).drop("details"),

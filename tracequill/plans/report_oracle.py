@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracequill.plans.oracle import _A, _LINKS, _SIX, LOG, _with
+from tracequill.plans.oracle import _A, _LINKS, _SIX, AS_OF, LOG, _with
 from tracequill.plans.oracle import SQL as ORACLE
 
 _KINDS = {"injection": "injection|prompt|crescendo|delimiter", "tool": "tool|rce|ssrf|schema", "output": "output|canary|relay", "credential": "credential|pii|secret|token"}
@@ -16,6 +16,7 @@ _AUDIT = f"""vc AS (
     (SELECT count(*) AS anomalies FROM anom WHERE org_id = 'org_0'),
     (SELECT count(*) AS chain_sessions, count(*) FILTER (WHERE ok) AS chain_valid FROM (SELECT session_id, bool_and(loose_ok) AS ok FROM links WHERE org_id = 'org_0' GROUP BY session_id))
 )"""
+_PERIOD = f"timestamp_ns BETWEEN {AS_OF} - 20 * 86400000000000 AND {AS_OF} - 5 * 86400000000000"
 _CHAINS = "JOIN (SELECT session_id, bool_and(link_ok) AS chain_valid, bool_and(link_ok) AS compliant FROM links GROUP BY session_id) USING (session_id)"
 _FLAGGED = """flagged AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE flag WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, sequence_number) AS place FROM (
@@ -69,6 +70,9 @@ SQL: dict[str, str] = {
     "compliance_hipaa": _with(_LINKS)
     + f"""SELECT * FROM (SELECT session_id, count(*) AS events, count(*) FILTER (WHERE list_contains(pii_detected, 'US_SSN')) AS phi_events, bool_or(list_contains(pii_detected, 'US_SSN')) AS phi_seen, count(*) FILTER (WHERE event_type = 'TOOL_CALL_START' AND len(pii_detected) > 0) AS tool_accesses, string_agg(DISTINCT agent_id, ',' ORDER BY agent_id) AS agent_ids,
       coalesce(array_to_string(list_slice(list(timestamp_ns || ':' || tool_name || ':' || pii_detected[1] ORDER BY sequence_number) FILTER (WHERE event_type = 'TOOL_CALL_START' AND len(pii_detected) > 0), 1, 20), ','), '') AS access_log FROM log GROUP BY session_id) {_CHAINS}""",
+    "audit_period": (_with(*_A, _LINKS.replace("FROM log ", f"FROM log WHERE {_PERIOD} "), _AUDIT) + "SELECT * FROM audit")
+    .replace("FROM viol WHERE org_id", f"FROM viol WHERE {_PERIOD} AND org_id").replace("FROM log WHERE org_id = 'org_0')", f"FROM log WHERE {_PERIOD} AND org_id = 'org_0')")
+    .replace("FROM anom WHERE org_id = 'org_0'", f"FROM (SELECT a.org_id, coalesce(l.timestamp_ns, z.at) AS timestamp_ns FROM anom a LEFT JOIN log l USING (session_id, sequence_number) JOIN (SELECT session_id, max(timestamp_ns) AS at FROM log GROUP BY session_id) z ON z.session_id = a.session_id) WHERE {_PERIOD} AND org_id = 'org_0'"),
     "audit_summary": _with(*_A, _LINKS, _AUDIT) + "SELECT * FROM audit",
     "audit_overall": _with(*_A, _LINKS, _AUDIT) + "SELECT sessions, chain_sessions, chain_valid, blocks, pii_events, CASE WHEN sessions = 0 OR chain_valid < chain_sessions THEN 'fail' WHEN blocks > 0 OR pii_events > 0 THEN 'partial' ELSE 'pass' END AS status FROM audit",
     "audit_report_controls": _with(*_A, _LINKS, _AUDIT) + _CONTROLS,
