@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.operators.metrics import scoped
+from tracequill.sources import outbox
 from tracequill.sources.audit_log import typed
 
 
@@ -52,16 +53,35 @@ def _batched(rows: DataFrame, size: int, part_rows: int = PART_ROWS) -> DataFram
     return rows.withColumn("part", part).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
+def splunk_line(rows: DataFrame, index: str) -> Column:
+    """The event-collector envelope of a row."""
+    return F.to_json(F.struct((F.col("timestamp_ns") / 1e9).alias("time"), F.lit("tracequill").alias("source"), F.lit("agent:audit").alias("sourcetype"), F.lit(index).alias("index"), F.struct(*rows.columns).alias("event")))
+
+
+def elastic_line(rows: DataFrame, index: str) -> Column:
+    """The action line and the document line of a row, each with its newline."""
+    action = F.to_json(F.struct(F.struct(F.lit(index).alias("_index"), F.col("event_id").alias("_id")).alias("index")))
+    return F.concat(action, F.lit("\n"), F.to_json(F.struct(*rows.columns)), F.lit("\n"))
+
+
+#: What makes a store's line of a row, and what stands between the lines of a body.
+STORES = {"splunk": (splunk_line, "\n"), "elastic": (elastic_line, "")}
+
+
+def deliver(rows: DataFrame, path: str, store: str = "splunk", index: str = "agents", size: int = 500, dry_run: bool = True, mode: str = "append") -> None:
+    """Writes the bodies that a store takes to a folder (sources/outbox.py), each event once; by default only their counts. Rows stay in their tasks: nothing is shuffled."""
+    line, separator = STORES[store]
+    outbox.register(rows.sparkSession)
+    rows.select(line(rows, index).alias("line")).write.format(outbox.NAME).option("path", path).option("size", size).option("separator", separator).option("dry_run", str(dry_run).lower()).mode(mode).save()
+
+
 def splunk(rows: DataFrame, index: str = "agents", size: int = 500, part_rows: int = PART_ROWS) -> DataFrame:
     """Event-collector envelopes, joined by line in batches."""
-    body = F.to_json(F.struct((F.col("timestamp_ns") / 1e9).alias("time"), F.lit("tracequill").alias("source"), F.lit("agent:audit").alias("sourcetype"), F.lit(index).alias("index"), F.struct(*rows.columns).alias("event")))
-    out = _batched(rows, size, part_rows).withColumn("line", body)
+    out = _batched(rows, size, part_rows).withColumn("line", splunk_line(rows, index))
     return out.groupBy("part", "batch").agg(F.count("*").alias("events"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ns", "event_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
 
 
 def elastic(rows: DataFrame, index: str = "agents", size: int = 500, part_rows: int = PART_ROWS) -> DataFrame:
     """Bulk bodies: an action line and a document line for each event, and a newline at the end."""
-    action = F.to_json(F.struct(F.struct(F.lit(index).alias("_index"), F.col("event_id").alias("_id")).alias("index")))
-    pair = F.concat(action, F.lit("\n"), F.to_json(F.struct(*rows.columns)), F.lit("\n"))
-    out = _batched(rows, size, part_rows).withColumn("line", pair)
+    out = _batched(rows, size, part_rows).withColumn("line", elastic_line(rows, index))
     return out.groupBy("part", "batch").agg(F.count("*").alias("events"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ns", "event_id", "line"))), lambda x: x["line"]), "").alias("body"))
