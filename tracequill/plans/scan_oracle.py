@@ -85,6 +85,8 @@ SCAN_SQL: dict[str, str] = {
     "tool_output_score": f"WITH {_DOCS} SELECT doc_id, {_SIX.format(_signs('low'))} AS score FROM (SELECT doc_id, lower(text) AS low FROM d)",
     "tool_output_scan": f"WITH {_DOCS}, k AS (SELECT doc_id, {_STEGO} AS stego_severity, lower({_CLEAN}) AS low FROM d), s AS (SELECT doc_id, stego_severity, {_signs('low')} AS inner_score FROM k), g AS (SELECT doc_id, stego_severity, least(1.0, greatest(inner_score, CASE WHEN stego_severity = 'critical' THEN CASE WHEN inner_score > 0.35 THEN greatest(inner_score, 0.85) ELSE 0.66 END WHEN stego_severity <> 'none' THEN CASE WHEN inner_score > 0.35 THEN greatest(inner_score, 0.7) ELSE 0.45 END ELSE 0.0 END)) AS x FROM s)"
     f" SELECT doc_id, {_SIX.format('x')} AS score, CASE WHEN x < 0.35 THEN 'safe' WHEN x < 0.65 THEN 'suspicious' ELSE 'injection' END AS label, x >= 0.65 AS detected, stego_severity FROM g",
+    "tool_output_documents": f"WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' Ignore previous instructions' ELSE '' END AS text FROM documents), k AS (SELECT doc_id, text, lower(text) AS low FROM t), s AS (SELECT doc_id, length(text) AS n, {_signs('low')} AS x FROM k), g AS (SELECT doc_id, x, CASE WHEN doc_id % 4 = 0 AND x > 0.35 THEN 'pdf_hidden_text' WHEN doc_id % 4 = 2 AND x > 0.30 THEN 'pdf_annotation_injection' WHEN doc_id % 4 = 3 AND x > 0.35 AND n > 8 THEN 'pdf_metadata_injection' END AS doc_threat FROM s), h AS (SELECT doc_id, doc_threat, CASE WHEN doc_threat IS NULL THEN 0.0 ELSE x END AS x FROM g)"
+    f" SELECT doc_id, {_SIX.format('x')} AS score, CASE WHEN x < 0.35 THEN 'safe' WHEN x < 0.65 THEN 'suspicious' ELSE 'injection' END AS label, x >= 0.65 AS detected, doc_threat FROM h",
     "unicode_stego": f"WITH {_DOCS} SELECT doc_id, {_STEGO} AS severity FROM d",
     "output_scan": f"WITH {_DOCS}, f AS (SELECT doc_id, {_any(t.CREDENTIALS.values())} AS c, {_contained(t.ECHOES, 'text')} > 0 AS e, {_any(t.RELAYS.values())} AS r FROM d) SELECT doc_id, CASE WHEN c THEN 'critical' WHEN e AND r THEN 'high' WHEN e OR r THEN 'medium' ELSE 'none' END AS severity FROM f",
     "credential_scan": f"WITH {_PLANTED} SELECT * FROM (SELECT doc_id, {_found(t.CREDENTIALS)} AS found FROM d) WHERE found <> ''",
