@@ -117,6 +117,20 @@ def _signals(e: DataFrame) -> DataFrame:
     )
 
 
+def _taint_flow(e: DataFrame) -> DataFrame:
+    """Credentials of a session's system prompt and of its tools' results, followed into the arguments of its later calls. A key of each session is in some prompts, a token in some results, either or none in each call."""
+    k, user = F.col("k"), F.substring("session_id", 6, 100).cast("long")
+    made = lambda head, of, n: F.concat(F.lit(head), F.upper(F.substring(F.sha2(F.concat(F.lit(of), "session_id"), 256), 1, n)))
+    key, token = made("AKIA", "key", 16), made("ghp_", "token", 36)
+    prompts = e.where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", F.when(user % 3 != 2, F.concat(F.lit("You help. Use "), key, F.lit(" to read."))).otherwise("You help.").alias("text"))
+    outputs = e.where("event_type = 'TOOL_CALL_END'").select("session_id", "sequence_number", F.when(k % 4 == 0, F.concat(F.lit("found "), token)).otherwise("found nothing").alias("text"))
+    held = F.when(k % 3 == 0, key).when(k % 3 == 1, token).otherwise("nothing")
+    named = F.map_from_arrays(F.array(F.when(k % 2 == 0, "url").otherwise("note")), F.array(F.concat(F.lit("a "), held, F.lit(" b"))))
+    calls = e.where("event_type = 'TOOL_CALL_START'").select("session_id", "sequence_number", F.when(k % 5 == 0, "http_get").otherwise("lookup").alias("tool_name"), F.to_json(named).alias("argument"))
+    calls = calls.withColumn("sink", behaviour.is_sink(F.col("tool_name"), F.col("argument")))
+    return behaviour.taint_hits(behaviour.tainted_values(prompts, outputs), calls)
+
+
 def _replay(e: DataFrame) -> DataFrame:
     r = reports.replay(e, behaviour.anomalies(e))
     count = lambda c, n: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(n)
@@ -244,6 +258,7 @@ for _name, _f in {
     "report_slices": lambda e: e.groupBy("session_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("sequence_number", "event_type"))), 1, 5), lambda x: x["event_type"]), ",").alias("first_five")),
     "alert_throttle": lambda e: folds.alert_throttle(violations(e)),
     "trust_scores": lambda e: behaviour.trust_scores(e.select(F.col("timestamp_ns").alias("seq"), "session_id", F.concat(F.lit("sess_"), F.regexp_extract("agent_id", "[0-9]+", 0)).alias("parent_session_id"), F.when(F.col("k") > 98, "canary").when(F.col("k") > 80, "violation").otherwise("clean").alias("op"), F.when(F.col("k") > 95, "BLOCK").otherwise("ALERT").alias("action"), (F.col("k") / 100).alias("injection_score"))),
+    "taint_flow": _taint_flow,
     "taint_hits": lambda e: behaviour.taint_hits(typed(e).where("event_type = 'TOOL_CALL_END'").select("session_id", "sequence_number", F.col("p.tool_input").alias("value")), _calls(e)),
     "toolset_mutation": lambda e: behaviour.toolset_changes(e.where("event_type = 'LLM_CALL_START'").select("session_id", "sequence_number", F.when(F.col("k") % 2 == 1, F.array(F.lit("read_file"), F.lit("write_file"))).otherwise(F.array(F.lit("read_file"), F.lit("send_mail"))).alias("tools"))),
     "policy_eval": lambda e: rules.evaluate(_counted(e)),

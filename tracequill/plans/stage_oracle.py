@@ -1,4 +1,4 @@
-"""The stages of interception in SQL: a recursion over the events of each session, whose rows carry the session's state."""
+"""The stages of interception in SQL, a recursion over the events of each session, whose rows carry the session's state; credentials followed through a session."""
 
 from __future__ import annotations
 
@@ -36,6 +36,11 @@ _BODY = ORACLE["markov_scores"].removeprefix(_with()).replace(" FROM log\n", " F
 _PLACES = "['spawn-depth-exceeded', 'ml-classifier-injection-block', 'tool-output-injection-block', 'tool-output-injection-alert', 'tool-output-ml-injection-block', 'system-prompt-mutation', 'tool-set-mutation', 'mcp-tool-definition-block', 'mcp-tool-definition-alert', 'context-injection-block', 'context-injection-alert', 'token-budget-exceeded', 'llm-call-budget-exceeded', 'markov-anomalous-transition', 'ml-classifier-injection-alert', 'output-threat-detected', 'data-exfiltration-attempt', 'data-flow-suspicious', 'tool-not-in-baseline', 'isolation-forest-anomaly']"
 
 SQL = {
+    "taint_flow": _with() + """, m AS (SELECT *, 'AKIA' || upper(substr(sha256('key' || session_id), 1, 16)) AS a, 'ghp_' || upper(substr(sha256('token' || session_id), 1, 36)) AS b FROM log), w AS (
+      SELECT session_id, a AS value, min(sequence_number) - 1 AS since FROM m WHERE event_type = 'LLM_CALL_START' AND CAST(substr(session_id, 6) AS BIGINT) % 3 <> 2 GROUP BY ALL
+      UNION ALL SELECT session_id, b, min(sequence_number) FROM m WHERE event_type = 'TOOL_CALL_END' AND k % 4 = 0 GROUP BY ALL
+    ) SELECT m.session_id, sequence_number, CASE WHEN k % 5 = 0 THEN 'http_get' ELSE 'lookup' END AS tool_name, value, CASE WHEN k % 5 = 0 OR k % 2 = 0 THEN 'BLOCK' ELSE 'ALERT' END AS action
+      FROM m JOIN w ON w.session_id = m.session_id AND value = CASE k % 3 WHEN 0 THEN a WHEN 1 THEN b END AND since < sequence_number WHERE event_type = 'TOOL_CALL_START'""",
     "interception_stages": "WITH RECURSIVE " + LOG.strip() + ", " + _SIGNALS + ", " + _STATE + _BODY + f""", v AS (
       SELECT session_id, n AS sequence_number, split_part(u, ' ', 1) AS rule_name, split_part(u, ' ', 2) AS action FROM (SELECT session_id, n, unnest(said) AS u FROM st)
       UNION ALL SELECT session_id, sequence_number, 'markov-anomalous-transition', 'ALERT' FROM q WHERE probability < 0.05 AND event_type IN ('LLM_CALL_START', 'AGENT_FINISH')
