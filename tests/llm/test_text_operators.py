@@ -350,3 +350,31 @@ def test_copies_of_a_page_are_no_template(spark):
 def test_ids_in_an_article_are_no_menus():
     page = '<article><h2 id="search" class="header">Search</h2><section id="comments"><p>on trees</p></section><section class="comments">first!</section><div id="share">me</div></article><h2 class="banner">B</h2>'
     assert [t for name, region, t in wrappers.tokens(page) if not name and region == "c"] == ["Search", "on trees"]
+
+
+def test_long_lists_are_matched_like_short_ones():
+    def plain(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        pairs, i, j = [], 0, 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return pairs
+
+    r = random.Random(5)
+    for _ in range(300):
+        kinds = r.choice([1, 2, 4, 20])
+        x, y = ([str(r.randrange(kinds)) for _ in range(r.randrange(40))] for _ in range(2))
+        assert wrappers._longest(x, y) == plain(x, y)
+        assert len(wrappers._matching(x, y)) == len(plain(x, y))
+    many = [f"k{i}" for i in range(1100)]
+    for n in (900, 1100):  # on both sides of a million pairs
+        assert wrappers._matching(["last", *many[:n]], [*many[:n], "last"]) == [(i + 1, i) for i in range(n)]

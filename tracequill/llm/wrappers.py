@@ -19,10 +19,10 @@ table gives no rows.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as html_lib
 import json
+import math
 import re
 from collections import defaultdict
 
@@ -174,40 +174,84 @@ def _flat(wrapper: list) -> list[tuple[list, bool]]:
 
 
 def _matching(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of keys, equal ends first; a plainer common subsequence for very long lists."""
+    """A longest common subsequence of two lists of keys, equal ends first."""
     begin = 0
     while begin < min(len(a), len(b)) and a[begin] == b[begin]:
         begin += 1
     end = 0
     while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
         end += 1
-    x, y = a[begin : len(a) - end], b[begin : len(b) - end]
-    pairs, i, j = [(k, k) for k in range(begin)], 0, 0
-    if len(x) * len(y) > 1_000_000:  # very long and unlike: any common subsequence gives a right wrapper, so take each next one
-        places: dict[str, list[int]] = defaultdict(list)
-        for k, v in enumerate(y):
-            places[v].append(k)
-        for i, v in enumerate(x):
-            at = bisect.bisect_left(places[v], j)
-            if at < len(places[v]):
-                j = places[v][at] + 1
-                pairs.append((begin + i, begin + j - 1))
-        return pairs + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            pairs.append((begin + i, begin + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
+    inner = _longest(a[begin : len(a) - end], b[begin : len(b) - end])
+    return [*((k, k) for k in range(begin)), *((begin + i, begin + j) for i, j in inner), *((len(a) - k, len(b) - k) for k in range(end, 0, -1))]
+
+
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The pairs of a longest common subsequence.
+
+    With best(i, j) the length of one of x[i:] and y[j:], a row i is a number: its bit len(y) - 1 - j tells whether best(i, j) is one more than
+    best(i, j + 1), and a row follows from the one below by a few operations on whole numbers. Of the rows only every
+    so many are kept and those between made again on the way, so memory grows with len(y) times the root of len(x).
+    """
+    n, m = len(x), len(y)
+    if not n or not m:
+        return []
+    full = (1 << m) - 1
+    wanted = set(x)
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, v in enumerate(reversed(y)):
+        if v in wanted:
+            places[v].append(j)
+    often: dict[str, int] = {}  # at most the root of m
+
+    def mask(v: str) -> int:
+        """The bits of y's places that hold v."""
+        if v not in places:
+            return 0
+        if v in often:
+            return often[v]
+        bits = bytearray(m + 7 >> 3)
+        for j in places[v]:
+            bits[j >> 3] |= 1 << (j & 7)
+        out = int.from_bytes(bits, "little")
+        if len(places[v]) > math.isqrt(m):
+            often[v] = out
+        return out
+
+    def above(row: int, i: int) -> int:
+        """Row i from row i + 1."""
+        flat = full ^ row
+        both = flat & mask(x[i])
+        return full ^ ((flat + both | flat - both) & full)
+
+    step = math.isqrt(n) + 1
+    kept, row = {n: 0}, 0
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    pairs, i, j = [], 0, 0
+    rows: dict[int, int] = {}
+    while i < n and j < m:
+        if i not in rows or i + 1 not in rows:
+            low = min(n, (i // step + 1) * step)
+            rows = {low: kept[low]}
+            for k in range(low - 1, i - 1, -1):
+                rows[k] = above(rows[k + 1], k)
+        here, below = rows[i], rows[i + 1]
+        left = (1 << m - j) - 1
+        best, under = (here & left).bit_count(), (below & left).bit_count()
+        if x[i] != y[j] and under < best:
+            one, two = here.to_bytes(m + 7 >> 3, "little"), below.to_bytes(m + 7 >> 3, "little")
+            while j < m and x[i] != y[j] and under < best:  # without x[i] less is left
+                at, bit = m - 1 - j >> 3, m - 1 - j & 7
+                best -= one[at] >> bit & 1
+                under -= two[at] >> bit & 1
+                j += 1
+        if j < m and x[i] == y[j]:
+            pairs.append((i, j))
             j += 1
-    return pairs + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+        i += 1
+    return pairs
 
 
 def _merged(one: list, two: list) -> list:
