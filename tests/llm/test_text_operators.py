@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -378,3 +381,33 @@ def test_long_lists_are_matched_like_short_ones():
     many = [f"k{i}" for i in range(1100)]
     for n in (900, 1100):  # on both sides of a million pairs
         assert wrappers._matching(["last", *many[:n]], [*many[:n], "last"]) == [(i + 1, i) for i in range(n)]
+
+
+def test_words_are_given_in_parts_and_forgotten(monkeypatch):
+    monkeypatch.setattr(words, "GIVEN", 7)
+    coder = words.WordCoder(WORD, keep=50)
+    texts = [t or "" for t in ODD] + random_texts(60, 9)
+    for i in range(0, len(texts), 9):
+        part = texts[i : i + 9]
+        assert by_words(coder, part) == [whole(WORD, t) for t in part]
+        assert len(coder.known[0]) <= max(50, len({w for t in part for w in t.split()}) * 2 + 1)
+
+
+GROWTH = """
+import random, resource
+import public_tokenizers, pyarrow as pa
+from tracequill.llm import words
+coder, r = words.WordCoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+coder.encode(pa.array(["a b"]), 2)
+batches = [pa.array([" ".join("".join(r.choices("etaoinshrdlu", k=8)) for _ in range(100)) for _ in range(1600)]) for _ in range(2)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for b in batches:
+    coder.encode(b, 2)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_a_worker_of_many_rare_words_stays_small():
+    done = subprocess.run([sys.executable, "-c", GROWTH], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    print(done.stdout)
+    assert int(done.stdout) < 150

@@ -131,9 +131,10 @@ def release() -> None:
 
 
 def tidy(run):
-    """A task's function over batches that releases its worker's memory at the end."""
+    """A task's function over batches that releases its worker's memory: what tasks before it left, and its own."""
 
     def task(batches):
+        release()
         yield from run(batches)
         release()
 

@@ -32,8 +32,8 @@ from tracequill.llm.bpe import slices
 from tracequill.llm.common import new_folder, open_fs, ship, written
 
 MAGIC = b"TQIDS004"
-#: Pieces that a writer remembers, and bytes of texts that it encodes together.
-KEEP, SLICE = 450_000, 8_000_000
+#: Bytes of texts that a writer encodes together.
+SLICE = 8_000_000
 #: Ids in a block, and the most blocks that are worked on in step.
 BLOCK, LANES = 2048, 4096
 #: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
@@ -308,7 +308,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str |
     folder = folder or new_folder(spark, "ids")
 
     def run(batches):
-        coder = words.loaded(vocabulary, KEEP)
+        coder = words.loaded(vocabulary)
         part = TaskContext.get().partitionId()
         fs, base = open_fs(folder)
         name, made, out, n = f"{base}/part-{part:06d}.ids", f"{base}/.writing-{uuid.uuid4().hex}", None, 0

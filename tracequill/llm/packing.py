@@ -164,6 +164,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             put(x)
         if rows:
             yield out()
-        coder.forget()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
