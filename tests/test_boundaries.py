@@ -185,3 +185,21 @@ def test_trust_over_the_whole_log(spark, sf):
     e = registry.audit_events(spark, sf).select("timestamp_ns", "session_id", "agent_id", "k").collect()
     ops = [(x["timestamp_ns"], x["session_id"], "sess_" + x["agent_id"].removeprefix("agent_"), "canary" if x["k"] > 98 else "violation" if x["k"] > 80 else "clean", "BLOCK" if x["k"] > 95 else "ALERT", x["k"] / 100) for x in e]
     assert dict(registry.QUERIES["trust_scores"](spark, sf).collect()) == pytest.approx(folded(ops), abs=2e-6)
+
+
+def test_chains_are_signed_row_by_row(spark, sf):
+    """Envelopes with odd texts, nulls and nested payloads; sessions are read in order within a task, none as one group in memory."""
+    rows = audit_events(spark, sf).drop("k").where("session_id IN ('sess_1', 'sess_2', 'sess_3')")
+    odd = F.col("sequence_number") % 3
+    rows = rows.withColumns({
+        "model": F.when(odd == 0, 'a"\\\n\u00e9\U0001f600%s').when(odd == 1, None).otherwise(F.col("model")), "payload": F.when(odd == 2, '{"b":[1.50,{"z":null,"a":"\u00e9"}],"a":1e3}').when(odd == 1, None).otherwise(F.col("payload")),
+        "security": F.when(odd == 0, '{"y":true,"x":"%d"}').when(odd == 1, "null"), "pii_detected": F.when(odd == 1, None).otherwise(F.col("pii_detected")), "timestamp_ns": F.when(odd != 2, F.col("timestamp_ns")),
+    })
+    signed = chain.signed(rows)
+    assert "FlatMapGroups" not in signed._jdf.queryExecution().executedPlan().toString()
+    found = {(r["session_id"], r["sequence_number"]): r.asDict() for r in chain.digests(signed).collect()}
+    assert len(found) == rows.count() > 10
+    for (session, n), r in found.items():
+        want = hashlib.sha256(chain.canonical(r | {"pii_detected": r["pii_detected"] or []}).encode()).hexdigest()
+        assert r["digest"] == r["current_hash"] == want
+        assert r["previous_hash"] == (found[session, n - 1]["current_hash"] if n else f"GENESIS_{session}")
