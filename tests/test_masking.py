@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracequill.functions import masking
@@ -56,3 +57,17 @@ def test_documents_against_a_plain_walk(spark, sf):
         parts = [None if text is None else masking.mask_text(text, types)]
         masked = json.dumps({"parts": parts, "source": docs[r["doc_id"]]["source"]}, separators=(",", ":"), ensure_ascii=False)
         assert (r["types"], r["masked_sha256"]) == (",".join(sorted(types)), hashlib.sha256(masked.encode()).hexdigest())
+
+
+def test_equal_payloads_are_masked_once(spark, monkeypatch):
+    calls = []
+    one = masking.mask_one
+    monkeypatch.setattr(masking, "mask_one", lambda p: calls.append(p) or one(p))
+    made = []
+    monkeypatch.setattr(F, "arrow_udf", lambda run, kind: made.append(run) or (lambda c: c))
+    masking.masked(F.lit(1))
+    texts = [None, '{"a":"x@y.org"}', "no digits", '{"a":"x@y.org"}', "4111 1111 1111 1111", None, "1.2.3.4 or +44 20 7946 0958"] * 50
+    got = made[0](pa.array(texts, pa.string())).to_pylist()
+    assert got == [one(t) for t in texts]
+    assert len(calls) <= 5
+    assert made[0](pa.array([], pa.string())).to_pylist() == [] and made[0](pa.array([None], pa.string())).to_pylist() == [one(None)]
