@@ -94,3 +94,9 @@ def test_verdict_list_is_evaluate(spark, sf):
     one = rules.evaluate(e).select("session_id", "sequence_number", "rule_name", "action")
     two = e.select("session_id", "sequence_number", F.explode(rules.verdict_list(e)).alias("v")).select("session_id", "sequence_number", "v.*")
     assert one.count() > 0 and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_a_fold_over_a_session_is_made_once(spark, sf):
+    """Transitions, measures and verdicts read the events that went through the stages; none folds them again."""
+    plan = registry.QUERIES["interception_all"](spark, sf)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan

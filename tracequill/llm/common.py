@@ -9,7 +9,6 @@ import gc
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -20,50 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from tracequill.sources.stored import new_folder, shared_dir, written  # noqa: F401
+
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
-_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tracequill-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one; Spark deletes it when the driver ends."""
-    path = f"{shared_dir(spark)}/tracequill-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{new_folder(spark, name)}/table"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
 def discard(df: DataFrame) -> None:
     """Deletes a table that written() made and nothing will read again."""
     path = getattr(df, "_written_to", None)

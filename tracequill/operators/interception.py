@@ -7,15 +7,17 @@ length fits. Transitions and outliers only alert, so they are operators over wha
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.operators import behaviour, outliers
 from tracequill.operators.rules import ORDER
+from tracequill.sources.stored import written
 
 PLACES = {name: n + 1 for n, name in enumerate(ORDER)}
 #: The place of a policy's rules, after those of code.
@@ -133,22 +135,26 @@ def staged(signals: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = signals.select("session_id", F.col("sequence_number").cast("long"), "agent_id", "event_type", F.col("timestamp_ns").cast("long"), *[value(n, *v).alias(n) for n, v in SIGNALS.items()])
     columns = [c.split()[0] for c in _RESULT.split(", ")[:6]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["session_id", "sequence_number", "agent_id", "event_type", "timestamp_ns", *SIGNALS]
+    event = namedtuple("event", names)
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("rule_name", pa.string()), ("action", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, s = object(), Session()
         for batch in batches:
-            plain = batch.astype(object).where(batch.notna(), None)
-            plain["policy"] = [[(v["rule_name"], v["action"]) for v in p if v is not None] if p is not None else [] for p in plain["policy"]]
+            held = {n: c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(c.type) or not c.null_count and not pa.types.is_list(c.type) else c.to_pylist() for n, c in zip(names, batch.columns, strict=True)}
+            held["policy"] = [[(v["rule_name"], v["action"]) for v in p if v is not None] if p else [] for p in held["policy"]]
             passed, verdicts = [], []
-            for e in plain.itertuples(index=False):
+            for e in map(event._make, zip(*held.values(), strict=True)):
                 if e.session_id != session:
                     session, s = e.session_id, Session()
                 stage = STAGES.get(e.event_type)
                 said = stage(s, e, limits) if stage else []
                 passed.append(all(action != "BLOCK" for _, action in said))
                 verdicts.append([{"place": PLACES.get(rule, POLICY), "rule_name": rule, "action": action} for rule, action in said])
-            yield batch[columns].assign(passed=passed, verdicts=verdicts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), pa.array(passed, pa.bool_()), pa.array(verdicts, kind)], [*columns, "passed", "verdicts"])
 
-    return rows.repartition("session_id").sortWithinPartitions("session_id", "sequence_number", "timestamp_ns", "event_type").mapInPandas(run, _RESULT)
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "sequence_number", "timestamp_ns", "event_type").mapInArrow(run, _RESULT)
 
 
 def _ended(passed: DataFrame) -> DataFrame:
@@ -170,15 +176,16 @@ def verdicts(signals: DataFrame, limits: Limits = Limits(), forests: bool = True
     """One row a verdict: session_id, sequence_number, rule_name, action, place, for all rules that code fires and those of a policy that came with the signals.
 
     Transitions are between events that were let through, and alert at calls and finishes; with `forests`, a session's first finish is held against the forest fitted last.
+    The events that went through the stages, and the measures of ended sessions, are read many times over, so each is made once and written to the shared folder.
     """
-    events = staged(signals, limits)
+    events = written(staged(signals, limits), "stages")
     out = events.select("session_id", "sequence_number", F.explode("verdicts").alias("v")).select("session_id", "sequence_number", "v.rule_name", "v.action", "v.place")
     passed = events.where("passed")
     alert = lambda rows, rule: rows.select("session_id", "sequence_number", F.lit(rule).alias("rule_name"), F.lit("ALERT").alias("action"), F.lit(PLACES[rule]).cast("long").alias("place"))
     rare = behaviour.markov(passed, low).where("anomalous AND event_type IN ('LLM_CALL_START', 'AGENT_FINISH')")
     out = out.unionByName(alert(rare, "markov-anomalous-transition"))
     if forests:
-        ended = _ended(passed)
+        ended = written(_ended(passed), "stages-ended")
         odd = outliers.refitted(ended.drop("sequence_number")).where("is_anomaly").select("session_id")
         out = out.unionByName(alert(ended.join(odd, "session_id", "left_semi"), "isolation-forest-anomaly"))
     return out
