@@ -411,3 +411,18 @@ def test_a_worker_of_many_rare_words_stays_small():
     done = subprocess.run([sys.executable, "-c", GROWTH], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     print(done.stdout)
     assert int(done.stdout) < 150
+
+
+def test_writers_wait_for_full_steps(tmp_path):
+    """A step over few lanes costs as much as one over many, so all but the last steps have all lanes."""
+    sizes = []
+    with pa.OSFile(str(tmp_path / "a.ids"), "wb") as sink:
+        w = idfile.Writer(sink, 100, block=8, lanes=4)
+        write = w._write
+        w._write = lambda ids: (sizes.append(ids.shape), write(ids))
+        for i in range(3):
+            w.add([i], np.arange(44, dtype="<u4"), np.array([0, 44]))
+        assert w.close() == 132
+    assert sizes == [(4, 8), (4, 8), (4, 8), (4, 8), (1, 4)]
+    with pa.OSFile(str(tmp_path / "a.ids"), "rb") as f:
+        assert [(d, ids.tolist()) for d, ids in idfile.read_file(f)] == [(i, list(range(44))) for i in range(3)]

@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 
 from tracequill.llm import words
 from tracequill.llm.bpe import slices
-from tracequill.llm.common import new_folder, open_fs, ship, written
+from tracequill.llm.common import new_folder, open_fs, ship, tidy, written
 
-MAGIC = b"TQIDS004"
+MAGIC = b"TQIDS005"
 #: Bytes of texts that a writer encodes together.
 SLICE = 8_000_000
-#: Ids in a block, and the most blocks that are worked on in step.
-BLOCK, LANES = 2048, 4096
+#: Ids in a block, and the most blocks that are worked on in step: with more of them the tables leave the cache.
+BLOCK, LANES = 2048, 2048
 #: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
-ONE_BITS, TWO_BITS, REFRESH = 9, 10, 256
+ONE_BITS, TWO_BITS, REFRESH = 8, 8, 256
 #: Bits of the range coder's words; a range has two of them.
 WORD = 24
 LOW = (1 << WORD) - 1
@@ -59,8 +59,7 @@ class Model:
         self.cells = (np.arange(2 * lanes) * 16).reshape(2, lanes)
         self.prob = np.full(2 * lanes * 16, 1 << 15, np.int32)
         self.weight = np.full((2, lanes), 1 << 15, np.int32)
-        self.count = np.zeros(lanes * self.symbols + 1, np.int32)
-        self.none = lanes * self.symbols
+        self.count = np.zeros(lanes * self.symbols, np.int32)
         self.rows = np.arange(lanes) * self.symbols
         self.refresh()
 
@@ -73,23 +72,22 @@ class Model:
     def refresh(self, seen: np.ndarray | None = None) -> None:
         """Frequencies of the high parts, 4096 together, each at least 1. seen: the cells that were coded since the last time."""
         if seen is not None:
-            self.count += (np.bincount(seen.ravel(), minlength=len(self.count)) << 5).astype(np.int32)
-        count = self.count[:-1].reshape(self.n, self.symbols)
+            self.count += (np.bincount(seen, minlength=len(self.count)) << 5).astype(np.int32)
+        count = self.count.reshape(self.n, self.symbols)
         total = count.sum(axis=1, keepdims=True)
         freq = 1 + count * (4096 - self.symbols) // np.maximum(total, 1)
         freq[np.arange(self.n), count.argmax(axis=1)] += 4096 - freq.sum(axis=1)
         self.freq = freq.ravel()
-        # where a symbol's range begins and how wide it is, in one number; the last cell stands for "nothing to code"
-        self.span = np.append((np.cumsum(freq, axis=1) - freq).ravel() << 13 | self.freq, 4096)
+        self.span = (np.cumsum(freq, axis=1) - freq).ravel() << 13 | self.freq  # where a symbol's range begins and how wide it is
         np.minimum(np.maximum(self.weight, -(1 << 17), out=self.weight), 1 << 17, out=self.weight)  # sums stay within 32 bits until the next time
 
     def guess(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Candidates for the slots at, and the probability, of 4096, that each is right."""
         self.at = at
-        slot = self.slots.take(at)
+        self.slot = slot = self.slots.take(at)
         self.seen, self.sure = slot >> 3, slot & 7
         cand = np.where(self.sure[1] > 0, self.seen[1], self.seen[0])
-        self.cell = self.cells + (self.sure << 1) + (self.seen == cand)
+        self.cell = self.cells + ((self.sure << 1) + (self.seen == cand).view(np.int8))
         self.old = self.prob.take(self.cell)
         self.stretch = _STRETCH.take(self.old >> 4)
         dot = self.weight * self.stretch
@@ -98,13 +96,12 @@ class Model:
         return cand, self.p
 
     def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
-        error = (right.astype(np.int32) << 12) - self.p.astype(np.int32)
+        one = right.astype(np.int32)
+        error = (one << 12) - self.p.astype(np.int32)
         self.weight += self.stretch * error >> 12
-        goal = right.astype(np.int32) * 65535
-        self.prob[self.cell] = self.old + (goal - self.old >> 4)
-        same = self.seen == ids
-        sure = _NEXT.take((same << 3) + self.sure)
-        self.slots[self.at] = np.where(sure > 0, (self.seen << 3) + sure, (ids << 3) + 1)
+        self.prob[self.cell] = self.old + (one * 65535 - self.old >> 4)
+        sure = _NEXT.take(((self.seen == ids).view(np.int8) << 3) + self.sure)
+        self.slots[self.at] = np.where(sure > 0, self.slot - self.sure + sure, (ids << 3) + 1)
 
 
 def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
@@ -112,8 +109,7 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
     lanes, steps = ids.shape
     m = Model(lanes, vocab)
     room = steps + 8  # a step takes 19 bits at most
-    out, pos = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
-    first = pos.copy()
+    out, pos = np.zeros(room * lanes, np.int32), np.arange(lanes)  # lanes side by side, as they advance alike
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 2 * WORD, np.int64)
     columns = np.zeros((steps + 2, lanes), np.int32)
     columns[2:] = ids.T
@@ -122,37 +118,33 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
         end = min(steps, begin + REFRESH)
         at = np.stack(m.contexts(columns[begin + 1 : end + 1].astype(np.int64), columns[begin:end].astype(np.int64)), axis=1) + m.base
         high = m.rows + (columns[begin + 2 : end + 2] >> m.low_bits)
-        coded = np.empty((end - begin, lanes), np.int64)
         for t in range(begin, end):
             now = columns[t + 2]
             cand, p = m.guess(at[t - begin])
             right = cand == now
             bound = (width >> 12) * p
-            low += np.where(right, 0, bound)
-            width = np.where(right, bound, width - bound)
             np.logical_not(right, out=missed[t])
-            h = coded[t - begin] = np.where(right, m.none, high[t - begin])
-            span = m.span.take(h)
-            r = width >> 12
-            low += r * (span >> 13)
-            width = r * (span & 8191)
+            span = m.span.take(high[t - begin])  # of the high part, coded where the guess is wrong
+            r = width - bound >> 12
+            low += np.where(right, 0, bound + r * (span >> 13))
+            width = np.where(right, bound, r * (span & 8191))
             need = np.flatnonzero(width <= LOW)
             x, q = low.take(need), pos.take(need)
             out[q] = x >> WORD  # the bit above the word is a carry for the one before
-            pos[need] = q + 1
+            pos[need] = q + lanes
             low[need] = (x & LOW) << WORD
             width[need] = width.take(need) << WORD
             m.learn(now, right)
-        m.refresh(coded)
+        m.refresh(high[missed[begin:end]])
     for _ in range(2):
         out[pos] = low >> WORD
-        pos += 1
+        pos += lanes
         low = (low & LOW) << WORD
     parts = columns[2:] & (1 << m.low_bits) - 1
     kind = "<u1" if m.low_bits == 8 else "<u4"
-    done = []
+    done, out, size = [], np.ascontiguousarray(out.reshape(room, lanes).T), pos // lanes
     for i in range(lanes):
-        x = out[first[i] : pos[i]].copy()
+        x = out[i, : size[i]]
         while len(big := np.flatnonzero(x > LOW)):
             x[big] -= 1 << WORD
             np.add.at(x, big - 1, 1)
@@ -184,23 +176,22 @@ def decode_blocks(blocks: list[bytes], steps: int, vocab: int) -> np.ndarray:
     result = np.zeros((steps + 2, lanes), np.int32)
     lane = np.arange(lanes) << 12
     names = np.tile(np.arange(m.symbols, dtype=np.uint8 if m.symbols <= 256 else np.int16), lanes)
-    seen = np.empty((REFRESH, lanes), np.int64)
+    seen, hit = np.empty((REFRESH, lanes), np.int64), np.empty((REFRESH, lanes), bool)
     for t in range(steps):
         if t % REFRESH == 0:
             if t:
-                m.refresh(seen)
+                m.refresh(seen[~hit])
             which = np.repeat(names, m.freq)  # the symbol of each of a lane's 4096 places
         cand, p = m.guess(np.stack(m.contexts(result[t + 1].astype(np.int64), result[t].astype(np.int64))) + m.base)
         bound = (width >> 12) * p
         right = code < bound
-        code -= np.where(right, 0, bound)
-        width = np.where(right, bound, width - bound)
-        r = width >> 12
-        high = which.take(lane + np.minimum(code // r, 4095))
-        h = seen[t % REFRESH] = np.where(right, m.none, m.rows + high)
-        span = m.span.take(h)
-        code -= r * (span >> 13)
-        width = r * (span & 8191)
+        r = width - bound >> 12
+        rest = code - bound
+        high = which.take(lane + np.clip(rest / r, 0, 4095).astype(np.int64))  # exact: quotients under 2**12 by numbers under 2**36
+        span = m.span.take(h := m.rows + high)
+        seen[t % REFRESH], hit[t % REFRESH] = h, right
+        code = np.where(right, code, rest - r * (span >> 13))
+        width = np.where(right, bound, r * (span & 8191))
         now = np.where(right, cand, (high.astype(np.int32) << m.low_bits) + parts[at_part])
         at_part += ~right
         need = np.flatnonzero(width <= LOW)
@@ -239,6 +230,8 @@ class Writer:
     def flush(self, last: bool = False) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, "<u4")
         full = len(ids) // self.block
+        if not last:
+            full -= full % self.lanes  # few lanes cost a step as much as many
         for begin in range(0, full * self.block, self.block * self.lanes):
             self._write(ids[begin : min(full * self.block, begin + self.block * self.lanes)].reshape(-1, self.block))
         ids = ids[full * self.block :]
@@ -328,7 +321,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str |
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text")))
-    manifest = written(rows.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "ids-manifest")
+    manifest = written(rows.mapInArrow(tidy(run), "part long, path string, n_docs long, n_ids long"), "ids-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -354,7 +347,7 @@ def read_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield _batch(rows, with_ids)
 
     files = manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(tidy(run), schema)
 
 
 def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
