@@ -90,6 +90,8 @@ def positions(df: DataFrame, order: list[Column], group: str | None = None, name
 def release() -> None:
     """Gives memory that this worker no longer uses back to the system: workers live on after their tasks, beside those of later stages."""
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # modules and the like, which later collections need not walk through again
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

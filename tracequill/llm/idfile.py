@@ -8,7 +8,7 @@ it is right, and a range coder codes that decision. A wrong candidate is followe
 high part is coded by the adaptive order-0 table, its low part, which is spread evenly, is stored as it is.
 
 Blocks are independent, so numpy works on many blocks in step, one per lane. All arithmetic is on
-integers: every machine decodes what another wrote.
+integers, or divides and multiplies doubles as IEEE 754 fixes it: every machine decodes what another wrote.
 
 Null or empty texts hold the end id alone. Repeated rows keep their own entries. An empty table gives
 no files. Rows whose doc_id is null come first, as Spark sorts them.
@@ -31,9 +31,9 @@ from tracequill.llm import words
 from tracequill.llm.bpe import slices
 from tracequill.llm.common import new_folder, open_fs, ship, tidy, written
 
-MAGIC = b"TQIDS005"
-#: Bytes of texts that a writer encodes together.
-SLICE = 8_000_000
+MAGIC = b"TQIDS006"
+#: Bytes of texts that a writer encodes together, and words that its worker remembers: nearly all others are met once.
+SLICE, KEEP = 16_000_000, 1_000_000
 #: Ids in a block, and the most blocks that are worked on in step: with more of them the tables leave the cache.
 BLOCK, LANES = 2048, 2048
 #: Slots of the order-1 and order-2 tables of a block (as powers of two), and how often the order-0 table is renewed.
@@ -42,13 +42,17 @@ ONE_BITS, TWO_BITS, REFRESH = 8, 8, 256
 WORD = 24
 LOW = (1 << WORD) - 1
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
-_SQUASH = np.clip(np.searchsorted(_STRETCH, np.arange(-2048, 2048)), 32, 4064).astype(np.int64)
-#: A slot's next confidence (0 to 7) after a wrong guess, then after a right one.
-_NEXT = np.array([[0, 0, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
+_SQUASH = np.clip(np.searchsorted(_STRETCH, np.arange(-2048, 2048)), 32, 4064).astype(np.int32)
+#: What is added to a slot (eight times its id, and its confidence from 0 to 7), by confidence after a right guess, then after a wrong one; _NEW: it takes the id that came.
+_NEW = -8
+_GAIN = np.array([1, 1, 1, 1, 1, 1, 1, 0, _NEW, _NEW, -1, -2, -2, -3, -3, -4], np.int32)
 
 
 class Model:
-    """The state of all lanes; encoder and decoder drive it alike. Arrays of shape (2, lanes) hold order 1 and order 2."""
+    """The state of all lanes; encoder and decoder drive it alike. Arrays of shape (2, lanes) hold order 1 and order 2. Ids come eightfold, as slots hold them.
+
+    Counters and frequencies lie lane by lane for each state and symbol: lanes are mostly in the same few of them, so neighbours share lines of the cache.
+    """
 
     def __init__(self, lanes: int, vocab: int):
         self.n = lanes
@@ -56,52 +60,83 @@ class Model:
         self.symbols = (max(1, vocab) - 1 >> self.low_bits) + 1
         self.base = np.stack([np.arange(lanes) << ONE_BITS, (lanes << ONE_BITS) + (np.arange(lanes) << TWO_BITS)])
         self.slots = np.zeros(lanes * ((1 << ONE_BITS) + (1 << TWO_BITS)), np.int32)  # id and confidence of each context
-        self.cells = (np.arange(2 * lanes) * 16).reshape(2, lanes)
+        self.cells = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes)
         self.prob = np.full(2 * lanes * 16, 1 << 15, np.int32)
         self.weight = np.full((2, lanes), 1 << 15, np.int32)
-        self.count = np.zeros(lanes * self.symbols, np.int32)
-        self.rows = np.arange(lanes) * self.symbols
+        self.count = np.zeros((self.symbols, lanes), np.int32)
+        self.lane = np.arange(lanes)
         self.refresh()
 
-    @staticmethod
-    def contexts(last1: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the last id and of the last two."""
-        one = last1 * 40503
-        return (one & 0xFFFF) >> 16 - ONE_BITS, (one + last2 * 60493 & 0xFFFFF) >> 20 - TWO_BITS
+    def places(self, last1: np.ndarray, last2: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Slots of the last id and of the last two, both unsigned, in at: steps by lanes, or one step's lanes."""
+        one = last1 * np.uint32(0x9E3779B1)
+        np.add(one >> 32 - ONE_BITS, self.base[0], out=at[..., 0, :])
+        one += last2 * np.uint32(0x85EBCA77)
+        one >>= 32 - TWO_BITS
+        np.add(one, self.base[1], out=at[..., 1, :])
+        return at
 
     def refresh(self, seen: np.ndarray | None = None) -> None:
         """Frequencies of the high parts, 4096 together, each at least 1. seen: the cells that were coded since the last time."""
+        count = self.count
         if seen is not None:
-            self.count += (np.bincount(seen, minlength=len(self.count)) << 5).astype(np.int32)
-        count = self.count.reshape(self.n, self.symbols)
-        total = count.sum(axis=1, keepdims=True)
-        freq = 1 + count * (4096 - self.symbols) // np.maximum(total, 1)
-        freq[np.arange(self.n), count.argmax(axis=1)] += 4096 - freq.sum(axis=1)
-        self.freq = freq.ravel()
-        self.span = (np.cumsum(freq, axis=1) - freq).ravel() << 13 | self.freq  # where a symbol's range begins and how wide it is
+            count += (np.bincount(seen, minlength=count.size) << 5).reshape(count.shape)
+        freq = (count * ((4096 - self.symbols) / np.maximum(count.sum(axis=0), 1))).astype(np.int32)
+        freq += 1
+        freq[count.argmax(axis=0), self.lane] += 4096 - freq.sum(axis=0, dtype=np.int32)
+        self.freq = freq
+        start = np.zeros_like(freq)
+        for i in range(1, self.symbols):
+            np.add(start[i - 1], freq[i - 1], out=start[i])
+        start <<= 13
+        start += freq
+        self.span = start.ravel()  # where a symbol's range begins and how wide it is
         np.minimum(np.maximum(self.weight, -(1 << 17), out=self.weight), 1 << 17, out=self.weight)  # sums stay within 32 bits until the next time
 
-    def guess(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates for the slots at, and the probability, of 4096, that each is right."""
+    def guess(self, at: np.ndarray) -> np.ndarray:
+        """The probability, of 4096, that the candidate for the slots at is right."""
         self.at = at
-        self.slot = slot = self.slots.take(at)
-        self.seen, self.sure = slot >> 3, slot & 7
-        cand = np.where(self.sure[1] > 0, self.seen[1], self.seen[0])
-        self.cell = self.cells + ((self.sure << 1) + (self.seen == cand).view(np.int8))
-        self.old = self.prob.take(self.cell)
-        self.stretch = _STRETCH.take(self.old >> 4)
+        self.slot = slot = self.slots.take(at, mode="clip")
+        self.sure = slot & 7
+        self.cell = cell = self.sure + (np.minimum(slot[0] ^ slot[1], 8) & 8)  # the state: also whether both orders name one id
+        cell *= 2 * self.n
+        cell += self.cells
+        self.old = self.prob.take(cell, mode="clip")
+        self.part = self.old >> 4
+        self.stretch = _STRETCH.take(self.part)
         dot = self.weight * self.stretch
-        dot = dot[0] + dot[1] >> 16
-        self.p = _SQUASH.take(dot + 2048, mode="clip")
-        return cand, self.p
+        dot = dot[0] + dot[1]
+        dot >>= 16
+        dot += 2048
+        self.p = _SQUASH.take(dot, mode="clip")
+        return self.p
+
+    def candidate(self) -> np.ndarray:
+        return np.where(self.sure[1] > 0, self.slot[1], self.slot[0]) & -8
 
     def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
         one = right.astype(np.int32)
-        error = (one << 12) - self.p.astype(np.int32)
-        self.weight += self.stretch * error >> 12
-        self.prob[self.cell] = self.old + (one * 65535 - self.old >> 4)
-        sure = _NEXT.take(((self.seen == ids).view(np.int8) << 3) + self.sure)
-        self.slots[self.at] = np.where(sure > 0, self.slot - self.sure + sure, (ids << 3) + 1)
+        goal = one << 12
+        self.stretch *= goal - self.p
+        self.stretch >>= 12
+        self.weight += self.stretch
+        self.old -= self.part
+        self.old += goal - one
+        self.prob[self.cell] = self.old
+        which = np.minimum(self.slot ^ ids, 8)
+        which &= 8
+        which += self.sure
+        gain = _GAIN.take(which)
+        self.slot += gain
+        self.slots[self.at] = np.where(gain > _NEW, self.slot, ids + 1)
+
+
+def turned(a: np.ndarray) -> np.ndarray:
+    """The transpose, copied in strips: whole columns at once would share few lines of the cache."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, len(a), 64):
+        out[:, i : i + 64] = a[i : i + 64].T
+    return out
 
 
 def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
@@ -109,47 +144,47 @@ def encode_blocks(ids: np.ndarray, vocab: int) -> list[bytes]:
     lanes, steps = ids.shape
     m = Model(lanes, vocab)
     room = steps + 8  # a step takes 19 bits at most
-    out, pos = np.zeros(room * lanes, np.int32), np.arange(lanes)  # lanes side by side, as they advance alike
+    out, begins = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
+    pos = begins.copy()
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 2 * WORD, np.int64)
-    columns = np.zeros((steps + 2, lanes), np.int32)
-    columns[2:] = ids.T
+    columns = np.zeros((steps + 2, lanes), np.uint32)
+    columns[2:] = turned(ids)
     missed = np.zeros((steps, lanes), bool)
     for begin in range(0, steps, REFRESH):
         end = min(steps, begin + REFRESH)
-        at = np.stack(m.contexts(columns[begin + 1 : end + 1].astype(np.int64), columns[begin:end].astype(np.int64)), axis=1) + m.base
-        high = m.rows + (columns[begin + 2 : end + 2] >> m.low_bits)
-        for t in range(begin, end):
-            now = columns[t + 2]
-            cand, p = m.guess(at[t - begin])
-            right = cand == now
+        at = m.places(columns[begin + 1 : end + 1], columns[begin:end], np.empty((end - begin, 2, lanes), np.int64))
+        now = (columns[begin + 2 : end + 2] << 3).view(np.int32)
+        high = (columns[begin + 2 : end + 2] >> m.low_bits) * np.int64(lanes) + m.lane
+        span = m.span.take(high)  # of the high part, coded where the guess is wrong
+        start, freq = span >> 13, span & 8191
+        for t in range(end - begin):
+            p = m.guess(at[t])
+            right = m.candidate() == now[t]
+            np.logical_not(right, out=missed[begin + t])
             bound = (width >> 12) * p
-            np.logical_not(right, out=missed[t])
-            span = m.span.take(high[t - begin])  # of the high part, coded where the guess is wrong
             r = width - bound >> 12
-            low += np.where(right, 0, bound + r * (span >> 13))
-            width = np.where(right, bound, r * (span & 8191))
-            need = np.flatnonzero(width <= LOW)
-            x, q = low.take(need), pos.take(need)
-            out[q] = x >> WORD  # the bit above the word is a carry for the one before
-            pos[need] = q + lanes
-            low[need] = (x & LOW) << WORD
-            width[need] = width.take(need) << WORD
-            m.learn(now, right)
-        m.refresh(high[missed[begin:end]])
+            low += np.where(right, 0, bound + r * start[t])
+            width = np.where(right, bound, r * freq[t])
+            full = width <= LOW
+            out[pos] = low >> WORD  # the bit above the word is a carry for the one before; stays if the word is full
+            pos += full
+            low = np.where(full, (low & LOW) << WORD, low)
+            width = np.where(full, width << WORD, width)
+            m.learn(now[t], right)
+        if end < steps:
+            m.refresh(high[missed[begin:end]])
     for _ in range(2):
         out[pos] = low >> WORD
-        pos += lanes
+        pos += 1
         low = (low & LOW) << WORD
-    parts = columns[2:] & (1 << m.low_bits) - 1
-    kind = "<u1" if m.low_bits == 8 else "<u4"
-    done, out, size = [], np.ascontiguousarray(out.reshape(room, lanes).T), pos // lanes
-    for i in range(lanes):
-        x = out[i, : size[i]]
-        while len(big := np.flatnonzero(x > LOW)):
-            x[big] -= 1 << WORD
-            np.add.at(x, big - 1, 1)
-        done.append(struct.pack("<I", len(x)) + x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : WORD // 8].tobytes() + parts[missed[:, i], i].astype(kind).tobytes())
-    return done
+    while len(big := np.flatnonzero(out > LOW)):
+        out[big] -= 1 << WORD
+        out[big - 1] += 1
+    missed = turned(missed)
+    parts = (ids[missed] & (1 << m.low_bits) - 1).astype("<u1" if m.low_bits == 8 else "<u4")
+    ends = np.cumsum(missed.sum(axis=1)).tolist()
+    words = out.astype("<u4", copy=False).view(np.uint8).reshape(lanes, room, 4)[:, :, : WORD // 8]
+    return [struct.pack("<I", n) + words[i, :n].tobytes() + parts[a:b].tobytes() for i, (n, a, b) in enumerate(zip((pos - begins).tolist(), [0, *ends], ends, strict=False))]
 
 
 def decode_blocks(blocks: list[bytes], steps: int, vocab: int) -> np.ndarray:
@@ -167,41 +202,43 @@ def decode_blocks(blocks: list[bytes], steps: int, vocab: int) -> np.ndarray:
         n += size
         k += len(parts[-1])
     coded = np.concatenate([*coded, np.zeros((4 + steps, WORD // 8), np.uint8)])
-    coded = coded[:, 0] | coded[:, 1].astype(np.int64) << 8 | coded[:, 2].astype(np.int64) << 16
-    parts = np.concatenate([*parts, np.zeros(1, kind)]).astype(np.int32)
+    coded = coded[:, 0] | coded[:, 1].astype(np.int32) << 8 | coded[:, 2].astype(np.int32) << 16
+    parts = np.concatenate([*parts, np.zeros(1, kind)])
     pos, at_part = np.array(pos), np.array(at_part)
-    code = coded[pos] << WORD | coded[pos + 1]
+    code = coded[pos].astype(np.int64) << WORD | coded[pos + 1]
     pos += 2
     width = np.full(lanes, 1 << 2 * WORD, np.int64)
-    result = np.zeros((steps + 2, lanes), np.int32)
+    result = np.zeros((steps + 2, lanes), np.uint32)
     lane = np.arange(lanes) << 12
     names = np.tile(np.arange(m.symbols, dtype=np.uint8 if m.symbols <= 256 else np.int16), lanes)
     seen, hit = np.empty((REFRESH, lanes), np.int64), np.empty((REFRESH, lanes), bool)
+    at = np.empty((2, lanes), np.int64)
     for t in range(steps):
         if t % REFRESH == 0:
             if t:
                 m.refresh(seen[~hit])
-            which = np.repeat(names, m.freq)  # the symbol of each of a lane's 4096 places
-        cand, p = m.guess(np.stack(m.contexts(result[t + 1].astype(np.int64), result[t].astype(np.int64))) + m.base)
+            which = np.repeat(names, m.freq.T.ravel())  # the symbol of each of a lane's 4096 places
+        p = m.guess(m.places(result[t + 1], result[t], at))
         bound = (width >> 12) * p
-        right = code < bound
+        right = np.less(code, bound, out=hit[t % REFRESH])
         r = width - bound >> 12
         rest = code - bound
-        high = which.take(lane + np.clip(rest / r, 0, 4095).astype(np.int64))  # exact: quotients under 2**12 by numbers under 2**36
-        span = m.span.take(h := m.rows + high)
-        seen[t % REFRESH], hit[t % REFRESH] = h, right
+        place = (rest / r).astype(np.int64)  # exact: quotients under 2**12 by numbers under 2**36; of no use where the guess is right
+        place += lane
+        high = which.take(place, mode="clip").astype(np.int64)
+        h = np.add(high * lanes, m.lane, out=seen[t % REFRESH])
+        span = m.span.take(h, mode="clip")
         code = np.where(right, code, rest - r * (span >> 13))
         width = np.where(right, bound, r * (span & 8191))
-        now = np.where(right, cand, (high.astype(np.int32) << m.low_bits) + parts[at_part])
+        now = np.where(right, m.candidate(), ((high << m.low_bits) + parts.take(at_part, mode="clip") << 3).astype(np.int32))
         at_part += ~right
-        need = np.flatnonzero(width <= LOW)
-        q = pos.take(need)
-        code[need] = code.take(need) << WORD | coded.take(q)
-        pos[need] = q + 1
-        width[need] = width.take(need) << WORD
-        result[t + 2] = now
+        full = width <= LOW
+        code = np.where(full, code << WORD | coded.take(pos, mode="clip"), code)
+        width = np.where(full, width << WORD, width)
+        pos += full
+        np.right_shift(now, 3, out=result[t + 2].view(np.int32))
         m.learn(now, right)
-    return np.ascontiguousarray(result[2:].T)
+    return turned(result[2:])
 
 
 class Writer:
@@ -301,7 +338,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str |
     folder = folder or new_folder(spark, "ids")
 
     def run(batches):
-        coder = words.loaded(vocabulary)
+        coder = words.loaded(vocabulary, KEEP)
         part = TaskContext.get().partitionId()
         fs, base = open_fs(folder)
         name, made, out, n = f"{base}/part-{part:06d}.ids", f"{base}/.writing-{uuid.uuid4().hex}", None, 0

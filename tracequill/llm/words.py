@@ -62,13 +62,14 @@ class WordCoder:
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words, and where each one's begin and how many they are."""
         old, ids, start, length = self.known
-        place = pc.index_in(words, old)
-        new = place.is_null()
-        fresh = words.filter(new)
+        place = pc.index_in(old, words)  # the table is made of the few, not of all that is remembered
+        met = place.is_valid().to_numpy(zero_copy_only=False)
+        where = np.full(len(words), -1)
+        where[place.drop_null().to_numpy()] = np.flatnonzero(met)
+        new = where < 0
+        fresh = words.filter(pa.array(new))
         more, begin, size = self._encoded(fresh)
-        where = place.fill_null(0).to_numpy()
-        new = new.to_numpy(zero_copy_only=False)
-        where = np.where(new, len(old) - 1 + np.cumsum(new), where)
+        where[new] = np.arange(len(old), len(old) + len(fresh))
         start, length, ids = np.concatenate([start, begin + len(ids)]).astype(np.int32), np.concatenate([length, size]), np.concatenate([ids, more])
         if len(old) + len(fresh) <= self.keep:
             self.known = pa.concat_arrays([old, fresh]), ids, start, length
@@ -166,11 +167,11 @@ def gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.n
     return ids.take(at), ends
 
 
-_loaded: dict[str, WordCoder] = {}
+_loaded: dict[tuple[str, int], WordCoder] = {}
 
 
-def loaded(path: str) -> WordCoder:
+def loaded(path: str, keep: int = KEEP) -> WordCoder:
     """This worker's coder of a vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = WordCoder(path)
-    return _loaded[path]
+    if (path, keep) not in _loaded:
+        _loaded[path, keep] = WordCoder(path, keep)
+    return _loaded[path, keep]
