@@ -94,6 +94,31 @@ def test_jaccard_of_nothing(spark):
     assert sorted(map(tuple, jaccard.groups(two).collect())) == [(1, 0, 1), (1, 0, 1), (2, 2, 2), (2, 2, 2)]
 
 
+def test_a_large_group_is_compared_in_one_region(spark, monkeypatch):
+    """A group larger than an area has many pivots; the classes that can't be linked to it are compared with its classes once, not once for each pivot."""
+    monkeypatch.setattr(jaccard, "AREA_CLASSES", 8)
+    blocks, inner, calls = jaccard._blocks, [], []
+
+    def watched(core, outer, percent, is_core=True):
+        calls.append(is_core)
+        inner.extend(r["c"] for r in core.select("c").collect() if is_core)
+        return blocks(core, outer, percent, is_core)
+
+    monkeypatch.setattr(jaccard, "_blocks", watched)
+    r = random.Random(3)
+    base = [f"w{r.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for k in range(60):
+        x = list(base)
+        for at in r.sample(range(200), k % 10):
+            x[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.groups(df, 3, 80).collect()}
+    assert got == brute(texts, 3, 80)
+    assert inner and len(inner) == len(set(inner)) and calls == [True, False]
+
+
 def test_triangle_windows_alone():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 40, r.integers(1, 30))) for _ in range(60)]

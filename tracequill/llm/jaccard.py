@@ -11,10 +11,11 @@ a link is a distance of at most tau = 1 - threshold.
    pivot, so all links lie within regions. Copies of one text mostly have the same pivots.
 3. A region of bounded size is joined in one task: distances to the pivot are exact, classes within tau are linked to it, and triangle-inequality
    windows of tau over the sorted distances part the rest, recursively. Pairs that are connected already aren't compared again.
-4. A larger region is joined by Spark. The classes within tau of its pivot (its core) are linked to it. A class
-   outside the core can only reach core classes if its distance to the pivot is at most 2 tau (a boundary document), and only
-   those at a distance of at least its own less tau; these are compared in blocks of bounded size. What lies outside the core gets new pivots and
-   regions in the same way, but for n-grams whose classes are all known to be of one group. After TURNS such turns, regions that are still large are compared in pairs of blocks.
+4. A larger region is first joined with its pivot alone, by Spark: the classes within tau of it (its core) are linked to it. All links so far
+   give groups, and the n-grams that led to large regions lead to new ones, in which groups stand for classes: the pivot of an n-gram is a class of the
+   largest group that has it, another one each turn, and n-grams whose classes are all of one group are left out. A large group's many pivots thus become one, and
+   its region holds the few classes that may yet join it. After TURNS such turns, the other classes of a region that is still large are compared with those of its
+   group and with each other, in blocks of bounded size, by windows of tau over the distances to the pivot.
 5. Links form groups by repeated smallest neighbours, in tables in the shared folder.
 
 No candidate is dropped at any step. Which n-grams count as rare is settled by counts over all documents: those that occur once come first, the most
@@ -28,8 +29,6 @@ after all others in a group's smallest. An empty table gives no rows. Columns ot
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -251,18 +250,23 @@ def _beside(rows: DataFrame, per_area: DataFrame) -> DataFrame:
     return rows.withColumn("_salt", _salt("c")).join(each, ["area", "_salt"]).drop("_salt")
 
 
-def _regions(members: DataFrame) -> DataFrame:
-    """area (of a pivot, within the area before), c, label: each class in the regions of the pivots that its n-grams (keys) lead to.
+def _rank(turn: int) -> Column:
+    """The order of groups in a turn: larger ones first, then by hash. Classes without a label are groups of their own."""
+    return F.struct((-F.coalesce("size", F.lit(1))).alias("less"), F.xxhash64(F.lit(turn), F.coalesce("label", F.xxhash64("c"))).alias("h"))
+
+
+def _regions(members: DataFrame, turn: int = 0) -> DataFrame:
+    """area (the hash of a pivot's group), c, label, size, keys: each class in the regions of the pivots that its n-grams (keys) lead to, with those n-grams.
 
-    The pivot of an n-gram is the first class by hash. A label names the group that a class is known to be of; n-grams whose classes all have one label are left out.
+    The pivot of an n-gram is of the first of the groups that have it. A label names the group that a class is known to be of, size counts its classes; n-grams whose classes all have one label are left out.
     n-grams are counted in salted parts, so a hot one is nowhere in one task.
     """
-    rows = members.select("area", "c", "label", F.explode("keys").alias("gram")).withColumn("salt", _salt("c"))
+    rows = members.select("c", "label", "size", F.explode("keys").alias("gram")).withColumn("salt", _salt("c"))
     counts = [F.sum("m").alias("m"), F.sum("known").alias("known"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
-    parts = rows.groupBy("area", "gram", "salt").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c")).alias("first"), F.count("*").alias("m"), F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"))
-    led = parts.groupBy("area", "gram").agg(*counts, F.collect_list("salt").alias("salts")).where("m > 1 AND NOT (known = m AND low = high)")
-    led = led.select("area", "gram", F.xxhash64("area", "first.c").alias("region"), F.explode("salts").alias("salt"))
-    return rows.join(led, ["area", "gram", "salt"]).select(F.col("region").alias("area"), "c", "label").distinct()
+    parts = rows.groupBy("gram", "salt").agg(F.min(_rank(turn)).alias("first"), F.count("*").alias("m"), F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"))
+    led = parts.groupBy("gram").agg(*counts, F.collect_list("salt").alias("salts")).where("m > 1 AND NOT (known = m AND low = high)")
+    led = led.select("gram", F.col("first.h").alias("area"), F.explode("salts").alias("salt"))
+    return rows.join(led, ["gram", "salt"]).groupBy("area", "c").agg(F.first("label").alias("label"), F.first("size").alias("size"), F.collect_list("gram").alias("keys"))
 
 
 def _distance_to(a: Column, b: Column) -> Column:
@@ -271,60 +275,57 @@ def _distance_to(a: Column, b: Column) -> Column:
 
 
 class _Area:
-    """The classes of one area in a task: sets, links so far, and distances."""
+    """The classes of one area in a task: sets, groups by the links so far (a group is named by its first class), and distances."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent, self.tau = sets, percent, 1 - percent / 100
-        self.parent = list(range(len(sets)))
+        self.percent, self.tau = percent, 1 - percent / 100
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.root = np.arange(len(sets))
+        known, self.grams = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+        self.mark = np.zeros(len(known), np.int32)
 
     def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def distance(self, i: int, j: int) -> float:
-        """Exact; links i and j if it is at most tau."""
-        both, union = self.overlap(i, j)
-        if 100 * both >= self.percent * union:
-            x, y = self.find(i), self.find(j)
-            self.parent[max(x, y)] = min(x, y)
-        return 1 - both / union
-
-    def overlap(self, i: int, j: int) -> tuple[int, int]:
-        """Sizes of the intersection and of the union."""
-        a, b = self.sets[i], self.sets[j]
-        if len(a) > len(b):
-            a, b = b, a
-        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        return both, len(a) + len(b) - both
-
-    def links(self, i: int, j: int) -> bool:
-        sizes = sorted((len(self.sets[i]), len(self.sets[j])))
-        if 100 * sizes[0] < self.percent * sizes[1]:
-            return False
-        both, union = self.overlap(i, j)
-        return 100 * both >= self.percent * union
+        return int(self.root[i])
+
+    def join(self, members: np.ndarray) -> None:
+        """Makes one group of those of the members."""
+        roots = np.unique(self.root[members])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+
+    def overlaps(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the intersections of i with the others, and of the unions. Sets are not empty."""
+        own = self.grams[self.ends[i] - self.sizes[i] : self.ends[i]]
+        self.mark[own] = 1
+        if 8 * len(others) > len(self.sizes):
+            both = np.add.reduceat(self.mark[self.grams], self.ends - self.sizes)[others]
+        else:
+            both = np.array([self.mark[self.grams[self.ends[j] - self.sizes[j] : self.ends[j]]].sum() for j in others.tolist()], np.int64)
+        self.mark[own] = 0
+        return both, self.sizes[i] + self.sizes[others] - both
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that i links to."""
+        both, union = self.overlaps(i, others)
+        return others[100 * both.astype(np.int64) >= self.percent * union]
 
     def solve(self, members: list[int]) -> None:
         """All links among the members, up to connection: a pivot, then the windows of the sorted distances to it."""
-        todo = [members]
+        todo = [np.asarray(members)]
         while todo:
             rest = todo.pop()
-            count = defaultdict(int)
-            for i in rest:
-                count[self.find(i)] += 1
-            if len(count) < 2:
+            found, first, count = np.unique(self.root[rest], return_index=True, return_counts=True)
+            if len(found) < 2:
                 continue
-            most = max(count, key=count.get)
-            pivot = rest[0] if len(count) == len(rest) else next(i for i in rest if self.find(i) != most)  # pairs within the largest group are settled
-            others = sorted((self.distance(pivot, i), i) for i in rest if i != pivot)
-            window: list[int] = []
-            for k, (d, i) in enumerate(others):
-                if k and d - others[k - 1][0] > self.tau + 1e-9:
-                    todo.append(window)
-                    window = []
-                window.append(i)
-            todo.append(window)
+            # pairs within the largest group are settled; while there is none, the first is the pivot
+            at = int(first.min()) if len(found) == len(rest) else int(np.flatnonzero(self.root[rest] != found[count.argmax()])[0])
+            pivot, others = int(rest[at]), np.delete(rest, at)
+            both, union = self.overlaps(pivot, others)
+            self.join(np.append(others[100 * both.astype(np.int64) >= self.percent * union], pivot))
+            d = 1 - both / union
+            order = np.argsort(d, kind="stable")
+            todo.extend(np.split(others[order], np.flatnonzero(np.diff(d[order]) > self.tau + 1e-9) + 1))
 
 
 #: A class as columns (its first id and its hash), and links as pairs of these.
@@ -334,17 +335,15 @@ _LINKS = "ui long, ua long, ub long, vi long, va long, vb long"
 
 def _pairs(pdf: pd.DataFrame, area: _Area) -> pd.DataFrame:
     """Each class with the first of its group."""
-    roots = np.array([area.find(i) for i in range(len(pdf))], np.int64)
-    moved = np.flatnonzero(roots != np.arange(len(pdf)))
-    return pd.DataFrame({f"{side}{k[0]}": pdf[k].to_numpy()[at] for side, at in (("u", moved), ("v", roots[moved])) for k in _CLASS})
+    moved = np.flatnonzero(area.root != np.arange(len(pdf)))
+    return pd.DataFrame({f"{side}{k[0]}": pdf[k].to_numpy()[at] for side, at in (("u", moved), ("v", area.root[moved])) for k in _CLASS})
 
 
 def _sets_of(pdf: pd.DataFrame, percent: int) -> _Area:
     """The classes of a task; those of one label are of one group from the start."""
-    area = _Area([np.sort(np.asarray(g, np.int64)) for g in pdf["grams"]], percent)
+    area = _Area([np.asarray(g, np.int64) for g in pdf["grams"]], percent)
     for same in pdf.groupby("label").indices.values() if pdf["label"].notna().any() else ():
-        for i in same[1:].tolist():
-            area.parent[i] = int(same[0])
+        area.root[same] = same.min()
     return area
 
 
@@ -352,23 +351,23 @@ def _as_links(found: DataFrame) -> DataFrame:
     return found.select(*[F.struct(*[F.col(f"{side}{k[0]}").alias(k) for k in _CLASS]).alias(side) for side in "uv"])
 
 
-def _links_of_areas(areas: DataFrame, percent: int) -> DataFrame:
+def _links_of_areas(areas: DataFrame, percent: int, turn: int = 0) -> DataFrame:
     """Links of whole areas, each in one task: the pivot's distances, then windows, recursively."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", *_CLASS], kind="stable").reset_index(drop=True)  # the pivot first
+        pdf = pdf.sort_values(["less", "h", *_CLASS], kind="stable").reset_index(drop=True)  # the pivot first
         area = _sets_of(pdf, percent)
         area.solve(list(range(len(pdf))))
         return _pairs(pdf, area)
 
-    flat = areas.select("area", "label", F.xxhash64("c").alias("h"), "c.*", "grams")
+    flat = areas.select("area", "label", _rank(turn).alias("rank"), "c", "grams").select("area", "label", "rank.*", "c.*", "grams")
     return _as_links(flat.groupBy("area").applyInPandas(solve, _LINKS))
 
 
 def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = True) -> DataFrame:
-    """Links between two sides of each area, in blocks of bounded size.
+    """Links between two sides of each area, in blocks of bounded size, by windows over d, the distances to its pivot.
 
-    is_core: the first side is one group, d is the distance to its pivot, and each class of the other side that links to it gives one row, with that class as u.
+    is_core: the first side is one group, and each class of the other side that links to it gives one row, with that class as u. Else both sides are the same classes.
     """
     size = max(1, AREA_CLASSES)
     count = lambda df: df.groupBy("area").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
@@ -377,6 +376,7 @@ def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = Tru
     def numbered(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         # a block number by hash: even blocks of about `size`, without an order over the whole area
         rows = _beside(df, both).withColumn(own, F.pmod(F.xxhash64(F.lit(7), "c"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        rows = rows if is_core else rows.where("i <= j")
         return rows.select(F.struct("area", "i", "j").alias("key"), F.lit(side).alias("side"), "label", "c.*", "grams", "d")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -384,23 +384,24 @@ def _blocks(core: DataFrame, outer: DataFrame, percent: int, is_core: bool = Tru
         area = _sets_of(pdf, percent)
         d = pdf["d"].to_numpy()
         inner = np.flatnonzero(pdf["side"] == 0)
-        inner = inner[np.argsort(d[inner], kind="stable")].tolist()
+        inner = inner[np.argsort(d[inner], kind="stable")]
         near = d[inner]
-        others = np.flatnonzero(pdf["side"] == 1).tolist()
-        if is_core:
-            reached = []
-            for y in others:
-                for i in inner[int(np.searchsorted(near, d[y] - area.tau - 1e-9)) :]:
-                    if area.links(y, i):
-                        reached.append((y, i))
-                        break  # the core is one group, so one link tells all
-            at = np.array(reached, np.int64).reshape(-1, 2).T
-            return pd.DataFrame({f"{side}{k[0]}": pdf[k].to_numpy()[x] for side, x in zip("uv", at, strict=True) for k in _CLASS})
-        for y in others:
-            for i in inner:
-                if area.find(y) != area.find(i):
-                    area.distance(y, i)
-        return _pairs(pdf, area)
+        reached = []
+        for y in np.flatnonzero(pdf["side"] == 1).tolist():
+            window = inner[np.searchsorted(near, d[y] - area.tau - 1e-9) : np.searchsorted(near, d[y] + area.tau + 1e-9, "right")]
+            if not is_core:
+                window = window[area.root[window] != area.root[y]]
+            if not len(window):
+                continue
+            hits = area.linked(y, window)
+            if is_core:
+                reached.extend((y, i) for i in hits[:1].tolist())  # the core is one group, so one link tells all
+            else:
+                area.join(np.append(hits, y))
+        if not is_core:
+            return _pairs(pdf, area)
+        at = np.array(reached, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({f"{side}{k[0]}": pdf[k].to_numpy()[x] for side, x in zip("uv", at, strict=True) for k in _CLASS})
 
     rows = numbered(core, "i", "j", 0).unionAll(numbered(outer, "j", "i", 1))
     return _as_links(rows.groupBy("key").applyInPandas(compare, _LINKS))
@@ -429,47 +430,54 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
 
     texts = _texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     grams = texts.withColumn("at", place(F.col("doc_id"))).mapInArrow(tidy(sets), "c struct<id:long,a:long,b:long>, grams array<long>")
-    found = written(wanted.join(grams, "c").dropDuplicates(["c"]), "jaccard-sets")
+    found = written(wanted.join(grams, "c").dropDuplicates(["c"]).withColumn("n", F.size("grams")), "jaccard-sets")
     held.destroy()
     return found
 
 
 def _links(sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Tables of links (u, v) between the classes of sets (c, keys, grams)."""
-    tau = 1 - percent / 100
+    """Tables of links (u, v) between the classes of sets (c, keys, grams, n)."""
     found: list[DataFrame] = []
-    regions = written(_regions(sets.withColumns({"area": F.lit(0).cast("long"), "label": F.lit(None).cast("long")})), "jaccard-regions-0")
+    members = sets.select("c", "keys", F.lit(None).cast("long").alias("label"), F.lit(None).cast("long").alias("size"))
     for turn in range(TURNS + 1):
-        rows = regions.join(sets, "c")
-        n = F.size("grams")
-        sizes = rows.groupBy("area").agg(F.count("*").alias("classes"), F.sum(n).alias("total"), F.min(F.struct(F.xxhash64("c").alias("h"), "c"))["c"].alias("pivot"))
+        regions = written(_regions(members, turn), f"jaccard-regions-{turn}")
+        pivot = F.min(F.struct(_rank(turn).alias("rank"), F.xxhash64(F.lit(turn), "c").alias("h"), "c"))
+        sizes = regions.join(sets.select("c", "n"), "c").groupBy("area").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), pivot["c"].alias("pivot"))
         big = written(sizes.where((F.col("classes") > AREA_CLASSES) | (F.col("total") > AREA_GRAMS) & (F.col("classes") > 2)).select("area", "pivot"), f"jaccard-big-{turn}")
         each = big.select("area", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("big"))
         marked = regions.withColumn("_salt", _salt("c")).join(each, ["area", "_salt"], "left").drop("_salt")
-        found.append(written(_links_of_areas(marked.where("big IS NULL").join(sets, "c"), percent), f"jaccard-links-{turn}"))
+        grams = sets.select("c", "grams")
+        found.append(written(_links_of_areas(marked.where("big IS NULL").join(grams, "c"), percent, turn), f"jaccard-links-{turn}"))
         if big.isEmpty():
             break
-        large = marked.where("big").drop("big").join(sets, "c")
-        if turn == TURNS:
-            rest = written(large.withColumn("d", F.lit(0.0)), "jaccard-rest")
-            found.append(written(_blocks(rest, rest, percent, is_core=False), "jaccard-rest-links"))
-            break
-        pivots = big.join(sets.select(F.col("c").alias("pivot"), F.col("grams").alias("p_grams")), "pivot")
-        near = _beside(large, pivots).withColumn("o", _distance_to(F.col("grams"), F.col("p_grams")))
+        large = marked.where("big").drop("big")
+        pivots = big.join(grams.select(F.col("c").alias("pivot"), F.col("grams").alias("p_grams")), "pivot")
+        near = _beside(large.join(grams, "c"), pivots).withColumn("o", _distance_to(F.col("grams"), F.col("p_grams")))
         near = near.withColumns({"d": 1 - F.col("o.both") / F.col("o.any"), "core": F.col("o.both") * 100 >= F.col("o.any") * percent}).drop("p_grams", "o")
-        near = written(near, f"jaccard-near-{turn}")
-        core, outer = near.where("core"), near.where("NOT core")
-        found.append(core.select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u != v"))
-        reached = written(_blocks(core, outer.where(F.col("d") <= 2 * tau + 1e-9), percent), f"jaccard-border-{turn}")
-        found.append(reached)
-        # what is known to be linked to a core is of that core's group; of several such groups any will do
-        told = reached.join(core.select(F.col("c").alias("v"), "area"), "v").select(F.col("u").alias("c"), "area")
-        told = told.unionAll(core.select("c", "area")).groupBy("c").agg(F.min("area").alias("told"))
-        outer = outer.join(told, "c", "left").withColumn("label", F.coalesce("label", "told"))
-        regions = written(_regions(outer), f"jaccard-regions-{turn + 1}")
+        if turn < TURNS:
+            near = written(near.drop("grams"), f"jaccard-near-{turn}")
+            found.append(near.where("core").select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u != v"))
+            root = written(components(_all(found), f"jaccard-known-{turn}"), f"jaccard-groups-{turn}")
+            many = root.groupBy("root").agg(F.count("*").alias("size"))
+            known = root.join(many, "root").select(F.col("node").alias("c"), F.xxhash64("root").alias("label"), "size")
+            members = near.select("c", "keys").join(known, "c", "left")
+            continue
+        # what is left: the other classes of an area beside those of its group, and beside each other
+        near = written(near.withColumn("own", (F.col("label").isNotNull() & (_rank(turn)["h"] == F.col("area"))) | (F.col("c") == F.col("pivot"))), "jaccard-rest")
+        outer = near.where("NOT own")
+        found.append(near.where("core").select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u != v"))
+        found.append(written(_blocks(near.where("own"), outer, percent), "jaccard-border"))
+        found.append(written(_blocks(outer, outer, percent, is_core=False), "jaccard-rest-links"))
     return found
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionAll(x)
+    return out
+
+
 def _rooted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, marked: bool = False) -> DataFrame:
     """The columns of groups() with root, the group itself (null without words), and if asked for mark, a hash of the text."""
     ship(docs.sparkSession)
@@ -481,11 +489,7 @@ def _rooted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, m
     classes = by_class.agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("id"), F.first("rare").alias("keys"), F.collect_set("salt").alias("salts"))
     classes = written(classes.select(F.struct("id", "set.a", "set.b").alias("c"), "keys", "salts"), "jaccard-classes")
     sets = _sets(docs, _met(classes), n, id_col, text_col)
-    tables = _links(sets, percent)
-    linked = tables[0]
-    for x in tables[1:]:
-        linked = linked.unionAll(x)
-    root = components(linked, "jaccard-links").select(F.col("node").alias("c"), "root")
+    root = components(_all(_links(sets, percent)), "jaccard-links").select(F.col("node").alias("c"), "root")
     named = classes.join(root, "c", "left").select(F.struct("c.a", "c.b").alias("c"), F.coalesce("root", "c").alias("root"), F.explode("salts").alias("salt"))
     smallest = F.when(F.col("root.id") != LAST, F.col("root.id")).otherwise(F.col("doc_id"))
     return rows.join(named, ["c", "salt"], "left").select("doc_id", "n_shingles", F.coalesce(smallest, "doc_id").alias("component_id"), "root", *["mark"] * marked)
